@@ -101,7 +101,10 @@ def variance_share(df: DataFrame, value: str, group: str, by: list[str], name: s
         F.var_samp("_m").alias("_vm"), F.avg(1 / F.col("_k")).alias("_inv"), F.count(F.lit(1)).alias("_g")
     )
     total = df.groupBy(*by).agg(F.var_samp(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    joined = between.join(total, by) if by else between.crossJoin(F.broadcast(total))
+    if by:
+        joined = between.join(total, by)
+    else:
+        joined = between.withColumn("_t", total.select(F.struct("*")).scalar()).select("*", "_t.*")
     share = F.greatest(
         F.col("_vm") / F.nullif("_v", F.lit(0.0)) - F.col("_inv") * (1 - 1 / F.col("_g")), F.lit(0.0)
     )
