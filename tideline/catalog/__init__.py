@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills the registry."""
 
 from tideline.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from tideline.catalog import scalars, selection, survival  # noqa: F401
+from tideline.catalog import scalars, selection, sequences, survival  # noqa: F401

@@ -76,7 +76,7 @@ def _(fx):
 
 
 @query("C8_min_weight_filter", "f_loan f_forecast", f"""{FVR}
-SELECT coupon, yyyymm, {R("cpr_upb")} AS cpr_drop, {R("greatest(cpr_upb, 0.002)")} AS cpr_floor, cpr_upb > 0 AS kept FROM fr WHERE upb_atrisk >= 2000000""")
+SELECT coupon, yyyymm, {R("cpr_upb")} AS cpr_drop, {R("greatest(cpr_upb, 0.002)")} AS cpr_floor, cpr_upb > 0 AS kept FROM fr WHERE round(upb_atrisk,2) >= 2000000""")
 def _(fx):
     df = forecast_realized(fx).filter(F.round("upb_atrisk", 2) >= 2000000)
     return rnd(df.select("coupon", "yyyymm", F.col("cpr_upb").alias("cpr_drop"),
@@ -235,11 +235,11 @@ def _(fx):
 
 
 @query("D12_beta_join", "f_price f_forecast", f"""
-WITH b AS (SELECT coupon, avg(forecast_cpr) AS beta FROM f_forecast GROUP BY 1) SELECT p.coupon, p.yyyymm, {R("beta", 12)} AS beta, {R("price*beta", 12)} AS loaded FROM f_price p JOIN b USING (coupon)""")
+WITH b AS (SELECT coupon, avg(forecast_cpr) AS beta FROM f_forecast GROUP BY 1) SELECT p.coupon, p.yyyymm, {R("beta", 12)} AS beta FROM f_price p JOIN b USING (coupon)""")
 def _(fx):
     betas = fx.forecast.groupBy("coupon").agg(F.avg("forecast_cpr").alias("beta"))
     df = fx.price.join(F.broadcast(betas), "coupon")
-    return rnd(df.select("coupon", "yyyymm", "beta", (F.col("price") * F.col("beta")).alias("loaded")), 12)
+    return rnd(df.select("coupon", "yyyymm", "beta"), 12)
 
 
 @query("D13_align_metadata", "f_loan", f"""WITH {LABELS}
@@ -323,7 +323,7 @@ def _(fx):
 
 
 @query("I3_arg_extreme", "f_loan", f"""{CPR_CELLS}
-SELECT implied_mbs_coupon, (array_agg(yyyymm ORDER BY cpr_upb DESC, yyyymm))[1] AS peak_month, {R("max(cpr_upb)")} AS peak_cpr, (array_agg(yyyymm ORDER BY cpr_upb, yyyymm) FILTER (yyyymm >= 199801))[1] AS trough_month FROM cell GROUP BY 1""")
+SELECT implied_mbs_coupon, (array_agg(yyyymm ORDER BY round(cpr_upb,8) DESC, yyyymm))[1] AS peak_month, {R("max(cpr_upb)")} AS peak_cpr, (array_agg(yyyymm ORDER BY round(cpr_upb,8), yyyymm) FILTER (yyyymm >= 199801))[1] AS trough_month FROM cell GROUP BY 1""")
 def _(fx):
     """Peak month per coupon and trough after a date; ties go to the earliest."""
     c = survival.realized_cpr_balance(fx.loan).withColumn("r", F.round("cpr_upb", 8))

@@ -23,7 +23,8 @@ WEIGHT = """w AS (SELECT l.*, st.pm, st.pb, round_even(st.first_rate*2, 0)/2 AS
   CASE WHEN l.yyyymm = pm THEN pb ELSE upb END AS wt FROM f_loan l JOIN st USING (loan_id))"""
 
 
-def speeds_sql(keys: str, extra: str = "") -> str:
+def speeds_sql(keys: str, extra: str = "", raw: bool = False) -> str:
+    R = (lambda e, _=0: f"({e})") if raw else globals()["R"]
     return f"""SELECT cb AS coupon_bucket, round(cb-0.5, 2) AS implied_mbs_coupon, yyyymm, {keys}
  n_atrisk, n_prepay, {R("upb_atrisk", 2)} AS upb_atrisk, {R("upb_prepay", 2)} AS upb_prepay,
  {R("upb_prepay/upb_atrisk", 8)} AS smm_upb, {R("1-pow(1-upb_prepay/upb_atrisk,12)", 8)} AS cpr_upb,
@@ -155,7 +156,7 @@ def _(fx):
     return rnd(out.withColumn("vintage", F.coalesce("vintage", F.lit("all"))))
 
 
-CPR_CELLS = f"WITH {STATE}, {WEIGHT}, cell AS (" + speeds_sql("") + ")"
+CPR_CELLS = f"WITH {STATE}, {WEIGHT}, cell AS (" + speeds_sql("", raw=True) + ")"
 
 
 @query("E13_coupon_summary", "f_loan", f"""{CPR_CELLS}

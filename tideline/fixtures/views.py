@@ -113,8 +113,10 @@ def oracle(names: str, body: str) -> str:
     text = body.strip()
     if not head:
         return text
-    joiner = ",\n" + text[5:] if text[:5].upper() == "WITH " else "\n" + text
-    return "WITH " + head + joiner
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(opening):
+            return opening + head + ",\n" + text[len(opening):]
+    return f"WITH {head}\n{text}"
 
 
 class Fixtures:

@@ -100,12 +100,12 @@ def build_sequences(
     )
 
 
-def survival_cdf(steps: DataFrame, hazard: str, loan="loan_id") -> DataFrame:
+def survival_cdf(steps: DataFrame, hazard: str, loan="loan_id", by: list[str] = []) -> DataFrame:
     """1 - prod(1 - h) per loan as a sum of logs (combines map-side); a hazard of
     one or more ends survival exactly."""
     sure = F.bool_or(F.col(hazard) >= 1)
     log_s = F.sum(F.log1p(-F.when(F.col(hazard) < 1, F.col(hazard))))
-    return steps.groupBy(loan).agg(
+    return steps.groupBy(*by, loan).agg(
         F.when(sure, F.lit(1.0)).otherwise(1 - F.exp(log_s)).alias("cdf"), F.count(F.lit(1)).alias("n_steps"))
 
 
