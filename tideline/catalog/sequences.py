@@ -122,11 +122,11 @@ def _(fx):
 
 
 @query("F9_survival_curves", "f_path", f"""
-WITH p AS (SELECT path_id, t, rate/200 AS p FROM f_path), c AS (SELECT *, exp(sum(ln(1-p)) OVER (PARTITION BY path_id ORDER BY t)) AS s FROM p)
+WITH p AS (SELECT path_id, t, rate/210 AS p FROM f_path), c AS (SELECT *, exp(sum(ln(1-p)) OVER (PARTITION BY path_id ORDER BY t)) AS s FROM p)
 SELECT path_id, CAST(t AS BIGINT) AS t, {R("s/(1-p)*p", 10)} AS hazard, {R("1-s", 10)} AS cdf, {R("s", 10)} AS survival FROM c""")
 def _(fx):
     """One array fold per path, unfolded to (path, step) rows for the report."""
-    out = sequences.survival_curves(fx.path.withColumn("p", F.col("rate") / 200), "p")
+    out = sequences.survival_curves(fx.path.withColumn("p", F.col("rate") / 210), "p")
     z = F.arrays_zip("hazard", "cdf", "survival")
     return rnd(out.select("path_id", F.posexplode(z).alias("i", "r")).select(
         "path_id", (F.col("i") + 1).cast("bigint").alias("t"), "r.hazard", "r.cdf", "r.survival"), 10)

@@ -181,7 +181,7 @@ def forecast_realized(fx):
 
 def scorr(x, y):
     """NULL instead of NaN when a side is flat, in both engines."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), rates.safe_corr(x, y))
 
 
 SC = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN corr({0}, {1}) END"
@@ -304,9 +304,9 @@ def _(fx):
 
 
 @query("E29_discount_share", "f_price", f"""
-SELECT coupon, yyyymm, {R("avg(CASE WHEN price < 100 THEN 1.0 ELSE 0 END) OVER (PARTITION BY yyyymm)")} AS discount_share FROM f_price""")
+SELECT coupon, yyyymm, {R("avg(CASE WHEN price < 97.75 THEN 1.0 ELSE 0 END) OVER (PARTITION BY yyyymm)")} AS discount_share FROM f_price""")
 def _(fx):
-    share = F.avg(F.when(F.col("price") < 100, 1.0).otherwise(0.0)).over(W.partitionBy("yyyymm"))
+    share = F.avg(F.when(F.col("price") < 97.75, 1.0).otherwise(0.0)).over(W.partitionBy("yyyymm"))
     return rnd(fx.price.select("coupon", "yyyymm", share.alias("discount_share")))
 
 

@@ -144,3 +144,13 @@ def hazard_index(incentive_col, age_col, coef: dict[str, float]) -> Column:
         + F.lit(float(coef["incentive"])) * _col(incentive_col)
         + F.lit(float(coef["age"])) * _col(age_col)
     )
+
+
+def safe_corr(x, y) -> Column:
+    """Correlation aggregate over rows where both are present; NULL (not an error)
+    when a side is flat."""
+    x, y = _col(x), _col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    scale = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(scale, F.lit(0.0)))

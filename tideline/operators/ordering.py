@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tideline.functions import rates
 from tideline.functions.hashing import unit_hash
 
 
@@ -134,4 +135,4 @@ def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> Dat
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     ranked = average_ranks(average_ranks(df, x, group, "_rx"), y, group, "_ry")
-    return ranked.groupBy(*group).agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*group).agg(rates.safe_corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tideline.functions import rates
+
 
 def require(row: DataFrame, ok: Column, message: str) -> DataFrame:
     """Pass a one-row check table through, raising ``message`` when not ok."""
@@ -31,7 +33,7 @@ def alignment(df: DataFrame, rebuilt: str, reported: str) -> DataFrame:
     """Reconstructed series against the reported one."""
     both = df.filter(F.col(rebuilt).isNotNull() & F.col(reported).isNotNull())
     return both.agg(
-        F.corr(rebuilt, reported).alias("corr"),
+        rates.safe_corr(rebuilt, reported).alias("corr"),
         F.max(F.abs(F.col(rebuilt) - F.col(reported))).alias("max_err"),
         F.stddev_samp(reported).alias("sd"),
         F.count(F.lit(1)).alias("n"),

@@ -46,7 +46,7 @@ def _sweep(matrix: Column, m: int, pivots: int) -> Column:
 
 
 def _solve(df: DataFrame, names: list[str], keep: list[str], min_n: int) -> DataFrame:
-    """From columns n, yy, m_<x> (means), s_<x>_<z>, s_<x>_y (centred sums) to the
+    """From columns n, yy, my, m_<x> (means), s_<x>_<z>, sy_<x> (centred sums) to the
     fit: b_<x>, b0, se_*, t_*, r2, sse."""
     k = len(names)
     m = k + 1
@@ -59,7 +59,7 @@ def _solve(df: DataFrame, names: list[str], keep: list[str], min_n: int) -> Data
             elif i == k and j == k:
                 cells.append(F.col("yy"))
             else:
-                cells.append(F.col(f"s_{names[min(i, j)]}_y"))
+                cells.append(F.col(f"sy_{names[min(i, j)]}"))
     swept = df.withColumn("_m", F.array(*cells)).withColumn("_s", _sweep(F.col("_m"), m, k))
     good = F.col("_s.ok") & (F.col("n") >= min_n)
     val = lambda i, j: F.when(good, F.element_at("_s.a", i * m + j + 1))
@@ -84,7 +84,7 @@ def _finish(fit: DataFrame, keep: list[str], names: list[str], intercept: bool)
     cols = {f"se_{x}": F.sqrt(s2 * _v(x, x, names)) for x in names}
     fit = fit.withColumn("_s2", s2)
     if intercept:
-        b0 = F.col("m_y")
+        b0 = F.col("my")
         quad = F.lit(0.0)
         for x in names:
             b0 = b0 - F.col(f"b_{x}") * F.col(f"m_{x}")
@@ -109,11 +109,11 @@ def moments(y: str | Column, xs: dict[str, Column], valid: Column) -> list[Colum
     yc = F.when(valid, F.col(y) if isinstance(y, str) else y)
     xc = {n: F.when(valid, c) for n, c in xs.items()}
     n = F.count(yc)
-    cols = [n.alias("n"), F.avg(yc).alias("m_y"), (F.var_pop(yc) * n).alias("yy"), (F.var_pop(yc) * n).alias("tss")]
+    cols = [n.alias("n"), F.avg(yc).alias("my"), (F.var_pop(yc) * n).alias("yy"), (F.var_pop(yc) * n).alias("tss")]
     names = list(xs)
     for i, a in enumerate(names):
         cols.append(F.avg(xc[a]).alias(f"m_{a}"))
-        cols.append((F.covar_pop(xc[a], yc) * n).alias(f"s_{a}_y"))
+        cols.append((F.covar_pop(xc[a], yc) * n).alias(f"sy_{a}"))
         for z in names[i:]:
             s = F.var_pop(xc[a]) if z == a else F.covar_pop(xc[a], xc[z])
             cols.append((s * n).alias(f"s_{a}_{z}"))
@@ -129,7 +129,7 @@ def raw_moments(y: Column, xs: dict[str, Column], valid: Column) -> list[Column]
     cols = [n.alias("n"), F.sum(yc * yc).alias("yy"), (F.var_pop(yc) * n).alias("tss")]
     names = list(xs)
     for i, a in enumerate(names):
-        cols.append(F.sum(xc[a] * yc).alias(f"s_{a}_y"))
+        cols.append(F.sum(xc[a] * yc).alias(f"sy_{a}"))
         for z in names[i:]:
             cols.append(F.sum(xc[a] * xc[z]).alias(f"s_{a}_{z}"))
     return cols
@@ -171,11 +171,11 @@ def ols_window(df: DataFrame, y: str | Column, xs, window, keep: list[str], min_
     yv = F.when(valid, yc)
     xv = {a: F.when(valid, c) for a, c in cols.items()}
     out = {
-        "n": n, "m_y": F.avg(yv).over(window), "yy": F.var_pop(yv).over(window) * n, "tss": F.var_pop(yv).over(window) * n,
+        "n": n, "my": F.avg(yv).over(window), "yy": F.var_pop(yv).over(window) * n, "tss": F.var_pop(yv).over(window) * n,
     }
     for i, a in enumerate(names):
         out[f"m_{a}"] = F.avg(xv[a]).over(window)
-        out[f"s_{a}_y"] = F.covar_pop(xv[a], yv).over(window) * n
+        out[f"sy_{a}"] = F.covar_pop(xv[a], yv).over(window) * n
         for z in names[i:]:
             s = F.var_pop(xv[a]) if z == a else F.covar_pop(xv[a], xv[z])
             out[f"s_{a}_{z}"] = s.over(window) * n
@@ -246,7 +246,7 @@ def leave_one_out(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> Data
     d = {x: F.col(x) - F.col(f"_f.m_{x}") for x in xs}
     va = lambda x, z: F.col(f"_f.v_{xs[min(xs.index(x), xs.index(z))]}_{xs[max(xs.index(x), xs.index(z))]}")
     out = out.withColumns({f"_d_{x}": d[x] for x in xs})
-    e = F.col(y) - F.col("_f.m_y")
+    e = F.col(y) - F.col("_f.my")
     h = 1 / F.col("_f.n")
     for x in xs:
         e = e - F.col(f"_f.b_{x}") * F.col(f"_d_{x}")

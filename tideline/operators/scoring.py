@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions import bins
+from tideline.functions import rates
 from tideline.operators import ordering
 
 # fixed values: segment edges (left-closed) and labels
@@ -68,7 +69,7 @@ def forecast_error(df: DataFrame, forecast: str, actual: str, by: list[str] = []
     e = F.col(forecast) - F.col(actual)
     return df.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.corr(forecast, actual).alias("corr"), F.count(F.lit(1)).alias("n"),
+        rates.safe_corr(forecast, actual).alias("corr"), F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -77,7 +78,7 @@ def forecast_vs_realized(df: DataFrame, forecast: str, actual: str, by: list[str
         F.avg(forecast).alias("mean_forecast"), F.avg(actual).alias("mean_realized"),
         F.max(forecast).alias("max_forecast"), F.max(actual).alias("max_realized"),
         F.try_divide(F.avg(actual), F.nullif(F.avg(forecast), F.lit(0.0))).alias("ratio"),
-        F.corr(forecast, actual).alias("corr"), F.count(F.lit(1)).alias("n"),
+        rates.safe_corr(forecast, actual).alias("corr"), F.count(F.lit(1)).alias("n"),
     )
 
 

@@ -154,7 +154,7 @@ def lag1_autocorr(df: DataFrame, value: str, order: str = "mi", by: list[str] =
     pair = F.col("_lag").isNotNull()
     a, b = F.when(pair, F.col(value)), F.col("_lag")
     out = clean.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("_c"),
+        F.count(F.lit(1)).alias("n"), rates.safe_corr(a, b).alias("_c"),
         F.stddev_samp(a).alias("_sa"), F.stddev_samp(b).alias("_sb"),
     )
     ok = (F.col("n") >= 3) & (F.col("_sa") >= tiny) & (F.col("_sb") >= tiny)
