@@ -66,14 +66,14 @@ SELECT DISTINCT CAST(l_shipdate AS DATE) AS d,
        CAST(year(l_shipdate)*372+month(l_shipdate)*31+day(l_shipdate) AS BIGINT) AS k
 FROM {lineitem}"""),
     "f_curve_daily": (["f_day"], """
-SELECT d, yyyymm, mi,
+SELECT d, yyyymm, mi, m1, m3, m6, y1, y2, CAST((2*y2+y5)/3 AS DOUBLE) AS y3, y5, CAST((3*y5+2*y10)/5 AS DOUBLE) AS y7, y10,
+       CAST(y10 + 0.05 + (k%39)*0.004 AS DOUBLE) AS y20, CAST(y10 + 0.1 + (k%41)*0.005 AS DOUBLE) AS y30
+FROM (SELECT d, yyyymm, mi, k,
        CAST(1.50+(k%13)*0.0625 AS DOUBLE) AS m1, CAST(1.60+(k%17)*0.0625 AS DOUBLE) AS m3,
        CAST(1.75+(k%19)*0.0625 AS DOUBLE) AS m6, CAST(1.90+(k%23)*0.0625 AS DOUBLE) AS y1,
-       CAST(2.00+(k%29)*0.0625 AS DOUBLE) AS y2, CAST(2.25+(k%27)*0.0625 AS DOUBLE) AS y3,
-       CAST(2.50+(k%31)*0.0625 AS DOUBLE) AS y5, CAST(2.75+(k%33)*0.0625 AS DOUBLE) AS y7,
-       CAST(3.00+(k%37)*0.0625 AS DOUBLE) AS y10, CAST(3.15+(k%39)*0.0625 AS DOUBLE) AS y20,
-       CAST(3.25+(k%41)*0.0625 AS DOUBLE) AS y30
-FROM f_day"""),
+       CAST(2.00+(k%29)*0.0625 AS DOUBLE) AS y2, CAST(2.50+(k%31)*0.0625 AS DOUBLE) AS y5,
+       CAST(3.00+(k%37)*0.0625 AS DOUBLE) AS y10
+FROM f_day) c"""),
     "f_forecast": (["f_price", "f_market_rate"], """
 SELECT p.coupon, p.yyyymm, m.mi, m.rate_30yr,
        CAST(0.02 + greatest(p.coupon+0.5-m.rate_30yr,0)*0.03

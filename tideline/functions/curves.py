@@ -100,20 +100,23 @@ def bootstrap_zeros(df: DataFrame, prefix: str = "z_") -> DataFrame:
     return out
 
 
+def _segments(nodes: list[tuple[int, Column]], months: int) -> Column:
+    """Array of (m0, m1, v0, v1) pieces; node values are evaluated once here, not
+    once per month inside the lambda that reads them."""
+    parts = []
+    for (m0, v0), (m1, v1) in zip(nodes, nodes[1:]):
+        if m0 < months:
+            parts.append(F.struct(F.lit(m0).alias("m0"), F.lit(min(m1, months)).alias("top"), F.lit(float(m1 - m0)).alias("w"), v0.alias("v0"), v1.alias("v1")))
+    return F.array(*parts)
+
+
 def monthly_zeros(prefix: str = "z_", months: int = N_MONTHS) -> Column:
     """Array of monthly zero rates by linear interpolation between the nodes."""
-    parts = []
     nodes = [(round(t * 12), F.col(f"{prefix}{n}")) for n, t in zip(TENORS, YEARS)]
-    parts.append(F.array(nodes[0][1]))
-    for (m0, z0), (m1, z1) in zip(nodes, nodes[1:]):
-        top = min(m1, months)
-        if m0 >= top:
-            break
-        parts.append(F.transform(
-            F.sequence(F.lit(m0 + 1), F.lit(top)),
-            lambda m, m0=m0, m1=m1, z0=z0, z1=z1: z0 + (z1 - z0) * (m - m0) / F.lit(float(m1 - m0)),
-        ))
-    return F.concat(*parts)
+    nodes = [(0, nodes[0][1]), *nodes]
+    piece = lambda s: F.transform(
+        F.sequence(s["m0"] + 1, s["top"]), lambda m: s["v0"] + (s["v1"] - s["v0"]) * (m - s["m0"]) / s["w"])
+    return F.flatten(F.transform(_segments(nodes, months), piece))
 
 
 # --- self-consistent bootstrap on integrated zeros (minus log discount) -------
@@ -200,16 +203,9 @@ def bootstrap_logdf(df: DataFrame, convert: bool = True, prefix: str = "x_") ->
 def monthly_zeros_from_logdf(prefix: str = "x_", months: int = N_MONTHS) -> Column:
     """Monthly zero rates (percent) from integrated zeros, linear in x."""
     nodes = [(0, F.lit(0.0))] + [(round(t * 12), F.col(f"{prefix}{n}")) for n, t in zip(TENORS, YEARS)]
-    parts = []
-    for (m0, x0), (m1, x1) in zip(nodes, nodes[1:]):
-        top = min(m1, months)
-        if m0 >= top:
-            break
-        parts.append(F.transform(
-            F.sequence(F.lit(m0 + 1), F.lit(top)),
-            lambda m, m0=m0, m1=m1, x0=x0, x1=x1: (x0 + (x1 - x0) * (m - m0) / F.lit(float(m1 - m0))) / m * 1200.0,
-        ))
-    return F.concat(*parts)
+    piece = lambda s: F.transform(
+        F.sequence(s["m0"] + 1, s["top"]), lambda m: (s["v0"] + (s["v1"] - s["v0"]) * (m - s["m0"]) / s["w"]) / m * 1200.0)
+    return F.flatten(F.transform(_segments(nodes, months), piece))
 
 
 def par_bond_price(zeros: str, maturity: float, coupon: Column) -> Column:

@@ -147,10 +147,3 @@ def full_outer_sides(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
         F.when(F.col("_l").isNull(), "right_only").when(F.col("_r").isNull(), "left_only").otherwise("both")
     )
     return a.join(b, keys, "full_outer").select(*keys, side.alias("side"))
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the optimizer's own size estimate is below the
-    bound; otherwise leave the join to a shuffle."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= max_bytes else df

@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions import rates
+from tideline.functions.cashflow import let, mean
 from tideline.operators import ordering, selection, sequences
 from tideline.session import cut_lineage
 
@@ -122,16 +123,12 @@ def hazard_cpr_path(incentive: Column, coef: dict[str, float], start_age: Column
     """Annualised speeds for ``steps`` months at a constant incentive: an array
     built inside the row from a linear hazard index."""
     start = F.lit(start_age) if isinstance(start_age, int) else start_age
+    fixed = coef["intercept"] + coef["incentive"] * incentive + coef["age"] * start
+    return let(fixed, lambda z: F.transform(
+        F.sequence(F.lit(1), F.lit(steps)), lambda t: rates.smm_to_cpr(rates.sigmoid(z + coef["age"] * t))))
 
-    def at(t):
-        z = coef["intercept"] + coef["incentive"] * incentive + coef["age"] * (start + t)
-        return rates.smm_to_cpr(rates.sigmoid(z))
 
-    return F.transform(F.sequence(F.lit(1), F.lit(steps)), at)
-
-
-def array_mean(c: Column) -> Column:
-    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / F.size(c)
+array_mean = mean
 
 
 def coupon_forecast(

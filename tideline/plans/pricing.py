@@ -18,6 +18,13 @@ MODEL_MONTHS = 33
 TENTS = {"tent_2": "krd2", "tent_5": "krd5", "tent_10": "krd10"}
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """One task per core for fold work: the rows are few and small but each costs
+    hundreds of steps, so size-based coalescing would leave cores idle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n, *[F.col(k) for k in keys])
+
+
 def scenario(name: str, shape: str = "none", size: float = 0.0, rate_move: float = 0.0, model: bool = True,
              terminal: bool = True, form: str = "base", scale: float = 1.0) -> dict:
     """One scenario: curve bump, market-rate move, which speed segments see the
@@ -52,7 +59,7 @@ def _as_struct(s: dict) -> Column:
 
 
 def scenario_curves(month_curves: DataFrame, scenarios: list[dict], method: str = "standard") -> DataFrame:
-    """(date, scenario) rows with the scenario fields and the monthly zeros.
+    """(date, scenario) rows with the scenario fields and monthly discount factors.
 
     Scenarios that bump the curve alike share one bootstrap.
     """
@@ -61,9 +68,9 @@ def scenario_curves(month_curves: DataFrame, scenarios: list[dict], method: str
     c = month_curves.select("yyyymm", *curves.TENORS, F.explode(keys).alias("_b")).select("*", "_b.shape", "_b.size").drop("_b")
     c = curves.bumped(c, F.col("shape"), F.col("size"))
     if method == "standard":
-        c = curves.bootstrap_zeros(c).withColumn("zeros", curves.monthly_zeros())
+        c = curves.bootstrap_zeros(c).withColumn("disc", cashflow.discounts(curves.monthly_zeros()))
     elif method == "exact":
-        c = curves.bootstrap_exact(c).withColumn("zeros", curves.monthly_zeros_from_logdf())
+        c = curves.bootstrap_exact(c).withColumn("disc", cashflow.discounts(curves.monthly_zeros_from_logdf()))
     else:
         raise ValueError(method)
     by_shape = {key: F.array(*[_as_struct(s) for s in scenarios if (s["shape"], s["size"]) == key]) for key in shapes}
@@ -71,7 +78,7 @@ def scenario_curves(month_curves: DataFrame, scenarios: list[dict], method: str
     for (sh, sz), arr in by_shape.items():
         hit = (F.col("shape") == sh) & (F.col("size") == sz)
         pick = F.when(hit, arr) if pick is None else pick.when(hit, arr)
-    return c.select("yyyymm", "zeros", F.explode(pick).alias("s"))
+    return c.select("yyyymm", "disc", F.explode(pick).alias("s"))
 
 
 def terminal_speed(incentive: Column, params: dict | None = None) -> Column:
@@ -90,10 +97,10 @@ def speed_path(coef: dict[str, float], spread: float = rates.SERVICING_SPREAD, p
     own = hazard_cpr_path(im, coef)
     base = hazard_cpr_path(i0, coef)
     s0, s1 = terminal_speed(i0, params), terminal_speed(i1, params)
-    capped = lambda f: F.transform(base, lambda p: rates.clip(f(p), 0.0, 0.99))
+    graft = lambda by, f: cashflow.let(by, lambda g: F.transform(base, lambda p: rates.clip(f(p, g), 0.0, 0.99)))
     path = (
-        F.when(F.col("s.form") == "add", capped(lambda p: p + (s1 - s0)))
-        .when(F.col("s.form") == "mult", capped(lambda p: p * (s1 / F.greatest(s0, F.lit(1e-9)))))
+        F.when(F.col("s.form") == "add", graft(s1 - s0, lambda p, g: p + g))
+        .when(F.col("s.form") == "mult", graft(s1 / F.greatest(s0, F.lit(1e-9)), lambda p, g: p * g))
         .otherwise(own)
     )
     if map_mode != "off":
@@ -107,9 +114,9 @@ def scenario_prices(
 ) -> DataFrame:
     """(yyyymm, coupon, scenario, price). ``positions``: yyyymm, coupon, pmms."""
     sc = scenario_curves(month_curves, scenarios, method)
-    df = sc.join(positions, "yyyymm")
+    df = spread(sc.join(positions, "yyyymm"), "yyyymm", "coupon", "s.scenario")
     path = cashflow.flat(F.lit(frozen_cpr)) if frozen_cpr is not None else speed_path(coef, params=params, map_mode=map_mode)
-    return df.select("yyyymm", "coupon", F.col("s.scenario").alias("scenario"), cashflow.price(F.col("coupon"), path, F.col("zeros")).alias("price"))
+    return df.select("yyyymm", "coupon", F.col("s.scenario").alias("scenario"), cashflow.price(F.col("coupon"), path, F.col("disc")).alias("price"))
 
 
 def durations(prices: DataFrame, names: list[str], by: list[str] = ["yyyymm", "coupon"], base: str = "base") -> DataFrame:
@@ -142,9 +149,9 @@ def long_run_speed(month_curves: DataFrame, targets: DataFrame, rounds: int = 40
     the row (duration falls in speed). ``targets``: yyyymm, coupon, target."""
     scen = [scenario("base"), *two_sided("par", "parallel")]
     sc = scenario_curves(month_curves, scen)
-    at = lambda s: F.max(F.when(F.col("s.scenario") == s, F.col("zeros")))
+    at = lambda s: F.max(F.when(F.col("s.scenario") == s, F.col("disc")))
     z = sc.groupBy("yyyymm").agg(at("base").alias("z0"), at("par+").alias("zu"), at("par-").alias("zd"))
-    df = z.join(targets, "yyyymm")
+    df = spread(z.join(targets, "yyyymm"), "yyyymm", "coupon")
 
     def dur(c):
         p = lambda zz: cashflow.price(F.col("coupon"), cashflow.flat(c), F.col(zz))
@@ -163,18 +170,16 @@ def long_run_speed(month_curves: DataFrame, targets: DataFrame, rounds: int = 40
 
 # ---------------------------------------------------------- loans along rate paths
 
-MAX_PATHS = 10_000  # rate paths are a model parameter; more than this is refused
 
-
-def packed_paths(paths: DataFrame, treasury_gap: float) -> DataFrame:
-    """One row: distinct rate paths with their multiplicity, each as mortgage and
-    short-rate arrays. The number of distinct paths is checked."""
+def packed_paths(paths: DataFrame, treasury_gap: float, chunk: int = 256) -> DataFrame:
+    """Distinct rate paths with their multiplicity, about ``chunk`` to a row, each
+    as mortgage-rate and short-rate arrays. Any number of paths is handled."""
     arr = paths.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("t", "rate"))).alias("p"))
     distinct = arr.select(F.transform("p", lambda e: e["rate"]).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    row = distinct.agg(F.collect_list(F.struct("m", "n", F.transform("m", lambda r: r - treasury_gap).alias("r"))).alias("paths"))
-    ok = F.when(F.size("paths") <= MAX_PATHS, F.col("paths")).otherwise(
-        F.raise_error(F.lit("too many distinct rate paths")).cast(row.schema["paths"].dataType))
-    return row.select(F.array_sort(ok).alias("paths"))
+    n_chunks = distinct.agg(F.ceil(F.count(F.lit(1)) / chunk))
+    keyed = distinct.withColumn("_k", n_chunks.scalar()).withColumn("chunk_id", F.pmod(F.xxhash64("m"), F.col("_k")))
+    item = F.struct("m", "n", F.transform("m", lambda r: r - treasury_gap).alias("r"))
+    return keyed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("paths"))
 
 
 def loan_profiles(loans: DataFrame) -> DataFrame:
@@ -183,77 +188,96 @@ def loan_profiles(loans: DataFrame) -> DataFrame:
     return loans.groupBy("note_rate", "n_active").agg(F.count(F.lit(1)).alias("n_loans"), F.sum("upb").alias("upb"))
 
 
-def with_path_flows(profiles: DataFrame, paths: DataFrame, coef: dict[str, float]) -> DataFrame:
-    """Each profile with its cash flows along every distinct path (an array)."""
-    df = profiles.withColumn("_p", paths.scalar())
+def with_path_flows(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float]) -> DataFrame:
+    """(profile, chunk) rows with the cash flows along each path of the chunk."""
+    n = chunks.agg(F.max("chunk_id"))
+    df = profiles.withColumn("_n", n.scalar()).withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n"))))
+    # no hint: Spark broadcasts the chunks only when their measured size allows
+    df = df.join(chunks, "chunk_id").drop("_n", "chunk_id")
 
     def flows(p):
         hz = F.transform(p["m"], lambda r, i: rates.sigmoid(
             coef["intercept"] + coef["incentive"] * (F.col("note_rate") - r) + coef["age"] * (i + 1)))
         return F.struct(cashflow.path_cashflows(F.col("note_rate"), hz).alias("f"), p["r"].alias("r"), p["n"].alias("n"))
 
-    return df.withColumn("flows", F.transform("_p", flows)).drop("_p")
+    df = spread(df, "note_rate", "n_active")
+    return df.withColumn("flows", F.transform("paths", flows)).drop("paths")
+
 
+def _over_paths(value) -> Column:
+    """Multiplicity-weighted sum over the paths of a chunk."""
+    return F.aggregate("flows", F.lit(0.0), lambda acc, p: acc + p["n"] * value(p))
 
-def _mean_over_paths(value) -> Column:
-    total = F.aggregate("flows", F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n")),
-                        lambda acc, p: F.struct((acc["s"] + p["n"] * value(p)).alias("s"), (acc["n"] + p["n"]).alias("n")),
-                        lambda a: a["s"] / a["n"])
-    return total
 
+def _n_paths() -> Column:
+    return F.aggregate("flows", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
 
-def mc_loan_price(profiles: DataFrame, paths: DataFrame, coef: dict[str, float]) -> DataFrame:
+
+def mc_loan_price(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float]) -> DataFrame:
     """Mean and spread over paths of the price per 100, terminal balance included."""
-    df = with_path_flows(profiles, paths, coef)
-    pv = lambda p: cashflow.discounted(p["f"]["cf"], p["r"], F.lit(0.0), F.col("n_active"), p["f"]["bal"])
-    out = df.withColumn("model_price", _mean_over_paths(pv))
-    var = _mean_over_paths(lambda p: F.pow(pv(p) - F.col("model_price"), F.lit(2.0)))
-    return out.withColumn("price_std", F.sqrt(var)).drop("flows")
+    keys = profiles.columns
+    df = with_path_flows(profiles, chunks, coef)
+    # deviation from par keeps the squares small
+    dev = F.transform("flows", lambda p: F.struct(p["n"].alias("n"), (cashflow.discounted(
+        p["f"]["cf"], p["r"], F.lit(0.0), F.col("n_active"), p["f"]["bal"]) - 100).alias("v")))
+    df = df.select(*keys, dev.alias("flows"))
+    df = df.select(*keys, _over_paths(lambda p: p["v"]).alias("_s"), _over_paths(lambda p: p["v"] * p["v"]).alias("_q"), _n_paths().alias("_n"))
+    mean = F.sum("_s") / F.sum("_n")
+    return df.groupBy(*keys).agg(
+        (100 + mean).alias("model_price"), F.sqrt(F.greatest(F.sum("_q") / F.sum("_n") - mean * mean, F.lit(0.0))).alias("price_std"))
 
 
 def _price_at(spread: Column) -> Column:
-    return _mean_over_paths(lambda p: cashflow.discounted(p["f"]["cf"], p["r"], spread, F.col("n_active")))
+    return _over_paths(lambda p: cashflow.discounted(p["f"]["cf"], p["r"], spread, F.col("n_active")))
 
 
-# fixed values: search range and tolerance in basis points
-OAS_LO, OAS_HI, OAS_ROUNDS = -500.0, 2000.0, 15
+# fixed values: search range in basis points
+OAS_LO, OAS_HI = -500.0, 2000.0
 
 
-def oas_solve(profiles: DataFrame, paths: DataFrame, coef: dict[str, float], market: str) -> DataFrame:
-    """Spread at which the mean path value equals the market price, per profile:
-    bisection to under 0.1 bp; out-of-bracket prices are flagged at the bound."""
-    df = with_path_flows(profiles, paths, coef)
-    df = df.withColumn("p_lo", _price_at(F.lit(OAS_LO))).withColumn("p_hi", _price_at(F.lit(OAS_HI)))
-    start = F.struct(F.lit(OAS_LO).alias("lo"), F.lit(OAS_HI).alias("hi"))
+def _oas_curve(rows: DataFrame, chunks: DataFrame, coef: dict[str, float], keys: list[str], weigh: bool, points: int) -> DataFrame:
+    """Mean price on ``points`` spreads between each row's lo and hi, per key."""
+    df = with_path_flows(rows, chunks, coef)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(float(points - 1)))
+    g = df.withColumn("spread", F.explode(steps))
+    w = F.col("upb") if weigh else F.lit(1.0)
+    return g.select(*keys, "spread", (w * _price_at(F.col("spread"))).alias("_s"), (w * _n_paths()).alias("_w")).groupBy(*keys, "spread").agg(
+        (F.sum("_s") / F.sum("_w")).alias("p"))
 
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        up = _price_at(mid) > F.col(market)
-        return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(OAS_ROUNDS)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
-    out = F.when(F.col(market) > F.col("p_lo"), F.lit(OAS_LO)).when(F.col(market) < F.col("p_hi"), F.lit(OAS_HI)).otherwise(solved)
-    inside = (F.col(market) <= F.col("p_lo")) & (F.col(market) >= F.col("p_hi"))
-    return df.withColumn("oas_bp", out).withColumn("converged", inside).drop("flows", "p_lo", "p_hi")
+def _bracket(curve: DataFrame, keys: list[str], market: Column) -> DataFrame:
+    above = F.col("p") >= market
+    out = curve.groupBy(*keys).agg(
+        F.max(F.when(above, F.struct("spread", "p"))).alias("a"), F.min(F.when(~above, F.struct("spread", "p"))).alias("b"))
+    # outside the range one side is missing: stay at the bound and flag it
+    return out.select(
+        *keys, F.coalesce("a.spread", "b.spread").alias("lo"), F.coalesce("b.spread", "a.spread").alias("hi"),
+        F.col("a.p").alias("p_lo"), F.col("b.p").alias("p_hi"))
+
+
+def _interpolate(market: Column) -> Column:
+    return F.coalesce(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("p_lo") - market) / (F.col("p_lo") - F.col("p_hi")), F.col("lo"))
+
+
+def oas_solve(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], market: str, passes: int = 4, points: int = 11) -> DataFrame:
+    """Spread at which the mean path value equals the market price, per profile:
+    a spread grid that zooms into its bracket (to 0.25 bp, then a straight line).
+    Prices beyond the search range are flagged at the bound."""
+    keys = profiles.columns
+    rows = profiles.withColumn("lo", F.lit(OAS_LO)).withColumn("hi", F.lit(OAS_HI))
+    for _ in range(passes):
+        rows = _bracket(_oas_curve(rows, chunks, coef, keys, False, points), keys, F.col(market))
+    found = F.col("p_lo").isNotNull() & F.col("p_hi").isNotNull()
+    return rows.select(*keys, _interpolate(F.col(market)).alias("oas_bp"), found.alias("converged"))
 
 
-def pool_oas(profiles: DataFrame, paths: DataFrame, coef: dict[str, float], market_price: float, passes: int = 3, points: int = 26) -> DataFrame:
-    """Pool spread from balance-weighted prices on a spread grid, zooming into the
-    bracket; every pass is one aggregate over the profiles."""
-    df = with_path_flows(profiles, paths, coef)
-    lo, hi = F.lit(OAS_LO), F.lit(OAS_HI)
+def pool_oas(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], market_price: float, passes: int = 4, points: int = 11) -> DataFrame:
+    """Pool spread from balance-weighted prices, by the same zooming grid; every
+    pass is one aggregate over (profile, chunk) rows."""
+    rows = profiles.withColumn("lo", F.lit(OAS_LO)).withColumn("hi", F.lit(OAS_HI))
     bracket = None
     for _ in range(passes):
-        base = df if bracket is None else df.withColumn("_b", bracket.scalar())
-        if bracket is not None:
-            lo, hi = F.col("_b.lo"), F.col("_b.hi")
-        steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + (hi - lo) * i / F.lit(float(points - 1)))
-        g = base.withColumn("spread", F.explode(steps)).withColumn("p", _price_at(F.col("spread")))
-        curve = g.groupBy("spread").agg((F.sum(F.col("upb") * F.col("p")) / F.sum("upb")).alias("p"))
-        above = F.col("p") >= market_price
-        bracket = curve.agg(
-            F.max(F.when(above, F.struct("spread", "p"))).alias("a"), F.min(F.when(~above, F.struct("spread", "p"))).alias("b"),
-        ).select(F.struct(F.col("a.spread").alias("lo"), F.col("a.p").alias("p_lo"), F.col("b.spread").alias("hi"), F.col("b.p").alias("p_hi")).alias("s"))
-    s = lambda c: F.col(f"s.{c}")
-    oas = s("lo") + (s("hi") - s("lo")) * (s("p_lo") - market_price) / (s("p_lo") - s("p_hi"))
-    return bracket.select(oas.alias("pool_oas_bp"))
+        bracket = _bracket(_oas_curve(rows, chunks, coef, [], True, points), [], F.lit(market_price))
+        rows = profiles.withColumn("_b", bracket.select(F.struct("lo", "hi")).scalar()).select(*profiles.columns, "_b.lo", "_b.hi")
+    return bracket.select(_interpolate(F.lit(market_price)).alias("pool_oas_bp"))
