@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,3 +60,8 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one for the files of a single run."""
+    return f"{shared_dir(spark)}/runs/{name}-{uuid.uuid4().hex[:12]}"
