@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions import rates
 from tideline.functions.hashing import unit_hash
+from tideline.session import cut_lineage
 
 
 def _bucketed(counts: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -23,7 +24,9 @@ def _bucketed(counts: DataFrame, value: str, buckets: int) -> DataFrame:
     cuts = counts.agg(F.percentile_approx(value, probs, 10000).alias("cuts"))
     return (
         counts.withColumn("_cuts", cuts.scalar())
-        .withColumn("_bk", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+        # never NULL, so the later join adds no null test that would push this
+        # expression down below the counting step
+        .withColumn("_bk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)))
         .drop("_cuts")
     )
 
@@ -32,7 +35,13 @@ def running_totals(
     counts: DataFrame, value: str, sums: list[str], group: list[str] = [], buckets: int = 64
 ) -> DataFrame:
     """For rows unique in (group, value): for every column s in ``sums`` add
-    ``s_before`` (total over smaller values) and ``s_total`` (group total)."""
+    ``s_before`` (total over smaller values) and ``s_total`` (group total).
+
+    The counts are read for the cut points, the bucket totals and the result, so
+    they are checkpointed: what they came from (often the whole panel) is
+    computed once.
+    """
+    counts = cut_lineage(counts)
     cut = _bucketed(counts, value, buckets)
     per_bucket = cut.groupBy(*group, "_bk").agg(*[F.sum(s).alias(f"_{s}_bk") for s in sums])
     earlier = W.partitionBy(*group).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
@@ -88,7 +97,7 @@ def hash_rank(
     holds a third of all rows is still ranked by ``buckets`` tasks.
     """
     h = df.withColumn("_h", unit_hash(id_col, seed)).withColumn(
-        "_bk", F.floor(F.col("_h") * buckets).cast("int")
+        "_bk", F.coalesce(F.floor(F.col("_h") * buckets).cast("int"), F.lit(0))
     )
     sizes = h.groupBy(*within, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*within).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
