@@ -256,7 +256,15 @@ def scaled_scenarios():
     return out
 
 
-@query("K9_terminal_scale_sweep")
+K9NAMES = [f"{k}|{n}" for k in SCALES for n in ("krd5", "krd10")]
+K9P = f"""{HP7.split(", mz AS")[0]}, {ME}, {POS}, {{px}}, pq AS (SELECT yyyymm, coupon, split_part(scenario, '|', 1)::DOUBLE AS scale, split_part(scenario, '|', 2) AS sn, p FROM px),
+k9 AS MATERIALIZED (SELECT scale, yyyymm, coupon, (max(p) FILTER (sn = 'krd5-') - max(p) FILTER (sn = 'krd5+'))/(2*max(p) FILTER (sn = 'base')*0.0025) AS krd5, (max(p) FILTER (sn = 'krd10-') - max(p) FILTER (sn = 'krd10+'))/(2*max(p) FILTER (sn = 'base')*0.0025) AS krd10 FROM pq GROUP BY 1, 2, 3),
+r9 AS (SELECT coupon, yyyymm, mi, info_ym, (price + coupon/12 - pp)/pp AS total_return FROM (SELECT *, lag(price) OVER (PARTITION BY coupon ORDER BY mi) AS pp, lag(yyyymm) OVER (PARTITION BY coupon ORDER BY mi) AS info_ym FROM f_price) WHERE pp IS NOT NULL),
+h9 AS MATERIALIZED (SELECT k9.scale, r9.coupon, krd5 + krd10 AS dl, cb.d_level, cb.d_slope, total_return - income + ((krd5+krd10)*cb.d_level + (krd10-krd5)/2*cb.d_slope)/100 AS hedged FROM r9 JOIN k9 ON k9.coupon = r9.coupon AND k9.yyyymm = r9.info_ym JOIN cb ON cb.yyyymm = r9.yyyymm WHERE cb.d_level IS NOT NULL)
+SELECT f.scale, f.coupon, n, {R("t_d_level", 3)} AS t_d_level, {R("t_d_slope", 3)} AS t_d_slope, {R("m.dl", 3)} AS dur_level FROM {ols_sql("h9", "hedged", ["d_level", "d_slope"], "scale, coupon")} f JOIN (SELECT scale, coupon, avg(dl) AS dl FROM h9 GROUP BY 1, 2) m ON m.scale = f.scale AND m.coupon = f.coupon"""
+
+
+@query("K9_terminal_scale_sweep", V, K9P.replace("{px}", priced_sql(scaled_scenarios())))
 def _(fx):
     """Terminal speed scaled by six factors; durations and hedge verification."""
     px = sc_prices(fx, scaled_scenarios())
@@ -357,20 +365,57 @@ def _(fx):
     return rnd(out.select("note_rate", "n_active", "n_loans", "model_price", "price_std"), 6, price_std=5)
 
 
-@query("K14_oas_solve")
+def mean_price_sql(note: str, active: str, spread: str) -> str:
+    """Mean over the listed paths ``ps`` (with counts) of the flows' value."""
+    n = f"({note}/1200)"
+    pmt = f"(100*{n}/(1-pow(1+{n}, -360)))"
+    hz = f"(1/(1+exp(-(-5.2 + 0.9*({note} - p.m[t]) + 0.02*t))))"
+    pr = f"least({pmt} - a.bal*{n}, a.bal)"
+    d = f"(a.d*(1 + ((p.m[t]-1.7)/100 + ({spread})/10000)/12))"
+    fold = f"list_reduce(range(1, 34), lambda a, t: struct_pack(bal := greatest(a.bal - {pr} - a.bal*{hz}, 0), d := {d}, pv := a.pv + CASE WHEN t <= {active} THEN (a.bal*{n} + {pr} + a.bal*{hz})/{d} ELSE 0 END), struct_pack(bal := 100.0::DOUBLE, d := 1.0::DOUBLE, pv := 0.0::DOUBLE))"
+    return f"(list_sum(list_transform(ps, lambda p: p.n*({fold}).pv))/tot)"
+
+
+ALLP = f"{PATHS}, al AS MATERIALIZED (SELECT list(struct_pack(m := m, n := n)) AS ps, sum(n) AS tot FROM pa)"
+
+
+def solve_sql(price: str, market: str) -> str:
+    """50 bisections of a price that falls in the spread; ``price`` uses MID."""
+    mid = "((b.lo+b.hi)/2)"
+    return f"list_reduce(range(1, 51), lambda b, i: CASE WHEN {price.replace('MID', mid)} > {market} THEN struct_pack(lo := {mid}, hi := b.hi) ELSE struct_pack(lo := b.lo, hi := {mid}) END, struct_pack(lo := -500.0::DOUBLE, hi := 2000.0::DOUBLE)).lo"
+
+
+OAS_P = lambda s: mean_price_sql("note_rate", "n_active", s)
+
+
+@query("K14_oas_solve", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT pf.*, 40.0 + 2.0*note_rate AS market, ps, tot FROM pf, al), e AS MATERIALIZED (SELECT *, {OAS_P("-500.0")} AS p0, {OAS_P("2000.0")} AS p1 FROM q)
+SELECT note_rate, n_active, n_loans, {R(f"CASE WHEN market > p0 THEN -500 WHEN market < p1 THEN 2000 ELSE {solve_sql(OAS_P('MID'), 'market')} END", 2)} AS oas_bp, market <= p0 AND market >= p1 AS converged FROM e""")
 def _(fx):
     """Spread of every profile at a market price rising with the note rate."""
     pr = profiles(fx).withColumn("market", 40.0 + 2.0 * F.col("note_rate"))
     out = pricing.oas_solve(pr, pricing.packed_paths(fx.path, GAP), HAZARD, "market")
-    return rnd(out.select("note_rate", "n_active", "n_loans", "oas_bp", "converged"), 3)
+    return rnd(out.select("note_rate", "n_active", "n_loans", "oas_bp", "converged"), 2)
 
 
-@query("K14b_pool_oas")
+POOL_P = f"(list_sum(list_transform(fs, lambda f: f.u*{mean_price_sql('f.r', 'f.k', 'MID')}))/ut)"
+
+
+@query("K14b_pool_oas", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT list(struct_pack(r := note_rate, k := n_active, u := upb)) AS fs, sum(upb) AS ut, any_value(ps) AS ps, any_value(tot) AS tot FROM pf, al) SELECT {R(solve_sql(POOL_P, "50.0"), 2)} AS pool_oas_bp FROM q""")
 def _(fx):
-    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD, 50.0), 3)
+    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD, 50.0), 2)
+
+
+def flat_price_sql(cpr: str, zs: str) -> str:
+    return price_sql("coupon", "FLAT", zs).replace("FLAT[m]", cpr).replace("acc", "g")
+
 
+PMID = "((b.lo+b.hi)/2)"
+K15D = f"(({flat_price_sql(PMID, 'zd')} - {flat_price_sql(PMID, 'zu')})/(2*{flat_price_sql(PMID, 'z0')}*0.0025))"
 
-@query("K15_long_run_cpr_needed")
+
+@query("K15_long_run_cpr_needed", V, f"""WITH {ME}, {POS}, {scen_sql([pricing.scenario("base"), *pricing.two_sided("par", "parallel")])}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv), zc AS MATERIALIZED ({zeros_sql("cv", "yyyymm, scenario")}),
+j AS MATERIALIZED (SELECT ps.yyyymm, ps.coupon, 7.0 - ps.coupon/2 AS target, a.zs AS z0, u.zs AS zu, d.zs AS zd FROM ps JOIN zc a ON a.yyyymm = ps.yyyymm AND a.scenario = 'base' JOIN zc u ON u.yyyymm = ps.yyyymm AND u.scenario = 'par+' JOIN zc d ON d.yyyymm = ps.yyyymm AND d.scenario = 'par-')
+SELECT yyyymm, coupon, target, {R("(s.lo+s.hi)/2", 5)} AS flat_cpr FROM (SELECT *, list_reduce(range(1, 21), lambda b, i: CASE WHEN {K15D} > target THEN struct_pack(lo := {PMID}, hi := b.hi) ELSE struct_pack(lo := b.lo, hi := {PMID}) END, struct_pack(lo := 0.001::DOUBLE, hi := 0.60::DOUBLE)) AS s FROM j)""")
 def _(fx):
     """Flat speed that reproduces a duration falling with the coupon."""
     targets = positions(fx).select("yyyymm", "coupon", (F.lit(7.0) - F.col("coupon") / 2).alias("target"))
@@ -382,7 +427,48 @@ def repricing(df, zeros, name):
     return F.greatest(*err).alias(name)
 
 
-@query("K16_curve_checks")
+BILLS = {"simple": "ln(1 + {r}*{t})", "discount": "-ln(1 - {r}*{t}*360.0/365.0)", "bond_equivalent": "2*ln(1 + {r}/2)*{t}", "continuous": "{r}*{t}"}
+
+
+def xs_to_zs(q: str) -> str:
+    """Add the 360-month list of zeros from integrated zeros x_<tenor>."""
+    case = f"CASE WHEN m <= 1 THEN x_m1*m " + " ".join(f"WHEN m <= {MON[i + 1]} THEN x_{TEN[i]} + (x_{TEN[i + 1]} - x_{TEN[i]})*(m - {MON[i]})/{MON[i + 1] - MON[i]}.0" for i in range(10)) + " END"
+    return f"SELECT *, list_transform(range(1, 361), lambda m: ({case})/m*1200) AS zs FROM ({q})"
+
+
+def logdf_sql(rel: str, keys: str) -> str:
+    q = f"SELECT {keys}, {', '.join(TEN)}, " + ", ".join(f"ln(1 + {t}/100)*{y!r} AS x_{t}" for t, y in zip(TEN[:4], curves.YEARS)) + f" FROM {rel}"
+    for i in range(4, len(TEN)):
+        nodes = [(0.0, "0.0")] + [(curves.YEARS[j], f"x_{TEN[j]}") for j in range(i)]
+
+        def at(t):
+            for (ta, xa), (tb, xb) in zip(nodes, nodes[1:]):
+                if t <= tb:
+                    return f"({xa} + ({xb}-{xa})*{(t - ta) / (tb - ta)!r})"
+            (ta, xa), (tb, xb) = nodes[-2:]
+            return f"({xb} + ({xb}-{xa})*{(t - tb) / (tb - ta)!r})"
+
+        pv = " + ".join(f"exp(-{at(s / 2)})" for s in range(1, curves.YEARS[i] * 2))
+        q = f"SELECT *, -ln((1 - {TEN[i]}/200*({pv}))/(1 + {TEN[i]}/200)) AS x_{TEN[i]} FROM ({q})"
+    return q
+
+
+def reprice_sql() -> str:
+    errs = []
+    for t, y in zip(TEN, curves.YEARS):
+        if y >= 1:
+            pv = f"list_sum(list_transform(range(1, {y * 2 + 1}), lambda h: exp(-zs[h*6]/100*h/2)))"
+            errs.append(f"abs({t}/2*{pv} + 100*exp(-zs[{y * 12}]/100*{y}) - 100)")
+    return f"greatest({', '.join(errs)})"
+
+
+KINK = "abs(((zs[8]*8 - zs[7]*7) - (zs[6]*6 - zs[5]*5))/1200*120000)"
+K16 = [f"a AS (SELECT yyyymm, {reprice_sql()} AS err_standard FROM ({zeros_sql('mz', 'yyyymm')}))", f"b AS (SELECT yyyymm, {reprice_sql()} AS err_logdf FROM ({xs_to_zs(logdf_sql('mz', 'yyyymm'))}))"]
+K16 += [f"c{i} AS (SELECT yyyymm, {KINK} AS kink_{n}{', ' + reprice_sql() + ' AS err_exact' if n == 'simple' else ''} FROM ({xs_to_zs(exact_sql('mz', 'yyyymm', b))}))" for i, (n, b) in enumerate(BILLS.items())]
+
+
+@query("K16_curve_checks", "f_curve_daily", f"""WITH {ME}, {", ".join(K16)} SELECT yyyymm, {R("err_standard")} AS err_standard, {R("err_logdf")} AS err_logdf, {R("err_exact")} AS err_exact, {", ".join(f"{R('kink_' + n, 4)} AS kink_{n}" for n in BILLS)}
+FROM a JOIN b USING (yyyymm) {" ".join(f"JOIN c{i} USING (yyyymm)" for i in range(4))}""")
 def _(fx):
     """Par repricing error of three bootstraps and the forward kink at the bill
     and bond boundary under four bill conventions, per month-end curve."""
@@ -398,13 +484,20 @@ def _(fx):
         if conv == "simple":
             cols.append(repricing(None, "zs", "err_exact"))
         out = out.join(z.select("yyyymm", *cols), "yyyymm")
-    return rnd(out, 6)
+    return rnd(out, 6, **{f"kink_{n}": 4 for n in BILLS})
 
 
 PAR = [pricing.scenario("base"), *pricing.two_sided("par", "parallel")]
 
 
-@query("K17_curve_method_impact")
+K17 = f"""WITH {ME}, {POS}, {scen_sql(PAR)}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv),
+zz AS MATERIALIZED (SELECT 'a' AS m_, yyyymm, scenario, zs FROM ({zeros_sql("cv", "yyyymm, scenario")}) UNION ALL SELECT 'b', yyyymm, scenario, zs FROM ({xs_to_zs(exact_sql("cv", "yyyymm, scenario"))})),
+fl AS MATERIALIZED (SELECT m_, zz.yyyymm, scenario, coupon, list_transform(range(1, 361), lambda q: 0.12) AS cl, zs FROM zz JOIN ps USING (yyyymm)), px AS (SELECT m_, yyyymm, coupon, scenario, {price_sql("coupon", "cl", "zs")} AS p FROM fl),
+d AS (SELECT m_, yyyymm, coupon, (max(p) FILTER (scenario = 'par-') - max(p) FILTER (scenario = 'par+'))/(2*max(p) FILTER (scenario = 'base')*0.0025) AS du FROM px GROUP BY 1, 2, 3), r AS (SELECT a.coupon, b.du/a.du AS q FROM d a JOIN d b ON a.yyyymm = b.yyyymm AND a.coupon = b.coupon WHERE a.m_ = 'a' AND b.m_ = 'b')
+SELECT coupon, {R("avg(q)")} AS mean_ratio, {R("min(q)")} AS min_ratio, {R("max(q)")} AS max_ratio, count(*) AS n FROM r GROUP BY 1"""
+
+
+@query("K17_curve_method_impact", V, K17)
 def _(fx):
     """Duration ratio of two bootstraps at a frozen speed, by coupon."""
     d = lambda m: pricing.durations(sc_prices(fx, PAR, method=m, frozen_cpr=0.12), ["par"])

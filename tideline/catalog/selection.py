@@ -304,8 +304,8 @@ def _(fx):
 
 @query("I1_sort_panel", "f_loan", "SELECT loan_id, yyyymm, upb FROM f_loan ORDER BY loan_id, yyyymm")
 def _(fx):
-    """Loan order inside each partition: what per-loan work needs, no global sort."""
-    return fx.loan.select("loan_id", "yyyymm", "upb").repartition("loan_id").sortWithinPartitions("loan_id", "yyyymm")
+    """Range-partitioned sort, so a hot loan is split over tasks by month."""
+    return fx.loan.select("loan_id", "yyyymm", "upb").orderBy("loan_id", "yyyymm")
 
 
 @query("I2_ordered_bins", "f_loan f_market_rate", """

@@ -23,7 +23,7 @@ def raw_panel(fx):
 
 def write_raw(fx, name: str) -> str:
     folder = run_dir(fx.spark, name)
-    vintages.raw_fields(raw_panel(fx)).repartition("vintage").write.partitionBy("vintage").option("sep", "|").csv(folder)
+    vintages.raw_fields(raw_panel(fx)).write.partitionBy("vintage").option("sep", "|").csv(folder)
     return folder
 
 
@@ -168,13 +168,13 @@ def _(fx):
 
 @query("L1_stream_vintages", "f_loan", f"WITH {STATE}, {WEIGHT} " + speeds_sql(""))
 def _(fx):
-    """Four files in time order stream in one per batch (a loan's later months
-    come in later files); the merged cube equals the batch result."""
+    """Four deliveries in time order stream in, a few files per batch (a loan's
+    later months come in later files); the merged cube equals the batch result."""
     inbox, state = run_dir(fx.spark, "inbox"), run_dir(fx.spark, "cube")
     bounds = [0, 199612, 199806, 200001, 999912]
     for lo, hi in zip(bounds, bounds[1:]):
         part = raw_panel(fx).filter((F.col("yyyymm") > lo) & (F.col("yyyymm") <= hi)).drop("vintage")
-        vintages.raw_fields(part).coalesce(1).write.mode("append").option("sep", "|").csv(inbox)
-    stream = vintages.stream_vintages(fx.spark, inbox, 1, ["loan_id", "mmyyyy", "note_rate", "upb"])
+        vintages.raw_fields(part).write.mode("append").option("sep", "|").csv(inbox)
+    stream = vintages.stream_vintages(fx.spark, inbox, 4, ["loan_id", "mmyyyy", "note_rate", "upb"])
     cube.run_available(stream, state)
     return tidy(cube.cube(fx.spark, state))

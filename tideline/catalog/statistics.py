@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tideline.catalog.olssql import ols_sql
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import RET, excess
-from tideline.catalog.survival import FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
+from tideline.catalog.survival import AGE, FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
 from tideline.functions import rates
 from tideline.operators import joins, ordering, regression, scoring, selection, series, survival
 from tideline.plans import factors, mapping, scurve
@@ -233,7 +233,41 @@ def _(fx):
     return rnd(t.join(c, "spec"), 5)
 
 
-@query("G10_mapping_spec_search")
+def wls_asof_sql(name: str, y: str, xs: dict[str, str], bucket: str = "") -> str:
+    """Weighted fit on months before each month less one, by cofactors of the
+    centred cross-products; ``bucket`` adds a key."""
+    from tideline.catalog.olssql import det, inverse
+
+    ns = list(xs)
+    key = f", {bucket}" if bucket else ""
+    raw = ["sum(w) AS sw", "count(*) AS cells", f"sum(w*({y})) AS sy"] + [f"sum(w*({e})) AS s_{n}" for n, e in xs.items()] + [f"sum(w*({e})*({y})) AS p_{n}" for n, e in xs.items()]
+    raw += [f"sum(w*({xs[a]})*({xs[b]})) AS p_{a}_{b}" for i, a in enumerate(ns) for b in ns[i:]]
+    src = f"(SELECT mc.*, h.tm FROM (SELECT DISTINCT mi AS tm FROM mc) h JOIN mc ON mc.mi < h.tm - 1)"
+    mat = [[f"(p_{ns[min(i, j)]}_{ns[max(i, j)]} - s_{ns[i]}*s_{ns[j]}/sw)" for j in range(len(ns))] for i in range(len(ns))]
+    inv = inverse(mat)
+    bs = ", ".join("(" + " + ".join(f"{inv[i][j]}*(p_{n2} - s_{n2}*sy/sw)" for j, n2 in enumerate(ns)) + f") AS b_{n}" for i, n in enumerate(ns))
+    b0 = "(sy - (" + " + ".join(f"b_{n}*s_{n}" for n in ns) + "))/sw AS b0"
+    return f"{name} AS MATERIALIZED (SELECT tm AS mi, cells, b0, {', '.join('b_' + n for n in ns)}{key} FROM (SELECT *, {b0} FROM (SELECT *, {bs} FROM (SELECT *, {det(mat)} AS dt FROM (SELECT tm{key}, {', '.join(raw)} FROM {src} GROUP BY tm{key})))))"
+
+
+XS = lambda t: {"t": t, "inc": "inc", "inc2": "inc*inc", "inc_t": f"inc*{t}"}
+G10T = {"log": ("gx", "gy", "exp({0})"), "logit": ("lx", "ly", "1/(1+exp(-({0})))")}
+G10F, G10R = [], ["SELECT 'identity' AS spec, mc.*, forecast_cpr AS raw FROM mc"]
+for _s, (_f, _n) in mapping.SMOOTH.items():
+    _x, _y, _b = G10T[_f]
+    G10F.append(wls_asof_sql("f_" + _s, _y, {k: v for k, v in XS(_x).items() if k in _n}))
+    G10R.append(f"SELECT '{_s}', mc.*, " + _b.format(" + ".join(["b0"] + [f"b_{k}*({XS('mc.' + _x)[k].replace('inc', 'mc.inc')})" for k in _n])) + f" FROM mc JOIN f_{_s} USING (mi)")
+for _s, _f in mapping.BUCKETED.items():
+    _x, _y, _b = G10T[_f]
+    G10F.append(wls_asof_sql("o_" + _s, _y, {"t": _x}, "bk"))
+    _p = "loglog" if _f == "log" else "logit"
+    G10R.append(f"SELECT '{_s}', mc.*, " + _b.format(f"CASE WHEN o.cells >= 20 AND o.b_t IS NOT NULL THEN o.b0 + o.b_t*mc.{_x} ELSE p.b0 + p.b_t*mc.{_x} END") + f" FROM mc JOIN f_{_p} p USING (mi) LEFT JOIN o_{_s} o ON o.mi = mc.mi AND o.bk = mc.bk")
+MCB = MAPCELL.replace("upb_atrisk/1e6 AS w FROM fr", "upb_atrisk/1e6 AS w, CASE WHEN inc <= -2.5 THEN 0 WHEN inc <= -1.5 THEN 1 WHEN inc <= -0.5 THEN 2 WHEN inc <= 0.5 THEN 3 WHEN inc <= 1.5 THEN 4 ELSE 5 END AS bk FROM fr")
+
+
+@query("G10_mapping_spec_search", "f_loan f_forecast", f"""{MCB}, {", ".join(G10F)}, sm AS (SELECT h.tm AS mi FROM (SELECT DISTINCT mi AS tm FROM mc) h JOIN mc ON mc.mi < h.tm - 1 GROUP BY 1 HAVING count(DISTINCT mc.mi) >= 24),
+al AS MATERIALIZED ({" UNION ALL ".join(G10R)}), oo AS (SELECT *, least(greatest(raw, 1e-6), 1-1e-6) AS mapped FROM al WHERE mi IN (SELECT mi FROM sm))
+SELECT spec, count(*) AS n, {R("sqrt(sum(w*pow(ln(cpr_upb)-ln(mapped),2))/sum(w))", 5)} AS log_rmse, {R("sum(w*abs(ln(cpr_upb)-ln(mapped)))/sum(w)", 5)} AS log_mae, {R("sum(w*abs(mapped-cpr_upb))/sum(w)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1""")
 def _(fx):
     """All eleven specifications out of sample, ranked by weighted log error."""
     oos = mapping.search(mapping_cells(fx), min_months=24)
@@ -254,7 +288,12 @@ def _(fx):
     return rnd(out.select(F.col("yyyymm").alias("win_end"), "b_dy2", "t_dy2"), 6, t_dy2=5)
 
 
-@query("G11b_condition_number")
+EIG = """WITH_, s AS (SELECT a.yyyymm, a.rn, sum(b.dy2*b.dy2) AS s11, sum(b.dy5*b.dy5) AS s22, sum(b.dy10*b.dy10) AS s33, sum(b.dy2*b.dy5) AS s12, sum(b.dy2*b.dy10) AS s13, sum(b.dy5*b.dy10) AS s23 FROM dn a JOIN dn b ON b.rn BETWEEN a.rn-23 AND a.rn WHERE a.rn >= 24 AND (a.rn-24) % 3 = 0 GROUP BY 1, 2),
+c AS (SELECT *, s11+s22+s33 AS tr, s11*s22+s11*s33+s22*s33-s12*s12-s13*s13-s23*s23 AS m2, s11*(s22*s33-s23*s23)-s12*(s12*s33-s23*s13)+s13*(s12*s23-s22*s13) AS dt FROM s),
+nt AS (SELECT *, list_reduce(range(1, 61), lambda x, i: x - (x*x*x - tr*x*x + m2*x - dt)/(3*x*x - 2*tr*x + m2), tr::DOUBLE) AS hi, list_reduce(range(1, 61), lambda x, i: x - (x*x*x - tr*x*x + m2*x - dt)/(3*x*x - 2*tr*x + m2), 0.0::DOUBLE) AS lo FROM c)"""
+
+
+@query("G11b_condition_number", "f_curve_daily f_market_rate", f"{DPM}, dn AS (SELECT *, row_number() OVER (ORDER BY mi) AS rn FROM dm){EIG.replace('WITH_', '')} SELECT yyyymm, {R('sqrt(hi/lo)', 5)} AS cond FROM nt")
 def _(fx):
     from tideline.plans.rates_study import rolling_pass_through
 
@@ -499,7 +538,13 @@ def seasoned_cells(fx):
     return up.join(F.broadcast(m.select("yyyymm", "mi", "rate_30yr")), "yyyymm").withColumn("inc", F.col("coupon") + 0.5 - F.col("rate_30yr"))
 
 
-@query("G28c_scurve_pinned_seasoned")
+SEAS = f"""sw AS (SELECT cb, yyyymm, sum(CASE WHEN is_pay THEN wt ELSE 0 END)/sum(wt) AS smm FROM (SELECT *, CASE WHEN ({AGE}) < 0 THEN -1 WHEN ({AGE}) < 60 THEN 0 WHEN ({AGE}) < 120 THEN 60 ELSE 120 END AS ag FROM w) WHERE ag >= 60 AND (is_act OR is_pay) AND wt IS NOT NULL AND wt >= 0 GROUP BY 1, 2 HAVING sum(wt) > 0),
+sd AS (SELECT m.mi, 1-pow(1-smm, 12) AS c FROM sw JOIN f_market_rate m USING (yyyymm) WHERE round(cb-0.5, 2)+0.5-m.rate_30yr <= -0.5),
+fp AS (SELECT a.mi, avg(sd.c) AS fl, count(*) AS n_deep FROM (SELECT DISTINCT mi FROM bd) a JOIN sd ON sd.mi < a.mi GROUP BY 1 HAVING count(*) >= 3),
+bh AS (SELECT a.mi, a.fl, a.n_deep, b.cx, b.cy FROM fp a JOIN bd b ON b.mi < a.mi)"""
+
+
+@query("G28c_scurve_pinned_seasoned", "f_loan f_forecast f_market_rate", f"""{FVR}, {BAND}, {SEAS}, {scurve_sql("bh", "mi, fl, n_deep", "fl").replace("SELECT mi, fl, n_deep, n, k", "SELECT mi, n_deep, n, k")}""")
 def _(fx):
     """Floor pinned at the seasoned speed in deep discounts before each month."""
     out = scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="pinned-seasoned", seasoned=seasoned_cells(fx), deep=-0.5, min_deep=3)
