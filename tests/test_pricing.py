@@ -58,13 +58,13 @@ def test_bootstrap_equals_the_loop(spark):
 
 def test_exact_bootstrap_reprices_par_bonds(spark):
     z = curves.bootstrap_exact(curve_frame(spark)).withColumn("zs", curves.monthly_zeros_from_logdf())
-    z = z.select("name", *[curves.par_bond_price("zs", t, F.col(n)).alias(n) for n, t in zip(curves.TENORS, curves.YEARS) if t >= 1])
+    z = z.select("name", *[curves.par_bond_price("zs", t, n).alias(n) for n, t in zip(curves.TENORS, curves.YEARS) if t >= 1])
     for r in z.collect():
         assert all(abs(r[n] - 100) < 1e-6 for n in curves.TENORS[3:])
 
 
 def test_bumped_near_zero_curve_still_solves(spark):
-    down = curves.bumped(curve_frame(spark).filter("name = 'near_zero'"), "parallel", F.lit(-0.25))
+    down = curves.bumped(curve_frame(spark).filter("name = 'near_zero'"), "parallel", -0.25)
     r = curves.bootstrap_zeros(down).select(curves.monthly_zeros().alias("z")).first()
     assert len(r.z) == 360 and all(v is not None and v < 0 for v in r.z)
 

@@ -388,11 +388,13 @@ def solve_sql(price: str, market: str) -> str:
 OAS_P = lambda s: mean_price_sql("note_rate", "n_active", s)
 
 
-@query("K14_oas_solve", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT pf.*, 40.0 + 2.0*note_rate AS market, ps, tot FROM pf, al), e AS MATERIALIZED (SELECT *, {OAS_P("-500.0")} AS p0, {OAS_P("2000.0")} AS p1 FROM q)
+@query("K14_oas_solve", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT pf.*, 0.99*n_active*(100*(note_rate/1200)/(1-pow(1+note_rate/1200, -360)) + 100/(1+exp(-(note_rate*0.9-9.0)))) AS market, ps, tot FROM pf, al), e AS MATERIALIZED (SELECT *, {OAS_P("-500.0")} AS p0, {OAS_P("2000.0")} AS p1 FROM q)
 SELECT note_rate, n_active, n_loans, {R(f"CASE WHEN market > p0 THEN -500 WHEN market < p1 THEN 2000 ELSE {solve_sql(OAS_P('MID'), 'market')} END", 2)} AS oas_bp, market <= p0 AND market >= p1 AS converged FROM e""")
 def _(fx):
-    """Spread of every profile at a market price rising with the note rate."""
-    pr = profiles(fx).withColumn("market", 40.0 + 2.0 * F.col("note_rate"))
+    """Spread of every profile at 99 percent of a simple sum of its flows."""
+    n = F.col("note_rate") / 1200
+    month = 100 * n / (1 - F.pow(1 + n, F.lit(-360.0))) + 100 * rates.sigmoid(F.col("note_rate") * 0.9 - 9.0)
+    pr = profiles(fx).withColumn("market", 0.99 * F.col("n_active") * month)
     out = pricing.oas_solve(pr, pricing.packed_paths(fx.path, GAP), HAZARD, "market")
     return rnd(out.select("note_rate", "n_active", "n_loans", "oas_bp", "converged"), 2)
 
@@ -400,9 +402,9 @@ def _(fx):
 POOL_P = f"(list_sum(list_transform(fs, lambda f: f.u*{mean_price_sql('f.r', 'f.k', 'MID')}))/ut)"
 
 
-@query("K14b_pool_oas", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT list(struct_pack(r := note_rate, k := n_active, u := upb)) AS fs, sum(upb) AS ut, any_value(ps) AS ps, any_value(tot) AS tot FROM pf, al) SELECT {R(solve_sql(POOL_P, "50.0"), 2)} AS pool_oas_bp FROM q""")
+@query("K14b_pool_oas", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT list(struct_pack(r := note_rate, k := n_active, u := upb)) AS fs, sum(upb) AS ut, any_value(ps) AS ps, any_value(tot) AS tot FROM pf, al) SELECT {R(solve_sql(POOL_P, "15.0"), 2)} AS pool_oas_bp FROM q""")
 def _(fx):
-    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD, 50.0), 2)
+    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD, 15.0), 2)
 
 
 def flat_price_sql(cpr: str, zs: str) -> str:
@@ -423,7 +425,7 @@ def _(fx):
 
 
 def repricing(df, zeros, name):
-    err = [F.abs(curves.par_bond_price(zeros, t, F.col(n)) - 100) for n, t in zip(TEN, curves.YEARS) if t >= 1]
+    err = [F.abs(curves.par_bond_price(zeros, t, n) - 100) for n, t in zip(TEN, curves.YEARS) if t >= 1]
     return F.greatest(*err).alias(name)
 
 

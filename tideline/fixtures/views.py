@@ -7,6 +7,8 @@ a set-returning 1..33.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, tuple[list[str], str]] = {
@@ -120,18 +122,34 @@ def oracle(names: str, body: str) -> str:
 
 
 class Fixtures:
-    """The same views as Spark DataFrames over one scale-factor folder."""
+    """The same views as Spark DataFrames over one scale-factor folder.
+
+    Base tables are registered once per session and folder, so file footers are
+    read once; a view is analysed once per query.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._views: dict[str, DataFrame] = {}
+
+    def _registered(self, name: str) -> str:
+        """Temporary view over one parquet table of this folder."""
+        folder = hashlib.md5(self.sf_dir.encode()).hexdigest()[:10]
+        view = f"base_{folder}_{name}"
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        return view
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.table(self._registered(name))
 
     def view(self, name: str) -> DataFrame:
-        binding = {t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in TABLES}
-        binding["steps33"] = "explode(sequence(1L, 33L))"
-        return self.spark.sql(f"WITH {_ctes([name], binding)}\nSELECT * FROM {name}")
+        if name not in self._views:
+            names = _closure([name])
+            used = {t for n in names for t in TABLES if "{" + t + "}" in VIEWS[n][1]}
+            binding = {t: self._registered(t) for t in used} | {"steps33": "explode(sequence(1L, 33L))"}
+            self._views[name] = self.spark.sql(f"WITH {_ctes([name], binding)}\nSELECT * FROM {name}")
+        return self._views[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"f_{name}" in VIEWS:

@@ -46,38 +46,43 @@ def bump_weights(shape: str) -> list[float]:
     return [_interp(t, _KNOTS[shape]) for t in YEARS]
 
 
-def bumped(df: DataFrame, shape: str | Column, size: Column) -> DataFrame:
+def _lit(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def bumped(df: DataFrame, shape: str | None = None, size: float | None = None) -> DataFrame:
     """Par columns moved by ``size`` (percentage points) times the bump shape.
 
-    ``shape`` may be a column naming the shape, so that scenarios are rows.
+    Without arguments both come from the columns ``shape`` and ``size``, so that
+    scenarios are rows.
     """
+    amount = "size" if size is None else _lit(size)
     out = {}
     for i, tenor in enumerate(TENORS):
-        if isinstance(shape, str):
-            w = F.lit(float(bump_weights(shape)[i]))
+        if shape is not None:
+            w = _lit(bump_weights(shape)[i])
         else:
-            w = F.lit(0.0)
-            for name in _KNOTS:
-                wi = bump_weights(name)[i]
-                if wi:
-                    w = F.when(shape == name, F.lit(float(wi))).otherwise(w)
-        out[tenor] = F.col(tenor) + size * w
+            cases = " ".join(f"WHEN '{n}' THEN {_lit(bump_weights(n)[i])}" for n in _KNOTS if bump_weights(n)[i])
+            w = f"CASE shape {cases} ELSE 0.0D END"
+        out[tenor] = F.expr(f"{tenor} + {amount} * {w}")
     return df.withColumns(out)
 
 
-def _mix(t: float, nodes: list[tuple[float, Column]]) -> Column:
+def _mix(t: float, nodes: list[tuple[float, str]]) -> str:
     """Linear interpolation over nodes known at plan time, flat beyond them."""
     if t <= nodes[0][0] + 1e-12:
         return nodes[0][1]
     for (t0, z0), (t1, z1) in zip(nodes, nodes[1:]):
         if t <= t1 + 1e-12:
             w = (t - t0) / (t1 - t0)
-            if w > 1 - 1e-12:
-                return z1
-            return z0 * F.lit(1 - w) + z1 * F.lit(w)
+            return z1 if w > 1 - 1e-12 else f"({z0} * {_lit(1 - w)} + {z1} * {_lit(w)})"
     return nodes[-1][1]
 
 
+def _sum(terms: list[str]) -> str:
+    return " + ".join(terms) if terms else "0.0D"
+
+
 def bootstrap_zeros(df: DataFrame, prefix: str = "z_") -> DataFrame:
     """Zero rates (percent) per par node as columns ``z_m1 .. z_y30``.
 
@@ -88,15 +93,10 @@ def bootstrap_zeros(df: DataFrame, prefix: str = "z_") -> DataFrame:
     for i, (name, maturity) in enumerate(zip(TENORS, YEARS)):
         if maturity <= 1.0:
             continue
-        known = [(YEARS[j], F.col(f"{prefix}{TENORS[j]}")) for j in range(i)]
-        half = F.col(name) / 200
-        pv = F.lit(0.0)
-        for step in range(1, round(maturity * 2)):
-            t = step / 2
-            pv = pv + F.exp(-_mix(t, known) / 100 * t)
-        df_t = (1 - half * pv) / (1 + half)
-        safe = F.when(df_t > 0, df_t)
-        out = out.withColumn(f"{prefix}{name}", -F.log(safe) / maturity * 100)
+        known = [(YEARS[j], f"{prefix}{TENORS[j]}") for j in range(i)]
+        pv = _sum([f"exp({_mix(s / 2, known)} * {_lit(-s / 200)})" for s in range(1, round(maturity * 2))])
+        factor = f"((1.0D - {name} / 200.0D * ({pv})) / (1.0D + {name} / 200.0D))"
+        out = out.withColumn(f"{prefix}{name}", F.expr(f"CASE WHEN {factor} > 0 THEN -ln({factor}) * {_lit(100 / maturity)} END"))
     return out
 
 
@@ -121,11 +121,12 @@ def monthly_zeros(prefix: str = "z_", months: int = N_MONTHS) -> Column:
 
 # --- self-consistent bootstrap on integrated zeros (minus log discount) -------
 
+# integrated zero of a bill quote r (decimal) at time t
 BILL_CONVENTIONS = {
-    "simple": lambda r, t: F.log(1 + r * t),
-    "discount": lambda r, t: -F.log(1 - r * t * 360.0 / 365.0),
-    "bond_equivalent": lambda r, t: 2 * F.log(1 + r / 2) * t,
-    "continuous": lambda r, t: r * t,
+    "simple": "ln(1.0D + {r} * {t})",
+    "discount": "-ln(1.0D - {r} * {t} * 360.0D / 365.0D)",
+    "bond_equivalent": "2.0D * ln(1.0D + {r} / 2.0D) * {t}",
+    "continuous": "{r} * {t}",
 }
 
 
@@ -137,66 +138,45 @@ def bootstrap_exact(df: DataFrame, convention: str = "simple", prefix: str = "x_
     The par condition falls in x, so each node is a bisection with a fixed number
     of rounds inside one array fold.
     """
-    conv = BILL_CONVENTIONS[convention]
+    bill = BILL_CONVENTIONS[convention]
     out = df.withColumns({
-        f"{prefix}{n}": conv(F.col(n) / 100, t) for n, t in zip(TENORS, YEARS) if t <= 0.5
-    })
+        f"{prefix}{n}": F.expr(bill.format(r=f"({n} / 100.0D)", t=_lit(t))) for n, t in zip(TENORS, YEARS) if t <= 0.5})
     for i, (name, maturity) in enumerate(zip(TENORS, YEARS)):
         if maturity <= 0.5:
             continue
         t0 = YEARS[i - 1]
-        x0 = F.col(f"{prefix}{TENORS[i - 1]}")
-        known = [(0.0, F.lit(0.0))] + [(YEARS[j], F.col(f"{prefix}{TENORS[j]}")) for j in range(i)]
-        half = F.col(name) / 200
+        known = [(0.0, "0.0D")] + [(YEARS[j], f"{prefix}{TENORS[j]}") for j in range(i)]
         steps = [s / 2 for s in range(1, round(maturity * 2) + 1)]
-        fixed = F.lit(0.0)
-        for t in steps:
-            if t <= t0 + 1e-12:
-                fixed = fixed + F.exp(-_mix(t, known))
-        inside = [t for t in steps if t > t0 + 1e-12]
-        weights = F.array(*[F.lit((t - t0) / (maturity - t0)) for t in inside])
-        staged = out.withColumns({"_pv": fixed, "_half": half, "_x0": x0})
-
-        def excess(x):
-            pv = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + F.exp(-(F.col("_x0") * (1 - w) + x * w)))
-            return F.col("_half") * (F.col("_pv") + pv) + F.exp(-x) - 1
-
+        inside = ", ".join(_lit((t - t0) / (maturity - t0)) for t in steps if t > t0 + 1e-12)
+        staged = out.withColumns({
+            "_pv": F.expr(_sum([f"exp(-{_mix(t, known)})" for t in steps if t <= t0 + 1e-12])),
+            "_half": F.expr(f"{name} / 200.0D"), "_x0": F.col(f"{prefix}{TENORS[i - 1]}")})
         span = max(maturity, 1.0)
-        start = F.struct(F.lit(-2.0 * span).alias("lo"), F.lit(5.0 * span).alias("hi"))
-
-        def halve(acc, _):
-            mid = (acc["lo"] + acc["hi"]) / 2
-            above = excess(mid) > 0  # still too dear: x must grow
-            return F.struct(
-                F.when(above, mid).otherwise(acc["lo"]).alias("lo"),
-                F.when(above, acc["hi"]).otherwise(mid).alias("hi"),
-            )
-
-        solved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
-        out = staged.withColumn(f"{prefix}{name}", solved).drop("_pv", "_half", "_x0")
+        mid = "((b.lo + b.hi) / 2.0D)"
+        gap = f"aggregate(array({inside}), 0.0D, (s, w) -> s + exp(-(_x0 * (1.0D - w) + {mid} * w)))"
+        dear = f"_half * (_pv + {gap}) + exp(-{mid}) - 1.0D > 0"  # still above par: x must grow
+        solved = (
+            f"aggregate(sequence(1, {rounds}), named_struct('lo', {_lit(-2 * span)}, 'hi', {_lit(5 * span)}), "
+            f"(b, r) -> IF({dear}, named_struct('lo', {mid}, 'hi', b.hi), named_struct('lo', b.lo, 'hi', {mid})), b -> (b.lo + b.hi) / 2.0D)")
+        out = staged.withColumn(f"{prefix}{name}", F.expr(solved)).drop("_pv", "_half", "_x0")
     return out
 
 
 def bootstrap_logdf(df: DataFrame, convert: bool = True, prefix: str = "x_") -> DataFrame:
     """One-pass variant on integrated zeros: bills to one year are converted, then
     coupons beyond the last node extend its last forward flat."""
+    short = "ln(1.0D + {n} / 100.0D)" if convert else "{n} / 100.0D"
     out = df.withColumns({
-        f"{prefix}{n}": (F.log(1 + F.col(n) / 100) if convert else F.col(n) / 100) * t
-        for n, t in zip(TENORS, YEARS) if t <= 1.0
-    })
+        f"{prefix}{n}": F.expr(f"{short.format(n=n)} * {_lit(t)}") for n, t in zip(TENORS, YEARS) if t <= 1.0})
     for i, (name, maturity) in enumerate(zip(TENORS, YEARS)):
         if maturity <= 1.0:
             continue
-        known = [(0.0, F.lit(0.0))] + [(YEARS[j], F.col(f"{prefix}{TENORS[j]}")) for j in range(i)]
+        known = [(0.0, "0.0D")] + [(YEARS[j], f"{prefix}{TENORS[j]}") for j in range(i)]
         (ta, xa), (tb, xb) = known[-2], known[-1]
-        half = F.col(name) / 200
-        pv = F.lit(0.0)
-        for step in range(1, round(maturity * 2)):
-            t = step / 2
-            x = _mix(t, known) if t <= tb else xb + (xb - xa) * F.lit((t - tb) / (tb - ta))
-            pv = pv + F.exp(-x)
-        df_t = (1 - half * pv) / (1 + half)
-        out = out.withColumn(f"{prefix}{name}", -F.log(F.when(df_t > 0, df_t)))
+        at = lambda t: _mix(t, known) if t <= tb else f"({xb} + ({xb} - {xa}) * {_lit((t - tb) / (tb - ta))})"
+        pv = _sum([f"exp(-{at(s / 2)})" for s in range(1, round(maturity * 2))])
+        factor = f"((1.0D - {name} / 200.0D * ({pv})) / (1.0D + {name} / 200.0D))"
+        out = out.withColumn(f"{prefix}{name}", F.expr(f"CASE WHEN {factor} > 0 THEN -ln({factor}) END"))
     return out
 
 
@@ -208,11 +188,9 @@ def monthly_zeros_from_logdf(prefix: str = "x_", months: int = N_MONTHS) -> Colu
     return F.flatten(F.transform(_segments(nodes, months), piece))
 
 
-def par_bond_price(zeros: str, maturity: float, coupon: Column) -> Column:
-    """Semi-annual bond (face 100, coupon percent) off a monthly zero array."""
-    z = lambda t: F.element_at(F.col(zeros), round(t * 12))
-    pv = F.lit(0.0)
-    for step in range(1, round(maturity * 2) + 1):
-        t = step / 2
-        pv = pv + F.exp(-z(t) / 100 * t)
-    return coupon / 2 * pv + 100 * F.exp(-z(maturity) / 100 * maturity)
+def par_bond_price(zeros: str, maturity: float, coupon: str) -> Column:
+    """Semi-annual bond (face 100, coupon column in percent) off a monthly zero
+    array column."""
+    last = round(maturity * 2)
+    pv = f"aggregate(sequence(1, {last}), 0.0D, (s, h) -> s + exp(element_at({zeros}, h * 6) * h / -200.0D))"
+    return F.expr(f"{coupon} / 2.0D * {pv} + 100.0D * exp(element_at({zeros}, {last * 6}) * {_lit(-maturity / 100)})")

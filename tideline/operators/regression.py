@@ -15,93 +15,66 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 PIVOT_TOL = 1e-10
 
 
-def _sweep(matrix: Column, m: int, pivots: int) -> Column:
-    """Sweep the first ``pivots`` diagonal entries of a row-major m x m matrix.
+def _sweep(matrix: str, m: int, pivots: int) -> str:
+    """Sweep the first ``pivots`` diagonal entries of a row-major m x m matrix
+    column; struct(a, ok) as SQL text.
 
     Afterwards the top-left block is the inverse, the last column the
     coefficients and the corner the residual sum of squares.
     """
-    flat = F.struct(matrix.alias("a"), F.lit(True).alias("ok"))
-    scale0 = lambda p: F.element_at(matrix, p * (m + 1) + 1)
-
-    def step(acc, p):
-        a, at = acc["a"], lambda r, c: F.element_at(acc["a"], r * m + c + 1)
-        d = at(p, p)
-        ok = acc["ok"] & (F.abs(d) > F.abs(scale0(p)) * PIVOT_TOL) & (F.abs(d) > 0)
-        d = F.when(ok, d).otherwise(F.lit(1.0))
-
-        def cell(x, idx):
-            r, c = (idx / m).cast("int"), (idx % m).cast("int")
-            return (
-                F.when((r == p) & (c == p), 1 / d)
-                .when(r == p, x / d)
-                .when(c == p, -x / d)
-                .otherwise(x - at(r, p) * at(p, c) / d)
-            )
-
-        return F.struct(F.transform(a, cell).alias("a"), ok.alias("ok"))
-
-    # element_at needs int positions; sequence of ints keeps them so
-    return F.aggregate(F.sequence(F.lit(0), F.lit(pivots - 1)), flat, step)
-
-
-def _solve(df: DataFrame, names: list[str], keep: list[str], min_n: int) -> DataFrame:
-    """From columns n, yy, my, m_<x> (means), s_<x>_<z>, sy_<x> (centred sums) to the
-    fit: b_<x>, b0, se_*, t_*, r2, sse."""
+    at = lambda r, c: f"element_at(acc.a, {r} * {m} + {c} + 1)"
+    pivot = at("p", "p")
+    usable = f"acc.ok AND abs({pivot}) > abs(element_at({matrix}, p * {m + 1} + 1)) * {PIVOT_TOL!r}D AND abs({pivot}) > 0"
+    r, c = f"(i DIV {m})", f"(i % {m})"
+    d = "acc.d"
+    cell = (
+        f"CASE WHEN {r} = p AND {c} = p THEN 1.0D / {d} WHEN {r} = p THEN x / {d} WHEN {c} = p THEN -x / {d} "
+        f"ELSE x - element_at(acc.a, CAST({r} * {m} + p + 1 AS INT)) * element_at(acc.a, CAST(p * {m} + {c} + 1 AS INT)) / {d} END")
+    # the pivot and its test are evaluated once per step by an inner one-row fold
+    inner = (
+        f"aggregate(array(named_struct('a', acc.a, 'ok', coalesce({usable}, false), 'd', {pivot})), named_struct('a', acc.a, 'ok', acc.ok), "
+        f"(o, s) -> named_struct('a', transform(s.a, (x, i) -> {cell.replace('acc.a', 's.a').replace(d, 'IF(s.ok, s.d, 1.0D)')}), 'ok', s.ok))")
+    return f"aggregate(sequence(0, {pivots - 1}), named_struct('a', {matrix}, 'ok', true), (acc, p) -> {inner})"
+
+
+def solve(df: DataFrame, names: list[str], min_n: int) -> DataFrame:
+    """From columns n, yy, my, m_<x> (means), s_<x>_<z>, sy_<x> (centred sums) to
+    coefficients b_<x>, the inverse v_<x>_<z> and the residual sum sse."""
     k = len(names)
     m = k + 1
-    at = lambda i, j: F.col(f"s_{names[min(i, j)]}_{names[max(i, j)]}")
+    name = lambda i: names[i]
     cells = []
     for i in range(m):
         for j in range(m):
-            if i < k and j < k:
-                cells.append(at(i, j))
-            elif i == k and j == k:
-                cells.append(F.col("yy"))
-            else:
-                cells.append(F.col(f"sy_{names[min(i, j)]}"))
-    swept = df.withColumn("_m", F.array(*cells)).withColumn("_s", _sweep(F.col("_m"), m, k))
-    good = F.col("_s.ok") & (F.col("n") >= min_n)
-    val = lambda i, j: F.when(good, F.element_at("_s.a", i * m + j + 1))
-    b = {x: val(i, k) for i, x in enumerate(names)}
-    out = swept.withColumns({f"b_{x}": b[x] for x in names} | {"sse": val(k, k)})
-    for i, x in enumerate(names):
-        for j, z in enumerate(names):
-            if j >= i:
-                out = out.withColumn(f"v_{x}_{z}", val(i, j))
-    return out
-
-
-def _v(x: str, z: str, names: list[str]) -> Column:
-    i, j = names.index(x), names.index(z)
-    return F.col(f"v_{names[min(i, j)]}_{names[max(i, j)]}")
+            lo, hi = min(i, j), max(i, j)
+            cells.append("yy" if lo == k else f"`sy_{name(lo)}`" if hi == k else f"`s_{name(lo)}_{name(hi)}`")
+    matrix = ", ".join(f"CAST({c} AS DOUBLE)" for c in cells)
+    swept = df.withColumn("_m", F.expr(f"array({matrix})")).withColumn("_s", F.expr(_sweep("_m", m, k)))
+    val = lambda i, j: F.expr(f"CASE WHEN _s.ok AND n >= {min_n} THEN element_at(_s.a, {i * m + j + 1}) END")
+    new = {f"b_{x}": val(i, k) for i, x in enumerate(names)} | {"sse": val(k, k)}
+    new |= {f"v_{x}_{z}": val(i, j) for i, x in enumerate(names) for j, z in enumerate(names) if j >= i}
+    return swept.withColumns(new)
+
+
+def _v(x: str, z: str, names: list[str]) -> str:
+    i, j = sorted((names.index(x), names.index(z)))
+    return f"`v_{names[i]}_{names[j]}`"
 
 
 def _finish(fit: DataFrame, keep: list[str], names: list[str], intercept: bool) -> DataFrame:
     k = len(names) + (1 if intercept else 0)
-    dof = F.col("n") - k
-    s2 = F.when(dof > 0, F.greatest(F.col("sse"), F.lit(0.0)) / dof)
-    cols = {f"se_{x}": F.sqrt(s2 * _v(x, x, names)) for x in names}
-    fit = fit.withColumn("_s2", s2)
-    if intercept:
-        b0 = F.col("my")
-        quad = F.lit(0.0)
-        for x in names:
-            b0 = b0 - F.col(f"b_{x}") * F.col(f"m_{x}")
-            for z in names:
-                quad = quad + F.col(f"m_{x}") * _v(x, z, names) * F.col(f"m_{z}")
-        cols["b0"] = b0
-        cols["se0"] = F.sqrt(F.col("_s2") * (1 / F.col("n") + quad))
-    fit = fit.withColumns(cols)
-    ratio = {f"t_{x}": F.try_divide(F.col(f"b_{x}"), F.nullif(F.col(f"se_{x}"), F.lit(0.0))) for x in names}
+    s2 = f"(CASE WHEN n > {k} THEN greatest(sse, 0.0D) / (n - {k}) END)"
+    terms = {x: (f"`b_{x}`", f"sqrt({s2} * {_v(x, x, names)})") for x in names}
+    out = [f"`{c}`" for c in keep] + ["n"]
+    ratio = lambda b, se: f"try_divide({b}, nullif({se}, 0.0D))"
     if intercept:
-        ratio["t0"] = F.try_divide(F.col("b0"), F.nullif(F.col("se0"), F.lit(0.0)))
-    ratio["r2"] = F.when(F.col("tss") > 1e-12, 1 - F.col("sse") / F.col("tss"))
-    fit = fit.withColumns(ratio)
-    names_out = [*keep, "n"] + (["b0", "se0", "t0"] if intercept else [])
-    for x in names:
-        names_out += [f"b_{x}", f"se_{x}", f"t_{x}"]
-    return fit.select(*names_out, "r2", "sse")
+        b0 = "my - (" + " + ".join(f"`b_{x}` * `m_{x}`" for x in names) + ")"
+        quad = " + ".join(f"`m_{x}` * {_v(x, z, names)} * `m_{z}`" for x in names for z in names)
+        se0 = f"sqrt({s2} * (1.0D / n + {quad}))"
+        out += [f"{b0} AS b0", f"{se0} AS se0", f"{ratio('(' + b0 + ')', se0)} AS t0"]
+    for x, (b, se) in terms.items():
+        out += [b, f"{se} AS `se_{x}`", f"{ratio(b, se)} AS `t_{x}`"]
+    return fit.selectExpr(*out, "CASE WHEN tss > 1e-12D THEN 1.0D - sse / tss END AS r2", "sse")
 
 
 def moments(y: str | Column, xs: dict[str, Column], valid: Column) -> list[Column]:
@@ -155,7 +128,7 @@ def ols(
     grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     names = list(cols)
     need = max(min_n, len(names) + (1 if intercept else 0))
-    return _finish(_solve(grouped, names, by, need), by, names, intercept)
+    return _finish(solve(grouped, names, need), by, names, intercept)
 
 
 def ols_window(df: DataFrame, y: str | Column, xs, window, keep: list[str], min_n: int = 0) -> DataFrame:
@@ -181,7 +154,7 @@ def ols_window(df: DataFrame, y: str | Column, xs, window, keep: list[str], min_
             out[f"s_{a}_{z}"] = s.over(window) * n
     framed = df.select(*keep, *[c.alias(f"{name}") for name, c in out.items() if name not in keep])
     need = max(min_n, len(names) + 1)
-    return _finish(_solve(framed, names, keep, need), keep, names, True)
+    return _finish(solve(framed, names, need), keep, names, True)
 
 
 def residuals(df: DataFrame, fit: DataFrame, y: str, xs: list[str], by: list[str], name: str = "resid") -> DataFrame:
@@ -241,7 +214,7 @@ def leave_one_out(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> Data
     for x in xs:
         valid = valid & F.col(x).isNotNull()
     rows = df.filter(valid)
-    solved = _solve(rows.agg(*moments(y, _as_cols(xs), F.lit(True))), xs, [], len(xs) + 1)
+    solved = solve(rows.agg(*moments(y, _as_cols(xs), F.lit(True))), xs, len(xs) + 1)
     out = rows.withColumn("_f", solved.select(F.struct("*")).scalar())
     d = {x: F.col(x) - F.col(f"_f.m_{x}") for x in xs}
     va = lambda x, z: F.col(f"_f.v_{xs[min(xs.index(x), xs.index(z))]}_{xs[max(xs.index(x), xs.index(z))]}")

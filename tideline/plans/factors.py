@@ -127,8 +127,8 @@ def clustered_errors(df: DataFrame, y: str, xs: list[str], cluster: str) -> Data
     coefficient. Scores are summed per cluster before the outer products."""
     names = ["one", *xs]
     rows = df.dropna(subset=[y, *xs]).withColumn("one", F.lit(1.0))
-    solved = regression._solve(
-        rows.agg(*regression.raw_moments(F.col(y), {n: F.col(n) for n in names}, F.lit(True))), names, [], len(names))
+    solved = regression.solve(
+        rows.agg(*regression.raw_moments(F.col(y), {n: F.col(n) for n in names}, F.lit(True))), names, len(names))
     packed = solved.select(F.struct("n", "tss", "sse", *[f"b_{n}" for n in names],
                                     *[f"v_{a}_{b}" for i, a in enumerate(names) for b in names[i:]]))
     e = F.col(y)

@@ -90,7 +90,7 @@ def weighted_history(
             cols[f"s_{a}_{b}"] = second(a, b)
     framed = hist.select(*by, "mi", "n_months", *[c.alias(k) for k, c in cols.items()])
     framed = framed.filter(F.col("n_months") >= min_months) if min_months else framed
-    fit = regression._solve(framed, names, by, len(names) + 1)
+    fit = regression.solve(framed, names, len(names) + 1)
     b0 = F.col("my")
     for a in names:
         b0 = b0 - F.col(f"b_{a}") * F.col(f"m_{a}")

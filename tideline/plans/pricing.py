@@ -66,7 +66,7 @@ def scenario_curves(month_curves: DataFrame, scenarios: list[dict], method: str
     shapes = sorted({(s["shape"], s["size"]) for s in scenarios})
     keys = F.array(*[F.struct(F.lit(sh).alias("shape"), F.lit(sz).alias("size")) for sh, sz in shapes])
     c = month_curves.select("yyyymm", *curves.TENORS, F.explode(keys).alias("_b")).select("*", "_b.shape", "_b.size").drop("_b")
-    c = curves.bumped(c, F.col("shape"), F.col("size"))
+    c = curves.bumped(c)
     if method == "standard":
         c = curves.bootstrap_zeros(c).withColumn("disc", cashflow.discounts(curves.monthly_zeros()))
     elif method == "exact":
