@@ -106,11 +106,25 @@ def test_a_replayed_batch_changes_nothing(spark):
     assert rows(cube.cube(spark, state)) == once
 
 
-def test_bucketed_panel_joins_without_a_shuffle_of_the_panel(spark):
-    df = spark.range(200).selectExpr("id % 20 AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q1' AS vintage")
-    spark.sql("DROP TABLE IF EXISTS panel_t")
-    vintages.to_panel_table(df, "panel_t", buckets=4)
-    t = spark.table("panel_t")
+def panel_plan(spark, df, table):
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    bucketed = vintages.to_panel_table(df, table, buckets=4)
+    t = spark.table(table)
     plan = t.groupBy("loan_id").agg(F.max("yyyymm"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
-    spark.sql("DROP TABLE panel_t")
+    n = t.count()
+    spark.sql(f"DROP TABLE {table}")
+    return bucketed, n, plan
+
+
+def test_bucketed_panel_groups_by_loan_without_a_shuffle(spark):
+    df = spark.range(200).selectExpr("id % 20 AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q1' AS vintage")
+    bucketed, n, plan = panel_plan(spark, df, "panel_even")
+    assert bucketed and n == 200 and "Exchange hashpartitioning" not in plan
+
+
+def test_a_hot_loan_is_not_bucketed(spark):
+    df = spark.range(900).selectExpr("CASE WHEN id < 850 THEN 1L ELSE id END AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q1' AS vintage")
+    spark.sql("DROP TABLE IF EXISTS panel_hot")
+    assert not vintages.to_panel_table(df, "panel_hot", buckets=8)
+    assert spark.table("panel_hot").count() == 900
+    spark.sql("DROP TABLE panel_hot")

@@ -37,11 +37,10 @@ def running_totals(
     """For rows unique in (group, value): for every column s in ``sums`` add
     ``s_before`` (total over smaller values) and ``s_total`` (group total).
 
-    The counts are read for the cut points, the bucket totals and the result, so
-    they are checkpointed: what they came from (often the whole panel) is
-    computed once.
+    ``counts`` is read for the cut points, the bucket totals and the result; pass
+    it through ``value_counts`` or ``cut_lineage`` so that what it came from
+    (often the whole panel) is computed once.
     """
-    counts = cut_lineage(counts)
     cut = _bucketed(counts, value, buckets)
     per_bucket = cut.groupBy(*group, "_bk").agg(*[F.sum(s).alias(f"_{s}_bk") for s in sums])
     earlier = W.partitionBy(*group).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
@@ -64,13 +63,24 @@ def running_totals(
     )
 
 
+def value_counts(df: DataFrame, value: str, group: list[str] = [], **extra: Column) -> DataFrame:
+    """One row per distinct value (and group) with its count ``n`` and any extra
+    aggregates, checkpointed: the one pass over the input."""
+    aggs = [F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()]]
+    return cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(*aggs))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], group: list[str] = [], buckets: int = 64
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, named by the keys of ``probs``."""
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    )
+    return quantiles_of_counts(value_counts(df, value, group), value, probs, group, buckets)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, probs: dict[str, float], group: list[str] = [], buckets: int = 64
+) -> DataFrame:
+    """The same from a table of distinct values and their counts ``n``."""
     run = running_totals(counts, value, ["n"], group, buckets)
     last_pos = F.col("n_before") + F.col("n") - 1
     aggs = [F.max("n_total").alias("n")]
@@ -125,7 +135,7 @@ def auc(df: DataFrame, score: str, label: str, group: list[str] = [], buckets: i
             F.count_if(F.col(label) == 0).alias("neg"),
         )
     )
-    run = running_totals(counts, score, ["neg"], group, buckets)
+    run = running_totals(cut_lineage(counts), score, ["neg"], group, buckets)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     out = run.groupBy(*group).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("_wins")

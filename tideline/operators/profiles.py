@@ -13,31 +13,45 @@ ZERO_BALANCE_CODES = [1, 2, 3, 6, 9, 15, 16]
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """Counts and shares over left-closed bins (last one open-ended), repeated
-    with mean, population std, exact median and the positive share."""
-    v = F.col(value)
-    per_bin = df.filter(v.isNotNull()).groupBy(bins.bin_index(v, edges, "left").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n_bin"))
-    stats = df.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("n"),
-                   F.avg(F.when(v > 0, 1.0).when(v.isNotNull(), 0.0)).alias("share_positive"))
-    med = ordering.exact_quantiles(df, value, {"median": 0.5}).select("median")
-    out = per_bin.withColumn("_s", stats.select(F.struct("*")).scalar()).withColumn("median", med.scalar())
-    return out.select("bin", "n_bin", (F.col("n_bin") / F.col("_s.n")).alias("share"),
-                      "_s.mean", "_s.std", "median", "_s.share_positive")
+    with mean, population std, exact median and the positive share.
+
+    One pass over the rows: everything comes from the counts of distinct values.
+    """
+    counts = ordering.value_counts(df, value)
+    v, n = F.col(value), F.col("n")
+    per_bin = counts.groupBy(bins.bin_index(v, edges, "left").alias("bin")).agg(F.sum(n).alias("n_bin"))
+    first = counts.agg(
+        (F.sum(n * v) / F.sum(n)).alias("mean"), F.sum(n).alias("n"),
+        (F.sum(F.when(v > 0, n).otherwise(F.lit(0))) / F.sum(n)).alias("share_positive"))
+    dev = v - F.col("_f.mean")
+    second = counts.withColumn("_f", first.select(F.struct("*")).scalar()).agg(
+        F.max("_f").alias("_s"), F.sqrt(F.sum(n * dev * dev) / F.sum(n)).alias("std"))
+    med = ordering.quantiles_of_counts(counts, value, {"median": 0.5}).select("median")
+    out = per_bin.withColumn("_t", second.select(F.struct("*")).scalar()).withColumn("median", med.scalar())
+    return out.select("bin", "n_bin", (F.col("n_bin") / F.col("_t._s.n")).alias("share"),
+                      "_t._s.mean", "_t.std", "median", "_t._s.share_positive")
 
 
 def quantile_profile(df: DataFrame, value: str, entity: str) -> DataFrame:
-    """Min, p5, median, p95, max, bucket shares, and variation within entities."""
-    v = F.col(value)
-    rows = df.filter(v.isNotNull())
-    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-    basic = rows.agg(
+    """Min, p5, median, p95, max, bucket shares, and variation within entities.
+
+    The rows are read once, into counts per (entity, value).
+    """
+    pairs = ordering.value_counts(df, value, [entity])
+    v, n = F.col(value), F.col("n")
+    counts = pairs.groupBy(value).agg(F.sum("n").alias("n"))
+    share = lambda test: F.sum(F.when(test, n).otherwise(F.lit(0))) / F.sum(n)
+    basic = counts.agg(
         F.min(v).alias("min"), F.max(v).alias("max"), share(v < 60).alias("share_lt60"),
         share((v >= 60) & (v < 80)).alias("share_60_80"), share((v >= 80) & (v < 100)).alias("share_80_100"),
         share(v >= 100).alias("share_ge100"))
-    quant = ordering.exact_quantiles(rows, value, {"p5": 0.05, "median": 0.5, "p95": 0.95})
-    within = rows.groupBy(entity).agg(F.stddev_pop(v).alias("sd"), F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= 2)
-    spread = ordering.exact_quantiles(within, "sd", {"within_median": 0.5}).select("within_median")
-    over = within.agg(F.avg(F.when(F.col("sd") > 1, 1.0).otherwise(0.0)).alias("within_over_1"))
+    quant = ordering.quantiles_of_counts(counts, value, {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    means = pairs.groupBy(entity).agg(F.sum(n).alias("_k"), (F.sum(n * v) / F.sum(n)).alias("_m")).filter(F.col("_k") >= 2)
+    dev = v - F.col("_m")
+    within = pairs.join(means, entity).groupBy(entity).agg(F.sqrt(F.sum(n * dev * dev) / F.sum(n)).alias("sd"))
+    sds = ordering.value_counts(within, "sd")
+    spread = ordering.quantiles_of_counts(sds, "sd", {"within_median": 0.5}).select("within_median")
+    over = sds.agg(F.sum(F.when(F.col("sd") > 1, n).otherwise(F.lit(0))) / F.sum(n))
     return (
         quant.withColumn("_b", basic.select(F.struct("*")).scalar())
         .withColumn("within_median", spread.scalar()).withColumn("within_over_1", over.scalar())

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.functions import bins
 from tideline.functions import rates
 from tideline.operators import ordering
+from tideline.session import cut_lineage
 
 # fixed values: segment edges (left-closed) and labels
 SEGMENTS = {
@@ -26,11 +27,12 @@ def segment_metrics(
     """Per segment value: rows, event share, AUC of two scores and their gap.
 
     Every row is unfolded once into its segment values; groups under ``min_n`` or
-    with one class drop.
+    with one class drop. Both scores read the rows, so they are checkpointed.
     """
     tags = F.array(*[F.struct(F.lit(n).alias("segment"), c.cast("string").alias("value")) for n, c in segments.items()])
+    rows = cut_lineage(df.select(score_a, score_b, label, tags.alias("_t")))
     long = (
-        df.select(score_a, score_b, label, F.explode(tags).alias("_s"))
+        rows.select(score_a, score_b, label, F.explode("_t").alias("_s"))
         .select("_s.segment", "_s.value", score_a, score_b, label)
         .filter(F.col("value").isNotNull())
     )
@@ -51,17 +53,20 @@ def segment_metrics(
 
 def reliability_table(df: DataFrame, p: str, y: str, bins_n: int = 10) -> DataFrame:
     """Mean prediction and outcome per quantile bin; edges are exact quantiles,
-    bins left-closed with the last one closed on both sides."""
+    bins left-closed with the last one closed on both sides. The rows are read
+    once, into counts and events per distinct prediction."""
+    counts = ordering.value_counts(df.filter(F.col(y).isNotNull()), p, events=F.sum(F.col(y).cast("double")))
     probs = {f"q{i}": i / bins_n for i in range(bins_n + 1)}
-    edges = ordering.exact_quantiles(df, p, probs).select(
+    edges = ordering.quantiles_of_counts(counts, p, probs).select(
         F.array(*[f"q{i}" for i in range(bins_n + 1)]).alias("edges")
     )
-    tagged = df.withColumn("_e", edges.scalar())
+    tagged = counts.withColumn("_e", edges.scalar())
     passed = F.size(F.filter(F.slice("_e", 2, bins_n - 1), lambda e: e <= F.col(p)))
+    n = F.col("n")
     return (
         tagged.withColumn("bin", passed)
         .groupBy("bin")
-        .agg(F.avg(p).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("mean_actual"), F.count(F.lit(1)).alias("n"))
+        .agg((F.sum(n * F.col(p)) / F.sum(n)).alias("mean_pred"), (F.sum("events") / F.sum(n)).alias("mean_actual"), F.sum(n).alias("n"))
     )
 
 

@@ -99,7 +99,9 @@ def weighted_history(
 
 def fit_asof(panel: DataFrame, min_months: int = MIN_MONTHS, lag: int = LAG_MONTHS) -> DataFrame:
     """(intercept a, slope b) of the weighted logit map per month; a slope that is
-    not positive stops the job, since it would invert bump responses."""
+    not positive is for ``refuse_negative_slope`` to stop, since it would invert
+    bump responses. The cells are read twice, so they are checkpointed."""
+    panel = cut_lineage(panel)
     df = panel.filter((F.col("forecast_cpr") > 0) & (F.col("cpr_upb") > 0))
     fit = regression.weighted_line(
         df, rates.logit("forecast_cpr"), rates.logit("cpr_upb"), F.col("upb_atrisk"), "mi", lag, min_months)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions.hashing import poisson_weight
 from tideline.functions import rates
-from tideline.operators import joins, ordering, regression
+from tideline.operators import ordering, regression
+from tideline.session import cut_lineage
 
 LEGS = ["dy2", "dy5", "dy10"]
 
@@ -79,6 +80,7 @@ def local_linear_peak(df: DataFrame, x: str, y: str, lo: float, hi: float, step:
 def range_test(df: DataFrame, x: str, realized: str, model: str, half: float = 0.25) -> DataFrame:
     """Speeds in narrow bands around the 10th and 90th percentile of x, and the
     model's share of the realized range."""
+    df = cut_lineage(df.select(x, realized, model))
     q = ordering.exact_quantiles(df, x, {"p10": 0.1, "p90": 0.9}).select(F.struct("p10", "p90"))
     tagged = df.withColumn("_q", q.scalar())
     band = lambda p, c: F.avg(F.when(F.col(x).between(F.col(f"_q.{p}") - half, F.col(f"_q.{p}") + half), F.col(c)))
@@ -97,6 +99,7 @@ def bootstrap_mean(df: DataFrame, value: str, weight: str, key: str, reps: int)
     replicates are one partial aggregate and the same on every retry.
     """
     v, w = F.col(value), F.col(weight)
+    df = cut_lineage(df.select(key, value, weight))
     draws = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
         "_k", poisson_weight(key, F.col("_rep")))
     k = F.col("_k")
