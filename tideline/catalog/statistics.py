@@ -332,6 +332,15 @@ def _(fx):
         F.count_if(F.signum("b_dy2") != F.signum("full_dy2")).alias("sign_flips")))
 
 
+LOOB = ols_sql("(SELECT d.yyyymm AS dropped, ex.coupon, ex.excess_return, fa.f_level AS x, fa.f_slope AS y FROM fa d JOIN fa ON fa.yyyymm <> d.yyyymm JOIN ex ON ex.yyyymm = fa.yyyymm)", "excess_return", ["x", "y"], "dropped, coupon")
+
+
+@query("G13c_beta_spread_leave_one_out", ALLV, f"""{FEX}, l AS (SELECT dropped, coupon, b_x FROM {LOOB})
+SELECT dropped AS yyyymm, arg_max(coupon, b_x) AS hi_coupon, arg_min(coupon, b_x) AS lo_coupon, {R("max(b_x) - min(b_x)")} AS b_x_spread, count(*) AS n_coupons FROM l GROUP BY 1""")
+def _(fx):
+    return rnd(factors.beta_spread_without_each_month(excess(fx), factor_panel(fx)))
+
+
 @query("G14_lead_lag_compare", "f_curve_daily f_market_rate", f"""{DPM}, dl AS (SELECT *, lag(dy2) OVER (ORDER BY mi) AS dy2_lag1 FROM dm), dk AS (SELECT * FROM dl WHERE dy2_lag1 IS NOT NULL)
 SELECT 'lag0' AS spec, n, {R("b_dy2")} AS b, {R("t_dy2", 5)} AS t FROM {ols_sql("dk", "dpmms", ["dy2"])} UNION ALL SELECT 'lag1', n, {R("b_dy2_lag1")}, {R("t_dy2_lag1", 5)} FROM {ols_sql("dk", "dpmms", ["dy2_lag1"])}""")
 def _(fx):

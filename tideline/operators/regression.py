@@ -207,25 +207,29 @@ def weighted_line(
         *by, order, "intercept", "slope", "n_months", "n_train")
 
 
-def leave_one_out(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> DataFrame:
-    """Coefficients with each row left out, from the full fit and the row's
-    leverage (no refit): b(-i) = b - A x_i e_i / (1 - h_i)."""
+def leave_one_out(df: DataFrame, y: str, xs: list[str], keep: list[str], by: list[str] = []) -> DataFrame:
+    """Coefficients with each row left out (of its ``by`` group), from the full fit
+    and the row's leverage (no refit): b(-i) = b - A x_i e_i / (1 - h_i)."""
     valid = F.col(y).isNotNull()
     for x in xs:
         valid = valid & F.col(x).isNotNull()
     rows = df.filter(valid)
-    solved = solve(rows.agg(*moments(y, _as_cols(xs), F.lit(True))), xs, len(xs) + 1)
-    out = rows.withColumn("_f", solved.select(F.struct("*")).scalar())
-    d = {x: F.col(x) - F.col(f"_f.m_{x}") for x in xs}
-    va = lambda x, z: F.col(f"_f.v_{xs[min(xs.index(x), xs.index(z))]}_{xs[max(xs.index(x), xs.index(z))]}")
-    out = out.withColumns({f"_d_{x}": d[x] for x in xs})
+    agg = moments(y, _as_cols(xs), F.lit(True))
+    solved = solve(rows.groupBy(*by).agg(*agg) if by else rows.agg(*agg), xs, len(xs) + 1)
+    names = ["n", "my", *[f"m_{x}" for x in xs], *[f"b_{x}" for x in xs], *[f"v_{x}_{z}" for i, x in enumerate(xs) for z in xs[i:]]]
+    if by:
+        out = rows.join(solved.select(*by, F.struct(*names).alias("_f")), by)
+    else:
+        out = rows.withColumn("_f", solved.select(F.struct(*names)).scalar())
+    va = lambda x, z: F.col("_f." + _v(x, z, xs).strip("`"))
+    out = out.withColumns({f"_d_{x}": F.col(x) - F.col(f"_f.m_{x}") for x in xs})
     e = F.col(y) - F.col("_f.my")
     h = 1 / F.col("_f.n")
     for x in xs:
         e = e - F.col(f"_f.b_{x}") * F.col(f"_d_{x}")
         for z in xs:
             h = h + F.col(f"_d_{x}") * va(x, z) * F.col(f"_d_{z}")
-    out = out.withColumn("_e", e / (1 - h))
+    out = out.withColumn("_e", F.try_divide(e, F.nullif(1 - h, F.lit(0.0))))
     cols = {}
     for x in xs:
         move = F.lit(0.0)

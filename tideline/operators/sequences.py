@@ -76,7 +76,8 @@ def unscale(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
 
 
 def build_sequences(
-    df: DataFrame, features: list[str], event: Column, label: str = "prepaid", max_steps: int = MAX_STEPS, loan="loan_id"
+    df: DataFrame, features: list[str], event: Column, label: str = "prepaid", max_steps: int = MAX_STEPS, loan="loan_id",
+    dtype: str = "float",
 ) -> DataFrame:
     """One row per loan: padded feature matrix, mask, label and event step.
 
@@ -84,8 +85,8 @@ def build_sequences(
     exist only here, at the edge to a trainer; other jobs keep the long form.
     """
     steps = timesteps(df.na.drop(subset=features), max_steps, loan)
-    cell = F.struct("t", F.array(*[F.col(c).cast("float") for c in features]).alias("x"))
-    zero = F.array(*[F.lit(0.0).cast("float")] * len(features))
+    cell = F.struct("t", F.array(*[F.col(c).cast(dtype) for c in features]).alias("x"))
+    zero = F.array(*[F.lit(0.0).cast(dtype)] * len(features))
     out = steps.groupBy(loan).agg(
         F.array_sort(F.collect_list(cell)).alias("_c"),
         F.max(label).cast("double").alias("label"),

@@ -197,3 +197,21 @@ def beta_spread_sharpe(returns: DataFrame, betas: DataFrame, lambdas: DataFrame,
         F.col("_e.hi").alias("hi_coupon"), F.col("_e.lo").alias("lo_coupon"), spread.alias("b_x_spread"), "lambda_x",
         (F.col("lambda_x") * spread * months * 10000).alias("bps_per_year"), "n_months", "mean", "std",
         F.when(ok, F.col("mean") / F.col("std") * F.sqrt(F.lit(float(months)))).alias("sharpe"))
+
+
+def beta_spread_without_each_month(returns: DataFrame, factors: DataFrame, min_n: int = 6, level="f_level", slope="f_slope") -> DataFrame:
+    """Extreme level loadings and their spread with each factor month left out.
+
+    Loadings move by leverage, so no fold is refitted; a coupon without a return
+    in the month keeps its full-sample loading.
+    """
+    fac = factors.select("yyyymm", F.col(level).alias("x"), F.col(slope).alias("y"))
+    merged = returns.join(F.broadcast(fac), "yyyymm")
+    loo = regression.leave_one_out(merged, "excess_return", ["x", "y"], ["coupon", "yyyymm"], ["coupon"])
+    full = empirical_betas(returns, factors, min_n, level, slope).agg(
+        F.collect_list(F.struct("coupon", "b_x")).alias("all"))  # one entry per coupon
+    folds = fac.select("yyyymm").withColumn("_a", full.scalar()).select("yyyymm", F.explode("_a").alias("c")).select("yyyymm", "c.coupon", F.col("c.b_x").alias("_full"))
+    b = folds.join(loo.select("yyyymm", "coupon", "b_x"), ["yyyymm", "coupon"], "left").withColumn("b", F.coalesce("b_x", "_full"))
+    return b.groupBy("yyyymm").agg(
+        F.max_by("coupon", "b").alias("hi_coupon"), F.min_by("coupon", "b").alias("lo_coupon"),
+        (F.max("b") - F.min("b")).alias("b_x_spread"), F.count(F.lit(1)).alias("n_coupons"))
