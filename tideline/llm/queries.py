@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import packing, simple8b, token_counts
+from tideline.llm import mixing, ngram_join, packing, simple8b, slots, token_counts, url_lists
 from tideline.llm.frames import table
 from tideline.session import run_dir
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Python workers of this machine find the package wherever the driver was started
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -25,6 +34,114 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: The first day of captures and list entries, which the pages do not carry; both are drawn over a leap year by md5.
+START, DAYS = "2024-01-01", 366
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Every page with a day of fetching."""
+    day = F.conv(F.substring(F.md5(F.concat(F.lit("fetch"), F.col("page_id").cast("string")).cast("binary")), 1, 6), 16, 10).cast("int") % DAYS
+    return pages.select("page_id", "url", F.date_add(F.lit(START).cast("date"), day).alias("fetch_date"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list as large as the pages: every page gives one entry for its page, folder, host or parent domain."""
+    digits = F.md5(F.concat(F.lit("entry"), F.col("page_id").cast("string")).cast("binary"))
+    part = lambda at, many: F.conv(F.substring(digits, at, many), 16, 10).cast("int")
+    url = F.col("url")
+    kind = F.when(part(1, 1) < 6, "page").when(part(1, 1) < 10, "folder").when(part(1, 1) < 15, "host").otherwise("domain")
+    parent = F.get(url_lists.domains_of(url_lists.host_of(url)), F.lit(1))
+    pattern = F.when(kind == "page", url_lists.page_of(url)).when(kind == "folder", url_lists.folder_of(url)).when(kind == "host", url_lists.host_of(url)).otherwise(parent)
+    action = F.when(part(2, 1) < 7, "block").when(part(2, 1) < 10, "allow").otherwise("remove")
+    return pages.select(kind.alias("kind"), pattern.alias("pattern"), action.alias("action"), F.date_add(F.lit(START).cast("date"), part(3, 6) % DAYS).alias("on_date"))
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5('entry' || page_id) AS e,
+         DATE '2024-01-01' + CAST(('0x' || substr(md5('fetch' || page_id), 1, 6))::BIGINT % 366 AS INT) AS fetch_date,
+         nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+q AS (
+  SELECT *, host || path AS page,
+         CASE WHEN regexp_extract(path, '^/([^/]+)', 1) <> '' THEN host || '/' || regexp_extract(path, '^/([^/]+)', 1) END AS folder,
+         string_split(host, '.') AS labels,
+         ('0x' || substr(e, 1, 1))::INT AS k, ('0x' || substr(e, 2, 1))::INT AS a,
+         DATE '2024-01-01' + CAST(('0x' || substr(e, 3, 6))::BIGINT % 366 AS INT) AS on_date
+  FROM p),
+entries AS (
+  SELECT CASE WHEN k < 6 THEN 'page' WHEN k < 10 THEN 'folder' WHEN k < 15 THEN 'host' ELSE 'domain' END AS kind,
+         CASE WHEN k < 6 THEN page WHEN k < 10 THEN folder WHEN k < 15 THEN host
+              WHEN len(labels) >= 3 THEN array_to_string(labels[2:], '.') END AS pattern,
+         CASE WHEN a < 7 THEN 2 WHEN a < 10 THEN 1 ELSE 0 END AS strict, on_date
+  FROM q),
+daily AS (SELECT kind, pattern, on_date, max(strict) AS strict FROM entries WHERE pattern IS NOT NULL GROUP BY ALL),
+runs AS (SELECT *, lag(strict) OVER (PARTITION BY kind, pattern ORDER BY on_date) AS before FROM daily),
+changes AS (SELECT * FROM runs WHERE before IS NULL OR before <> strict),
+asked AS (
+  SELECT page_id, fetch_date, 4000 AS level, 'page' AS kind, page AS pattern FROM q
+  UNION ALL SELECT page_id, fetch_date, 3000, 'folder', folder FROM q
+  UNION ALL SELECT page_id, fetch_date, 2000, 'host', host FROM q
+  UNION ALL SELECT page_id, fetch_date, 1000 + len(labels) - i + 1, 'domain', array_to_string(labels[i:], '.')
+            FROM (SELECT *, unnest(range(1, len(labels))) AS i FROM q)),
+hits AS (
+  SELECT s.page_id, s.level, s.kind, s.pattern, c.strict, c.on_date AS since
+  FROM asked s ASOF JOIN changes c ON s.kind = c.kind AND s.pattern = c.pattern AND s.fetch_date >= c.on_date),
+best AS (
+  SELECT page_id, count(*) AS n_active, max(level) AS level, arg_max(kind, level) AS kind, arg_max(pattern, level) AS pattern,
+         arg_max(strict, level) AS strict, arg_max(since, level) AS since
+  FROM hits WHERE strict > 0 GROUP BY page_id)
+SELECT q.page_id, q.url, q.fetch_date, coalesce(n_active, 0)::BIGINT AS n_active, kind, pattern,
+       CASE strict WHEN 2 THEN 'block' WHEN 1 THEN 'allow' END AS action, since, coalesce(strict <> 2, true) AS kept
+FROM q LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op2_temporal_list_join", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page held against the list entries that were active on its day of fetching."""
+    pages = table(sf_dir, spark, "pages").select("page_id", "url")
+    return url_lists.verdicts(page_captures(pages), list_entries(pages), "page_id", "url", "fetch_date")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('=' || source, '~') AS key, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16) AS tie
+  FROM documents),
+s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
+r AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total,
+         coalesce(sum(cap) OVER (ORDER BY cap / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+         sum(w) OVER (ORDER BY cap / w, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM w),
+c AS (SELECT *, (total - stopped) / open * w >= cap AS capped FROM r),
+t AS (
+  SELECT key, source_size,
+         CASE WHEN capped THEN cap::DOUBLE
+              ELSE (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () * w END AS target
+  FROM c),
+x AS (
+  SELECT d.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN floor(target / t.source_size * 16777216)::BIGINT ELSE 0 END AS rate,
+         ('0x' || substr(md5('0' || key), 1, 6))::BIGINT AS u,
+         row_number() OVER (PARTITION BY key ORDER BY size, tie, doc_id) - 1 AS rank
+  FROM d JOIN t USING (key))
+SELECT doc_id, size, source_size, target, ((rank + 1) * rate + u) // 16777216 - (rank * rate + u) // 16777216 AS copies,
+       (((rank + 1) * rate + u) // 16777216 - (rank * rate + u) // 16777216) * size AS taken
+FROM x
+"""
+
+
+@query("op3_systematic_mix", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is taken when sources weigh 5, 2, 1, repeating."""
+    return mixing.mix_plan(table(sf_dir, spark, "documents"), weights=(5, 2, 1), max_repeat=3)
+
+
 @query("op5_simple8b_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Simple-8b token files and read back."""
@@ -32,6 +149,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file_digests(table(sf_dir, spark, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query("op6_virtual_slots")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 24 under a rebalanced slot map."""
+    return slots.sharded(table(sf_dir, spark, "documents"), run_dir(spark, "slot-map"), shards=24)
+
+
 @query("op7_differencing_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in windows of 1024 tokens."""
@@ -42,3 +165,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether it has more than 512."""
     return token_counts.token_counts(table(sf_dir, spark, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query("op9_count_tree_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-copy component of every document."""
+    return ngram_join.jaccard_components(table(sf_dir, spark, "documents"), size=5)
