@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import mixing, ngram_join, packing, simple8b, slots, token_counts, url_lists
+from tideline.llm import mixing, multi_index, ngram_join, packing, simple8b, slots, token_counts, url_lists
 from tideline.llm.frames import table
 from tideline.session import run_dir
 
@@ -142,6 +142,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(sf_dir, spark, "documents"), weights=(5, 2, 1), max_repeat=3)
 
 
+@query("op4_inverted_multi_index")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return multi_index.nearest_rows(table(sf_dir, spark, "embeddings"), every=20, top=20)
+
+
 @query("op5_simple8b_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Simple-8b token files and read back."""
