@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import mixing, multi_index, ngram_join, packing, simple8b, slots, token_counts, url_lists
+from tideline.llm import mixing, multi_index, ngram_join, packing, quality_gam, quality_rules, simple8b, slots, token_counts, url_lists
 from tideline.llm.frames import table
 from tideline.session import run_dir
 
@@ -34,6 +34,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_crf_line_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, content share and verdict of every document."""
+    documents = table(sf_dir, spark, "documents").select("doc_id", "text")
+    field = quality_rules.fit_rules(documents, table(sf_dir, spark, "labels"))
+    return quality_rules.judged(documents, field).drop("text")
+
+
 #: The first day of captures and list entries, which the pages do not carry; both are drawn over a leap year by md5.
 START, DAYS = "2024-01-01", 366
 
@@ -177,3 +185,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-copy component of every document."""
     return ngram_join.jaccard_components(table(sf_dir, spark, "documents"), size=5)
+
+
+@query("op10_additive_quality_model")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from labels outside the held-out quarter."""
+    documents = table(sf_dir, spark, "documents").select("doc_id", "text")
+    labels = table(sf_dir, spark, "labels").filter(~quality_gam.held_out(F.col("doc_id")))
+    model = quality_gam.fit_quality(documents, labels)
+    rows = quality_gam.scored(documents, model).select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to packed pieces."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
