@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from tideline.llm import mixing, ngram_join, packing, quality_gam, quality_rules
-from tideline.llm.frames import staged, table
+from tideline.llm.frames import fresh, staged, table
 
 #: No SQL: the fitted models and the tokenizer cannot be expressed. Tested against a brute-force version.
 ORACLE_SQL = None
@@ -27,23 +27,26 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model scores at least 0.7."""
     labels = table(sf_dir, spark, "labels").filter(~quality_gam.held_out(F.col("doc_id")))
     model = quality_gam.fit_quality(table(sf_dir, spark, "documents"), labels)
-    return quality_gam.scored(docs, model, score_col="_score").filter(F.col("_score") >= 0.7).drop("_score")
+    score = fresh(docs, "_score")
+    return quality_gam.scored(docs, model, score_col=score).filter(F.col(score) >= 0.7).drop(score)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and hold mostly content lines."""
     field = quality_rules.fit_rules(table(sf_dir, spark, "documents"), table(sf_dir, spark, "labels"))
-    return quality_rules.judged(docs, field, prefix="_r_").filter("_r_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = fresh(docs, "_r_")
+    return quality_rules.judged(docs, field, prefix=own).filter(F.col(f"{own}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component."""
     found = ngram_join.jaccard_components(docs)
     stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    by_id = W.partitionBy("doc_id").orderBy("_hash")
-    rows = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays"))).withColumn("_hash", F.xxhash64("text"))
-    again = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.lag("_hash").over(by_id) == F.col("_hash"), F.lit(False))
-    return rows.withColumn("_again", again).filter(~F.col("_again")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    rows = packed.join(stays, F.col("_doc").eqNullSafe(F.col("_stays")))
+    same = F.lag("_hash").over(W.partitionBy("_doc").orderBy("_hash")) == F.col("_hash")
+    once = rows.withColumn("_again", F.col("_doc").isNotNull() & F.col("_row.text").isNotNull() & F.coalesce(same, F.lit(False))).filter(~F.col("_again"))
+    return once.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline.session import run_dir
 
@@ -24,9 +21,16 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return docs.select(*taken, *[F.col(f"`{c}`") for c in more])
 
 
-def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` whose batches come out in the declared schema."""
-    return df.mapInArrow(work, schema)
+def without(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The documents without columns that a result of that name will replace."""
+    return docs.drop(*[c for c in docs.columns if c in names])
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the documents begins with it."""
+    while any(c.startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
 
 
 def table(path: str, spark: SparkSession, name: str) -> DataFrame:

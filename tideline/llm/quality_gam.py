@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideline.llm import textbatch as tb
-from tideline.llm.frames import texts
+from tideline.llm.frames import texts, without
 from tideline.llm.textstats import ENDS_SENTENCE, SYMBOL_BYTES, Stats, share
 
 FEATURES = [
@@ -186,7 +186,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
 
 
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The documents with ``score_col``; their own columns pass through. No shuffle."""
+    """The documents with ``score_col`` (it replaces a column of that name); their own columns pass through. No shuffle."""
+    docs = without(docs, [score_col])
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 

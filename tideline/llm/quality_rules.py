@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideline.llm import textbatch as tb
-from tideline.llm.frames import texts
+from tideline.llm.frames import texts, without
 from tideline.llm.textstats import Stats, share
 
 CONTENT, BOILERPLATE = 0, 1
 SAMPLE = 1_000
-WIDTH = 6
+CODES, WIDTH = 11, 6
 END_CODE = np.full(256, 4, np.int64)
 END_CODE[list(b".!?")] = 0
 END_CODE[list(b",;:")] = 1
@@ -165,7 +165,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
 
     rows = chosen.select("_id", "_text", F.xxhash64("_id").alias("_key"), "label").mapInArrow(work, kind).toPandas()
     rows = rows.drop_duplicates(["doc", "line"]).sort_values(["doc", "line"], ignore_index=True)
-    codes = np.array(rows["codes"].tolist(), np.int64).reshape(len(rows), -1)
+    codes = np.array(rows["codes"].tolist(), np.int64).reshape(len(rows), CODES)
     doc = rows["doc"].to_numpy()
     first = np.append(np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else [], len(doc)).astype(np.int64)
     return fit_field(codes, first, np.where(rows["label"] == 1, CONTENT, BOILERPLATE))
@@ -186,7 +186,8 @@ def measures(field: Field, buf: np.ndarray, off: np.ndarray, least: float) -> li
 
 
 def judged(docs: DataFrame, field: Field, share: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The documents with MEASURES (under ``prefix``); their own columns pass through. No shuffle."""
+    """The documents with MEASURES (under ``prefix``; they replace columns of those names); other columns pass through. No shuffle."""
+    docs = without(docs, [prefix + name for name, _ in MEASURES])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(prefix + name, kind) for name, kind in MEASURES]])
     at = docs.columns.index(text_col)
 
