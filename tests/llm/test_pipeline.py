@@ -13,7 +13,7 @@ def rows_of_fixture():
     rows = [(i, junk(i) if i % 4 == 0 else clean(i), "en", f"s{i % 3}", 0) for i in range(120)]
     rows += [(1000 + r[0], r[1], *r[2:]) for r in corpus(1)[:40]]
     rows += [(2000 + i, t, "en", "near", 0) for i, t in enumerate(near_copies(30, 60, 9))]
-    return rows + [(r[0], *r[1:]) for r in odd_rows()]
+    return rows + [(None if r[0] is None else 3000 + r[0], *r[1:]) for r in odd_rows()]
 
 
 @pytest.fixture(scope="module")

@@ -161,9 +161,18 @@ def test_join_equals_all_pairs(spark, seed):
 def test_second_round_alone_is_whole(spark, monkeypatch):
     # tiny blocks: the first round loses pairs across cuts, and every hot shingle is cut into pairs of blocks
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BRIDGES", 0)
     check_join(frame(spark, corpus(3)))
 
 
+def test_large_families_are_bridged(spark, monkeypatch):
+    # one group of near copies far above a block: its parts still meet in the first round
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "BRIDGES", 4)
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(near_copies(150, 120, 2, 3))])
+    check_join(docs)
+
+
 def test_given_documents(spark, sf):
     check_join(spark.read.parquet(f"{sf}/documents.parquet"))
 
