@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tideline.catalog.olssql import ols_sql
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import RET
-from tideline.catalog.sequences import HAZARD
+from tideline.catalog.sequences import FIT, FITV, cell_path_sql, fitted
 from tideline.catalog.statistics import BASIS, basis, hedge_rows
 from tideline.catalog.survival import FVR, forecast_realized
 from tideline.functions import cashflow, curves, rates
@@ -74,7 +74,8 @@ def price_sql(coupon: str, cpr: str, zs: str, timed: bool = False) -> str:
 
 
 def haz_sql(inc: str) -> str:
-    return f"list_transform(range(1, 34), lambda t: 1-pow(1-1/(1+exp(-(-5.2+0.9*({inc})+0.02*t))),12))"
+    """Model speeds of 33 months; h0..h2 of the fitted index must be in scope."""
+    return cell_path_sql(inc)
 
 
 def term_sql(inc: str) -> str:
@@ -85,8 +86,9 @@ def cpr360_sql(path: str, term: str) -> str:
     return f"list_concat({path}, list_transform(range(1, 328), lambda q: {term}))"
 
 
-POS = "ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms FROM f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm)"
-V = "f_curve_daily f_price f_market_rate"
+POS0 = "ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms FROM f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm)"
+POS = f"{FIT}, {POS0.replace('AS pmms FROM', 'AS pmms, h0, h1, h2 FROM hx,')}"
+V = "f_curve_daily f_price f_market_rate " + FITV
 
 
 def weights_sql(shape: str) -> list[float]:
@@ -123,7 +125,7 @@ def dur_sql(names: list[str], base: str = "base") -> str:
 
 
 def sc_prices(fx, scens, **kw):
-    return pricing.scenario_prices(month_curves(fx), positions(fx), scens, HAZARD, **kw)
+    return pricing.scenario_prices(month_curves(fx), positions(fx), scens, fitted(fx).cell(), **kw)
 
 
 # ------------------------------------------------------------------------ queries
@@ -177,7 +179,7 @@ def _(fx):
 SELECT yyyymm, coupon, len(cp) AS n, {R("cp[1]")} AS m1, {R("cp[33]")} AS m33, {R("cp[34]")} AS m34, {R("cp[360]")} AS m360, {R("list_sum(cp)", 5)} AS total FROM e""")
 def _(fx):
     inc = F.col("coupon") + 0.5 - F.col("pmms")
-    cp = cashflow.extend(hazard_cpr_path(inc, HAZARD), pricing.terminal_speed(inc))
+    cp = cashflow.extend(hazard_cpr_path(inc, fitted(fx).cell()), pricing.terminal_speed(inc))
     df = positions(fx).withColumn("cp", cp)
     at = lambda m: F.element_at("cp", m).alias(f"m{m}")
     return rnd(df.select("yyyymm", "coupon", F.size("cp").alias("n"), at(1), at(33), at(34), at(360), F.aggregate("cp", F.lit(0.0), lambda a, x: a + x).alias("total")), 6, total=5)
@@ -198,7 +200,8 @@ def _(fx):
     fit = mapping.fit_asof(forecast_realized(fx), min_months=24)
     pos = positions(fx).join(F.broadcast(fx.market_rate.select("yyyymm", "mi")), "yyyymm").join(F.broadcast(fit.select("mi", "a", "b")), "mi", "left")
     inc = F.col("coupon") + 0.5 - F.col("pmms")
-    df = pos.withColumn("up", hazard_cpr_path(inc + 0.25, HAZARD)).withColumn("base", hazard_cpr_path(inc, HAZARD))
+    coef = fitted(fx).cell()
+    df = pos.withColumn("up", hazard_cpr_path(inc + 0.25, coef)).withColumn("base", hazard_cpr_path(inc, coef))
     mode = lambda m: array_mean(cashflow.map_path(F.col("up"), F.col("a"), F.col("b"), m, F.col("base"))).alias(m)
     return rnd(df.select("yyyymm", "coupon", *[mode(m) for m in ("off", "scalar", "pointwise", "frozen")], F.col("a").isNotNull().alias("applied")), 5)
 
@@ -343,11 +346,11 @@ def profiles(fx):
     return pricing.loan_profiles(loans)
 
 
-PATHS = """pf AS MATERIALIZED (SELECT note_rate, n_active, count(*) AS n_loans, sum(upb) AS upb FROM (SELECT loan_id, max(note_rate) AS note_rate, least(count(*), 33) AS n_active, max(orig_upb) AS upb FROM f_loan GROUP BY 1) GROUP BY 1, 2),
+PATHS = FIT + """, pf AS MATERIALIZED (SELECT note_rate, n_active, count(*) AS n_loans, sum(upb) AS upb FROM (SELECT loan_id, max(note_rate) AS note_rate, least(count(*), 33) AS n_active, max(orig_upb) AS upb FROM f_loan GROUP BY 1) GROUP BY 1, 2),
 pa AS MATERIALIZED (SELECT m, count(*) AS n FROM (SELECT path_id, list(rate ORDER BY t) AS m FROM f_path GROUP BY 1) GROUP BY 1)"""
 PNOTE = "(note_rate/1200)"
 PPMT = f"(100*{PNOTE}/(1-pow(1+{PNOTE}, -360)))"
-HZ = "(1/(1+exp(-(-5.2 + 0.9*(note_rate - m[t]) + 0.02*t))))"
+HZ = "(1/(1+exp(-(h0 + h1*(note_rate - m[t]) + h2*t))))"
 PRIN = f"least({PPMT} - acc.bal*{PNOTE}, acc.bal)"
 
 
@@ -358,10 +361,10 @@ def path_pv_sql(spread: str, terminal: bool) -> str:
     return f"(SELECT x.pv + x.bal/x.d FROM (SELECT {fold} AS x))" if terminal else f"({fold}).pv"
 
 
-@query("K13_mc_loan_price", "f_loan f_path", f"""WITH {PATHS}, v AS (SELECT note_rate, n_active, n_loans, n, r.pv + r.bal/r.d AS p FROM (SELECT pf.*, pa.n, {path_pv_sql("0.0", False)[1:-4]} AS r FROM pf, pa))
+@query("K13_mc_loan_price", FITV + " f_path", f"""WITH {PATHS}, v AS (SELECT note_rate, n_active, n_loans, n, r.pv + r.bal/r.d AS p FROM (SELECT pf.*, pa.n, {path_pv_sql("0.0", False)[1:-4]} AS r FROM pf, pa, hx))
 SELECT note_rate, n_active, any_value(n_loans) AS n_loans, {R("sum(n*p)/sum(n)")} AS model_price, {R("sqrt(sum(n*pow(p-100,2))/sum(n) - pow(sum(n*(p-100))/sum(n),2))", 5)} AS price_std FROM v GROUP BY 1, 2""")
 def _(fx):
-    out = pricing.mc_loan_price(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD)
+    out = pricing.mc_loan_price(profiles(fx), pricing.packed_paths(fx.path, GAP), fitted(fx).cell())
     return rnd(out.select("note_rate", "n_active", "n_loans", "model_price", "price_std"), 6, price_std=5)
 
 
@@ -369,7 +372,7 @@ def mean_price_sql(note: str, active: str, spread: str) -> str:
     """Mean over the listed paths ``ps`` (with counts) of the flows' value."""
     n = f"({note}/1200)"
     pmt = f"(100*{n}/(1-pow(1+{n}, -360)))"
-    hz = f"(1/(1+exp(-(-5.2 + 0.9*({note} - p.m[t]) + 0.02*t))))"
+    hz = f"(1/(1+exp(-(h0 + h1*({note} - p.m[t]) + h2*t))))"
     pr = f"least({pmt} - a.bal*{n}, a.bal)"
     d = f"(a.d*(1 + ((p.m[t]-1.7)/100 + ({spread})/10000)/12))"
     fold = f"list_reduce(range(1, 34), lambda a, t: struct_pack(bal := greatest(a.bal - {pr} - a.bal*{hz}, 0), d := {d}, pv := a.pv + CASE WHEN t <= {active} THEN (a.bal*{n} + {pr} + a.bal*{hz})/{d} ELSE 0 END), struct_pack(bal := 100.0::DOUBLE, d := 1.0::DOUBLE, pv := 0.0::DOUBLE))"
@@ -388,23 +391,23 @@ def solve_sql(price: str, market: str) -> str:
 OAS_P = lambda s: mean_price_sql("note_rate", "n_active", s)
 
 
-@query("K14_oas_solve", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT pf.*, 0.99*n_active*(100*(note_rate/1200)/(1-pow(1+note_rate/1200, -360)) + 100/(1+exp(-(note_rate*0.9-9.0)))) AS market, ps, tot FROM pf, al), e AS MATERIALIZED (SELECT *, {OAS_P("-500.0")} AS p0, {OAS_P("2000.0")} AS p1 FROM q)
+@query("K14_oas_solve", FITV + " f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT pf.*, 0.99*n_active*(100*(note_rate/1200)/(1-pow(1+note_rate/1200, -360)) + 100/(1+exp(-(note_rate*0.9-9.0)))) AS market, ps, tot, h0, h1, h2 FROM pf, al, hx), e AS MATERIALIZED (SELECT *, {OAS_P("-500.0")} AS p0, {OAS_P("2000.0")} AS p1 FROM q)
 SELECT note_rate, n_active, n_loans, {R(f"CASE WHEN market > p0 THEN -500 WHEN market < p1 THEN 2000 ELSE {solve_sql(OAS_P('MID'), 'market')} END", 2)} AS oas_bp, market <= p0 AND market >= p1 AS converged FROM e""")
 def _(fx):
     """Spread of every profile at 99 percent of a simple sum of its flows."""
     n = F.col("note_rate") / 1200
     month = 100 * n / (1 - F.pow(1 + n, F.lit(-360.0))) + 100 * rates.sigmoid(F.col("note_rate") * 0.9 - 9.0)
     pr = profiles(fx).withColumn("market", 0.99 * F.col("n_active") * month)
-    out = pricing.oas_solve(pr, pricing.packed_paths(fx.path, GAP), HAZARD, "market")
+    out = pricing.oas_solve(pr, pricing.packed_paths(fx.path, GAP), fitted(fx).cell(), "market")
     return rnd(out.select("note_rate", "n_active", "n_loans", "oas_bp", "converged"), 2)
 
 
 POOL_P = f"(list_sum(list_transform(fs, lambda f: f.u*{mean_price_sql('f.r', 'f.k', 'MID')}))/ut)"
 
 
-@query("K14b_pool_oas", "f_loan f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT list(struct_pack(r := note_rate, k := n_active, u := upb)) AS fs, sum(upb) AS ut, any_value(ps) AS ps, any_value(tot) AS tot FROM pf, al) SELECT {R(solve_sql(POOL_P, "15.0"), 2)} AS pool_oas_bp FROM q""")
+@query("K14b_pool_oas", FITV + " f_path", f"""WITH {ALLP}, q AS MATERIALIZED (SELECT list(struct_pack(r := note_rate, k := n_active, u := upb)) AS fs, sum(upb) AS ut, any_value(ps) AS ps, any_value(tot) AS tot, any_value(h0) AS h0, any_value(h1) AS h1, any_value(h2) AS h2 FROM pf, al, hx) SELECT {R(solve_sql(POOL_P, "15.0"), 2)} AS pool_oas_bp FROM q""")
 def _(fx):
-    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), HAZARD, 15.0), 2)
+    return rnd(pricing.pool_oas(profiles(fx), pricing.packed_paths(fx.path, GAP), fitted(fx).cell(), 15.0), 2)
 
 
 def flat_price_sql(cpr: str, zs: str) -> str:
@@ -415,7 +418,7 @@ PMID = "((b.lo+b.hi)/2)"
 K15D = f"(({flat_price_sql(PMID, 'zd')} - {flat_price_sql(PMID, 'zu')})/(2*{flat_price_sql(PMID, 'z0')}*0.0025))"
 
 
-@query("K15_long_run_cpr_needed", V, f"""WITH {ME}, {POS}, {scen_sql([pricing.scenario("base"), *pricing.two_sided("par", "parallel")])}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv), zc AS MATERIALIZED ({zeros_sql("cv", "yyyymm, scenario")}),
+@query("K15_long_run_cpr_needed", V, f"""WITH {ME}, {POS0}, {scen_sql([pricing.scenario("base"), *pricing.two_sided("par", "parallel")])}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv), zc AS MATERIALIZED ({zeros_sql("cv", "yyyymm, scenario")}),
 j AS MATERIALIZED (SELECT ps.yyyymm, ps.coupon, 7.0 - ps.coupon/2 AS target, a.zs AS z0, u.zs AS zu, d.zs AS zd FROM ps JOIN zc a ON a.yyyymm = ps.yyyymm AND a.scenario = 'base' JOIN zc u ON u.yyyymm = ps.yyyymm AND u.scenario = 'par+' JOIN zc d ON d.yyyymm = ps.yyyymm AND d.scenario = 'par-')
 SELECT yyyymm, coupon, target, {R("(s.lo+s.hi)/2", 5)} AS flat_cpr FROM (SELECT *, list_reduce(range(1, 21), lambda b, i: CASE WHEN {K15D} > target THEN struct_pack(lo := {PMID}, hi := b.hi) ELSE struct_pack(lo := b.lo, hi := {PMID}) END, struct_pack(lo := 0.001::DOUBLE, hi := 0.60::DOUBLE)) AS s FROM j)""")
 def _(fx):
@@ -492,7 +495,7 @@ def _(fx):
 PAR = [pricing.scenario("base"), *pricing.two_sided("par", "parallel")]
 
 
-K17 = f"""WITH {ME}, {POS}, {scen_sql(PAR)}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv),
+K17 = f"""WITH {ME}, {POS0}, {scen_sql(PAR)}, cv AS MATERIALIZED (SELECT mz.yyyymm, sv.scenario, {", ".join(f"mz.{t} + sv.b_{t} AS {t}" for t in TEN)} FROM mz, sv),
 zz AS MATERIALIZED (SELECT 'a' AS m_, yyyymm, scenario, zs FROM ({zeros_sql("cv", "yyyymm, scenario")}) UNION ALL SELECT 'b', yyyymm, scenario, zs FROM ({xs_to_zs(exact_sql("cv", "yyyymm, scenario"))})),
 fl AS MATERIALIZED (SELECT m_, zz.yyyymm, scenario, coupon, list_transform(range(1, 361), lambda q: 0.12) AS cl, zs FROM zz JOIN ps USING (yyyymm)), px AS (SELECT m_, yyyymm, coupon, scenario, {price_sql("coupon", "cl", "zs")} AS p FROM fl),
 d AS (SELECT m_, yyyymm, coupon, (max(p) FILTER (scenario = 'par-') - max(p) FILTER (scenario = 'par+'))/(2*max(p) FILTER (scenario = 'base')*0.0025) AS du FROM px GROUP BY 1, 2, 3), r AS (SELECT a.coupon, b.du/a.du AS q FROM d a JOIN d b ON a.yyyymm = b.yyyymm AND a.coupon = b.coupon WHERE a.m_ = 'a' AND b.m_ = 'b')
@@ -510,27 +513,28 @@ def _(fx):
         F.avg(r).alias("mean_ratio"), F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"), F.count(F.lit(1)).alias("n")))
 
 
-@query("K18_clip_and_move", V, f"""WITH {POS}, e AS (SELECT coupon, coupon+0.5-pmms AS i0 FROM ps), k AS (SELECT coupon, {haz_sql("i0")} AS base, list_avg({haz_sql("i0+0.25")}) - list_avg({haz_sql("i0")}) AS mv, {term_sql("i0+0.25")} - {term_sql("i0")} AS up, {term_sql("i0-0.25")} - {term_sql("i0")} AS dn FROM e),
+@query("K18_clip_and_move", V, f"""WITH {POS}, e AS (SELECT coupon, coupon+0.5-pmms AS i0, h0, h1, h2 FROM ps), k AS (SELECT coupon, {haz_sql("i0")} AS base, list_avg({haz_sql("i0+0.25")}) - list_avg({haz_sql("i0")}) AS mv, {term_sql("i0+0.25")} - {term_sql("i0")} AS up, {term_sql("i0-0.25")} - {term_sql("i0")} AS dn FROM e),
 c AS (SELECT *, len(list_filter(base, lambda p: p+up < 0 OR p+up > 0.99)) + len(list_filter(base, lambda p: p+dn < 0 OR p+dn > 0.99)) AS nc FROM k)
 SELECT coupon, {R("sum(nc)/(count(*)*66.0)")} AS clip_share, {R("avg(mv)")} AS model_move, {R("avg(up)")} AS scurve_move, {R("avg(up)/avg(mv)", 5)} AS ratio FROM c GROUP BY 1""")
 def _(fx):
     """Share of grafted path points that would clip, and the speed response to
     25bp lower rates of the model and of the terminal curve."""
     i0 = F.col("coupon") + 0.5 - F.col("pmms")
-    df = positions(fx).withColumn("base", hazard_cpr_path(i0, HAZARD)).withColumn("up", pricing.terminal_speed(i0 + 0.25) - pricing.terminal_speed(i0)).withColumn(
+    coef = fitted(fx).cell()
+    df = positions(fx).withColumn("base", hazard_cpr_path(i0, coef)).withColumn("up", pricing.terminal_speed(i0 + 0.25) - pricing.terminal_speed(i0)).withColumn(
         "dn", pricing.terminal_speed(i0 - 0.25) - pricing.terminal_speed(i0))
     out_of = lambda d: F.size(F.filter("base", lambda p: (p + F.col(d) < 0) | (p + F.col(d) > 0.99)))
-    move = array_mean(hazard_cpr_path(i0 + 0.25, HAZARD)) - array_mean(F.col("base"))
+    move = array_mean(hazard_cpr_path(i0 + 0.25, coef)) - array_mean(F.col("base"))
     g = df.withColumn("nc", out_of("up") + out_of("dn")).withColumn("mv", move).groupBy("coupon")
     return rnd(g.agg((F.sum("nc") / (F.count(F.lit(1)) * 66.0)).alias("clip_share"), F.avg("mv").alias("model_move"), F.avg("up").alias("scurve_move"),
                      (F.avg("up") / F.avg("mv")).alias("ratio")), 6, ratio=5)
 
 
-@query("K19_age_extrapolation", V, f"""WITH {POS}, e AS (SELECT coupon, age, list_avg(list_transform(range(1, 34), lambda t: 1-pow(1-1/(1+exp(-(-5.2+0.9*(coupon+0.5-pmms)+0.02*(age+t)))),12))) AS c FROM ps, (SELECT unnest([0, 33, 60, 120, 240]) AS age))
+@query("K19_age_extrapolation", V, f"""WITH {POS}, e AS (SELECT coupon, age, list_avg({cell_path_sql("coupon+0.5-pmms", "age")}) AS c FROM ps, (SELECT unnest([0, 33, 60, 120, 240]) AS age))
 SELECT coupon, CAST(age AS BIGINT) AS start_age, age > 33 AS extrapolated, {R("avg(c)")} AS mean_cpr, {R("max(c)")} AS max_cpr FROM e GROUP BY 1, 2, 3""")
 def _(fx):
     """Speed at start ages beyond the 33 training months."""
     df = positions(fx).withColumn("start_age", F.explode(F.array(*[F.lit(a) for a in (0, 33, 60, 120, 240)])))
-    c = array_mean(hazard_cpr_path(F.col("coupon") + 0.5 - F.col("pmms"), HAZARD, F.col("start_age")))
+    c = array_mean(hazard_cpr_path(F.col("coupon") + 0.5 - F.col("pmms"), fitted(fx).cell(), F.col("start_age")))
     return rnd(df.withColumn("c", c).groupBy("coupon", "start_age").agg(F.avg("c").alias("mean_cpr"), F.max("c").alias("max_cpr")).withColumn(
         "extrapolated", F.col("start_age") > 33))

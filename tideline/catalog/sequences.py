@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from tideline.catalog.logitsql import logit_ctes
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import LABELS, RET, excess, labels
 from tideline.catalog.survival import AGE, FVR, forecast_realized
@@ -13,7 +14,7 @@ from tideline.plans import hazard
 from tideline.plans.panel import feature_panel
 
 COUPONS = [2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5]
-# fixed values: linear hazard index standing in for a fitted model
+# fixed values: a test score for survival curves, AUC and calibration
 HAZARD = {"intercept": -5.2, "incentive": 0.9, "age": 0.02}
 
 
@@ -132,31 +133,142 @@ def _(fx):
         "path_id", (F.col("i") + 1).cast("bigint").alias("t"), "r.hazard", "r.cdf", "r.survival"), 10)
 
 
-MODEL_FEATURES = ["refi_incentive", "original_ltv", "current_ltv", "loan_age", "dti"]
+MODEL_FEATURES = sequences.FEATURES
+HASH_SPLIT = f"""zf_lab AS (SELECT loan_id, CAST(max(CASE WHEN zbc=1 THEN 1 ELSE 0 END) AS BIGINT) AS prepaid FROM f_loan GROUP BY 1),
+zf_split AS MATERIALIZED (SELECT loan_id, prepaid, CASE WHEN row_number() OVER (PARTITION BY prepaid ORDER BY {HASH.format('loan_id')}, loan_id) <= round(count(*) OVER (PARTITION BY prepaid)*0.8) THEN 'train' ELSE 'test' END AS split FROM zf_lab)"""
+X = [f"x{i}" for i in range(1, 10)]
+KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES)
+Z0 = "b0 + " + " + ".join(f"b{i}*({f}-m{i})/s{i}" for i, f in enumerate(MODEL_FEATURES, 1))
+OTHERS = [i for i, f in enumerate(MODEL_FEATURES, 1) if f not in ("refi_incentive", "loan_age")]
+I_INC, I_AGE = MODEL_FEATURES.index("refi_incentive") + 1, MODEL_FEATURES.index("loan_age") + 1
+#: The fitted and calibrated index: hx has h0..h2 (cells) and g0..g9 (all features).
+FIT = f"""{FEAT.replace('ft AS', 'zf_ft AS')}, {HASH_SPLIT},
+zf_all AS MATERIALIZED (SELECT * FROM (SELECT f.* EXCLUDE (prepaid), split, row_number() OVER (PARTITION BY f.loan_id ORDER BY yyyymm) - 1 AS t FROM zf_ft f JOIN zf_split USING (loan_id) WHERE {KNOWN}) WHERE t < 33),
+zf_e AS (SELECT loan_id, coalesce(min(t) FILTER (zbc = 1), -1) AS es, max(t) AS mt FROM zf_all GROUP BY 1),
+zf_o AS MATERIALIZED (SELECT zf_all.*, es, CASE WHEN es >= 0 THEN es ELSE mt END AS last_t, CAST(t = es AS DOUBLE) AS y FROM zf_all JOIN zf_e USING (loan_id)),
+zf_p AS (SELECT * FROM zf_o WHERE split = 'train' AND t <= last_t),
+zf_n AS (SELECT count(DISTINCT loan_id) AS na, count(DISTINCT CASE WHEN es >= 0 THEN loan_id END) AS ne FROM zf_p),
+zf_m AS MATERIALIZED (SELECT {", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) AS s{i}" for i, f in enumerate(MODEL_FEATURES, 1))} FROM zf_p),
+zf_w AS (SELECT zf_p.*, (CASE WHEN es >= 0 THEN 0.5/ne ELSE 0.0 END + 0.5/na)/(last_t + 1) AS w0 FROM zf_p, zf_n),
+zf_r AS MATERIALIZED (SELECT y, w0/avg(w0) OVER () AS w, {", ".join(f"({f}-m{i})/s{i} AS x{i}" for i, f in enumerate(MODEL_FEATURES, 1))} FROM zf_w, zf_m),
+{logit_ctes("zf_r", X, "zb")},
+zf_z AS MATERIALIZED (SELECT y, 1.0 AS w, {Z0} AS x1 FROM zf_o, zf_m, zb12 WHERE split = 'train'),
+{logit_ctes("zf_z", ["x1"], "zc")},
+hx AS MATERIALIZED (SELECT a*(b0 {"".join(f" - b{i}*m{i}/s{i}" for i in (I_INC, I_AGE))}) + b AS h0, a*b{I_INC}/s{I_INC} AS h1, a*b{I_AGE}/s{I_AGE} AS h2,
+ a*(b0 {"".join(f" - b{i}*m{i}/s{i}" for i in range(1, 10))}) + b AS g0, {", ".join(f"a*b{i}/s{i} AS g{i}" for i in range(1, 10))}
+ FROM zb12, zf_m, (SELECT b0 AS b, b1 AS a FROM zc12))"""
+FITV = "f_loan f_market_rate f_hpi"
+INDEX_SQL = "(g0 + " + " + ".join(f"g{i}*{f}" for i, f in enumerate(MODEL_FEATURES, 1)) + ")"
+
+
+def cell_index_sql(inc: str, age: str = "t") -> str:
+    """Fitted index of a cell; the columns of hx must be in scope."""
+    return f"(h0 + h1*({inc}) + h2*({age}))"
+
+
+def known_steps(fx):
+    """First 33 months with all nine features."""
+    return sequences.timesteps(features(fx).na.drop(subset=MODEL_FEATURES)).drop("prepaid")
+
+
+def split_steps(fx, split: str):
+    ids = selection.stratified_split(labels(fx), "prepaid", "loan_id").filter(F.col("split") == split).select("loan_id")
+    return known_steps(fx).join(ids, "loan_id")
+
+
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def fitted(fx):
+    """The hazard index fitted on the train loans, saved to the shared folder and
+    read from there by every later query of the session."""
+    from tideline.session import run_dir
+
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
+    if key not in _FITTED:
+        steps = split_steps(fx, "train")
+        path = run_dir(fx.spark, "hazard-index")
+        hazard.fit_index(sequences.person_period(steps, event()), sequences.observed_steps(steps, event()), MODEL_FEATURES).save(fx.spark, path)
+        _FITTED[key] = path
+    return hazard.HazardIndex.load(fx.spark, _FITTED[key], MODEL_FEATURES)
+
+
+def held_out_auc(fx, model):
+    """AUC of the cumulative event probability on the held-out loans."""
+    test = known_steps(fx).join(selection.stratified_split(labels(fx), "prepaid", "loan_id").filter("split = 'test'").select("loan_id"), "loan_id")
+    scored = sequences.person_period(test, event()).withColumn("h", rates.sigmoid(model.index()))
+    cdf = sequences.survival_cdf(scored, "h").withColumn("cdf", F.round("cdf", 10))
+    return ordering.auc(cdf.join(labels(fx), "loan_id"), "cdf", "prepaid")
+
+
+@query("F10_hazard_fit", FITV, f"""WITH {FIT},
+q AS (SELECT round(1-exp(sum(ln(1-1/(1+exp(-{INDEX_SQL}))))), 10) AS sc, any_value(prepaid) AS y FROM zf_o JOIN zf_split USING (loan_id), hx WHERE zf_o.split = 'test' AND t <= last_t GROUP BY loan_id),
+rk AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1)/2.0 AS rk FROM q), au AS (SELECT (sum(rk*y) - sum(y)*(sum(y)+1)/2)/(sum(y)*sum(1-y)) AS auc FROM rk)
+SELECT u.feature, {R("u.standard", 5)} AS standard, {R("u.coef", 8)} AS coef, {R("auc", 6)} AS test_auc FROM au, (
+ SELECT unnest(['', {", ".join(f"'{f}'" for f in MODEL_FEATURES)}]) AS feature, unnest([b0, {", ".join(f"b{i}" for i in range(1, 10))}]) AS standard, unnest([g0, {", ".join(f"g{i}" for i in range(1, 10))}]) AS coef FROM zb12, hx) u""")
+def _(fx):
+    """Nine-feature logistic hazard: coefficients on standardised features, the
+    calibrated raw-scale index, and its AUC on held-out loans."""
+    m = fitted(fx)
+    rows = [("", m.standard[0], m.intercept)] + [(f, b, m.coef[f]) for f, b in zip(m.features, m.standard[1:])]
+    table = fx.spark.createDataFrame(rows, "feature string, standard double, coef double")
+    auc = held_out_auc(fx, m).select("auc")
+    return rnd(table.withColumn("test_auc", auc.scalar()), 8, standard=5, test_auc=6)
+
+
+@query("F10b_hazard_learners")
+def _(fx):
+    """Logistic and boosted hazards by Spark ML on person-period rows, AUC by
+    survival CDF on the held-out loans (20 boosting rounds here)."""
+    split = selection.stratified_split(labels(fx), "prepaid", "loan_id")
+    steps = sequences.person_period(known_steps(fx), event())
+    return rnd(hazard.hazard_comparison(steps, split, MODEL_FEATURES, rounds=20))
+
+
+SNAP = ["fico", "original_ltv", "dti", "loan_age", "refi_incentive", "current_ltv", "original_upb"]
+
+
+def snapshot_rows(fx):
+    """Last known features of each loan with label, region and split."""
+    snap = survival.last_known(features(fx), SNAP).na.drop()
+    region = fx.table("customer").select(F.col("c_custkey").alias("loan_id"), F.col("c_nationkey").cast("double").alias("zip3"))
+    df = snap.join(labels(fx), "loan_id").join(region, "loan_id")
+    return selection.stratified_split(df, "prepaid", "loan_id")
+
+
+SETS = {"base": SNAP, "with_region": [*SNAP, "zip3"]}
+
+
+def snap_fit_sql(name: str, cols: list[str]) -> str:
+    """Standardised balanced logistic on the train loans and its test AUC."""
+    xs = [f"x{i}" for i in range(1, len(cols) + 1)]
+    z = "b0 + " + " + ".join(f"b{i}*({c}-m{i})/s{i}" for i, c in enumerate(cols, 1))
+    return f"""{name}m AS MATERIALIZED (SELECT avg(prepaid) AS pm, {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(cols, 1))} FROM sn WHERE split = 'train'),
+{name}r AS MATERIALIZED (SELECT prepaid::DOUBLE AS y, CASE WHEN prepaid = 1 THEN 0.5/pm ELSE 0.5/(1-pm) END AS w, {", ".join(f"({c}-m{i})/s{i} AS x{i}" for i, c in enumerate(cols, 1))} FROM sn, {name}m WHERE split = 'train'),
+{logit_ctes(name + "r", xs, name + "b")},
+{name}q AS (SELECT round({z}, 9) AS sc, prepaid AS y FROM sn, {name}m, {name}b12 WHERE split = 'test'),
+{name}k AS (SELECT *, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1)/2.0 AS rk FROM {name}q)"""
 
 
-def model_steps(fx):
-    df = features(fx).na.drop(subset=MODEL_FEATURES)
-    return sequences.person_period(sequences.timesteps(df), event())
+def last_sql(c: str) -> str:
+    return f"arg_max({c}, yyyymm) AS {c}"
 
 
-@query("F10_hazard_fit")
+@query("F11_snapshot_models", FITV, f"""WITH {FEAT}, {HASH_SPLIT},
+lk AS (SELECT loan_id, {", ".join(last_sql(c) for c in SNAP)} FROM ft GROUP BY 1),
+sj AS (SELECT lk.*, c_nationkey::DOUBLE AS zip3, prepaid FROM lk JOIN zf_lab USING (loan_id) JOIN customer ON c_custkey = loan_id WHERE {" AND ".join(f"{c} IS NOT NULL" for c in SNAP)}),
+sn AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY prepaid ORDER BY {HASH.format('loan_id')}, loan_id) <= round(count(*) OVER (PARTITION BY prepaid)*0.8) THEN 'train' ELSE 'test' END AS split FROM sj),
+{", ".join(snap_fit_sql("s" + n[0], c) for n, c in SETS.items())}
+{" UNION ALL ".join(f"SELECT '{n}' AS features, 'logistic' AS model, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1-y) AS BIGINT) AS n_neg, {R('(sum(rk*y) - sum(y)*(sum(y)+1)/2)/(sum(y)*sum(1-y))', 5)} AS auc FROM s{n[0]}k" for n in SETS)}""")
 def _(fx):
-    """Logistic and boosted hazards on person-period rows, AUC by survival CDF on
-    the held-out loans."""
-    split = selection.stratified_split(labels(fx), "prepaid", "loan_id")
-    return rnd(hazard.hazard_comparison(model_steps(fx).drop("prepaid"), split, MODEL_FEATURES))
+    """Balanced logistic on last-observation rows, with and without the region."""
+    return rnd(hazard.snapshot_models(snapshot_rows(fx), SETS, kinds=("logistic",)), 5)
 
 
-@query("F11_snapshot_models")
+@query("F11b_snapshot_learners")
 def _(fx):
-    """Four classifiers on last-observation rows, with and without the region."""
-    cols = ["fico", "original_ltv", "dti", "loan_age", "refi_incentive", "current_ltv"]
-    snap = survival.last_known(features(fx), cols).na.drop()
-    region = fx.table("customer").select(F.col("c_custkey").alias("loan_id"), F.col("c_nationkey").cast("double").alias("zip3"))
-    df = snap.join(labels(fx), "loan_id").join(region, "loan_id")
-    tagged = selection.stratified_split(df, "prepaid", "loan_id")
-    return rnd(hazard.snapshot_models(tagged, {"base": cols, "with_region": [*cols, "zip3"]}))
+    """Forest, boosting and net on the same rows (20 boosting rounds here)."""
+    return rnd(hazard.snapshot_models(snapshot_rows(fx), SETS, kinds=("random_forest", "boosted_trees", "perceptron"), rounds=20))
 
 
 @query("F12_person_period", "f_loan", f"WITH {STEPS} SELECT loan_id, t, CAST(t = event_step AS BIGINT) AS y FROM k JOIN e USING (loan_id)")
@@ -196,39 +308,59 @@ def _(fx):
     return rnd(scoring.reliability_table(df, "p", "y"), 8)
 
 
-@query("F15_score_grid", "f_loan f_market_rate f_hpi", f"""WITH {FEAT}, b AS (SELECT avg(original_ltv) AS original_ltv, avg(dti) AS dti FROM ft),
-g AS (SELECT *, -5.2 + 0.9*inc - 0.015*cltv + 0.02*age + 0.002*original_ltv - 0.004*dti AS z FROM b, (SELECT unnest([-2.0,-1,0,1,2]) AS inc), (SELECT unnest([60.0,80,100]) AS cltv), (SELECT unnest([6.0,18,30]) AS age))
-SELECT inc::DOUBLE AS refi_incentive, cltv::DOUBLE AS current_ltv, age::DOUBLE AS loan_age, {R("1/(1+exp(-z))", 9)} AS hazard, {R("1-pow(1-1/(1+exp(-z)),12)", 9)} AS cpr FROM g""")
+BASE = [f for f in MODEL_FEATURES if f not in ("refi_incentive", "current_ltv", "loan_age")]
+
+
+@query("F15_score_grid", FITV, f"""WITH {FIT}, b AS (SELECT {", ".join(f"avg({f}) AS {f}" for f in BASE)} FROM zf_ft),
+g AS (SELECT *, {INDEX_SQL} AS z FROM b, hx, (SELECT unnest([-2.0,-1,0,1,2])::DOUBLE AS refi_incentive), (SELECT unnest([60.0,80,100])::DOUBLE AS current_ltv), (SELECT unnest([6.0,18,30])::DOUBLE AS loan_age))
+SELECT refi_incentive, current_ltv, loan_age, {R("1/(1+exp(-z))", 8)} AS hazard, {R("1-pow(1-1/(1+exp(-z)),12)", 7)} AS cpr FROM g""")
 def _(fx):
-    """Response surface at the panel's mean loan."""
-    base = features(fx).agg(F.avg("original_ltv").alias("original_ltv"), F.avg("dti").alias("dti"))
+    """Response surface of the fitted index at the panel's mean loan."""
+    base = features(fx).agg(*[F.avg(f).alias(f) for f in BASE])
     axes = {"refi_incentive": [-2, -1, 0, 1, 2], "current_ltv": [60, 80, 100], "loan_age": [6, 18, 30]}
-    w = {"refi_incentive": 0.9, "current_ltv": -0.015, "loan_age": 0.02, "original_ltv": 0.002, "dti": -0.004}
-    return rnd(hazard.score_grid(base, axes, w, -5.2).select(*axes, "hazard", "cpr"), 9)
+    return rnd(hazard.score_grid(base, axes, fitted(fx)).select(*axes, "hazard", "cpr"), 8, cpr=7)
 
 
-CPRP = "list_transform(range(1, 34), lambda t: 1-pow(1-1/(1+exp(-(-5.2+0.9*({0})+0.02*({1}+t)))),12))"
+def cell_path_sql(inc: str, start: str = "0") -> str:
+    return f"list_transform(range(1, 34), lambda t: 1-pow(1-1/(1+exp(-(h0+h1*({inc})+h2*({start}+t)))),12))"
 
 
-@query("F16_coupon_forecast", "f_market_rate", f"""SELECT yyyymm, coupon, {R("coupon+0.5-rate_30yr")} AS incentive, {R("list_avg(" + CPRP.format("coupon+0.5-rate_30yr", 0) + ")")} AS forecast_cpr
-FROM f_market_rate, (SELECT unnest({COUPONS})::DOUBLE AS coupon)""")
+@query("F16_coupon_forecast", FITV, f"""WITH {FIT} SELECT yyyymm, coupon, {R("coupon+0.5-rate_30yr")} AS incentive, {R("list_avg(" + cell_path_sql("coupon+0.5-rate_30yr") + ")")} AS forecast_cpr
+FROM f_market_rate, hx, (SELECT unnest({COUPONS})::DOUBLE AS coupon)""")
 def _(fx):
-    out = hazard.coupon_forecast(fx.market_rate, COUPONS, HAZARD, rates.SERVICING_SPREAD)
+    out = hazard.coupon_forecast(fx.market_rate, COUPONS, fitted(fx).cell(), rates.SERVICING_SPREAD)
     return rnd(out.select("yyyymm", "coupon", "incentive", "forecast_cpr"))
 
 
-@query("F17_rate_sensitivity", "f_path", f"""WITH g AS (SELECT coupon, t, coupon+0.5-rate AS i FROM f_path, (SELECT unnest({COUPONS})::DOUBLE AS coupon)),
-c AS (SELECT coupon, 1-pow(1-1/(1+exp(-(-5.2+0.9*i+0.02*t))),12) AS b, 1-pow(1-1/(1+exp(-(-5.2+0.9*(i+0.25)+0.02*t))),12) AS u, 1-pow(1-1/(1+exp(-(-5.2+0.9*(i-0.25)+0.02*t))),12) AS d, 1-pow(1-1/(1+exp(-(-5.2+0.02*t))),12) AS z FROM g)
+def at_sql(inc: str) -> str:
+    return f"1-pow(1-1/(1+exp(-(h0+h1*({inc})+h2*t))),12)"
+
+
+@query("F17_rate_sensitivity", FITV + " f_path", f"""WITH {FIT}, g AS (SELECT coupon, t, coupon+0.5-rate AS i, h0, h1, h2 FROM f_path, hx, (SELECT unnest({COUPONS})::DOUBLE AS coupon)),
+c AS (SELECT coupon, {at_sql("i")} AS b, {at_sql("i+0.25")} AS u, {at_sql("i-0.25")} AS d, {at_sql("0")} AS z FROM g)
 SELECT coupon, {R("avg(b)")} AS mean_cpr, {R("avg(z)")} AS atm_cpr, {R("(avg(u)-avg(d))/0.5")} AS rate_sens FROM c GROUP BY 1""")
 def _(fx):
-    return rnd(hazard.rate_sensitivity(fx.path, COUPONS, HAZARD, rates.SERVICING_SPREAD))
+    return rnd(hazard.rate_sensitivity(fx.path, COUPONS, fitted(fx).cell(), rates.SERVICING_SPREAD))
 
 
-@query("F18_population_forecast", "f_loan f_market_rate", f"""WITH a AS (SELECT loan_id, arg_max_null(upb, yyyymm) AS upb, arg_max_null(note_rate, yyyymm) AS nr, min(orig_ym) AS o FROM f_loan WHERE yyyymm <= 199906 GROUP BY 1),
-p AS (SELECT upb, nr, (1999 - o//100)*12 + 6 - o%100 AS age, (SELECT max(rate_30yr) FROM f_market_rate WHERE yyyymm = 199906) AS m FROM a WHERE upb > 0)
-SELECT round_even((nr-0.5)*2,0)/2 AS coupon, count(*) AS n_loans, {R("sum(upb)", 2)} AS upb, {R("sum(upb*list_avg(" + CPRP.format("nr-m", "age") + "))/sum(upb)")} AS forecast_cpr FROM p GROUP BY 1""")
+@query("F18_population_forecast", FITV, f"""WITH {FIT}, a AS (SELECT loan_id, arg_max_null(upb, yyyymm) AS upb, arg_max_null(note_rate, yyyymm) AS nr, min(orig_ym) AS o FROM f_loan WHERE yyyymm <= 199906 GROUP BY 1),
+p AS (SELECT upb, nr, (1999 - o//100)*12 + 6 - o%100 AS age, (SELECT max(rate_30yr) FROM f_market_rate WHERE yyyymm = 199906) AS m, h0, h1, h2 FROM a, hx WHERE upb > 0)
+SELECT round_even((nr-0.5)*2,0)/2 AS coupon, count(*) AS n_loans, {R("sum(upb)", 2)} AS upb, {R("sum(upb*list_avg(" + cell_path_sql("nr-m", "age") + "))/sum(upb)")} AS forecast_cpr FROM p GROUP BY 1""")
 def _(fx):
-    return rnd(hazard.population_forecast(fx.loan, fx.market_rate, HAZARD, 199906), upb=2)
+    return rnd(hazard.population_forecast(fx.loan, fx.market_rate, fitted(fx).cell(), 199906), upb=2)
+
+
+@query("E28_rolling_forecast_cpr", FITV, f"""
+WITH {FIT}, a AS (SELECT loan_id, arg_min(note_rate, yyyymm) AS note, max(CASE WHEN zbc = 1 THEN 1.0 ELSE 0 END) AS realized FROM f_loan WHERE yyyymm BETWEEN 199901 AND 199912 GROUP BY 1),
+h AS (SELECT loan_id, 1/(1+exp(-{INDEX_SQL})) AS h, row_number() OVER (PARTITION BY loan_id ORDER BY yyyymm DESC) AS rd FROM zf_ft, hx WHERE yyyymm <= 199812)
+SELECT round_even((note-0.5)*2,0)/2 AS coupon, count(*) AS n_loans, CAST(sum(realized) AS BIGINT) AS n_prepaid, {R("100*avg(1-pow(1-least(greatest(h,0),1-1e-7),12))", 4)} AS forecast_cpr, {R("100*avg(realized)", 4)} AS realized_cpr
+FROM h JOIN a USING (loan_id) WHERE rd = 1 GROUP BY 1""")
+def _(fx):
+    """Fitted hazard at each loan's last month up to the cutoff against next-year payoffs."""
+    from tideline.plans.forecasts import rolling_forecast
+
+    scored = features(fx).withColumn("h", rates.sigmoid(fitted(fx).index()))
+    return rnd(rolling_forecast(scored, cutoff_year=1998), 4)
 
 
 # ------------------------------------------------------------ series operators

@@ -289,20 +289,6 @@ def _(fx):
     return rnd(out, upb_atrisk=2, upb_prepay=2)
 
 
-@query("E28_rolling_forecast_cpr", "f_loan", f"""
-WITH a AS (SELECT loan_id, arg_min(note_rate, yyyymm) AS note, max(CASE WHEN zbc = 1 THEN 1.0 ELSE 0 END) AS realized FROM f_loan WHERE yyyymm BETWEEN 199901 AND 199912 GROUP BY 1),
-h AS (SELECT loan_id, 1/(1+exp(-(-4.5 + 0.6*(note_rate-6) + 0.01*({AGE})))) AS h, row_number() OVER (PARTITION BY loan_id ORDER BY yyyymm DESC) AS rd FROM f_loan WHERE yyyymm <= 199812)
-SELECT round_even((note-0.5)*2,0)/2 AS coupon, count(*) AS n_loans, CAST(sum(realized) AS BIGINT) AS n_prepaid, {R("100*avg(1-pow(1-least(greatest(h,0),1-1e-7),12))", 4)} AS forecast_cpr, {R("100*avg(realized)", 4)} AS realized_cpr
-FROM h JOIN a USING (loan_id) WHERE rd = 1 GROUP BY 1""")
-def _(fx):
-    """Hazard at each loan's last month up to the cutoff against next-year payoffs."""
-    from tideline.plans.forecasts import rolling_forecast
-
-    scored = fx.loan.withColumn("age", periods.months_between_ym("orig_ym", "yyyymm")).withColumn(
-        "h", rates.sigmoid(-4.5 + 0.6 * (F.col("note_rate") - 6) + 0.01 * F.col("age")))
-    return rnd(rolling_forecast(scored, cutoff_year=1998), 4)
-
-
 @query("E29_discount_share", "f_price", f"""
 SELECT coupon, yyyymm, {R("avg(CASE WHEN price < 97.75 THEN 1.0 ELSE 0 END) OVER (PARTITION BY yyyymm)")} AS discount_share FROM f_price""")
 def _(fx):

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tideline.functions import rates
+
 PIVOT_TOL = 1e-10
 
 
@@ -246,3 +248,34 @@ def one_sample_t(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:
     v = F.col(value)
     out = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
     return out.withColumn("t", F.try_divide(F.col("mean"), F.nullif(F.col("std") / F.sqrt("n"), F.lit(0.0))))
+
+
+def logit_fit(df: DataFrame, y: str, xs: list[str], weight: str | None = None, steps: int = 12) -> list[float]:
+    """Intercept and slopes of a (weighted) logistic regression by Newton steps.
+
+    Each step is one aggregation of k(k+3)/2 sums over the rows and a k x k solve
+    on the driver. Pass rows that are cheap to read again, on comparable scales.
+    """
+    import numpy as np
+
+    k = len(xs) + 1
+    w = F.col(weight) if weight else F.lit(1.0)
+    beta = np.zeros(k)
+    for _ in range(steps):
+        z = F.lit(float(beta[0]))
+        for b, x in zip(beta[1:], xs):
+            z = z + F.lit(float(b)) * F.col(x)
+        row = df.select(F.array(F.lit(1.0), *[F.col(x).cast("double") for x in xs]).alias("_x"), F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"), rates.sigmoid(z).alias("_p"))
+        at = lambda i: F.col("_x")[i]
+        curve = F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = row.agg(
+            *[F.sum(F.col("_w") * (F.col("_y") - F.col("_p")) * at(i)) for i in range(k)],
+            *[F.sum(curve * at(i) * at(j)) for i, j in pairs]).first()
+        if sums[0] is None:
+            raise ValueError("no rows to fit")
+        hess = np.zeros((k, k))
+        for (i, j), v in zip(pairs, sums[k:]):
+            hess[i, j] = hess[j, i] = v
+        beta = beta + np.linalg.solve(hess, np.array(sums[:k]))
+    return [float(b) for b in beta]

@@ -19,34 +19,90 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions import rates
 from tideline.functions.cashflow import let, mean
-from tideline.operators import ordering, selection, sequences
+from tideline.operators import ordering, regression, selection, sequences
 from tideline.session import cut_lineage
 
 
-def hazard_pipeline(features: list[str], kind: str = "logistic", label: str = "y", weight: str = "weight") -> Pipeline:
-    """Assembler plus classifier on person-period rows."""
+def hazard_pipeline(features: list[str], kind: str = "logistic", label: str = "y", weight: str = "weight", rounds: int = 300) -> Pipeline:
+    """Assembler plus classifier on person-period rows; ``rounds`` of boosting."""
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error")
     if kind == "logistic":
         model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=100, regParam=0.0)
     elif kind == "boosted":
-        model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=20, maxDepth=3, seed=42)
+        model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=6, seed=42)
     else:
         raise ValueError(kind)
     return Pipeline(stages=[vec, model])
 
 
+class HazardIndex:
+    """A fitted and calibrated linear hazard index: raw-scale coefficients per
+    feature, training means, and the Platt map that was folded into them."""
+
+    def __init__(self, features: list[str], intercept: float, coef: dict[str, float], means: dict[str, float], standard: list[float], platt: tuple[float, float]):
+        self.features, self.intercept, self.coef, self.means, self.standard, self.platt = features, intercept, coef, means, standard, platt
+
+    def index(self, overrides: dict[str, Column] | None = None) -> Column:
+        """Calibrated logit of the monthly hazard of a row with the features."""
+        z = F.lit(self.intercept)
+        for f in self.features:
+            z = z + F.lit(self.coef[f]) * (overrides or {}).get(f, F.col(f))
+        return z
+
+    def cell(self) -> dict[str, float]:
+        """Index of a (month, coupon) cell in incentive and age, the other features
+        at their training means."""
+        rest = sum(self.coef[f] * self.means[f] for f in self.features if f not in ("refi_incentive", "loan_age"))
+        return {"intercept": self.intercept + rest, "incentive": self.coef["refi_incentive"], "age": self.coef["loan_age"]}
+
+    def save(self, spark, path: str) -> None:
+        rows = [("", self.intercept, 0.0, self.standard[0])] + [(f, self.coef[f], self.means[f], b) for f, b in zip(self.features, self.standard[1:])]
+        rows.append(("platt", self.platt[0], self.platt[1], 0.0))
+        spark.createDataFrame(rows, "feature string, coef double, mean double, standard double").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, features: list[str]) -> "HazardIndex":
+        rows = {r["feature"]: r for r in spark.read.parquet(path).collect()}
+        standard = [rows[""]["standard"], *[rows[f]["standard"] for f in features]]
+        return cls(features, rows[""]["coef"], {f: rows[f]["coef"] for f in features}, {f: rows[f]["mean"] for f in features}, standard, (rows["platt"]["coef"], rows["platt"]["mean"]))
+
+
+def fit_index(steps: DataFrame, observed: DataFrame, features: list[str]) -> HazardIndex:
+    """Logistic hazard on weighted person-period rows, calibrated by Platt's map
+    on all observed steps, as one linear index.
+
+    Both inputs are read once per Newton step, so they are checkpointed; a flat
+    feature gets no weight.
+    """
+    rows = cut_lineage(selection.person_period_weights(steps).select(*features, F.col("y").cast("double").alias("y"), "weight"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("w"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    mean = {f: float(stats[f"m_{f}"]) for f in features}
+    sd = {f: float(stats[f"s_{f}"]) for f in features}
+    used = [f for f in features if sd[f] > 0]
+    unit = rows.select("y", (F.col("weight") / stats["w"]).alias("w"), *[((F.col(f) - mean[f]) / sd[f]).alias(f) for f in used])
+    beta = dict(zip(["", *used], regression.logit_fit(unit, "y", used, "w")))
+    raw = {f: beta.get(f, 0.0) / sd[f] if sd[f] > 0 else 0.0 for f in features}
+    start = beta[""] - sum(raw[f] * mean[f] for f in features)
+    z = F.lit(start)
+    for f in features:
+        z = z + F.lit(raw[f]) * F.col(f)
+    steps_z = cut_lineage(observed.select(z.alias("z"), F.col("y").cast("double").alias("y")))
+    b, a = regression.logit_fit(steps_z, "y", ["z"])
+    return HazardIndex(features, a * start + b, {f: a * raw[f] for f in features}, mean, [beta[""], *[beta.get(f, 0.0) for f in features]], (a, b))
+
+
 def score(model, df: DataFrame, name: str = "p") -> DataFrame:
     """Event probability column; everything else unchanged."""
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
     return out.drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def fit_hazard(steps: DataFrame, features: list[str], kind: str = "logistic"):
+def fit_hazard(steps: DataFrame, features: list[str], kind: str = "logistic", rounds: int = 300):
     """Fit on weighted person-period rows (half-and-half batch in expectation)."""
     train = selection.person_period_weights(steps)
     total = train.agg(F.avg("weight"))
     scaled = train.withColumn("_m", total.scalar()).withColumn("weight", F.col("weight") / F.col("_m")).drop("_m")
-    return hazard_pipeline(features, kind).fit(scaled.select(*features, "y", "weight"))
+    return hazard_pipeline(features, kind, rounds=rounds).fit(scaled.select(*features, "y", "weight"))
 
 
 def evaluate_hazard(scored: DataFrame, labels: DataFrame, by: list[str] = [], hazard: str = "p") -> DataFrame:
@@ -55,7 +111,7 @@ def evaluate_hazard(scored: DataFrame, labels: DataFrame, by: list[str] = [], ha
     return ordering.auc(cdf.join(labels, "loan_id"), "cdf", "prepaid", by)
 
 
-def hazard_comparison(steps: DataFrame, split: DataFrame, features: list[str], kinds=("logistic", "boosted")) -> DataFrame:
+def hazard_comparison(steps: DataFrame, split: DataFrame, features: list[str], kinds=("logistic", "boosted"), rounds: int = 300) -> DataFrame:
     """Fit each kind on the train loans and report its held-out AUC.
 
     Trainers pass over their input many times, so it is checkpointed once.
@@ -64,7 +120,7 @@ def hazard_comparison(steps: DataFrame, split: DataFrame, features: list[str], k
     train, test = tagged.filter("split = 'train'"), tagged.filter("split = 'test'")
     scored = None
     for kind in kinds:
-        rows = score(fit_hazard(train, features, kind), test).select(F.lit(kind).alias("model"), "loan_id", "t", "p")
+        rows = score(fit_hazard(train, features, kind, rounds), test).select(F.lit(kind).alias("model"), "loan_id", "t", "p")
         scored = rows if scored is None else scored.unionByName(rows)
     return evaluate_hazard(scored, split.select("loan_id", "prepaid"), ["model"])
 
@@ -90,9 +146,16 @@ def apply_platt(df: DataFrame, params: DataFrame, score_col: str, target: str, n
     return out.withColumn(name, rates.platt(score_col, same, F.col("_pl.b"))).drop("_pl")
 
 
-def snapshot_models(tagged: DataFrame, feature_sets: dict[str, list[str]], label: str = "prepaid") -> DataFrame:
+SNAPSHOT_KINDS = ("logistic", "random_forest", "boosted_trees", "perceptron")
+
+
+def snapshot_models(
+    tagged: DataFrame, feature_sets: dict[str, list[str]], label: str = "prepaid", kinds: tuple[str, ...] = SNAPSHOT_KINDS,
+    trees: int = 200, rounds: int = 300, depth: int = 6, min_leaf: int = 50, layers: tuple[int, ...] = (128, 64),
+) -> DataFrame:
     """Class-balanced classifiers on one row per loan and their test AUC, per
-    feature set. ``tagged`` carries a train/test ``split`` column."""
+    feature set. ``tagged`` carries a train/test ``split`` column. The sizes of
+    forest, boosting and net are parameters."""
     frac = tagged.filter("split = 'train'").agg(F.avg(F.col(label).cast("double")))
     w = F.when(F.col(label) == 1, 0.5 / F.col("_p")).otherwise(0.5 / (1 - F.col("_p")))
     rows = cut_lineage(tagged.withColumn("_p", frac.scalar()).withColumn("w", w).drop("_p"))
@@ -103,19 +166,18 @@ def snapshot_models(tagged: DataFrame, feature_sets: dict[str, list[str]], label
             VectorAssembler(inputCols=features, outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
         ]).fit(train)
-        tr, te = prep.transform(train).select("_x", label, "w").cache(), prep.transform(test).select("_x", label)
+        tr, te = cut_lineage(prep.transform(train).select("_x", label, "w")), prep.transform(test).select("_x", label)
         common = dict(featuresCol="_x", labelCol=label)
         models = {
-            "logistic": LogisticRegression(weightCol="w", maxIter=100, **common),
-            "random_forest": RandomForestClassifier(weightCol="w", numTrees=20, maxDepth=5, seed=42, **common),
-            "boosted_trees": GBTClassifier(weightCol="w", maxIter=10, maxDepth=3, seed=42, **common),
-            "perceptron": MultilayerPerceptronClassifier(layers=[len(features), 8, 2], maxIter=50, seed=42, **common),
+            "logistic": LogisticRegression(weightCol="w", maxIter=500, tol=1e-12, **common),
+            "random_forest": RandomForestClassifier(weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=42, **common),
+            "boosted_trees": GBTClassifier(weightCol="w", maxIter=rounds, maxDepth=depth, seed=42, **common),
+            "perceptron": MultilayerPerceptronClassifier(layers=[len(features), *layers, 2], maxIter=50, seed=42, **common),
         }
-        for name, est in models.items():
-            p = score(est.fit(tr), te).select(
+        for name in kinds:
+            p = score(models[name].fit(tr), te).select(
                 F.lit(set_name).alias("features"), F.lit(name).alias("model"), "p", label)
             scored = p if scored is None else scored.unionByName(p)
-        tr.unpersist()
     return ordering.auc(scored, "p", label, ["features", "model"])
 
 
@@ -190,14 +252,10 @@ def population_forecast(
         (F.sum(F.col("upb") * F.col("cpr")) / F.sum("upb")).alias("forecast_cpr"))
 
 
-def score_grid(base: DataFrame, axes: dict[str, list[float]], weights: dict[str, float], intercept: float) -> DataFrame:
-    """Response sweep: every combination of the axes with the other features
-    held at the one-row ``base``."""
+def score_grid(base: DataFrame, axes: dict[str, list[float]], model: HazardIndex) -> DataFrame:
+    """Response sweep of a fitted index: every combination of the axes with the
+    other features held at the one-row ``base``."""
     from tideline.operators import joins
 
-    g = joins.grid(base, **axes)
-    z = F.lit(float(intercept))
-    for name, w in weights.items():
-        z = z + F.lit(float(w)) * F.col(name)
-    h = rates.sigmoid(z)
-    return g.withColumn("hazard", h).withColumn("cpr", rates.smm_to_cpr(h))
+    h = rates.sigmoid(model.index())
+    return joins.grid(base, **axes).withColumn("hazard", h).withColumn("cpr", rates.smm_to_cpr(h))
