@@ -36,9 +36,12 @@ from tideline.llm.frames import staged, texts
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
-GROUPS = 128
+GROUPS = 256
 LEAF = 16
 BLOCK = 2048
+BRIDGES = 64
+#: Counts are kept in 16 bits; larger sets pass every bound and go straight to verification.
+MOST_COUNTED = (1 << 16) - 1
 #: J = part / whole; two sets link when WHOLE * overlap >= PART * union.
 PART, WHOLE = 80, 100
 
@@ -123,7 +126,7 @@ class CountTree:
         near = (WHOLE * self.most[node] >= PART * size) & (PART * self.least[node] <= WHOLE * size)
         q, node, size = q[near], node[near], size[near]
         bound = np.minimum(self.points[q], self.high[node]).sum(1, dtype=np.int64)
-        keep = (WHOLE + PART) * bound >= PART * (size + self.least[node])
+        keep = ((WHOLE + PART) * bound >= PART * (size + self.least[node])) | (size > MOST_COUNTED)
         at = np.flatnonzero(near)
         return at[keep]
 
@@ -152,13 +155,18 @@ class CountTree:
     def _pairs(self, a: np.ndarray, b: np.ndarray):
         near = can_link(self.sizes[a], self.sizes[b])
         a, b = a[near], b[near]
-        bound = np.empty(len(a), np.int64)
-        for at in range(0, len(a), 65536):
-            bound[at : at + 65536] = np.minimum(self.points[a[at : at + 65536]], self.points[b[at : at + 65536]]).sum(1, dtype=np.int64)
-        keep = (WHOLE + PART) * bound >= PART * (self.sizes[a] + self.sizes[b])
+        bound, keep = bounded(self.points, self.sizes, a, b)
         return a[keep], b[keep], bound[keep]
 
 
+def bounded(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the smaller counts of pairs of points, and which pairs may still link."""
+    bound = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 32768):
+        bound[at : at + 32768] = np.minimum(points[a[at : at + 32768]], points[b[at : at + 32768]]).sum(1, dtype=np.int64)
+    return bound, ((WHOLE + PART) * bound >= PART * (sizes[a] + sizes[b])) | (np.maximum(sizes[a], sizes[b]) > MOST_COUNTED)
+
+
 def can_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return WHOLE * np.minimum(a, b) >= PART * np.maximum(a, b)
 
@@ -260,17 +268,11 @@ def _nodes(docs: DataFrame, size: int, sketch) -> DataFrame:
                 most = n - (PART * n + WHOLE - 1) // WHOLE + 1
                 prefix = value[order][np.arange(len(value)) - begin[text] < most[text]]
                 ends = np.concatenate([[0], np.cumsum(most[some])])
-                scale = np.zeros(len(value), np.uint64)
-                for bit in range(1, 21):
-                    scale += (often >> np.uint64(bit) > 0).astype(np.uint64)
-                minima = []
-                for k in range(4):
-                    key = (scale << np.uint64(58)) | (tb.mix(value + np.uint64(k + 1)) >> np.uint64(6))
-                    minima.append(np.minimum.reduceat(key, begin[:-1][some]))
+                minima = [np.minimum.reduceat(tb.mix(value + np.uint64(k + 1)), begin[:-1][some]) for k in range(4)]
                 minima = tb.mix(np.stack(minima, 1) + np.arange(4, dtype=np.uint64)).view(np.int64)
                 cell = text * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64)
                 points = np.bincount(cell, minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
-                points = points.astype("<u4")[some]
+                points = np.minimum(points, MOST_COUNTED).astype("<u2")[some]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(n[some]), pa.array(digests(value, begin).view(np.int64)[some]),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64))),
@@ -303,7 +305,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _points(cells) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), "<u4").reshape(-1, GROUPS).astype(np.int32)
+    return np.frombuffer(b"".join(cells), "<u2").reshape(-1, GROUPS).astype(np.int32)
 
 
 def _first_links(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -311,34 +313,36 @@ def _first_links(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     by_key = nodes.select("node", F.explode("minima").alias("key"))
     shared = by_key.withColumn("_least", F.min("node").over(W.partitionBy("key"))).filter(F.col("_least") < F.col("node")).select(F.col("_least").alias("a"), F.col("node").alias("b"))
     family = components(shared)
-    sized = family.join(nodes.select("node", "_id", "n", "point"), "node")
-    # families of any size are cut along the set size, so that a block is bounded
-    counts = family.groupBy("label").agg(F.count(F.lit(1)).alias("_many"))
-    blocked = _cut_by_size(sized.join(counts, "label"))
+    sized = staged(family.join(nodes.select("node", "_id", "n", "point"), "node"), "families")
     sets = _sets_of(docs, sized.select("node", "_id"), size)
-    rows = blocked.join(sets, "node").select("label", "_cut", "node", "point", "values")
+    rows = sized.select("node", "label", "n", "point").join(sets, "node")
+    rows = _cuts(sized.select("node", "label", "n")).join(rows.drop("label", "n"), "node")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
         sets = [np.frombuffer(v, np.uint64) for v in frame["values"]]
-        _, made = block_links(sets, _points(frame["point"]), np.arange(len(sets)))
+        _, made = block_links(sets, _points(frame["point"]), np.arange(len(sets)))  # a node comes once to a block
         node = frame["node"].to_numpy()
         a, b = (np.array(x, np.int64) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 2
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    return rows.groupBy("label", "_cut").applyInPandas(work, "a long, b long")
+    return rows.groupBy("label", "_step", "_cut").applyInPandas(work, "a long, b long").distinct()
 
 
-def _cut_by_size(rows: DataFrame) -> DataFrame:
-    """Adds ``_cut``: families above a block are cut by set size (in twentieths of its logarithm) and, if one size is still too
-    frequent, by a hash. Pairs across a cut are left to the second round."""
-    step = F.floor(F.log("n") * 20)
-    coarse = F.when(F.col("_many") > BLOCK, step).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("_step", coarse)
-    sizes = rows.groupBy("label", "_step").agg(F.count(F.lit(1)).alias("_here"))
-    rows = rows.join(sizes, ["label", "_step"])
-    fine = F.pmod(F.xxhash64("node"), F.ceil(F.col("_here") / BLOCK))
-    return rows.withColumn("_cut", F.concat_ws(".", "_step", fine))
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Blocks ``label, _step, _cut`` of every node. A family above a block is cut by set size (in twentieths of its logarithm) and,
+    where one size is still too frequent, by a hash. A few nodes of each step come to all cuts of it and of the next, so that the
+    parts of a large group of near copies meet. Other pairs across a cut are left to the second round."""
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_many"))
+    step = F.when(F.col("_many") > BLOCK, F.floor(F.log("n") * 20)).otherwise(F.lit(0)).cast("long")
+    rows = rows.join(counts, "label").select("node", "label", step.alias("_step"))
+    steps = rows.groupBy("label", "_step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_cuts"))
+    order = W.partitionBy("label", "_step").orderBy(F.xxhash64("node"), "node")
+    few = rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= BRIDGES)
+    few = few.select("node", "label", F.explode(F.array("_step", F.col("_step") + 1)).alias("_step"))
+    own = rows.join(steps, ["label", "_step"]).select("node", "label", "_step", F.pmod(F.xxhash64("node"), F.col("_cuts")).alias("_cut"))
+    bridges = few.join(steps, ["label", "_step"]).select("node", "label", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_cut"))
+    return own.unionByName(bridges).distinct()
 
 
 def _open_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -373,8 +377,7 @@ def _open_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         keep = (label[a] != label[b]) & can_link(size[a], size[b]) & ~(cross[a] & (first[a] == first[b]))
         a, b = a[keep], b[keep]
-        bound = np.concatenate([np.minimum(points[a[i : i + 65536]], points[b[i : i + 65536]]).sum(1) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
-        keep = (WHOLE + PART) * bound >= PART * (size[a] + size[b])
+        _, keep = bounded(points, size, a, b)
         return node[a[keep]], node[b[keep]]
 
     def work(frames):
