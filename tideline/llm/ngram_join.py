@@ -287,9 +287,9 @@ def _nodes(docs: DataFrame, size: int, sketch) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, values`` (binary) of the wanted ``node, _id`` rows, from the whole texts.
 
-    A table of at most 2^16 hash buckets of the wanted ids thins the texts before they move.
+    A table of at most 2^18 hash buckets of the wanted ids thins the texts before they move.
     """
-    buckets = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 16))
+    buckets = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18))
     few = F.broadcast(wanted.select(buckets("_id").alias("_bucket")).distinct())
     near = docs.withColumn("_bucket", buckets("_id")).join(few, "_bucket", "left_semi").drop("_bucket")
     rows = near.join(wanted.select("_id").distinct(), "_id").select("_text")
@@ -313,10 +313,18 @@ def _first_links(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     by_key = nodes.select("node", F.explode("minima").alias("key"))
     shared = by_key.withColumn("_least", F.min("node").over(W.partitionBy("key"))).filter(F.col("_least") < F.col("node")).select(F.col("_least").alias("a"), F.col("node").alias("b"))
     family = components(shared)
-    sized = staged(family.join(nodes.select("node", "_id", "n", "point"), "node"), "families")
-    sets = _sets_of(docs, sized.select("node", "_id"), size)
-    rows = sized.select("node", "label", "n", "point").join(sets, "node")
-    rows = _cuts(sized.select("node", "label", "n")).join(rows.drop("label", "n"), "node")
+    sized = family.join(nodes.select("node", "n"), "node")
+    blocks = staged(_cuts(sized).join(nodes.select("node", "point", "n"), "node"), "families")
+    key = ["label", "_step", "_cut"]
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        points, size, node = _points(frame["point"]), frame["n"].to_numpy(), frame["node"].to_numpy()
+        a, _, _ = CountTree(points, size).candidates(np.arange(len(node)))
+        return pd.DataFrame({"node": node[np.unique(a)]})
+
+    # only nodes that the bound leaves with a partner need their sets
+    wanted = staged(blocks.groupBy(*key).applyInPandas(near, "node long").distinct().join(nodes.select("node", "_id"), "node"), "near-nodes")
+    rows = blocks.join(_sets_of(docs, wanted, size), "node").select(*key, "node", "point", "values")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
@@ -326,7 +334,7 @@ def _first_links(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         a, b = (np.array(x, np.int64) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 2
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    return rows.groupBy("label", "_step", "_cut").applyInPandas(work, "a long, b long").distinct()
+    return rows.groupBy(*key).applyInPandas(work, "a long, b long").distinct()
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
@@ -345,11 +353,29 @@ def _cuts(rows: DataFrame) -> DataFrame:
     return own.unionByName(bridges).distinct()
 
 
+def _partnered(nodes: DataFrame) -> DataFrame:
+    """``key, node`` rows of prefix shingles that some other node shares at a size and place where the two can still link.
+
+    A set of n shingles whose shared shingle stands at place i of its order has at most n - i more in common with the other, so
+    the other has at most (5 n - 9 i) / 4 shingles (for 0.8). Both ends of a linked pair see this at their first common shingle;
+    of the rows of a shingle, ordered by size, a row stays if the next larger one is small enough for it, or if it is small
+    enough for one of the smaller ones.
+    """
+    whole, part = WHOLE + PART, PART
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("_at", "key"))
+    limit = F.floor(((whole - part) * F.col("n") - whole * F.col("_at")) / part)
+    rows = rows.select("key", "node", "n", limit.alias("_limit"))
+    order = W.partitionBy("key").orderBy("n", "node")
+    larger = F.lead("n").over(order)
+    allowed = F.max("_limit").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("_larger", larger).withColumn("_allowed", allowed)
+    return marked.filter((F.col("_larger") <= F.col("_limit")) | (F.col("_allowed") >= F.col("n")))
+
+
 def _open_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of nodes in different components that share a prefix shingle and pass the bound."""
     by_key = W.partitionBy("key")
-    shared = nodes.select("node", F.explode("prefix").alias("key")).withColumn("_lo", F.min("node").over(by_key)).withColumn("_hi", F.max("node").over(by_key))
-    shared = staged(shared.filter("_lo < _hi").select("key", "node"), "shared-shingles")
+    shared = staged(_partnered(nodes).select("key", "node"), "shared-shingles")
     told = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = told.withColumn("_lo", F.min("label").over(by_key)).withColumn("_hi", F.max("label").over(by_key)).withColumn("_many", F.count(F.lit(1)).over(by_key)).filter("_lo < _hi")
     blocks = F.ceil(F.col("_many") / BLOCK)
