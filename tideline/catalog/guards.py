@@ -8,26 +8,31 @@ from tideline.catalog.olssql import ols_sql
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import LABELS, labels
 from tideline.catalog.sequences import STEPS, event
-from tideline.catalog.statistics import HPB, MAPCELL, PRICE_VIEWS, asof_line, basis, hedge_rows
-from tideline.catalog.survival import AGE_KEY, FVR, STATE, by_age, forecast_realized, speeds_sql
+from tideline.catalog.pricesql import V
+from tideline.catalog.statistics import HPB, MAPCELL, asof_line, hedge_rows
+from tideline.catalog.survival import AGE_KEY, STATE, WEIGHT, by_age, forecast_realized, speeds_sql
 from tideline.functions import rates
 from tideline.operators import joins, quality, regression, sequences, survival
 from tideline.plans import mapping
 
 
-@query("N1_spread_convention", "f_forecast", "SELECT 0.5::DOUBLE AS min_offset, 0.5::DOUBLE AS max_offset, count(*) > 0 AS ok FROM f_forecast")
+@query("N1_spread_convention", "f_loan f_price", f"""WITH {STATE}, {WEIGHT}, c AS (SELECT DISTINCT cb AS note, round(cb - 0.5, 2) AS coupon FROM w WHERE cb IS NOT NULL), p AS (SELECT DISTINCT coupon FROM f_price),
+j AS (SELECT note, p.coupon, round(note - p.coupon, 2) AS off FROM c JOIN p ON p.coupon = c.coupon)
+SELECT min(off)::DOUBLE AS min_offset, max(off)::DOUBLE AS max_offset, count(*) > 0 AND min(off) = 0.5 AND max(off) = 0.5 AS ok FROM j""")
 def _(fx):
-    df = fx.forecast.withColumn("note_rate", F.col("coupon") + rates.SERVICING_SPREAD)
+    """Note-rate buckets of the loan panel against the coupons that are priced."""
+    notes = survival.realized_cpr_balance(fx.loan).select(F.col("coupon_bucket").alias("note_rate")).distinct()
+    df = notes.withColumn("coupon", rates.implied_coupon("note_rate")).join(F.broadcast(fx.price.select("coupon").distinct()), "coupon")
     return quality.require(quality.spread_convention(df), quality.spread_ok(0.5), "note rate minus coupon is not 0.50")
 
 
-@query("N2_alignment_guard", PRICE_VIEWS, f"""{HPB}, a AS (SELECT (dy2+dy5+dy10)/3 AS x, d_level AS y FROM hp) SELECT {R("corr(x, y)")} AS corr, {R("max(abs(x-y))")} AS max_err, {R("stddev_samp(y)")} AS sd, count(*) AS n, corr(x, y) >= 0.95 AND max(abs(x-y)) <= 0.5*stddev_samp(y) AS ok FROM a""")
+@query("N2_alignment_guard", V, f"""{HPB}, a AS (SELECT (dy2+dy5+dy10)/3 AS x, d_level AS y FROM hp) SELECT {R("corr(x, y)")} AS corr, {R("max(abs(x-y))")} AS max_err, {R("stddev_samp(y)")} AS sd, count(*) AS n, corr(x, y) >= 0.95 AND max(abs(x-y)) <= 0.5*stddev_samp(y) AS ok FROM a""")
 def _(fx):
     df = hedge_rows(fx).withColumn("rebuilt", (F.col("dy2") + F.col("dy5") + F.col("dy10")) / 3)
     return rnd(quality.require(quality.alignment(df, "rebuilt", "d_level"), quality.alignment_ok(), "rate changes are misaligned with the panel"))
 
 
-@query("N3_positive_control", PRICE_VIEWS, f"""{HPB}, u AS (SELECT dy2, total_return - income AS unh FROM hp WHERE coupon = (SELECT min(coupon) FROM hp)) SELECT n, {R("t_dy2", 5)} AS t, abs(t_dy2) > 2 AS ok FROM {ols_sql("u", "unh", ["dy2"])}""")
+@query("N3_positive_control", V, f"""{HPB}, u AS (SELECT dy2, total_return - income AS unh FROM hp WHERE coupon = (SELECT min(coupon) FROM hp)) SELECT n, {R("t_dy2", 5)} AS t, abs(t_dy2) > 2 AS ok FROM {ols_sql("u", "unh", ["dy2"])}""")
 def _(fx):
     """The unhedged return of the lowest coupon should load on rates."""
     df = hedge_rows(fx)
@@ -49,8 +54,9 @@ def _(fx):
 
 
 @query("N6_partition_reconcile", "f_loan", f"""WITH {STATE}, {AGE_KEY}, byage AS ({speeds_sql("age_group,", raw=True)}), tot AS ({speeds_sql("", raw=True)}),
-m AS (SELECT t.upb_atrisk AS a, g.a AS b FROM tot t JOIN (SELECT coupon_bucket, yyyymm, sum(upb_atrisk) AS a FROM byage GROUP BY 1, 2) g USING (coupon_bucket, yyyymm))
-SELECT (SELECT count(*) FROM m) AS n_cells, {R("(SELECT max(abs(a-b)) FROM m)", 3)} AS max_abs_diff, {R("(SELECT sum(upb_prepay) FILTER (age_group >= 0)/sum(upb_prepay) FROM byage)")} AS mass_in_levels, true AS ok""")
+m AS (SELECT t.upb_atrisk AS a, g.a AS b FROM tot t JOIN (SELECT coupon_bucket, yyyymm, sum(upb_atrisk) AS a FROM byage GROUP BY 1, 2) g USING (coupon_bucket, yyyymm)),
+r AS (SELECT (SELECT count(*) FROM m) AS n_cells, (SELECT max(abs(a-b)) FROM m) AS gap, (SELECT sum(upb_prepay) FILTER (age_group >= 0)/sum(upb_prepay) FROM byage) AS mass)
+SELECT n_cells, {R("gap", 3)} AS max_abs_diff, {R("mass")} AS mass_in_levels, gap < 1.0 AND mass > 0.99 AS ok FROM r""")
 def _(fx):
     """Age levels must add up to the total, and the prepaid balance must sit in
     real levels (a sum test alone misses a broken association)."""
@@ -79,7 +85,8 @@ def _(fx):
 
 @query("N8_negative_slope_refused", "f_loan f_forecast", f"{MAPCELL}, {asof_line('lx', 'ly', 'lf', 24)} SELECT count(*) AS n_fits, {R('min(b)', 5)} AS min_slope, count(*) FILTER (b <= 0) AS n_refused FROM lf")
 def _(fx):
-    fit = mapping.fit_asof(forecast_realized(fx), min_months=24)
+    """Every as-of fit passes the guard, which stops the job at a slope that is not positive."""
+    fit = mapping.refuse_negative_slope(mapping.fit_asof(forecast_realized(fx), min_months=24))
     return rnd(fit.agg(F.count(F.lit(1)).alias("n_fits"), F.min("b").alias("min_slope"), F.count_if(F.col("b") <= 0).alias("n_refused")), 5)
 
 

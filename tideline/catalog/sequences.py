@@ -45,19 +45,16 @@ NAMES = ", ".join(sequences.FEATURES)
 
 
 @query("F2_build_sequences", "f_loan f_market_rate f_hpi", f"""WITH {FEAT},
-s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY yyyymm) AS r FROM ft WHERE fico IS NOT NULL AND current_ltv IS NOT NULL AND refi_incentive IS NOT NULL)
-SELECT loan_id, count(*) AS n_steps, 33 - count(*) AS n_padded, max(prepaid)::DOUBLE AS label, coalesce(min(CASE WHEN zbc = 1 THEN r - 1 END), -1) AS event_step,
- {R("sum(r*(refi_incentive+fico+original_ltv+current_ltv+loan_age+dti+purpose_enc+property_enc))", 4)} AS checksum FROM s WHERE r <= 33 GROUP BY 1""")
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY yyyymm) AS r FROM ft WHERE {" AND ".join(f"{f} IS NOT NULL" for f in sequences.FEATURES)}),
+g AS (SELECT loan_id, max(prepaid)::DOUBLE AS label, coalesce(min(CASE WHEN zbc = 1 THEN r - 1 END), -1) AS event_step FROM s WHERE r <= 33 GROUP BY 1),
+x AS (SELECT g.loan_id, label, event_step, t FROM g, (SELECT unnest(range(0, 33)) AS t))
+SELECT x.loan_id, label, event_step, CAST(x.t AS BIGINT) AS t, r IS NOT NULL AS mask, {", ".join(f"{R(f'coalesce({f}, 0)', 4)} AS {f}" for f in sequences.FEATURES)} FROM x LEFT JOIN s ON s.loan_id = x.loan_id AND s.r = x.t + 1""")
 def _(fx):
-    """Padded feature matrix per loan, reported through its mask and a checksum
-    that weighs each step by its position."""
+    """Padded nine-feature matrix and mask of every loan, one row per step."""
     seq = sequences.build_sequences(features(fx), sequences.FEATURES, event(), dtype="double")
-    body = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) - x[4].cast("double")
-    check = F.aggregate(
-        F.sequence(F.lit(1), F.size("seq")), F.lit(0.0), lambda acc, i: acc + i * body(F.element_at("seq", i)))
-    return rnd(seq.select(
-        "loan_id", "n_steps", F.size(F.filter("mask", lambda m: ~m)).alias("n_padded"), "label", "event_step",
-        check.alias("checksum")), 4)
+    rows = seq.select("loan_id", "label", "event_step", F.posexplode(F.arrays_zip("mask", "seq")).alias("t", "s"))
+    cells = [F.col("s.seq")[i].alias(f) for i, f in enumerate(sequences.FEATURES)]
+    return rnd(rows.select("loan_id", "label", "event_step", "t", "s.mask", *cells), 4)
 
 
 @query("F3_event_step", "f_loan", f"WITH {STEPS} SELECT loan_id, min(t) AS event_step FROM k WHERE zbc = 1 GROUP BY 1")

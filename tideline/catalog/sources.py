@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.survival import SPEED_COLS, STATE, WEIGHT, speeds_sql, tidy
 from tideline.functions import periods, rates
+from tideline.functions.curves import TENORS
 from tideline.operators import survival
 from tideline.session import run_dir
 from tideline.sources import series, shards, vintages
@@ -70,30 +71,29 @@ def _(fx):
 @query("A6_hpi_wide_to_long", "f_hpi", f"SELECT zip3 // 10 AS zip3, yyyymm, {R('avg(hpi)', 9)} AS hpi FROM f_hpi GROUP BY 1, 2")
 def _(fx):
     """Wide file (a column per month) back to long; zips share a zip3 prefix."""
-    names = [f"{y}-{m:02d}-01" for y in range(1990, 2010) for m in range(1, 13)]
+    months = fx.hpi.agg(F.min("yyyymm"), F.max("yyyymm")).first()
+    names = [f"{y}-{m:02d}-01" for y in range(months[0] // 100, months[1] // 100 + 1) for m in range(1, 13)]
     zipcode = F.lpad(F.floor(F.col("zip3") / 10).cast("string"), 3, "0")
     region = F.concat(zipcode, F.lpad((F.col("zip3") % 10).cast("string"), 2, "0")).cast("bigint")
     wide = fx.hpi.select(region.alias("RegionName"), F.date_format(periods.yyyymm_to_date("yyyymm"), "yyyy-MM-dd").alias("m"), "hpi").groupBy("RegionName").pivot("m", names).agg(F.max("hpi"))
-    return rnd(series.hpi_wide_to_long(wide, from_year=1990), 9)
-
-
-COUPON_COLS = [f"FNCL {c}" for c in (2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5)]
+    return rnd(series.hpi_wide_to_long(wide, from_year=months[0] // 100), 9)
 
 
 @query("A7_scan_price_wide", "f_price", f"SELECT make_date(yyyymm//100, yyyymm%100, 1) AS date, yyyymm, coupon, {R('price', 9)} AS price FROM f_price")
 def _(fx):
     path = run_dir(fx.spark, "price")
-    wide = fx.price.select(periods.yyyymm_to_date("yyyymm").alias("Date"), F.concat(F.lit("FNCL "), F.col("coupon").cast("string")).alias("c"), "price").groupBy("Date").pivot("c", COUPON_COLS).agg(F.max("price"))
+    columns = [f"FNCL {r['coupon']}" for r in fx.price.select("coupon").distinct().orderBy("coupon").collect()]
+    wide = fx.price.select(periods.yyyymm_to_date("yyyymm").alias("Date"), F.concat(F.lit("FNCL "), F.col("coupon").cast("string")).alias("c"), "price").groupBy("Date").pivot("c", columns).agg(F.max("price"))
     series.sink_table(wide, path, "csv")
-    back = series.scan_csv(fx.spark, path, "Date date, " + ", ".join(f"`{c}` double" for c in COUPON_COLS))
+    back = series.scan_csv(fx.spark, path, "Date date, " + ", ".join(f"`{c}` double" for c in columns))
     return rnd(series.price_wide_to_long(back), 9)
 
 
-@query("A8_scan_curve", "f_curve_daily", "SELECT d, y2, y5, y10 FROM f_curve_daily")
+@query("A8_scan_curve", "f_curve_daily", f"SELECT d, {', '.join(TENORS)} FROM f_curve_daily")
 def _(fx):
     path = run_dir(fx.spark, "curve")
-    series.sink_table(fx.curve_daily.select("d", "y2", "y5", "y10"), path, "csv")
-    return series.scan_csv(fx.spark, path, "d date, y2 double, y5 double, y10 double")
+    series.sink_table(fx.curve_daily.select("d", *TENORS), path, "csv")
+    return series.scan_csv(fx.spark, path, "d date, " + ", ".join(f"{t} double" for t in TENORS))
 
 
 @query("A9_scan_params", "f_forecast", f"""WITH p AS (SELECT round(avg(forecast_cpr), 6) AS floor_, round(max(forecast_cpr), 6) AS sat FROM f_forecast)
@@ -116,7 +116,7 @@ def _(fx):
     series.sink_table(df, f"{path}/csv", "csv")
     series.sink_table(df, f"{path}/parquet")
     text = series.scan_csv(fx.spark, f"{path}/csv", "coupon double, yyyymm bigint, forecast_cpr double")
-    both = text.join(fx.spark.read.parquet(f"{path}/parquet").select("coupon", "yyyymm"), ["coupon", "yyyymm"], "left_semi")
+    both = text.join(fx.spark.read.parquet(f"{path}/parquet"), ["coupon", "yyyymm", "forecast_cpr"], "left_semi")
     return rnd(both, 9)
 
 

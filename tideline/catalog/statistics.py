@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tideline.catalog.olssql import ols_sql
+from tideline.catalog.pricesql import KRD, ME, POS, TENT, V, dur_sql, key_rate_durations, priced_sql
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import RET, excess
 from tideline.catalog.survival import AGE, FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
@@ -47,27 +48,24 @@ def rate_changes(fx):
     return m.withColumn("dpmms", series.diff("rate_30yr")).dropna(subset=["dpmms", "dy2"])
 
 
-HPB = f"""WITH {RET}, {BASIS}, hp AS (SELECT tr.coupon, tr.yyyymm, tr.mi, tr.total_return, cb.income, cb.d_level3 AS d_level, cb.d_slope3 AS d_slope, cb.d_curve3 AS d_curve, cb.dy1, cb.dy2, cb.dy5, cb.dy10, cb.dy30,
+HPB = f"""WITH {RET}, {BASIS}, {ME}, {POS}, {priced_sql(TENT)}, kr AS MATERIALIZED ({dur_sql(KRD)}), km AS (SELECT kr.*, f.mi FROM kr JOIN f_price f ON f.yyyymm = kr.yyyymm AND f.coupon = kr.coupon),
+ hp AS MATERIALIZED (SELECT tr.coupon, tr.yyyymm, tr.mi, tr.total_return, cb.income, cb.d_level3 AS d_level, cb.d_slope3 AS d_slope, cb.d_curve3 AS d_curve, cb.dy1, cb.dy2, cb.dy5, cb.dy10, cb.dy30,
    pm.rate_30yr AS pmms, k.krd2, k.krd5, k.krd10, k.krd2+k.krd5+k.krd10 AS dur_level, (k.krd10-k.krd2)/2 AS dur_slope, (2*k.krd5-k.krd2-k.krd10)/6 AS dur_curve,
    tr.total_return - cb.income + ((k.krd2+k.krd5+k.krd10)*cb.d_level3 + (k.krd10-k.krd2)/2*cb.d_slope3 + (2*k.krd5-k.krd2-k.krd10)/6*cb.d_curve3)/100 AS hedged
- FROM tr JOIN cb ON tr.yyyymm = cb.yyyymm JOIN cm c0 ON c0.mi = tr.mi - 1 JOIN f_market_rate pm ON pm.mi = tr.mi - 1,
- LATERAL (SELECT 0.3 + 0.05*(6.5-tr.coupon) + 0.01*c0.y2 AS krd2, 1.0 + 0.2*(6.5-tr.coupon) + 0.02*c0.y5 AS krd5, 0.8 + 0.3*(6.5-tr.coupon) + 0.03*c0.y10 AS krd10) k WHERE cb.d_level3 IS NOT NULL)"""
+ FROM tr JOIN cb ON tr.yyyymm = cb.yyyymm JOIN f_market_rate pm ON pm.mi = tr.mi - 1 JOIN km k ON k.coupon = tr.coupon AND k.mi = tr.mi - 1 WHERE cb.d_level3 IS NOT NULL)"""
 
 
 def hedge_rows(fx):
-    """Hedge panel in canonical columns, with durations linear in coupon and the
-    information month's yields (the priced panel is K7)."""
+    """Hedge panel in canonical columns, with the key-rate durations priced from
+    the information month's curve and the fitted model."""
     b = basis(fx)
-    info = b.select((F.col("mi") + 1).alias("mi"), F.col("y2").alias("i2"), F.col("y5").alias("i5"), F.col("y10").alias("i10"))
     pm = fx.market_rate.select((F.col("mi") + 1).alias("mi"), F.col("rate_30yr").alias("pmms"))
-    gap = 6.5 - F.col("coupon")
     now = b.select("mi", "income", F.col("d_level3").alias("d_level"), F.col("d_slope3").alias("d_slope"), F.col("d_curve3").alias("d_curve"), "dy1", "dy2", "dy5", "dy10", "dy30")
-    df = series.total_returns(fx.price).join(F.broadcast(now), "mi").join(F.broadcast(info), "mi").join(F.broadcast(pm), "mi")
-    df = df.filter(F.col("d_level").isNotNull()).withColumns({
-        "krd2": 0.3 + 0.05 * gap + 0.01 * F.col("i2"), "krd5": 1.0 + 0.2 * gap + 0.02 * F.col("i5"), "krd10": 0.8 + 0.3 * gap + 0.03 * F.col("i10")})
+    info = key_rate_durations(fx).join(fx.price.select("yyyymm", "coupon", "mi"), ["yyyymm", "coupon"]).select("coupon", (F.col("mi") + 1).alias("mi"), *KRD)
+    df = series.total_returns(fx.price).join(F.broadcast(now), "mi").join(F.broadcast(pm), "mi").join(info, ["coupon", "mi"])
     from tideline.plans.hedging import hedged_returns
 
-    return hedged_returns(df)
+    return hedged_returns(df.filter(F.col("d_level").isNotNull()))
 
 
 FACT = f"""{FVR}, fi AS (SELECT *, greatest(inc, 0) AS rl FROM fr), fg AS (SELECT yyyymm, mi, max(rate_30yr) AS rate_30yr, count(*) AS n, max(rl)-min(rl) AS rg, regr_slope(forecast_cpr, rl) AS sf, regr_intercept(forecast_cpr, rl) AS if_, avg(forecast_cpr) AS mf,
@@ -196,43 +194,6 @@ def mapping_cells(fx):
     return mapping.cells(forecast_realized(fx))
 
 
-SPECS3 = f"""{MAPCELL}, {asof_line('lx', 'ly', 'lf', 24)}, {asof_line('gx', 'gy', 'gf', 24)},
-os AS MATERIALIZED (SELECT 'identity' AS spec, mc.yyyymm, coupon, inc, cpr_upb AS real_cpr, upb_atrisk, forecast_cpr AS raw FROM mc JOIN lf USING (mi)
- UNION ALL SELECT 'logit', mc.yyyymm, coupon, inc, cpr_upb, upb_atrisk, 1/(1+exp(-(a+b*lx))) FROM mc JOIN lf USING (mi)
- UNION ALL SELECT 'loglog', mc.yyyymm, coupon, inc, cpr_upb, upb_atrisk, exp(a+b*gx) FROM mc JOIN gf USING (mi)),
-oo AS (SELECT *, least(greatest(raw, 1e-6), 1-1e-6) AS mapped, ln(real_cpr) - ln(least(greatest(raw, 1e-6), 1-1e-6)) AS le FROM os)"""
-THREE = ["identity", "logit", "loglog"]
-
-
-@query("E16_weighted_log_score", "f_loan f_forecast", f"""{SPECS3} SELECT spec, count(*) AS n, {R("sqrt(sum(upb_atrisk*le*le)/sum(upb_atrisk))", 5)} AS log_rmse, {R("sum(upb_atrisk*abs(le))/sum(upb_atrisk)", 5)} AS log_mae,
- {R("sum(upb_atrisk*abs(mapped-real_cpr))/sum(upb_atrisk)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1""")
-def _(fx):
-    oos = mapping.search(mapping_cells(fx), THREE, min_months=24)
-    return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]), 5)
-
-
-@query("E17_score_by_bucket_year", "f_loan f_forecast", f"""{SPECS3}, lb AS (SELECT *, CASE WHEN inc <= -2.5 THEN '<=-2.5' WHEN inc <= -1.5 THEN '-2.5..-1.5' WHEN inc <= -0.5 THEN '-1.5..-0.5' WHEN inc <= 0.5 THEN '-0.5..0.5' WHEN inc <= 1.5 THEN '0.5..1.5' ELSE '>1.5' END AS inc_bucket FROM oo)
-SELECT 'bucket' AS kind, inc_bucket AS slice, {", ".join(f"{R(f'''avg(le) FILTER (spec = '{s}')''', 5)} AS {s}" for s in THREE)} FROM lb GROUP BY 2 UNION ALL SELECT 'year', CAST(yyyymm//100 AS VARCHAR), {", ".join(f"{R(f'''sqrt(avg(le*le) FILTER (spec = '{s}'))''', 5)} AS {s}" for s in THREE)} FROM lb GROUP BY 2""")
-def _(fx):
-    oos = cut_lineage(mapping.search(mapping_cells(fx), THREE, min_months=24))
-    by_bucket = oos.groupBy(F.lit("bucket").alias("kind"), F.col("inc_bucket").alias("slice")).pivot("spec", THREE).agg(F.avg("log_err"))
-    e2 = F.col("log_err") * F.col("log_err")
-    year = F.floor(F.col("yyyymm") / 100).cast("string")
-    by_year = oos.groupBy(F.lit("year").alias("kind"), year.alias("slice")).pivot("spec", THREE).agg(F.sqrt(F.avg(e2)))
-    return rnd(by_bucket.unionByName(by_year), 5)
-
-
-@query("E18_variance_shares", "f_loan f_forecast", f"""{SPECS3}, v AS (SELECT spec, var_samp(le) AS v, count(*) AS n FROM oo GROUP BY 1),
-d AS (SELECT spec, var_samp(m) AS vm, avg(1.0/k) AS ik, count(*) AS g FROM (SELECT spec, yyyymm, avg(le) AS m, count(*) AS k FROM oo GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT spec, var_samp(m) AS vm, avg(1.0/k) AS ik, count(*) AS g FROM (SELECT spec, coupon, avg(le) AS m, count(*) AS k FROM oo GROUP BY 1, 2) GROUP BY 1)
-SELECT spec, {R("greatest(d.vm/v.v - d.ik*(1-1.0/d.g), 0)", 5)} AS time_share, {R("greatest(c.vm/v.v - c.ik*(1-1.0/c.g), 0)", 5)} AS coupon_share FROM v JOIN d USING (spec) JOIN c USING (spec)""")
-def _(fx):
-    oos = cut_lineage(mapping.search(mapping_cells(fx), THREE, min_months=24))
-    t = scoring.variance_share(oos, "log_err", "yyyymm", ["spec"], "time_share")
-    c = scoring.variance_share(oos, "log_err", "coupon", ["spec"], "coupon_share")
-    return rnd(t.join(c, "spec"), 5)
-
-
 def wls_asof_sql(name: str, y: str, xs: dict[str, str], bucket: str = "") -> str:
     """Weighted fit on months before each month less one, by cofactors of the
     centred cross-products; ``bucket`` adds a key."""
@@ -265,8 +226,43 @@ for _s, _f in mapping.BUCKETED.items():
 MCB = MAPCELL.replace("upb_atrisk/1e6 AS w FROM fr", "upb_atrisk/1e6 AS w, CASE WHEN inc <= -2.5 THEN 0 WHEN inc <= -1.5 THEN 1 WHEN inc <= -0.5 THEN 2 WHEN inc <= 0.5 THEN 3 WHEN inc <= 1.5 THEN 4 ELSE 5 END AS bk FROM fr")
 
 
-@query("G10_mapping_spec_search", "f_loan f_forecast", f"""{MCB}, {", ".join(G10F)}, sm AS (SELECT h.tm AS mi FROM (SELECT DISTINCT mi AS tm FROM mc) h JOIN mc ON mc.mi < h.tm - 1 GROUP BY 1 HAVING count(DISTINCT mc.mi) >= 24),
-al AS MATERIALIZED ({" UNION ALL ".join(G10R)}), oo AS (SELECT *, least(greatest(raw, 1e-6), 1-1e-6) AS mapped FROM al WHERE mi IN (SELECT mi FROM sm))
+ELEVEN = ["identity", *mapping.SMOOTH, *mapping.BUCKETED]
+#: Every specification out of sample on every scored month.
+SPECS = f"""{MCB}, {", ".join(G10F)}, sm AS (SELECT h.tm AS mi FROM (SELECT DISTINCT mi AS tm FROM mc) h JOIN mc ON mc.mi < h.tm - 1 GROUP BY 1 HAVING count(DISTINCT mc.mi) >= 24),
+al AS MATERIALIZED ({" UNION ALL ".join(G10R)}),
+oo AS MATERIALIZED (SELECT *, cpr_upb AS real_cpr, least(greatest(raw, 1e-6), 1-1e-6) AS mapped, ln(cpr_upb) - ln(least(greatest(raw, 1e-6), 1-1e-6)) AS le FROM al WHERE mi IN (SELECT mi FROM sm))"""
+
+
+@query("E16_weighted_log_score", "f_loan f_forecast", f"""{SPECS} SELECT spec, count(*) AS n, {R("sqrt(sum(upb_atrisk*le*le)/sum(upb_atrisk))", 5)} AS log_rmse, {R("sum(upb_atrisk*abs(le))/sum(upb_atrisk)", 5)} AS log_mae,
+ {R("sum(upb_atrisk*abs(mapped-real_cpr))/sum(upb_atrisk)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1""")
+def _(fx):
+    oos = mapping.search(mapping_cells(fx), min_months=24)
+    return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]), 5)
+
+
+@query("E17_score_by_bucket_year", "f_loan f_forecast", f"""{SPECS}, lb AS (SELECT *, CASE WHEN inc <= -2.5 THEN '<=-2.5' WHEN inc <= -1.5 THEN '-2.5..-1.5' WHEN inc <= -0.5 THEN '-1.5..-0.5' WHEN inc <= 0.5 THEN '-0.5..0.5' WHEN inc <= 1.5 THEN '0.5..1.5' ELSE '>1.5' END AS inc_bucket FROM oo)
+SELECT 'bucket' AS kind, inc_bucket AS slice, {", ".join(f"{R(f'''avg(le) FILTER (spec = '{s}')''', 5)} AS {s}" for s in ELEVEN)} FROM lb GROUP BY 2 UNION ALL SELECT 'year', CAST(yyyymm//100 AS VARCHAR), {", ".join(f"{R(f'''sqrt(avg(le*le) FILTER (spec = '{s}'))''', 5)} AS {s}" for s in ELEVEN)} FROM lb GROUP BY 2""")
+def _(fx):
+    oos = cut_lineage(mapping.search(mapping_cells(fx), min_months=24))
+    by_bucket = oos.groupBy(F.lit("bucket").alias("kind"), F.col("inc_bucket").alias("slice")).pivot("spec", ELEVEN).agg(F.avg("log_err"))
+    e2 = F.col("log_err") * F.col("log_err")
+    year = F.floor(F.col("yyyymm") / 100).cast("string")
+    by_year = oos.groupBy(F.lit("year").alias("kind"), year.alias("slice")).pivot("spec", ELEVEN).agg(F.sqrt(F.avg(e2)))
+    return rnd(by_bucket.unionByName(by_year), 5)
+
+
+@query("E18_variance_shares", "f_loan f_forecast", f"""{SPECS}, v AS (SELECT spec, var_samp(le) AS v, count(*) AS n FROM oo GROUP BY 1),
+d AS (SELECT spec, var_samp(m) AS vm, avg(1.0/k) AS ik, count(*) AS g FROM (SELECT spec, yyyymm, avg(le) AS m, count(*) AS k FROM oo GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT spec, var_samp(m) AS vm, avg(1.0/k) AS ik, count(*) AS g FROM (SELECT spec, coupon, avg(le) AS m, count(*) AS k FROM oo GROUP BY 1, 2) GROUP BY 1)
+SELECT spec, {R("greatest(d.vm/v.v - d.ik*(1-1.0/d.g), 0)", 5)} AS time_share, {R("greatest(c.vm/v.v - c.ik*(1-1.0/c.g), 0)", 5)} AS coupon_share FROM v JOIN d USING (spec) JOIN c USING (spec)""")
+def _(fx):
+    oos = cut_lineage(mapping.search(mapping_cells(fx), min_months=24))
+    t = scoring.variance_share(oos, "log_err", "yyyymm", ["spec"], "time_share")
+    c = scoring.variance_share(oos, "log_err", "coupon", ["spec"], "coupon_share")
+    return rnd(t.join(c, "spec"), 5)
+
+
+@query("G10_mapping_spec_search", "f_loan f_forecast", f"""{SPECS}
 SELECT spec, count(*) AS n, {R("sqrt(sum(w*pow(ln(cpr_upb)-ln(mapped),2))/sum(w))", 5)} AS log_rmse, {R("sum(w*abs(ln(cpr_upb)-ln(mapped)))/sum(w)", 5)} AS log_mae, {R("sum(w*abs(mapped-cpr_upb))/sum(w)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1""")
 def _(fx):
     """All eleven specifications out of sample, ranked by weighted log error."""
@@ -278,14 +274,15 @@ def _(fx):
 ROLL = ols_sql("(SELECT a.yyyymm AS win_end, b.dpmms, b.dy2, b.dy5, b.dy10 FROM dn a JOIN dn b ON b.rn BETWEEN a.rn-23 AND a.rn WHERE a.rn >= 24 AND (a.rn - 24) % 3 = 0)", "dpmms", ["dy2", "dy5", "dy10"], "win_end")
 
 
-@query("G11_rolling_regression", "f_curve_daily f_market_rate", f"{DPM}, dn AS (SELECT *, row_number() OVER (ORDER BY mi) AS rn FROM dm) SELECT win_end, {R('b_dy2')} AS b_dy2, {R('t_dy2', 5)} AS t_dy2 FROM {ROLL}")
+@query("G11_rolling_regression", "f_curve_daily f_market_rate", f"{DPM}, dn AS (SELECT *, row_number() OVER (ORDER BY mi) AS rn FROM dm) SELECT win_end, {', '.join(f"{R('b_' + x)} AS b_{x}, {R('t_' + x, 5)} AS t_{x}" for x in ('dy2', 'dy5', 'dy10'))} FROM {ROLL}")
 def _(fx):
     """24-month rolling fit at every third month; the condition number of the raw
     regressors rides along in ``plans.rates_study``."""
     from tideline.plans.rates_study import rolling_pass_through
 
     out = rolling_pass_through(rate_changes(fx), 24, 3)
-    return rnd(out.select(F.col("yyyymm").alias("win_end"), "b_dy2", "t_dy2"), 6, t_dy2=5)
+    names = ("dy2", "dy5", "dy10")
+    return rnd(out.select(F.col("yyyymm").alias("win_end"), *[c for x in names for c in (f"b_{x}", f"t_{x}")]), 6, **{f"t_{x}": 5 for x in names})
 
 
 EIG = """WITH_, s AS (SELECT a.yyyymm, a.rn, sum(b.dy2*b.dy2) AS s11, sum(b.dy5*b.dy5) AS s22, sum(b.dy10*b.dy10) AS s33, sum(b.dy2*b.dy5) AS s12, sum(b.dy2*b.dy10) AS s13, sum(b.dy5*b.dy10) AS s23 FROM dn a JOIN dn b ON b.rn BETWEEN a.rn-23 AND a.rn WHERE a.rn >= 24 AND (a.rn-24) % 3 = 0 GROUP BY 1, 2),
@@ -374,7 +371,7 @@ sd AS (SELECT *, pmms - lag(pmms) OVER w - (d_level + d_slope/2) AS spread_a, pm
 sl AS (SELECT coupon, yyyymm, hedged, d_level, d_slope, 'panel' AS timing, spread_a AS d_spread FROM sd WHERE spread_a IS NOT NULL UNION ALL SELECT coupon, yyyymm, hedged, d_level, d_slope, 'return_month', spread_b FROM sd WHERE spread_b IS NOT NULL)"""
 
 
-@query("G17_spread_control", PRICE_VIEWS, f"""{SPREAD}, a AS (SELECT timing, coupon, t_d_level AS t0 FROM {ols_sql("sl", "hedged", ["d_level", "d_slope"], "timing, coupon")}), b AS (SELECT timing, coupon, n, t_d_level, t_d_slope, t_d_spread FROM {ols_sql("sl", "hedged", ["d_level", "d_slope", "d_spread"], "timing, coupon")}),
+@query("G17_spread_control", V, f"""{SPREAD}, a AS (SELECT timing, coupon, t_d_level AS t0 FROM {ols_sql("sl", "hedged", ["d_level", "d_slope"], "timing, coupon")}), b AS (SELECT timing, coupon, n, t_d_level, t_d_slope, t_d_spread FROM {ols_sql("sl", "hedged", ["d_level", "d_slope", "d_spread"], "timing, coupon")}),
 v AS (SELECT timing, coupon, r2 FROM {ols_sql("sl", "d_level", ["d_slope", "d_spread"], "timing, coupon")})
 SELECT timing, coupon, n, {R("t0", 5)} AS t_level_no, {R("t_d_level", 5)} AS t_level_yes, {R("t_d_slope", 5)} AS t_slope_yes, {R("t_d_spread", 5)} AS t_spread, {R("1/(1-r2)", 4)} AS vif_level FROM a JOIN b USING (timing, coupon) JOIN v USING (timing, coupon) WHERE n >= 10""")
 def _(fx):
@@ -397,7 +394,7 @@ def _(fx):
     return rnd(ordering.spearman(excess(fx), "coupon", "excess_return", ["yyyymm"]).filter("n > 2"))
 
 
-@query("G20_empirical_hedge", PRICE_VIEWS, f"""{HPB}, u AS (SELECT *, total_return - income AS unh FROM hp), f AS (SELECT coupon, b0, b_d_level, b_d_slope, r2 FROM {ols_sql("u", "unh", ["d_level", "d_slope"], "coupon")}),
+@query("G20_empirical_hedge", V, f"""{HPB}, u AS (SELECT *, total_return - income AS unh FROM hp), f AS (SELECT coupon, b0, b_d_level, b_d_slope, r2 FROM {ols_sql("u", "unh", ["d_level", "d_slope"], "coupon")}),
 g AS (SELECT u.coupon, u.yyyymm, u.unh, u.dy2, unh - b_d_level*d_level - b_d_slope*d_slope AS ea FROM u JOIN f USING (coupon)),
 t0 AS (SELECT coupon, n, t_dy2 AS tn FROM {ols_sql("g", "unh", ["dy2"], "coupon")}), t1 AS (SELECT coupon, t_dy2 AS ta FROM {ols_sql("g", "ea", ["dy2"], "coupon")})
 SELECT coupon, n, {R("b_d_level", 8)} AS b_level, {R("b_d_slope", 8)} AS b_slope, {R("r2")} AS r2, {R("tn", 5)} AS t_unhedged, {R("ta", 5)} AS t_hedged FROM f JOIN t0 USING (coupon) JOIN t1 USING (coupon)""")
@@ -410,7 +407,7 @@ def _(fx):
 EXPD = ols_sql("(SELECT a.coupon, a.yyyymm AS at_, b.total_return - b.income AS unh, b.d_level, b.d_slope FROM hp a JOIN hp b ON a.coupon = b.coupon AND b.mi < a.mi)", "unh", ["d_level", "d_slope"], "coupon, at_")
 
 
-@query("G21_expanding_durations", PRICE_VIEWS, f"""{HPB}, f AS (SELECT * FROM {EXPD} WHERE n >= 36), h AS (SELECT hp.coupon, hp.yyyymm, dy1, dy2, dy30, -100*b_d_level AS dl, total_return - income - b_d_level*d_level - b_d_slope*d_slope AS hew FROM hp JOIN f ON f.coupon = hp.coupon AND f.at_ = hp.yyyymm),
+@query("G21_expanding_durations", V, f"""{HPB}, f AS (SELECT * FROM {EXPD} WHERE n >= 36), h AS (SELECT hp.coupon, hp.yyyymm, dy1, dy2, dy30, -100*b_d_level AS dl, total_return - income - b_d_level*d_level - b_d_slope*d_slope AS hew FROM hp JOIN f ON f.coupon = hp.coupon AND f.at_ = hp.yyyymm),
 t1 AS (SELECT coupon, t_dy1 FROM {ols_sql("h", "hew", ["dy1"], "coupon")}), t2 AS (SELECT coupon, n, t_dy2 FROM {ols_sql("h", "hew", ["dy2"], "coupon")}), t3 AS (SELECT coupon, t_dy30 FROM {ols_sql("h", "hew", ["dy30"], "coupon")}), m AS (SELECT coupon, avg(dl) AS dl FROM h GROUP BY 1)
 SELECT coupon, n, {R("dl", 4)} AS d_fit, {R("t_dy1", 4)} AS t_dy1, {R("t_dy2", 4)} AS t_dy2, {R("t_dy30", 4)} AS t_dy30 FROM m JOIN t1 USING (coupon) JOIN t2 USING (coupon) JOIN t3 USING (coupon)""")
 def _(fx):
@@ -440,7 +437,9 @@ def _(fx):
     return rnd(factors.beta_spread_sharpe(ex, b, lam), 6, bps_per_year=3)
 
 
-@query("G23_pair_vol", PRICE_VIEWS, f"""{HPB}, p AS (SELECT a.coupon AS hi, b.coupon AS lo, a.hedged - b.hedged AS d FROM hp a JOIN hp b ON a.yyyymm = b.yyyymm AND (a.coupon = b.coupon + 0.5 OR (a.coupon = 6.5 AND b.coupon = 2.5)))
+@query("G23_pair_vol", V, f"""{HPB}, cs AS (SELECT coupon, lag(coupon) OVER (ORDER BY coupon) AS below, min(coupon) OVER () AS lowest, max(coupon) OVER () AS highest FROM (SELECT DISTINCT coupon FROM hp)),
+pq AS (SELECT coupon AS hi, below AS lo FROM cs WHERE below IS NOT NULL UNION SELECT coupon, lowest FROM cs WHERE coupon = highest AND lowest < highest),
+p AS (SELECT pq.hi, pq.lo, a.hedged - b.hedged AS d FROM pq JOIN hp a ON a.coupon = pq.hi JOIN hp b ON b.coupon = pq.lo AND b.yyyymm = a.yyyymm)
 SELECT hi, lo, count(*) AS n, {R("avg(d)", 8)} AS mean, {R("stddev_samp(d)*sqrt(12)")} AS ann_vol, {R("avg(d)/stddev_samp(d)*sqrt(12)")} AS sharpe FROM p GROUP BY 1, 2""")
 def _(fx):
     from tideline.plans.hedging import pair_vol
@@ -448,7 +447,7 @@ def _(fx):
     return rnd(pair_vol(hedge_rows(fx)), 6, mean=8)
 
 
-@query("G24_duration_capture", PRICE_VIEWS, f"""{HPB}, u AS (SELECT *, total_return - income AS unh FROM hp), r AS (SELECT coupon, -100*b_d_level AS resid_d FROM {ols_sql("u", "hedged", ["d_level", "d_slope"], "coupon")}), e AS (SELECT coupon, -100*b_d_level AS emp_d FROM {ols_sql("u", "unh", ["d_level", "d_slope"], "coupon")}),
+@query("G24_duration_capture", V, f"""{HPB}, u AS (SELECT *, total_return - income AS unh FROM hp), r AS (SELECT coupon, -100*b_d_level AS resid_d FROM {ols_sql("u", "hedged", ["d_level", "d_slope"], "coupon")}), e AS (SELECT coupon, -100*b_d_level AS emp_d FROM {ols_sql("u", "unh", ["d_level", "d_slope"], "coupon")}),
 m AS (SELECT coupon, avg(dur_level) AS mod_d FROM hp GROUP BY 1), j AS (SELECT *, emp_d - (resid_d + mod_d) AS gap FROM r JOIN e USING (coupon) JOIN m USING (coupon))
 SELECT {R("max(mod_d)-min(mod_d)")} AS model_spread, {R("max(emp_d)-min(emp_d)", 4)} AS implied_spread, {R("100*(max(mod_d)-min(mod_d))/(max(emp_d)-min(emp_d))", 4)} AS capture_pct, {R("max(abs(gap))", 4)} AS worst_gap, arg_max(coupon, abs(gap)) AS worst_coupon FROM j""")
 def _(fx):
@@ -544,11 +543,12 @@ def seasoned_cells(fx):
     cells = by_age(fx).filter(F.col("age_group") >= 60)
     up = survival.rollup_speeds(cells, ["coupon_bucket", "yyyymm"]).withColumn("coupon", rates.implied_coupon("coupon_bucket"))
     m = fx.market_rate
+    up = up.filter(F.col("coupon").between(2.5, 6.5))
     return up.join(F.broadcast(m.select("yyyymm", "mi", "rate_30yr")), "yyyymm").withColumn("inc", F.col("coupon") + 0.5 - F.col("rate_30yr"))
 
 
 SEAS = f"""sw AS (SELECT cb, yyyymm, sum(CASE WHEN is_pay THEN wt ELSE 0 END)/sum(wt) AS smm FROM (SELECT *, CASE WHEN ({AGE}) < 0 THEN -1 WHEN ({AGE}) < 60 THEN 0 WHEN ({AGE}) < 120 THEN 60 ELSE 120 END AS ag FROM w) WHERE ag >= 60 AND (is_act OR is_pay) AND wt IS NOT NULL AND wt >= 0 GROUP BY 1, 2 HAVING sum(wt) > 0),
-sd AS (SELECT m.mi, 1-pow(1-smm, 12) AS c FROM sw JOIN f_market_rate m USING (yyyymm) WHERE round(cb-0.5, 2)+0.5-m.rate_30yr <= -0.5),
+sd AS (SELECT m.mi, 1-pow(1-smm, 12) AS c FROM sw JOIN f_market_rate m USING (yyyymm) WHERE round(cb-0.5, 2) BETWEEN 2.5 AND 6.5 AND round(cb-0.5, 2)+0.5-m.rate_30yr <= -0.5),
 fp AS (SELECT a.mi, avg(sd.c) AS fl, count(*) AS n_deep FROM (SELECT DISTINCT mi FROM bd) a JOIN sd ON sd.mi < a.mi GROUP BY 1 HAVING count(*) >= 3),
 bh AS (SELECT a.mi, a.fl, a.n_deep, b.cx, b.cy FROM fp a JOIN bd b ON b.mi < a.mi)"""
 
@@ -622,7 +622,7 @@ def _(fx):
 SWEEP = """{0}, hs AS (SELECT scale, coupon, dy2, total_return - income + scale*(dur_level*d_level + dur_slope*d_slope + dur_curve*d_curve)/100 AS h FROM hp, (SELECT unnest([0.8, 1.0, 1.2, 1.4, 1.6])::DOUBLE AS scale))"""
 
 
-@query("G34_duration_scale_sweep", PRICE_VIEWS, f"""{SWEEP.format(HPB)}, t AS (SELECT scale, coupon, t_dy2 AS t FROM {ols_sql("hs", "h", ["dy2"], "scale, coupon")}),
+@query("G34_duration_scale_sweep", V, f"""{SWEEP.format(HPB)}, t AS (SELECT scale, coupon, t_dy2 AS t FROM {ols_sql("hs", "h", ["dy2"], "scale, coupon")}),
 a AS (SELECT 'all' AS left_out, scale, sum(t*t) AS s FROM t GROUP BY 2 UNION ALL SELECT CAST(o.coupon AS VARCHAR), t.scale, sum(t.t*t.t) FROM t JOIN (SELECT DISTINCT coupon FROM t) o ON o.coupon <> t.coupon GROUP BY 1, 2)
 SELECT left_out, (array_agg(scale ORDER BY round(s, 9), scale))[1] AS best_scale, {R("min(s)", 4)} AS sum_t2 FROM a GROUP BY 1""")
 def _(fx):
@@ -638,7 +638,7 @@ def exp_h(xs, name):
     return f"{name} AS (SELECT hp.coupon, hp.yyyymm, total_return - income - ({hat}) AS h, dy2 FROM hp JOIN (SELECT * FROM {fit} WHERE n >= 36) f ON f.coupon = hp.coupon AND f.at_ = hp.yyyymm)"
 
 
-@query("G35_exposure_by_year", PRICE_VIEWS, f"""{HPB}, {exp_h(["d_level", "d_slope"], "h2")}, {exp_h(["d_level", "d_slope", "d_curve"], "h3")}, j AS (SELECT h2.coupon, h2.yyyymm//100 AS year, h2.h AS a, h3.h AS b, h2.dy2 FROM h2 JOIN h3 USING (coupon, yyyymm)),
+@query("G35_exposure_by_year", V, f"""{HPB}, {exp_h(["d_level", "d_slope"], "h2")}, {exp_h(["d_level", "d_slope", "d_curve"], "h3")}, j AS (SELECT h2.coupon, h2.yyyymm//100 AS year, h2.h AS a, h3.h AS b, h2.dy2 FROM h2 JOIN h3 USING (coupon, yyyymm)),
 ta AS (SELECT coupon, year, n, t_dy2 AS t2 FROM {ols_sql("j", "a", ["dy2"], "coupon, year")}), tb AS (SELECT coupon, year, t_dy2 AS t3 FROM {ols_sql("j", "b", ["dy2"], "coupon, year")})
 SELECT coupon, year, n, {R("t2", 3)} AS t_two, {R("t3", 3)} AS t_three FROM ta JOIN tb USING (coupon, year) WHERE n >= 6""")
 def _(fx):
@@ -647,7 +647,7 @@ def _(fx):
     return rnd(exposure_by_year(hedge_rows(fx), "dy2", 36, 6), 3)
 
 
-@query("G36_factor_tracking", PRICE_VIEWS, f"""{HPB}, m AS (SELECT DISTINCT yyyymm, d_level, d_slope, d_curve, dy2, dy5, dy10 FROM hp), q AS (SELECT quantile_cont(d_curve/(dy5-(dy2+dy10)/2), 0.5) AS r FROM m WHERE abs(dy5-(dy2+dy10)/2) > 1e-12)
+@query("G36_factor_tracking", V, f"""{HPB}, m AS (SELECT DISTINCT yyyymm, d_level, d_slope, d_curve, dy2, dy5, dy10 FROM hp), q AS (SELECT quantile_cont(d_curve/(dy5-(dy2+dy10)/2), 0.5) AS r FROM m WHERE abs(dy5-(dy2+dy10)/2) > 1e-12)
 SELECT coupon, {R("corr(dur_curve, dy2)")} AS corr_model, {R("corr(d_curve, dy2)")} AS corr_realized, {R("any_value(cl)")} AS corr_curve_level, {R("any_value(cs)")} AS corr_curve_slope, {R("any_value(r)")} AS definition_ratio
 FROM hp, (SELECT corr(d_curve, d_level) AS cl, corr(d_curve, d_slope) AS cs FROM m), q GROUP BY 1""")
 def _(fx):
@@ -656,7 +656,7 @@ def _(fx):
     return rnd(factor_tracking(hedge_rows(fx)))
 
 
-@query("G37_duration_share", PRICE_VIEWS, f"""{HPB} SELECT coupon, {R("avg(krd2)")} AS krd2, {R("avg(krd5)")} AS krd5, {R("avg(krd10)")} AS krd10, {R("100*avg(krd2)/(avg(krd2)+avg(krd5)+avg(krd10))")} AS krd2_pct, {R("stddev_samp(krd2)/abs(avg(krd2))")} AS krd2_cv FROM hp GROUP BY 1""")
+@query("G37_duration_share", V, f"""{HPB} SELECT coupon, {R("avg(krd2)")} AS krd2, {R("avg(krd5)")} AS krd5, {R("avg(krd10)")} AS krd10, {R("100*avg(krd2)/(avg(krd2)+avg(krd5)+avg(krd10))")} AS krd2_pct, {R("stddev_samp(krd2)/abs(avg(krd2))")} AS krd2_cv FROM hp GROUP BY 1""")
 def _(fx):
     k = lambda c: F.avg(c)
     return rnd(hedge_rows(fx).groupBy("coupon").agg(

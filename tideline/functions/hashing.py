@@ -16,9 +16,10 @@ def unit_hash(value, seed: int | str = 42) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def poisson_weight(value, seed, max_count: int = 12) -> Column:
+def poisson_weight(value, seed, max_count: int = 18) -> Column:
     """Poisson(1) replication count by inverse CDF of the hash: bootstrap weights
-    that need no shuffle and are the same on every retry."""
+    that need no shuffle and are the same on every retry. Beyond ``max_count`` = 18
+    the tail (below 1e-17) is finer than the 52 bits of the hash."""
     u = unit_hash(value, 0) if seed is None else _seeded(value, seed)
     cdf, term, total = [], 1.0, 0.0
     import math

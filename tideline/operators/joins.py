@@ -8,22 +8,35 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # months x regions x coupons); everything else is left to Spark's own size test.
 
 
+def unique_side(side: DataFrame, keys: list[str]) -> DataFrame:
+    """A lookup side that stops the job at a repeated key instead of multiplying
+    the rows it is joined to."""
+    values = [c for c in side.columns if c not in keys]
+    once = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+    guard = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"repeated lookup key {keys}")).cast("boolean"))
+    return once.filter(guard).select(*side.columns)
+
+
 def rate_lookup(panel: DataFrame, market: DataFrame, key: str = "yyyymm", how: str = "left") -> DataFrame:
     """Period -> market rate; one row per calendar month, so the side is bounded."""
-    return panel.join(F.broadcast(market.select(key, "rate_30yr")), key, how)
+    return panel.join(F.broadcast(unique_side(market.select(key, "rate_30yr"), [key])), key, how)
 
 
 def hpi_double_lookup(
     panel: DataFrame, hpi: DataFrame, region="zip3", orig="orig_ym", now="yyyymm", period="yyyymm", value="hpi"
 ) -> DataFrame:
-    """Home price at origination and now: two left joins on (region, period).
+    """Home price at origination and now.
 
-    The home-price table has one row per region and month. Spark broadcasts it
-    when its measured size allows and shuffles it otherwise.
+    The prices of a region become one map from period to value, so a row is looked
+    up twice by one join on the region. The side has one row per region (three
+    digits of a postal code, a thousand at most, times the calendar) and is
+    broadcast; no panel row moves, however many share a region.
     """
-    at_orig = hpi.select(F.col(region), F.col(period).alias(orig), F.col(value).alias("hpi_orig"))
-    at_now = hpi.select(F.col(region), F.col(period).alias(now), F.col(value).alias("hpi_now"))
-    return panel.join(at_orig, [region, orig], "left").join(at_now, [region, now], "left")
+    known = unique_side(hpi.select(region, period, value).filter(F.col(region).isNotNull() & F.col(period).isNotNull()), [region, period])
+    maps = known.groupBy(region).agg(F.map_from_entries(F.collect_list(F.struct(period, value))).alias("_prices"))
+    out = panel.join(F.broadcast(maps), region, "left")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at("_prices", F.col(c)))
+    return out.withColumn("hpi_orig", at(orig)).withColumn("hpi_now", at(now)).drop("_prices")
 
 
 def loan_state_join(panel: DataFrame, state: DataFrame, loan: str = "loan_id") -> DataFrame:

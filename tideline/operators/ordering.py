@@ -97,29 +97,39 @@ def quantiles_of_counts(
     return out.select(*group, "n", *picks)
 
 
-def hash_rank(
-    df: DataFrame, id_col: str, within: list[str] = [], seed: int | str = 42, buckets: int = 256
-) -> DataFrame:
-    """1-based rank of every row in a random but repeatable order inside each
-    ``within`` group (``_rank``) and the group size (``_size``).
+def hash_buckets(df: DataFrame, id_col: str, seed: int | str = 42, buckets: int | None = None) -> DataFrame:
+    """Adds the id's hash ``_h`` in [0, 1) and its leading bucket ``_bk``; there are
+    four buckets to a shuffle partition, 256 at least."""
+    many = buckets or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    h = df.withColumn("_h", unit_hash(id_col, seed))
+    return h.withColumn("_bk", F.coalesce(F.floor(F.col("_h") * many).cast("int"), F.lit(0)))
 
-    The hash is uniform, so its leading part is a balanced bucket: a group that
-    holds a third of all rows is still ranked by ``buckets`` tasks.
-    """
-    h = df.withColumn("_h", unit_hash(id_col, seed)).withColumn(
-        "_bk", F.coalesce(F.floor(F.col("_h") * buckets).cast("int"), F.lit(0))
-    )
+
+def bucket_offsets(h: DataFrame, within: list[str]) -> DataFrame:
+    """Rows before each bucket in its group (``_off``) and of the group (``_size``)."""
     sizes = h.groupBy(*within, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*within).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
+    return sizes.select(
         *within,
         "_bk",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_n").over(W.partitionBy(*within)).alias("_size"),
     )
+
+
+def hash_rank(
+    df: DataFrame, id_col: str, within: list[str] = [], seed: int | str = 42, buckets: int | None = None
+) -> DataFrame:
+    """1-based rank of every row in a random but repeatable order inside each
+    ``within`` group (``_rank``) and the group size (``_size``).
+
+    The hash is uniform, so its leading part is a balanced bucket: a group that
+    holds a third of all rows is still ranked by ``buckets`` tasks.
+    """
+    h = hash_buckets(df, id_col, seed, buckets)
     order = W.partitionBy(*within, "_bk").orderBy("_h", id_col)
     return (
-        h.join(offsets, [*within, "_bk"])
+        h.join(bucket_offsets(h, within), [*within, "_bk"])
         .withColumn("_rank", F.col("_off") + F.row_number().over(order))
         .drop("_h", "_bk", "_off")
     )

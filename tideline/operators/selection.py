@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions import periods
@@ -34,8 +36,27 @@ def loan_sample(df: DataFrame, fraction: float, key: str = "loan_id", seed: int
 
 
 def capped_sample(df: DataFrame, cap: int, by: list[str], key: str, seed: int | str = 42) -> DataFrame:
-    """At most ``cap`` rows per group in hash order (a sampling operator)."""
-    return ordering.hash_rank(df, key, by, seed).filter(F.col("_rank") <= cap).drop("_rank", "_size")
+    """At most ``cap`` rows per group in hash order (a sampling operator).
+
+    The hash cuts a group into leading buckets. Counts say in which bucket the cap
+    is reached; rows behind it are dropped where they are read, and the ranking
+    inside a bucket is bounded, so Spark trims it before the shuffle.
+    """
+    h = ordering.hash_buckets(df, key, seed)
+    sizes = ordering.bucket_offsets(h, by).filter(F.col("_off") < cap).drop("_size")
+    last = sizes.groupBy(*by).agg(F.max("_bk").alias("_last"))
+    lead = _lookup(h, last, by).filter(F.col("_bk") <= F.col("_last")).drop("_last")
+    order = W.partitionBy(*by, "_bk").orderBy("_h", key)
+    first = lead.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap)
+    ranked = _lookup(first, sizes, [*by, "_bk"])
+    return ranked.filter(F.col("_off") + F.col("_rn") <= cap).drop("_h", "_bk", "_rn", "_off")
+
+
+def _lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def balanced_sample(df: DataFrame, label: str, n_per_class: int, key: str, seed: int | str = 42) -> DataFrame:

@@ -105,12 +105,14 @@ def exposure_by_year(panel: DataFrame, control: str, min_months: int, min_n: int
 
 
 def pair_vol(panel: DataFrame, months: int = 12) -> DataFrame:
-    """Annualised volatility of hedged spreads: adjacent coupons and the fixed
-    widest pair. Coupons are a handful, so each row points at its partners by key
-    instead of pairing every coupon with every other."""
-    ends = panel.agg(F.min("coupon").alias("lo"), F.max("coupon").alias("hi")).select(F.struct("*"))
-    base = panel.select("yyyymm", "coupon", "hedged").withColumn("_e", ends.scalar())
-    partner = F.array(F.col("coupon") - 0.5, F.when(F.col("coupon") == F.col("_e.hi"), F.col("_e.lo")))
+    """Annualised volatility of hedged spreads: each coupon against the next lower
+    one that is present, and the widest pair. Partners come from the distinct
+    coupons, so a missing coupon widens its neighbours' pair."""
+    order = W.orderBy("coupon")
+    known = panel.select("coupon").distinct().select("coupon", F.lag("coupon").over(order).alias("_below"), F.min("coupon").over(W.partitionBy(F.lit(0))).alias("_lo"), F.max("coupon").over(W.partitionBy(F.lit(0))).alias("_hi"))
+    widest = F.when((F.col("coupon") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), F.col("_lo"))
+    base = panel.select("yyyymm", "coupon", "hedged").join(F.broadcast(known), "coupon")
+    partner = F.array("_below", widest)
     high = base.select("yyyymm", F.col("coupon").alias("hi"), F.col("hedged").alias("_h"), F.explode(F.array_compact(F.array_distinct(partner))).alias("lo"))
     low = panel.select("yyyymm", F.col("coupon").alias("lo"), F.col("hedged").alias("_l"))
     d = F.col("_h") - F.col("_l")

@@ -274,10 +274,12 @@ def oas_solve(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], ma
 
 def pool_oas(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], market_price: float, passes: int = 4, points: int = 11) -> DataFrame:
     """Pool spread from balance-weighted prices, by the same zooming grid; every
-    pass is one aggregate over (profile, chunk) rows."""
+    pass is one aggregate over (profile, chunk) rows. A price beyond the search
+    range is flagged at the bound."""
     rows = profiles.withColumn("lo", F.lit(OAS_LO)).withColumn("hi", F.lit(OAS_HI))
     bracket = None
     for _ in range(passes):
         bracket = _bracket(_oas_curve(rows, chunks, coef, [], True, points), [], F.lit(market_price))
         rows = profiles.withColumn("_b", bracket.select(F.struct("lo", "hi")).scalar()).select(*profiles.columns, "_b.lo", "_b.hi")
-    return bracket.select(_interpolate(F.lit(market_price)).alias("pool_oas_bp"))
+    found = F.col("p_lo").isNotNull() & F.col("p_hi").isNotNull()
+    return bracket.select(_interpolate(F.lit(market_price)).alias("pool_oas_bp"), found.alias("converged"))

@@ -3,8 +3,10 @@ only what is missing and replaces half-written shards."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tideline.operators import joins
 from tideline.session import cut_lineage
@@ -20,29 +22,39 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, folder: str, key: str = "vintage") -> DataFrame:
-    return read_or_empty(spark, f"{folder}/manifest", f"{key} string, n_rows bigint, is_empty boolean")
+    return read_or_empty(spark, f"{folder}/manifest", f"{key} string, n_rows bigint, is_empty boolean, run string")
 
 
 def write_missing(df: DataFrame, folder: str, expected: DataFrame, key: str = "vintage") -> DataFrame:
     """Write the shards of ``expected`` keys the manifest does not list, then list
-    them (empty ones too). Returns the manifest.
+    them (empty ones too) as counted in the written files. Returns the manifest.
 
-    Each shard is one partition folder replaced as a whole, so a run that died
-    between data and manifest is simply written again.
+    Each run writes its shards to a folder of its own and lists that folder, so
+    what a run left behind that died before its manifest is never read, and a key
+    that has turned empty has no old rows. The input is computed once.
     """
     spark = df.sparkSession
     todo = cut_lineage(expected.select(key).distinct().join(manifest(spark, folder, key).select(key), key, "left_anti"))
-    part = df.join(todo, key, "left_semi")
-    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{folder}/data")
-    counts = df.join(todo, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    run = f"run-{uuid.uuid4().hex[:12]}"
+    df.join(todo, key, "left_semi").write.partitionBy(key).parquet(f"{folder}/data/{run}")
+    kind = T.StructType([f for f in df.schema.fields if f.name != key] + [df.schema[key]])
+    counts = spark.read.schema(kind).parquet(f"{folder}/data/{run}").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     listed = todo.join(counts, key, "left").select(
-        key, F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.col("n_rows").isNull().alias("is_empty"))
+        key, F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.col("n_rows").isNull().alias("is_empty"), F.lit(run).alias("run"))
     listed.write.mode("append").parquet(f"{folder}/manifest")
     return manifest(spark, folder, key)
 
 
 def read_shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/data")
+    """All rows of the runs that the manifest lists."""
+    runs = [r["run"] for r in manifest(spark, folder).filter("NOT is_empty").select("run").distinct().collect()]
+    if not runs:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(f"{folder}/data/{run}") for run in sorted(runs)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merge_partials(spark: SparkSession, folder: str, schema: str, keys: list[str], sums: list[str]) -> DataFrame:
@@ -52,12 +64,15 @@ def merge_partials(spark: SparkSession, folder: str, schema: str, keys: list[str
 
 def consistency_gate(old: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """One row: overlap, largest and mean absolute difference, and whether the new
-    table may replace the old one."""
+    table may replace the old one. Without a common key it may only if there is
+    no old row."""
     a, b = old.select(*keys, F.col(value).alias("_o")), new.select(*keys, F.col(value).alias("_n"))
     diff = F.abs(F.col("_o") - F.col("_n"))
     row = a.join(b, keys).agg(F.count(F.lit(1)).alias("n_common"), F.max(diff).alias("max_abs_diff"), F.avg(diff).alias("mean_abs_diff"))
-    ok = (F.col("n_common") == 0) | (F.col("max_abs_diff") < tolerance)
-    return row.withColumn("accept", ok)
+    none_old = ~F.col("_old")
+    ok = F.when(F.col("n_common") == 0, none_old).otherwise(F.col("max_abs_diff") < tolerance)
+    had = old.limit(1).agg((F.count(F.lit(1)) > 0).alias("_old"))
+    return row.withColumn("_old", had.scalar()).withColumn("accept", ok).drop("_old")
 
 
 def publish(new: DataFrame, folder: str, version: int, gate: DataFrame | None = None) -> str:

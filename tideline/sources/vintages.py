@@ -80,21 +80,12 @@ def raw_fields(panel: DataFrame) -> DataFrame:
     return panel.select(*out, *[c for c in ("vintage", "part") if c in panel.columns])
 
 
-def to_panel_table(df: DataFrame, table: str, buckets: int = 512, max_share: float = 4.0) -> bool:
-    """Write the typed panel once, partitioned by vintage for pruning.
+def to_panel_table(df: DataFrame, table: str) -> None:
+    """Write the typed panel once: partitioned by vintage for pruning, rows
+    range-clustered by loan and month inside it.
 
-    When no loan holds more than ``max_share`` average buckets of rows, it is also
-    bucketed by loan, so per-loan work and loan joins read co-located rows. With a
-    hot loan the bucket would be one oversized task; rows are then range-clustered
-    by loan and month instead, which splits it. Returns whether it is bucketed.
+    One layout for every input. Ranges are cut by row count, so a loan with very
+    many rows is spread over files instead of filling one.
     """
-    sizes = df.groupBy("loan_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    even = (sizes["top"] or 0) <= max_share * max(1.0, (sizes["total"] or 0) / buckets)
-    if even:
-        # one file per (vintage, bucket): rows meet by the bucket function first
-        ready = df.repartition("vintage", F.pmod(F.hash("loan_id"), F.lit(buckets)))
-        writer = ready.write.bucketBy(buckets, "loan_id").sortBy("loan_id", "yyyymm")
-    else:
-        writer = df.repartitionByRange("vintage", "loan_id", "yyyymm").sortWithinPartitions("vintage", "loan_id", "yyyymm").write
-    writer.mode("overwrite").partitionBy("vintage").format("parquet").saveAsTable(table)
-    return even
+    ready = df.repartitionByRange("vintage", "loan_id", "yyyymm").sortWithinPartitions("vintage", "loan_id", "yyyymm")
+    ready.write.mode("overwrite").partitionBy("vintage").format("parquet").saveAsTable(table)
