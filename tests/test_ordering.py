@@ -97,3 +97,13 @@ def test_stage_trace_counts_every_stage(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 2, None), (2, 3, 1)], "loan_id int, x int, zbc int")
     out = profiles.stage_trace(df, {"a": F.lit(True), "b": F.col("x") > 1}, F.col("zbc") == 1)
     assert rows(out) == [("a", 3, 2, 2), ("b", 2, 1, 1)]
+
+
+def test_capped_sample_moves_only_leading_buckets(spark):
+    from tideline.operators import ordering, selection
+
+    df = spark.range(4000).selectExpr("id AS k", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 2 END AS g")
+    out = selection.capped_sample(df, 25, ["g"], "k")
+    want = ordering.hash_rank(df.na.fill(-1, ["g"]), "k", ["g"]).filter("_rank <= 25")
+    assert sorted(r["k"] for r in out.collect()) == sorted(r["k"] for r in want.collect())
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()

@@ -273,3 +273,32 @@ def test_guards_raise(spark):
     dup = quality.duplicate_keys(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
     with pytest.raises(Exception, match="dup"):
         quality.require(dup, F.col("n_duplicated") == 0, "dup").collect()
+
+
+def test_logit_fit_equals_newton_in_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -0.5, 0.2])))).astype(float)
+    w = rng.random(500) + 0.5
+    b, design = np.zeros(4), np.c_[np.ones(500), x]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ b))
+        b = b + np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design, design.T @ (w * (y - p)))
+    df = spark.createDataFrame([(*map(float, r), float(t), float(v)) for r, t, v in zip(x, y, w)], "a double, b double, c double, y double, w double")
+    assert regression.logit_fit(df, "y", ["a", "b", "c"], "w") == pytest.approx(b.tolist(), abs=1e-9)
+
+
+def test_pair_vol_takes_the_next_coupon_that_is_present(spark):
+    from tideline.plans.hedging import pair_vol
+
+    data = [(200001 + m, c, float(np.sin(m * c))) for m in range(24) for c in (2.5, 3.0, 4.0)]  # 3.5 is missing
+    got = {(r["hi"], r["lo"]): r["n"] for r in pair_vol(spark.createDataFrame(data, "yyyymm int, coupon double, hedged double")).collect()}
+    assert got == {(3.0, 2.5): 24, (4.0, 3.0): 24, (4.0, 2.5): 24}
+
+
+def test_a_planted_negative_slope_stops_the_job(spark):
+    from tideline.plans import mapping
+
+    fit = spark.createDataFrame([(1, 0.1, 0.9), (2, 0.1, -0.2)], "mi int, a double, b double")
+    with pytest.raises(Exception, match="slope is not positive"):
+        mapping.refuse_negative_slope(fit).collect()

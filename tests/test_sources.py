@@ -106,25 +106,32 @@ def test_a_replayed_batch_changes_nothing(spark):
     assert rows(cube.cube(spark, state)) == once
 
 
-def panel_plan(spark, df, table):
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    bucketed = vintages.to_panel_table(df, table, buckets=4)
-    t = spark.table(table)
-    plan = t.groupBy("loan_id").agg(F.max("yyyymm"))._jdf.queryExecution().executedPlan().toString()
-    n = t.count()
-    spark.sql(f"DROP TABLE {table}")
-    return bucketed, n, plan
-
-
-def test_bucketed_panel_groups_by_loan_without_a_shuffle(spark):
-    df = spark.range(200).selectExpr("id % 20 AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q1' AS vintage")
-    bucketed, n, plan = panel_plan(spark, df, "panel_even")
-    assert bucketed and n == 200 and "Exchange hashpartitioning" not in plan
-
-
-def test_a_hot_loan_is_not_bucketed(spark):
-    df = spark.range(900).selectExpr("CASE WHEN id < 850 THEN 1L ELSE id END AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q1' AS vintage")
-    spark.sql("DROP TABLE IF EXISTS panel_hot")
-    assert not vintages.to_panel_table(df, "panel_hot", buckets=8)
-    assert spark.table("panel_hot").count() == 900
-    spark.sql("DROP TABLE panel_hot")
+@pytest.mark.parametrize("loan", ["id % 20", "CASE WHEN id < 850 THEN 1L ELSE id END"])
+def test_one_layout_for_even_and_hot_loans(spark, loan):
+    df = spark.range(900).selectExpr(f"{loan} AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q' || (1 + id % 2) AS vintage")
+    spark.sql("DROP TABLE IF EXISTS panel_layout")
+    vintages.to_panel_table(df, "panel_layout")
+    t = spark.table("panel_layout")
+    assert t.count() == 900
+    assert "PartitionFilters: [isnotnull(vintage" in t.filter("vintage = '2018Q1'")._jdf.queryExecution().executedPlan().toString()
+    kinds = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED panel_layout").collect()}
+    assert "Num Buckets" not in kinds
+    spark.sql("DROP TABLE panel_layout")
+
+
+def test_a_key_that_turns_empty_keeps_no_old_rows(spark):
+    folder = run_dir(spark, "shards")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "vintage string, x int")
+    # a run that died between data and manifest
+    df.write.partitionBy("vintage").parquet(f"{folder}/data/run-dead")
+    keys = spark.createDataFrame([("a",), ("b",)], "vintage string")
+    done = shards.write_missing(df.filter("vintage = 'b'"), folder, keys)
+    assert rows(done.select("vintage", "n_rows", "is_empty")) == [("a", 0, True), ("b", 1, False)]
+    assert rows(shards.read_shards(spark, folder, "x int, vintage string")) == [(3, "b")]
+
+
+def test_gate_refuses_without_a_common_key(spark):
+    kind = "k int, v double"
+    old, new = spark.createDataFrame([(1, 1.0)], kind), spark.createDataFrame([(2, 1.0)], kind)
+    accept = lambda a, b: shards.consistency_gate(a, b, ["k"], "v", 0.5).first()["accept"]
+    assert not accept(old, new) and accept(old.limit(0), new) and accept(old, old)

@@ -200,3 +200,23 @@ def test_steps_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 AS loan_id", "id AS yyyymm")
     plan = sequences.timesteps(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_prices_are_looked_up_without_moving_the_panel(spark):
+    from tideline.operators import joins
+
+    panel = spark.createDataFrame([(1, 7, 201901, 201902), (2, 7, 201801, 201902), (3, None, 201901, 201902), (4, 8, 201901, None)], "loan_id int, zip3 int, orig_ym int, yyyymm int")
+    hpi = spark.createDataFrame([(7, 201901, 10.0), (7, 201902, 11.0)], "zip3 int, yyyymm int, hpi double")
+    out = joins.hpi_double_lookup(panel, hpi)
+    assert rows(out, "loan_id", "hpi_orig", "hpi_now") == [(1, 10.0, 11.0), (2, None, 11.0), (3, None, None), (4, None, None)]
+    plan = joins.hpi_double_lookup(panel, hpi)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1, plan
+
+
+def test_a_repeated_lookup_key_stops_the_job(spark):
+    from tideline.operators import joins
+
+    panel = spark.createDataFrame([(1, 201901)], "loan_id int, yyyymm int")
+    market = spark.createDataFrame([(201901, 4.0), (201901, 4.1)], "yyyymm int, rate_30yr double")
+    with pytest.raises(Exception, match="repeated lookup key"):
+        joins.rate_lookup(panel, market).collect()
