@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.catalog.registry import rnd
+from tideline.catalog.scurvesql import BAND, in_band, scurve_sql
 from tideline.catalog.sequences import FIT, FITV, cell_path_sql, fitted
+from tideline.catalog.survival import FVR, forecast_realized
 from tideline.functions import curves
 from tideline.operators import series
-from tideline.plans import pricing
+from tideline.plans import pricing, scurve
 from tideline.session import run_dir
 
 TEN = curves.TENORS
@@ -20,10 +23,30 @@ def month_curves(fx):
     return series.month_end(fx.curve_daily, TEN).select("yyyymm", "mi", *TEN)
 
 
+_TERMINAL: dict[tuple[str, str], str] = {}
+
+
+def terminal_params(fx):
+    """Terminal curve of each month, fitted on months strictly before it (to four
+    digits), written once to the shared folder of a session."""
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
+    if key not in _TERMINAL:
+        path = run_dir(fx.spark, "terminal-curve")
+        rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb").select("mi", "floor", "sat", "k", "x0"), 4).write.parquet(path)
+        _TERMINAL[key] = path
+    return fx.spark.read.parquet(_TERMINAL[key])
+
+
+#: Columns of the terminal curve that a position carries.
+CURVE = {"floor": "tf", "sat": "ts", "k": "tk", "x0": "tx"}
+
+
 def positions(fx):
-    """(month, coupon) with a price, a curve and a market rate."""
-    return fx.price.select("yyyymm", "coupon", "price").join(
-        F.broadcast(fx.market_rate.select("yyyymm", F.col("rate_30yr").alias("pmms"))), "yyyymm")
+    """(month, coupon) with a price, a market rate and the terminal curve that was
+    known then; months without enough history take the fixed curve."""
+    month = fx.market_rate.select("yyyymm", "mi", F.col("rate_30yr").alias("pmms")).join(F.broadcast(terminal_params(fx)), "mi", "left")
+    known = [F.coalesce(F.col(n), F.lit(pricing.TERMINAL[n])).alias(c) for n, c in CURVE.items()]
+    return fx.price.select("yyyymm", "coupon", "price").join(F.broadcast(month.select("yyyymm", "pmms", *known)), "yyyymm")
 
 
 # ----------------------------------------------------------------- oracle pieces
@@ -74,7 +97,7 @@ def haz_sql(inc: str) -> str:
 
 
 def term_sql(inc: str) -> str:
-    return f"(0.0459 + (0.2204-0.0459)/(1+exp(-3.0*(({inc})-0.4))))"
+    return f"(tf + (ts-tf)/(1+exp(-tk*(({inc})-tx))))"
 
 
 def cpr360_sql(path: str, term: str) -> str:
@@ -82,8 +105,10 @@ def cpr360_sql(path: str, term: str) -> str:
 
 
 POS0 = "ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms FROM f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm)"
-POS = f"{FIT}, {POS0.replace('AS pmms FROM', 'AS pmms, h0, h1, h2 FROM hx,')}"
-V = "f_curve_daily f_price f_market_rate " + FITV
+POS = f"""{FIT}, zt AS MATERIALIZED (SELECT * FROM ({FVR}, {BAND}, bh AS (SELECT a.mi, b.cx, b.cy FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi), {scurve_sql("bh", "mi")})),
+ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms, h0, h1, h2, coalesce(zt.floor, 0.0459) AS tf, coalesce(zt.sat, 0.2204) AS ts, coalesce(zt.k, 3.0) AS tk, coalesce(zt.x0, 0.4) AS tx
+ FROM hx, f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm LEFT JOIN zt ON zt.mi = m.mi)"""
+V = "f_curve_daily f_price f_market_rate f_forecast " + FITV
 
 
 def weights_sql(shape: str) -> list[float]:
@@ -120,7 +145,7 @@ def dur_sql(names: list[str], base: str = "base") -> str:
 
 
 def sc_prices(fx, scens, **kw):
-    return pricing.scenario_prices(month_curves(fx), positions(fx), scens, fitted(fx).cell(), **kw)
+    return pricing.scenario_prices(month_curves(fx), positions(fx), scens, fitted(fx).cell(), params=CURVE, **kw)
 
 
 KRD = ["krd2", "krd5", "krd10"]

@@ -8,7 +8,7 @@ from tideline.catalog.olssql import ols_sql
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import RET
 from tideline.catalog.pricesql import (
-    KRD, ME, MON, POS, POS0, TEN, TENT, V, cpr360_sql, dur_sql, haz_sql, key_rate_durations, month_curves, positions, price_sql,
+    CURVE, KRD, ME, MON, POS, POS0, TEN, TENT, V, cpr360_sql, dur_sql, haz_sql, key_rate_durations, month_curves, positions, price_sql,
     priced_sql, sc_prices, scen_sql, term_sql, zeros_sql,
 )
 from tideline.catalog.sequences import FIT, FITV, cell_path_sql, fitted
@@ -77,7 +77,7 @@ def _(fx):
 SELECT yyyymm, coupon, len(cp) AS n, {R("cp[1]")} AS m1, {R("cp[33]")} AS m33, {R("cp[34]")} AS m34, {R("cp[360]")} AS m360, {R("list_sum(cp)", 5)} AS total FROM e""")
 def _(fx):
     inc = F.col("coupon") + 0.5 - F.col("pmms")
-    cp = cashflow.extend(hazard_cpr_path(inc, fitted(fx).cell()), pricing.terminal_speed(inc))
+    cp = cashflow.extend(hazard_cpr_path(inc, fitted(fx).cell()), pricing.terminal_speed(inc, CURVE))
     df = positions(fx).withColumn("cp", cp)
     at = lambda m: F.element_at("cp", m).alias(f"m{m}")
     return rnd(df.select("yyyymm", "coupon", F.size("cp").alias("n"), at(1), at(33), at(34), at(360), F.aggregate("cp", F.lit(0.0), lambda a, x: a + x).alias("total")), 6, total=5)
@@ -407,7 +407,7 @@ def _(fx):
         F.avg(r).alias("mean_ratio"), F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"), F.count(F.lit(1)).alias("n")))
 
 
-@query("K18_clip_and_move", V, f"""WITH {POS}, e AS (SELECT coupon, coupon+0.5-pmms AS i0, h0, h1, h2 FROM ps), k AS (SELECT coupon, {haz_sql("i0")} AS base, list_avg({haz_sql("i0+0.25")}) - list_avg({haz_sql("i0")}) AS mv, {term_sql("i0+0.25")} - {term_sql("i0")} AS up, {term_sql("i0-0.25")} - {term_sql("i0")} AS dn FROM e),
+@query("K18_clip_and_move", V, f"""WITH {POS}, e AS (SELECT coupon, coupon+0.5-pmms AS i0, h0, h1, h2, tf, ts, tk, tx FROM ps), k AS (SELECT coupon, {haz_sql("i0")} AS base, list_avg({haz_sql("i0+0.25")}) - list_avg({haz_sql("i0")}) AS mv, {term_sql("i0+0.25")} - {term_sql("i0")} AS up, {term_sql("i0-0.25")} - {term_sql("i0")} AS dn FROM e),
 c AS (SELECT *, len(list_filter(base, lambda p: p+up < 0 OR p+up > 0.99)) + len(list_filter(base, lambda p: p+dn < 0 OR p+dn > 0.99)) AS nc FROM k)
 SELECT coupon, {R("sum(nc)/(count(*)*66.0)")} AS clip_share, {R("avg(mv)")} AS model_move, {R("avg(up)")} AS scurve_move, {R("avg(up)/avg(mv)", 5)} AS ratio FROM c GROUP BY 1""")
 def _(fx):
@@ -415,8 +415,8 @@ def _(fx):
     25bp lower rates of the model and of the terminal curve."""
     i0 = F.col("coupon") + 0.5 - F.col("pmms")
     coef = fitted(fx).cell()
-    df = positions(fx).withColumn("base", hazard_cpr_path(i0, coef)).withColumn("up", pricing.terminal_speed(i0 + 0.25) - pricing.terminal_speed(i0)).withColumn(
-        "dn", pricing.terminal_speed(i0 - 0.25) - pricing.terminal_speed(i0))
+    df = positions(fx).withColumn("base", hazard_cpr_path(i0, coef)).withColumn("up", pricing.terminal_speed(i0 + 0.25, CURVE) - pricing.terminal_speed(i0, CURVE)).withColumn(
+        "dn", pricing.terminal_speed(i0 - 0.25, CURVE) - pricing.terminal_speed(i0, CURVE))
     out_of = lambda d: F.size(F.filter("base", lambda p: (p + F.col(d) < 0) | (p + F.col(d) > 0.99)))
     move = array_mean(hazard_cpr_path(i0 + 0.25, coef)) - array_mean(F.col("base"))
     g = df.withColumn("nc", out_of("up") + out_of("dn")).withColumn("mv", move).groupBy("coupon")

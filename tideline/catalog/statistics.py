@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tideline.catalog.olssql import ols_sql
 from tideline.catalog.pricesql import KRD, ME, POS, TENT, V, dur_sql, key_rate_durations, priced_sql
 from tideline.catalog.registry import R, query, rnd
+from tideline.catalog.scurvesql import BAND, in_band, scurve_sql
 from tideline.catalog.selection import RET, excess
 from tideline.catalog.survival import AGE, FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
 from tideline.functions import rates
@@ -498,35 +499,6 @@ def _(fx):
     return rnd(bootstrap_mean(df, "cpr_upb", "upb_atrisk", "cell", 200))
 
 
-SC_GRID = f"(SELECT unnest({scurve.K_GRID})::DOUBLE AS k), (SELECT unnest({scurve.X0_GRID})::DOUBLE AS x0)"
-
-
-def scurve_sql(rel: str, by: str, floor: str | None = None) -> str:
-    """Same grid and box in SQL: sums per grid point, then candidates unrolled."""
-    key = f"{by}, " if by else ""
-    f = lambda v: f"least(greatest({v}, 0.005), 0.15)"
-    s = lambda v: f"least(greatest({v}, 0.05), 0.60)"
-    sse = "yy + f*f*aa + s*s*gg + 2*f*s*ag - 2*f*ay - 2*s*gy"
-    if floor:
-        cand = f"SELECT *, {floor} AS f, {s(f'(gy - {floor}*ag)/gg')} AS s FROM sg"
-    else:
-        cand = f"""SELECT * FROM (SELECT *, (ay*gg-gy*ag)/dt AS f, (gy*aa-ay*ag)/dt AS s FROM (SELECT *, CASE WHEN aa*gg-ag*ag > 1e-12*aa*gg THEN aa*gg-ag*ag END AS dt FROM sg)) WHERE f BETWEEN 0.005 AND 0.15 AND s BETWEEN 0.05 AND 0.60
- UNION ALL SELECT *, NULL, 0.005, {s('(gy-0.005*ag)/gg')} FROM sg UNION ALL SELECT *, NULL, 0.15, {s('(gy-0.15*ag)/gg')} FROM sg
- UNION ALL SELECT *, NULL, {f('(ay-0.05*ag)/aa')}, 0.05 FROM sg UNION ALL SELECT *, NULL, {f('(ay-0.60*ag)/aa')}, 0.60 FROM sg"""
-    return f"""gx AS (SELECT {key}k, x0, cy, 1/(1+exp(-k*(cx-x0))) AS g FROM {rel}, {SC_GRID}),
-sg AS (SELECT {key}k, x0, count(*) AS n, sum((1-g)*(1-g)) AS aa, sum(g*g) AS gg, sum((1-g)*g) AS ag, sum((1-g)*cy) AS ay, sum(g*cy) AS gy, sum(cy*cy) AS yy, sum(cy) AS sy FROM gx GROUP BY {key}k, x0 HAVING count(*) >= 40),
-cd AS ({cand}), rk AS (SELECT {key}k, x0, f, s, n, {sse} AS sse, yy - sy*sy/n AS tss, row_number() OVER ({f'PARTITION BY {by}' if by else ''} ORDER BY round({sse}, 12), k, x0) AS rn FROM cd)
-SELECT {key}n, k, x0, {R("f", 4)} AS floor, {R("s", 4)} AS sat, {R("CASE WHEN tss > 1e-12 THEN 1 - sse/tss END", 4)} AS r2 FROM rk WHERE rn = 1"""
-
-
-def in_band(df):
-    """Incentive -4..2 and coupons 2.5..6.5."""
-    return df.filter(F.col("inc").between(-4.0, 2.0) & F.col("coupon").between(2.5, 6.5))
-
-
-BAND = "bd AS (SELECT mi, coupon, inc AS cx, cpr_upb AS cy FROM fr WHERE inc BETWEEN -4.0 AND 2.0 AND coupon BETWEEN 2.5 AND 6.5)"
-
-
 @query("G28_scurve_fit", "f_loan f_forecast", f"""{FVR}, {BAND}, bh AS (SELECT a.mi, b.cx, b.cy FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi), {scurve_sql("bh", "mi")}""")
 def _(fx):
     out = scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb")
