@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions import cashflow, curves, rates
 from tideline.plans.hazard import hazard_cpr_path
+from tideline.session import cut_lineage
 
 H = curves.BUMP_PP
 # fixed values: terminal curve used when a position carries no fitted parameters
@@ -235,14 +236,16 @@ def _price_at(spread: Column) -> Column:
 OAS_LO, OAS_HI = -500.0, 2000.0
 
 
-def _oas_curve(rows: DataFrame, chunks: DataFrame, coef: dict[str, float], keys: list[str], weigh: bool, points: int) -> DataFrame:
-    """Mean price on ``points`` spreads between each row's lo and hi, per key."""
-    df = with_path_flows(rows, chunks, coef)
+def _oas_curve(flows: DataFrame, bounds: DataFrame, keys: list[str], weigh: bool, points: int) -> DataFrame:
+    """Mean price on ``points`` spreads between lo and hi, per key. The spreads are
+    evaluated inside the row; only (key, spread, sum) rows leave it. Without keys
+    ``bounds`` is one row."""
+    rows = flows.join(bounds.select(*keys, "lo", "hi"), keys) if keys else flows.withColumn("_b", bounds.select(F.struct("lo", "hi")).scalar()).select(*flows.columns, "_b.lo", "_b.hi")
     steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(float(points - 1)))
-    g = df.withColumn("spread", F.explode(steps))
     w = F.col("upb") if weigh else F.lit(1.0)
-    return g.select(*keys, "spread", (w * _price_at(F.col("spread"))).alias("_s"), (w * _n_paths()).alias("_w")).groupBy(*keys, "spread").agg(
-        (F.sum("_s") / F.sum("_w")).alias("p"))
+    sums = F.transform(steps, lambda s: F.struct(s.alias("spread"), (w * _price_at(s)).alias("s")))
+    g = rows.select(*keys, (w * _n_paths()).alias("_w"), F.explode(sums).alias("_p"))
+    return g.groupBy(*keys, F.col("_p.spread").alias("spread")).agg((F.sum("_p.s") / F.sum("_w")).alias("p"))
 
 
 def _bracket(curve: DataFrame, keys: list[str], market: Column) -> DataFrame:
@@ -265,9 +268,12 @@ def oas_solve(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], ma
     a spread grid that zooms into its bracket (to 0.25 bp, then a straight line).
     Prices beyond the search range are flagged at the bound."""
     keys = profiles.columns
+    # the flows do not depend on the spread: built once, written, read by every pass
+    flows = cut_lineage(with_path_flows(profiles, chunks, coef))
     rows = profiles.withColumn("lo", F.lit(OAS_LO)).withColumn("hi", F.lit(OAS_HI))
     for _ in range(passes):
-        rows = _bracket(_oas_curve(rows, chunks, coef, keys, False, points), keys, F.col(market))
+        curve = _oas_curve(flows, rows, keys, False, points)
+        rows = cut_lineage(_bracket(curve, keys, F.col(market)))
     found = F.col("p_lo").isNotNull() & F.col("p_hi").isNotNull()
     return rows.select(*keys, _interpolate(F.col(market)).alias("oas_bp"), found.alias("converged"))
 
@@ -276,10 +282,9 @@ def pool_oas(profiles: DataFrame, chunks: DataFrame, coef: dict[str, float], mar
     """Pool spread from balance-weighted prices, by the same zooming grid; every
     pass is one aggregate over (profile, chunk) rows. A price beyond the search
     range is flagged at the bound."""
-    rows = profiles.withColumn("lo", F.lit(OAS_LO)).withColumn("hi", F.lit(OAS_HI))
-    bracket = None
+    flows = cut_lineage(with_path_flows(profiles, chunks, coef))
+    bracket = profiles.sparkSession.range(1).select(F.lit(OAS_LO).alias("lo"), F.lit(OAS_HI).alias("hi"))
     for _ in range(passes):
-        bracket = _bracket(_oas_curve(rows, chunks, coef, [], True, points), [], F.lit(market_price))
-        rows = profiles.withColumn("_b", bracket.select(F.struct("lo", "hi")).scalar()).select(*profiles.columns, "_b.lo", "_b.hi")
+        bracket = cut_lineage(_bracket(_oas_curve(flows, bracket, [], True, points), [], F.lit(market_price)))
     found = F.col("p_lo").isNotNull() & F.col("p_hi").isNotNull()
     return bracket.select(_interpolate(F.lit(market_price)).alias("pool_oas_bp"), found.alias("converged"))
