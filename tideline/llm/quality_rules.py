@@ -25,29 +25,24 @@ from tideline.llm.frames import texts, without
 from tideline.llm.textstats import Stats, share
 
 CONTENT, BOILERPLATE = 0, 1
-SAMPLE = 1_000
-CODES, WIDTH = 11, 6
-END_CODE = np.full(256, 4, np.int64)
-END_CODE[list(b".!?")] = 0
-END_CODE[list(b",;:")] = 1
-END_CODE[[b for b in range(256) if chr(b).isalnum() or b >= 0x80]] = 2
-END_CODE[list(b"#*$%&|<>")] = 3
+SAMPLE = 2_000
+CODES, WIDTH = 10, 6
+#: A line ends in a sign of prose (0), in a symbol (1) or in another character (2).
+END_CODE = np.zeros(256, np.int64)
+END_CODE[[b for b in range(128) if not chr(b).isalnum() and chr(b) not in ".!?,;:'\"-()"]] = 2
+END_CODE[list(b"#*$%&|<>")] = 1
 
 
 def line_codes(s: Stats) -> np.ndarray:
-    """Codes below WIDTH of every line: words, symbols, capitals, digits, last character, pipes, shouts, repetition, place, marks, word length."""
+    """Codes below WIDTH of every line: words, symbols, capitals, digits, last character, pipes, shouts, repetition, marks, word length."""
     words, chars = s.line_words, s.in_lines("chars") - s.in_lines("spaces")
     letters = s.in_lines("upper") + s.in_lines("lower")
-    text = s.line_text()
-    place = np.full(len(text), 2)
-    place[s.first_line[1:][np.diff(s.first_line) > 0] - 1] = 1
-    place[s.first_line[:-1][np.diff(s.first_line) > 0]] = 0
     last = s.line_ends - 1
     cut = lambda x, marks: np.searchsorted(marks, x, "left")
     return np.stack([
         cut(words, [2, 5, 10, 20]), cut(share(s.in_lines("symbols"), chars), [0, 0.02, 0.1, 0.3]), cut(share(s.in_lines("upper"), letters), [0.1, 0.3, 0.6]),
         cut(share(s.in_lines("digits"), chars), [0, 0.1, 0.3]), END_CODE[s.buf[last]], cut(share(s.in_lines("pipes"), words), [0, 0.2]),
-        cut(share(s.in_lines("shouts"), words), [0, 0.2]), s.repeated_lines().astype(np.int64), place, (s.in_lines("marks") > 0).astype(np.int64),
+        cut(share(s.in_lines("shouts"), words), [0, 0.2]), s.repeated_lines().astype(np.int64), (s.in_lines("marks") > 0).astype(np.int64),
         cut(share(chars, words), [3, 5, 8, 12]),
     ], axis=1)
 
@@ -103,7 +98,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit_field(codes: np.ndarray, first: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 1.0) -> Field:
+def fit_field(codes: np.ndarray, first: np.ndarray, target: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1.0) -> Field:
     """Weights of largest penalised likelihood for the chains' target labels (Adagrad steps on the exact gradient)."""
     field = Field(np.zeros((codes.shape[1], WIDTH, 2)), np.zeros((2, 2)))
     if not len(target) or target.min() == target.max():
@@ -145,11 +140,11 @@ def fit_field(codes: np.ndarray, first: np.ndarray, target: np.ndarray, rounds:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Fit on the lines of at most ``sample`` labelled documents, half of each class as far as there are, by id hash."""
+    """Fit on the lines of at most ``sample`` labelled documents, those with the smallest id hash, so that the classes keep their
+    shares and a line without any sign counts as content where most documents are good."""
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("label").alias("label"))
-    pick = lambda label: known.filter(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2)
-    few = pick(0).unionByName(pick(1))
+    few = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = texts(docs, id_col, text_col).join(F.broadcast(few), "_id")
     kind = "doc long, line long, label int, codes array<long>"
 
