@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.functions import bins
 from tideline.functions import rates
 from tideline.operators import ordering
-from tideline.session import cut_lineage
 
 # fixed values: segment edges (left-closed) and labels
 SEGMENTS = {
@@ -26,26 +25,23 @@ def segment_metrics(
 ) -> DataFrame:
     """Per segment value: rows, event share, AUC of two scores and their gap.
 
-    Every row is unfolded once into its segment values; groups under ``min_n`` or
-    with one class drop. Both scores read the rows, so they are checkpointed.
+    Every row is unfolded once into its segment values and both scores, and one
+    ranking per (segment, value, score) serves all; groups under ``min_n`` or with
+    one class drop.
     """
     tags = F.array(*[F.struct(F.lit(n).alias("segment"), c.cast("string").alias("value")) for n, c in segments.items()])
-    rows = cut_lineage(df.select(score_a, score_b, label, tags.alias("_t")))
-    long = (
-        rows.select(score_a, score_b, label, F.explode("_t").alias("_s"))
-        .select("_s.segment", "_s.value", score_a, score_b, label)
-        .filter(F.col("value").isNotNull())
-    )
-    keys = ["segment", "value"]
-    a = ordering.auc(long, score_a, label, keys).withColumnRenamed("auc", "auc_a")
-    b = ordering.auc(long, score_b, label, keys).select(*keys, F.col("auc").alias("auc_b"))
+    scores = F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).cast("double").alias("score")) for w, c in (("a", score_a), ("b", score_b))])
+    long = df.select(label, scores.alias("_p"), F.explode(tags).alias("_t")).filter(F.col("_t.value").isNotNull())
+    long = long.select("_t.segment", "_t.value", label, F.explode("_p").alias("_s")).select("segment", "value", "_s.which", "_s.score", label)
+    both = ordering.auc(long, "score", label, ["segment", "value", "which"])
+    of = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    wide = both.groupBy("segment", "value").agg(of("a", "n_pos").alias("n_pos"), of("a", "n_neg").alias("n_neg"), of("a", "auc").alias("auc_a"), of("b", "auc").alias("auc_b"))
     n = F.col("n_pos") + F.col("n_neg")
     return (
-        a.join(b, keys)
-        .withColumn("n", n)
+        wide.withColumn("n", n)
         .filter((F.col("n") >= min_n) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
         .select(
-            *keys, "n", (F.col("n_pos") / F.col("n") * 100).alias("event_pct"),
+            "segment", "value", "n", (F.col("n_pos") / F.col("n") * 100).alias("event_pct"),
             "auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("delta"),
         )
     )
