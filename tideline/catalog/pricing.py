@@ -432,3 +432,43 @@ def _(fx):
     c = array_mean(hazard_cpr_path(F.col("coupon") + 0.5 - F.col("pmms"), fitted(fx).cell(), F.col("start_age")))
     return rnd(df.withColumn("c", c).groupBy("coupon", "start_age").agg(F.avg("c").alias("mean_cpr"), F.max("c").alias("max_cpr")).withColumn(
         "extrapolated", F.col("start_age") > 33))
+
+
+# ------------------------------------------------------- forwards on bootstrapped zeros
+
+
+ZERO = f"""zr AS MATERIALIZED ({zeros_sql("(SELECT * FROM f_curve_daily WHERE d = (SELECT max(d) FROM f_curve_daily))", "d")}),
+z AS (SELECT CAST(unnest(range(1, 34)) AS BIGINT) AS t, unnest(zs[1:33]) AS zero FROM zr),
+fw AS (SELECT t, zero, coalesce(zero*t - lag(zero*t) OVER (ORDER BY t), zero) AS forward FROM z)"""
+
+
+def zeros33(fx):
+    """Bootstrapped zeros of the latest curve day on months 1..33."""
+    last = fx.curve_daily.agg(F.max("d"))
+    day = fx.curve_daily.withColumn("_last", last.scalar()).filter(F.col("d") == F.col("_last")).select("d", *TEN)
+    grid = F.slice(curves.monthly_zeros(), 1, 33)
+    return curves.bootstrap_zeros(day).select(F.posexplode(grid).alias("i", "zero")).select((F.col("i") + 1).cast("bigint").alias("t"), "zero")
+
+
+@query("F25_forward_rates", "f_curve_daily", f"WITH {ZERO} SELECT t, {R('zero', 8)} AS zero, {R('forward', 8)} AS forward FROM fw")
+def _(fx):
+    return rnd(series.forward_rates(zeros33(fx)), 8)
+
+
+DRIFT = f"""{ZERO}, mn AS (SELECT t, avg(rate) AS m FROM f_path GROUP BY 1), dc AS (SELECT p.path_id, CAST(p.t AS BIGINT) AS t, greatest(p.rate + fw.forward - mn.m, 0.01) AS corrected FROM f_path p JOIN mn ON p.t=mn.t JOIN fw ON p.t=fw.t)"""
+
+
+@query("F26_drift_correct", "f_curve_daily f_path", f"WITH {DRIFT} SELECT path_id, t, {R('corrected')} AS corrected FROM dc")
+def _(fx):
+    return rnd(series.drift_correct(fx.path, series.forward_rates(zeros33(fx))).select("path_id", "t", "corrected"))
+
+
+HORIZONS = [1, 3, 6, 12, 24, 33]
+
+
+@query("F27_zcb_reprice", "f_curve_daily f_path", f"""WITH {DRIFT}, c AS (SELECT path_id, t, sum(corrected/1200) OVER (PARTITION BY path_id ORDER BY t) AS s FROM dc)
+SELECT c.t, {R("avg(exp(-s))", 9)} AS model_df, {R("any_value(exp(-zero*z.t/1200))", 9)} AS target_df, {R("abs(avg(exp(-s)) - any_value(exp(-zero*z.t/1200)))*10000")} AS error_bp FROM c JOIN z ON z.t = c.t WHERE c.t IN (1,3,6,12,24,33) GROUP BY 1""")
+def _(fx):
+    z = zeros33(fx)
+    paths = series.drift_correct(fx.path, series.forward_rates(z))
+    return rnd(series.zcb_reprice(paths, z, HORIZONS, "corrected"), 9, error_bp=6)

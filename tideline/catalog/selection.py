@@ -334,16 +334,6 @@ def _(fx):
         F.min_by("yyyymm", F.when(after, F.struct("r", "yyyymm"))).alias("trough_month")))
 
 
-@query("I4_best_spec", "f_loan f_forecast", f"""{FVR}, s AS (SELECT 'identity' AS spec, sqrt(avg(pow(forecast_cpr-cpr_upb,2))) AS score FROM fr UNION ALL SELECT 'half', sqrt(avg(pow(forecast_cpr/2-cpr_upb,2))) FROM fr
- UNION ALL SELECT 'double', sqrt(avg(pow(forecast_cpr*2-cpr_upb,2))) FROM fr) SELECT spec, {R("score")} AS score FROM s ORDER BY score LIMIT 1""")
-def _(fx):
-    df = forecast_realized(fx)
-    specs = F.array(*[F.struct(F.lit(n).alias("spec"), F.lit(k).alias("k")) for n, k in (("identity", 1.0), ("half", 0.5), ("double", 2.0))])
-    e = F.col("s.k") * F.col("forecast_cpr") - F.col("cpr_upb")
-    out = df.withColumn("s", F.explode(specs)).groupBy(F.col("s.spec").alias("spec")).agg(F.sqrt(F.avg(e * e)).alias("score"))
-    return rnd(out.orderBy("score").limit(1))
-
-
 @query("I5_head_sample", "f_loan", "SELECT loan_id, yyyymm, upb FROM f_loan ORDER BY loan_id, yyyymm LIMIT 100")
 def _(fx):
     """First n rows in panel order (a top-n, not a full sort)."""

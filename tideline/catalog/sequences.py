@@ -409,41 +409,6 @@ def _(fx):
     return rnd(fx.path.select("path_id", "t", series.discount_factor(F.col("rate"), "t", ["path_id"]).alias("cum_disc")))
 
 
-ZERO = """z AS (SELECT CAST(t AS BIGINT) AS t, m1 + (y3-m1)*(t-1)/35.0 AS zero FROM (SELECT m1, y3, unnest(range(1,34)) AS t FROM f_curve_daily WHERE d = (SELECT max(d) FROM f_curve_daily))),
-fw AS (SELECT t, zero, coalesce(zero*t - lag(zero*t) OVER (ORDER BY t), zero) AS forward FROM z)"""
-
-
-def zeros33(fx):
-    """Zeros of the latest curve day on months 1..33 (straight line 1m to 3y)."""
-    last = fx.curve_daily.agg(F.max_by(F.struct("m1", "y3"), "d").alias("c"))
-    t = last.select(F.col("c.m1").alias("m1"), F.col("c.y3").alias("y3"), F.explode(F.sequence(F.lit(1), F.lit(33)).cast("array<bigint>")).alias("t"))
-    return t.select("t", (F.col("m1") + (F.col("y3") - F.col("m1")) * (F.col("t") - 1) / 35.0).alias("zero"))
-
-
-@query("F25_forward_rates", "f_curve_daily", f"WITH {ZERO} SELECT t, {R('zero', 8)} AS zero, {R('forward', 8)} AS forward FROM fw")
-def _(fx):
-    return rnd(series.forward_rates(zeros33(fx)), 8)
-
-
-DRIFT = f"""{ZERO}, mn AS (SELECT t, avg(rate) AS m FROM f_path GROUP BY 1), dc AS (SELECT p.path_id, CAST(p.t AS BIGINT) AS t, greatest(p.rate + fw.forward - mn.m, 0.01) AS corrected FROM f_path p JOIN mn ON p.t=mn.t JOIN fw ON p.t=fw.t)"""
-
-
-@query("F26_drift_correct", "f_curve_daily f_path", f"WITH {DRIFT} SELECT path_id, t, {R('corrected')} AS corrected FROM dc")
-def _(fx):
-    return rnd(series.drift_correct(fx.path, series.forward_rates(zeros33(fx))).select("path_id", "t", "corrected"))
-
-
-HORIZONS = [1, 3, 6, 12, 24, 33]
-
-
-@query("F27_zcb_reprice", "f_curve_daily f_path", f"""WITH {DRIFT}, c AS (SELECT path_id, t, sum(corrected/1200) OVER (PARTITION BY path_id ORDER BY t) AS s FROM dc)
-SELECT c.t, {R("avg(exp(-s))", 9)} AS model_df, {R("any_value(exp(-zero*z.t/1200))", 9)} AS target_df, {R("abs(avg(exp(-s)) - any_value(exp(-zero*z.t/1200)))*10000")} AS error_bp FROM c JOIN z ON z.t = c.t WHERE c.t IN (1,3,6,12,24,33) GROUP BY 1""")
-def _(fx):
-    z = zeros33(fx)
-    paths = series.drift_correct(fx.path, series.forward_rates(z))
-    return rnd(series.zcb_reprice(paths, z, HORIZONS, "corrected"), 9, error_bp=6)
-
-
 @query("F28_hist_spread", "f_market_rate f_curve_daily", f"""WITH me AS (SELECT yyyymm, arg_max(y10, d) AS y10 FROM f_curve_daily GROUP BY 1), s AS (SELECT m.yyyymm, rate_30yr - y10 AS sp FROM f_market_rate m JOIN me USING (yyyymm))
 SELECT coalesce(CAST(decade AS VARCHAR), 'all') AS decade, count(*) AS n, {R("avg(sp)", 12)} AS spread FROM (SELECT yyyymm//1000*10 AS decade, sp FROM s) GROUP BY GROUPING SETS ((decade), ())""")
 def _(fx):

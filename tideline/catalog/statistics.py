@@ -271,6 +271,13 @@ def _(fx):
     return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]).orderBy("log_rmse"), 5)
 
 
+@query("I4_best_spec", "f_loan f_forecast", f"""{SPECS} SELECT spec, {R("sqrt(sum(w*le*le)/sum(w))", 5)} AS log_rmse FROM oo GROUP BY 1 ORDER BY 2, 1 LIMIT 1""")
+def _(fx):
+    """The mapping specification with the smallest weighted log error out of sample."""
+    oos = mapping.search(mapping_cells(fx), min_months=24)
+    return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]).select("spec", "log_rmse"), 5).orderBy("log_rmse", "spec").limit(1)
+
+
 # rolling fit oracle: direct self-join per window
 ROLL = ols_sql("(SELECT a.yyyymm AS win_end, b.dpmms, b.dy2, b.dy5, b.dy10 FROM dn a JOIN dn b ON b.rn BETWEEN a.rn-23 AND a.rn WHERE a.rn >= 24 AND (a.rn - 24) % 3 = 0)", "dpmms", ["dy2", "dy5", "dy10"], "win_end")
 
