@@ -46,7 +46,7 @@ class Memory:
     all earlier results are dropped and only the batch's own are kept.
     """
 
-    def __init__(self, solve, most: int = 1_500_000):
+    def __init__(self, solve, most: int = 1_000_000):
         self.solve, self.most = solve, most
         self._clear()
 
@@ -99,7 +99,7 @@ def gather(memory: Memory, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Token ids of whole texts by a ``tokenizers`` file, exactly as the library gives them."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

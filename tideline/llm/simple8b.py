@@ -36,7 +36,7 @@ FRAME = 1024
 #: Fixed values: (ranks in a word, bits of each) by selector; 0 is the escape.
 LAYOUT = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 LOW = np.uint64((1 << 60) - 1)
-BLOCKS_PER_FILE = 16
+BLOCKS_PER_FILE = 32
 
 
 def _widths(values: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _M1, _M2, _BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
