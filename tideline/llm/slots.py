@@ -80,7 +80,8 @@ def records_of(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
 
 
 def sharded(docs: DataFrame, path: str, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's shard under the newest map of ``path`` (made and rebalanced here if there is none yet).
+    """Every document's shard. Starts a map in the empty folder ``path`` (version 1), rebalances it by bytes (version 2) and places
+    all records by the newest version; ``rebalanced`` and ``placed`` carry an existing map on.
 
     Columns: the id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` (the row's place in its shard, without gaps),
     ``grown_shard`` (null: the map follows bytes), ``vslot`` and ``map_version``. Rows are numbered inside a slot; a slot's
