@@ -344,11 +344,12 @@ def _cuts(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_many"))
     step = F.when(F.col("_many") > BLOCK, F.floor(F.log("n") * 20)).otherwise(F.lit(0)).cast("long")
     rows = rows.join(counts, "label").select("node", "label", step.alias("_step"))
-    steps = rows.groupBy("label", "_step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_cuts"))
-    order = W.partitionBy("label", "_step").orderBy(F.xxhash64("node"), "node")
-    few = rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= BRIDGES)
-    few = few.select("node", "label", F.explode(F.array("_step", F.col("_step") + 1)).alias("_step"))
-    own = rows.join(steps, ["label", "_step"]).select("node", "label", "_step", F.pmod(F.xxhash64("node"), F.col("_cuts")).alias("_cut"))
+    steps = rows.groupBy("label", "_step").agg(F.count(F.lit(1)).alias("_here")).withColumn("_cuts", F.ceil(F.col("_here") / BLOCK))
+    placed = rows.join(steps, ["label", "_step"])
+    own = placed.select("node", "label", "_step", F.pmod(F.xxhash64("node"), F.col("_cuts")).alias("_cut"))
+    # about BRIDGES nodes of a step, drawn by a hash of their own
+    drawn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(BRIDGES) / F.col("_here") * (1 << 30)
+    few = placed.filter(drawn).select("node", "label", F.explode(F.array("_step", F.col("_step") + 1)).alias("_step"))
     bridges = few.join(steps, ["label", "_step"]).select("node", "label", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_cut"))
     return own.unionByName(bridges).distinct()
 
