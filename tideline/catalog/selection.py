@@ -152,6 +152,19 @@ def _(fx):
     return joins.hpi_double_lookup(fx.loan, hpi).select("loan_id", "yyyymm", "hpi_orig", "hpi_now")
 
 
+@query("D1b_rate_lookup_whole", "f_loan f_market_rate", "SELECT loan_id, l.mmyyyy, m.rate_30yr FROM f_loan l LEFT JOIN f_market_rate m ON l.mmyyyy = m.mmyyyy")
+def _(fx):
+    """Every month of the market table."""
+    return joins.rate_lookup(fx.loan, fx.market_rate, "mmyyyy").select("loan_id", "mmyyyy", "rate_30yr")
+
+
+@query("D2b_hpi_double_lookup_whole", "f_loan f_hpi", """
+SELECT l.loan_id, l.yyyymm, o.hpi AS hpi_orig, n.hpi AS hpi_now FROM f_loan l LEFT JOIN f_hpi o ON l.zip3=o.zip3 AND l.orig_ym=o.yyyymm LEFT JOIN f_hpi n ON l.zip3=n.zip3 AND l.yyyymm=n.yyyymm""")
+def _(fx):
+    """Every region of the home price table."""
+    return joins.hpi_double_lookup(fx.loan, fx.hpi).select("loan_id", "yyyymm", "hpi_orig", "hpi_now")
+
+
 @query("D3_loan_state_join", "f_loan", """
 WITH st AS (SELECT loan_id, max(yyyymm) AS last_ym, arg_max_null(upb, yyyymm) AS last_upb, arg_max_null(note_rate, yyyymm) AS last_rate FROM f_loan GROUP BY 1)
 SELECT l.loan_id, l.yyyymm, l.upb, last_rate, CASE WHEN last_upb = 0 THEN last_ym END AS payoff_ym FROM f_loan l JOIN st USING (loan_id)""")
@@ -183,6 +196,17 @@ def _(fx):
     return joins.nearest_month_lookup(keys, r, "m", "rate_30yr").select("m", "matched_m", "rate_30yr")
 
 
+@query("D6b_nearest_month_lookup_whole", "f_price f_market_rate", """
+WITH k AS (SELECT DISTINCT make_date(yyyymm//100, yyyymm%100, 1) AS m FROM f_price), r AS (SELECT make_date(yyyymm//100, yyyymm%100, 1) AS rm, rate_30yr FROM f_market_rate),
+c AS (SELECT m, rm, rate_30yr, row_number() OVER (PARTITION BY m ORDER BY abs(m - rm), rm) AS rn FROM k, r)
+SELECT m, rm AS matched_m, rate_30yr FROM c WHERE rn = 1""")
+def _(fx):
+    """Every month of the market table."""
+    keys = fx.price.select(periods.yyyymm_to_date("yyyymm").alias("m")).distinct()
+    r = fx.market_rate.select(periods.yyyymm_to_date("yyyymm").alias("m"), "rate_30yr")
+    return joins.nearest_month_lookup(keys, r, "m", "rate_30yr").select("m", "matched_m", "rate_30yr")
+
+
 @query("D7_prior_row_join", "f_price f_curve_daily", """
 WITH me AS (SELECT yyyymm, max(d) AS month_end, arg_max(y10, d) AS y10 FROM f_curve_daily GROUP BY 1),
 p AS (SELECT coupon, yyyymm, price, lag(yyyymm) OVER (PARTITION BY coupon ORDER BY yyyymm) AS info_ym FROM f_price)
