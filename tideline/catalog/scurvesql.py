@@ -28,6 +28,36 @@ cd AS ({cand}), rk AS (SELECT {key}k, x0, f, s, n, {sse} AS sse, yy - sy*sy/n AS
 SELECT {key}n, k, x0, {R("f", 4)} AS floor, {R("s", 4)} AS sat, {R("CASE WHEN tss > 1e-12 THEN 1 - sse/tss END", 4)} AS r2 FROM rk WHERE rn = 1"""
 
 
+#: Written out, so that a wrong grid, box or step of the module shows.
+ZK = [0.2, 0.6, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0]
+ZX = [-2.0, -1.5, -1.0, -0.75, -0.5, -0.25, 0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0]
+
+
+def zoom_sql(rel: str, by: str, floor: str | None = None, shown: str | None = None) -> str:
+    """The fit with seven finer grids around each key's best point."""
+    f = lambda v: f"least(greatest({v}, 0.005), 0.15)"
+    s = lambda v: f"least(greatest({v}, 0.05), 0.60)"
+    ctes, k_step, x_step = [], 2 / 3, 0.5 / 3
+    for i in range(8):
+        if i == 0:
+            grid = f"SELECT DISTINCT {by}, k, x0 FROM {rel}, (SELECT unnest({ZK})::DOUBLE AS k), (SELECT unnest({ZX})::DOUBLE AS x0)"
+        else:
+            ks, xs = [k_step * d for d in range(-5, 6)], [x_step * d for d in range(-5, 6)]
+            grid = f"SELECT DISTINCT {by}, least(greatest(k + dk, 0.2), 10.0) AS k, least(greatest(x0 + dx, -2.0), 3.0) AS x0 FROM zr{i - 1}, (SELECT unnest({ks})::DOUBLE AS dk), (SELECT unnest({xs})::DOUBLE AS dx)"
+            k_step, x_step = k_step / 3, x_step / 3
+        if floor:
+            cand = f"SELECT *, {floor} AS f, {s(f'(gy - {floor}*ag)/gg')} AS s FROM zs{i}"
+        else:
+            cand = f"""SELECT * EXCLUDE (dt) FROM (SELECT *, (ay*gg-gy*ag)/dt AS f, (gy*aa-ay*ag)/dt AS s FROM (SELECT *, CASE WHEN aa*gg-ag*ag > 1e-12*aa*gg THEN aa*gg-ag*ag END AS dt FROM zs{i})) WHERE f BETWEEN 0.005 AND 0.15 AND s BETWEEN 0.05 AND 0.60
+ UNION ALL SELECT *, 0.005, {s('(gy-0.005*ag)/gg')} FROM zs{i} UNION ALL SELECT *, 0.15, {s('(gy-0.15*ag)/gg')} FROM zs{i}
+ UNION ALL SELECT *, {f('(ay-0.05*ag)/aa')}, 0.05 FROM zs{i} UNION ALL SELECT *, {f('(ay-0.60*ag)/aa')}, 0.60 FROM zs{i}"""
+        ctes.append(f"""zg{i} AS MATERIALIZED ({grid}), zx{i} AS (SELECT {by}, k, x0, cy, 1/(1+exp(-k*(cx-x0))) AS g FROM {rel} JOIN zg{i} USING ({by})),
+zs{i} AS MATERIALIZED (SELECT {by}, k, x0, count(*) AS n, sum((1-g)*(1-g)) AS aa, sum(g*g) AS gg, sum((1-g)*g) AS ag, sum((1-g)*cy) AS ay, sum(g*cy) AS gy, sum(cy*cy) AS yy, sum(cy) AS sy FROM zx{i} GROUP BY {by}, k, x0 HAVING count(*) >= 40),
+zc{i} AS (SELECT *, yy + f*f*aa + s*s*gg + 2*f*s*ag - 2*f*ay - 2*s*gy AS sse, yy - sy*sy/n AS tss FROM ({cand})),
+zr{i} AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(sse, 12), k, x0) AS rn FROM zc{i}) WHERE rn = 1)""")
+    return ", ".join(ctes) + f""" SELECT {shown or by}, n, {R("k", 4)} AS k, {R("x0", 4)} AS x0, {R("f", 4)} AS floor, {R("s", 4)} AS sat, {R("CASE WHEN tss > 1e-12 THEN 1 - sse/tss END", 4)} AS r2 FROM zr7"""
+
+
 def in_band(df):
     """Incentive -4..2 and coupons 2.5..6.5."""
     return df.filter(F.col("inc").between(-4.0, 2.0) & F.col("coupon").between(2.5, 6.5))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tideline.catalog.olssql import ols_sql
 from tideline.catalog.pricesql import KRD, ME, POS, TENT, V, dur_sql, key_rate_durations, priced_sql
 from tideline.catalog.registry import R, query, rnd
-from tideline.catalog.scurvesql import BAND, in_band, scurve_sql
+from tideline.catalog.scurvesql import BAND, in_band, scurve_sql, zoom_sql
 from tideline.catalog.selection import RET, excess
 from tideline.catalog.survival import AGE, FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
 from tideline.functions import rates
@@ -547,6 +547,49 @@ def _(fx):
     return rnd(scurve.fit_by_scope(df.withColumn("scope", tag), "inc", "cpr_upb", ["scope"]), 4)
 
 
+PAST = "bh AS MATERIALIZED (SELECT a.mi, b.cx, b.cy FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi)"
+
+
+@query("G28d_scurve_refined", "f_loan f_forecast", f"{FVR}, {BAND}, {PAST}, {zoom_sql('bh', 'mi')}")
+def _(fx):
+    """As G28, refined until the step is below 1e-3."""
+    return rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", zoom=scurve.ZOOMS), 4)
+
+
+@query("G28e_scurve_pinned_fixed_refined", "f_loan f_forecast", f"{FVR}, {BAND}, {PAST}, {zoom_sql('bh', 'mi', '0.0459')}")
+def _(fx):
+    return rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="pinned-fixed", zoom=scurve.ZOOMS), 4)
+
+
+@query("G28f_scurve_pinned_seasoned_refined", "f_loan f_forecast f_market_rate", f"{FVR}, {BAND}, {SEAS}, {zoom_sql('bh', 'mi, fl, n_deep', 'fl', 'mi, n_deep')}")
+def _(fx):
+    out = scurve.fit_asof(
+        in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="pinned-seasoned", seasoned=seasoned_cells(fx), deep=-0.5, min_deep=3, zoom=scurve.ZOOMS)
+    return rnd(out, 4)
+
+
+SEASONED_FIT = f"""sw AS (SELECT cb, yyyymm, sum(CASE WHEN is_pay THEN wt ELSE 0 END)/sum(wt) AS smm FROM (SELECT *, CASE WHEN ({AGE}) < 0 THEN -1 WHEN ({AGE}) < 60 THEN 0 WHEN ({AGE}) < 120 THEN 60 ELSE 120 END AS ag FROM w) WHERE ag >= 60 AND (is_act OR is_pay) AND wt IS NOT NULL AND wt >= 0 GROUP BY 1, 2 HAVING sum(wt) > 0),
+sd AS (SELECT m.mi, round(cb-0.5, 2)+0.5-m.rate_30yr AS cx, 1-pow(1-smm, 12) AS cy FROM sw JOIN f_market_rate m USING (yyyymm) WHERE round(cb-0.5, 2) BETWEEN 2.5 AND 6.5 AND round(cb-0.5, 2)+0.5-m.rate_30yr BETWEEN -4.0 AND 2.0),
+am AS (SELECT a.mi FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi GROUP BY 1 HAVING count(*) >= 40),
+bh AS MATERIALIZED (SELECT am.mi, sd.cx, sd.cy FROM am JOIN sd ON sd.mi < am.mi)"""
+
+
+@query("G28g_scurve_seasoned_fit", "f_loan f_forecast f_market_rate", f"{FVR}, {BAND}, {SEASONED_FIT}, {zoom_sql('bh', 'mi')}")
+def _(fx):
+    """All four parameters on seasoned speeds before each month."""
+    out = scurve.fit_asof(
+        in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="seasoned-fit", seasoned=in_band(seasoned_cells(fx)), zoom=scurve.ZOOMS)
+    return rnd(out, 4)
+
+
+@query("G29b_scope_compare_refined", "f_loan f_forecast", f"""{FVR}, {BAND}, ss AS (SELECT 'all' AS scope, cx, cy FROM bd UNION ALL SELECT 'coupon_le_4' , cx, cy FROM bd WHERE coupon <= 4 UNION ALL SELECT 'from_1998', cx, cy FROM bd WHERE mi >= 1998*12+1), {zoom_sql("ss", "scope")}""")
+def _(fx):
+    df = in_band(forecast_realized(fx))
+    tests = {"all": F.lit(True), "coupon_le_4": F.col("coupon") <= 4, "from_1998": F.col("mi") >= 1998 * 12 + 1}
+    tag = F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])))
+    return rnd(scurve.fit_by_scope(df.withColumn("scope", tag), "inc", "cpr_upb", ["scope"], zoom=scurve.ZOOMS), 4)
+
+
 PL_A, PL_B = [0.2, 0.6, 1.0, 1.4], [-6.0, -5.0, -4.0, -3.0, -2.0]
 PZ = "list_transform(range(1, 34), lambda t: 0.9*inc + 0.02*t)"
 

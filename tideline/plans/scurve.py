@@ -6,17 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions import rates
+from tideline.operators import joins
+from tideline.session import cut_lineage
 
 # fixed values: box of the four-parameter curve
 FLOOR_BOX, SAT_BOX = (0.005, 0.15), (0.05, 0.60)
 K_GRID = [0.2, 0.6, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0]
 X0_GRID = [-2.0, -1.5, -1.0, -0.75, -0.5, -0.25, 0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0]
 FIXED_FLOOR = 0.0459
+# fixed values: box of k and x0; first steps of a zoom and its passes, each with steps of a third (the last below 1e-3)
+K_BOX, X0_BOX = (0.2, 10.0), (-2.0, 3.0)
+ZOOM_STEPS, ZOOMS = (2 / 3, 0.5 / 3), 7
 
 
 def _on_grid(df: DataFrame, x: str, ks: list[float], x0s: list[float]) -> DataFrame:
-    from tideline.operators import joins
-
     g = joins.grid(df, k=ks, x0=x0s)
     return g.withColumn("_g", 1 / (1 + F.exp(-F.col("k") * (F.col(x) - F.col("x0")))))
 
@@ -68,41 +71,82 @@ def _pick(solved: DataFrame, by: list[str], extra: list[str] = []) -> DataFrame:
         F.when(F.col("b.tss") > 1e-12, 1 - F.col("b.sse") / F.col("b.tss")).alias("r2"))
 
 
+def _zoom(rows: DataFrame, x: str, y: str, by: list[str], best: DataFrame, zoom: int, pinned: bool, extra: list[str] = []) -> DataFrame:
+    """``zoom`` finer grids around the best point of each key, a third of the step
+    each time. A window is wider than the step before it, so a point can move on
+    along a valley; it stays in the box and never gets worse. ``pinned`` keeps the
+    floor of the first fit."""
+    rows, best = cut_lineage(rows), cut_lineage(best)
+    sk, sx = ZOOM_STEPS
+    pin = [F.col("floor").alias("_pin")] if pinned else []
+    keys = [*by, *extra, *["_pin"] * pinned]
+    around = lambda c, s, box: F.explode(F.array_distinct(F.array(*[rates.clip(F.col(c) + F.lit(s * d), *box) for d in range(-5, 6)])))
+    for _ in range(zoom):
+        near = best.select(*by, *extra, *pin, around("k", sk, K_BOX).alias("k"), "x0").select(*keys, "k", around("x0", sx, X0_BOX).alias("x0"))
+        g = rows.join(near, by).withColumn("_g", 1 / (1 + F.exp(-F.col("k") * (F.col(x) - F.col("x0")))))
+        sums = g.groupBy(*keys, "k", "x0").agg(*[F.sum(c).alias(n) for n, c in _sums(y).items()])
+        best = cut_lineage(_pick(_box_solve(sums, F.col("_pin") if pinned else None), by, extra))
+        sk, sx = sk / 3, sx / 3
+    return best
+
+
 def fit_by_scope(df: DataFrame, x: str, y: str, by: list[str], floor: float | None = None,
-                 ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, min_n: int = 40) -> DataFrame:
-    """One fit per scope key over the grid."""
-    g = _on_grid(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, ks, x0s)
+                 ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, min_n: int = 40, zoom: int = 0) -> DataFrame:
+    """One fit per scope key over the grid, refined by ``zoom`` passes (``ZOOMS``
+    for a step below 1e-3)."""
+    clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    g = _on_grid(clean, x, ks, x0s)
     sums = g.groupBy(*by, "k", "x0").agg(*[F.sum(c).alias(n) for n, c in _sums(y).items()]).filter(F.col("n") >= min_n)
-    return _pick(_box_solve(sums, None if floor is None else F.lit(floor)), by)
+    best = _pick(_box_solve(sums, None if floor is None else F.lit(floor)), by)
+    return _zoom(clean.select(*by, x, y), x, y, by, best, zoom, floor is not None) if zoom else best
 
 
 def fit_asof(df: DataFrame, x: str, y: str, order: str = "mi", mode: str = "fitted",
              seasoned: DataFrame | None = None, deep: float = -2.5, min_n: int = 40, min_deep: int = 10,
-             ks: list[float] = K_GRID, x0s: list[float] = X0_GRID) -> DataFrame:
+             ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, zoom: int = 0) -> DataFrame:
     """Fit on rows strictly before each month. Month totals per grid point feed a
     running window, so the work is rows x grid, not rows x grid x cutoffs.
 
     mode: fitted | pinned-fixed | pinned-seasoned (floor = mean seasoned speed at
-    deep discounts before the month, from ``seasoned``: order, x, y).
+    deep discounts before the month, from ``seasoned``: order, x, y) | seasoned-fit
+    (all four on the rows of ``seasoned``, for months with enough rows of both).
+
+    ``zoom`` passes refine the grid of each month (``ZOOMS`` for a step below 1e-3).
+    Months have grids of their own there, so rows meet every later month; they must
+    be cells of the calendar, not loans.
     """
-    clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = _on_grid(clean, x, ks, x0s)
+    if mode not in ("fitted", "pinned-fixed", "pinned-seasoned", "seasoned-fit"):
+        raise ValueError(mode)
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    clean = df.filter(known)
+    rows = seasoned.filter(known) if mode == "seasoned-fit" else clean
+    g = _on_grid(rows, x, ks, x0s)
     names = _sums(y)
     monthly = g.groupBy("k", "x0", order).agg(*[F.sum(c).alias(n) for n, c in names.items()])
+    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    if mode == "seasoned-fit":
+        cutoffs = clean.groupBy(order).agg(F.count(F.lit(1)).alias("_n")).select(order, F.sum("_n").over(before).alias("_n")).filter(F.col("_n") >= min_n)
+        empty = joins.grid(cutoffs.select(order), k=ks, x0=x0s).select("k", "x0", order, *[F.lit(0).alias(n) for n in names])
+        monthly = monthly.unionByName(empty).groupBy("k", "x0", order).agg(*[F.sum(n).alias(n) for n in names])
     past = W.partitionBy("k", "x0").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     hist = monthly.select("k", "x0", order, *[F.sum(n).over(past).alias(n) for n in names]).filter(F.col("n") >= min_n)
-    if mode == "fitted":
-        return _pick(_box_solve(hist), [order])
-    if mode == "pinned-fixed":
-        return _pick(_box_solve(hist, F.lit(FIXED_FLOOR)), [order])
-    if mode != "pinned-seasoned":
-        raise ValueError(mode)
-    deep_rows = seasoned.filter(F.col(x) <= deep).groupBy(order).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    months = clean.select(order).distinct().join(deep_rows, order, "full_outer")
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    floors = months.select(order, (F.sum("_s").over(before) / F.sum("_n").over(before)).alias("floor_pin"), F.sum("_n").over(before).alias("n_deep"))
-    joined = hist.join(F.broadcast(floors.filter(F.col("n_deep") >= min_deep)), order)
-    return _pick(_box_solve(joined, F.col("floor_pin")), [order], ["n_deep"])
+    floor, extra = None, []
+    if mode == "seasoned-fit":
+        hist = hist.join(F.broadcast(cutoffs.select(order)), order, "left_semi")
+    elif mode == "pinned-fixed":
+        floor = F.lit(FIXED_FLOOR)
+    elif mode == "pinned-seasoned":
+        deep_rows = seasoned.filter(F.col(x) <= deep).groupBy(order).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
+        months = clean.select(order).distinct().join(deep_rows, order, "full_outer")
+        floors = months.select(order, (F.sum("_s").over(before) / F.sum("_n").over(before)).alias("floor_pin"), F.sum("_n").over(before).alias("n_deep"))
+        hist = hist.join(F.broadcast(floors.filter(F.col("n_deep") >= min_deep)), order)
+        floor, extra = F.col("floor_pin"), ["n_deep"]
+    best = _pick(_box_solve(hist, floor), [order], extra)
+    if not zoom:
+        return best
+    first = cut_lineage(best)
+    earlier = rows.select(F.col(order).alias("_t"), x, y).join(F.broadcast(first.select(order)), F.col("_t") < F.col(order)).drop("_t")
+    return _zoom(earlier, x, y, [order], first, zoom, floor is not None, extra)
 
 
 def platt_grid(cells: DataFrame, path: str, real: str, a_values: Column, b_values: Column) -> DataFrame:
