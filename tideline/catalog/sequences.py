@@ -216,10 +216,10 @@ def _(fx):
 @query("F10b_hazard_learners")
 def _(fx):
     """Logistic and boosted hazards by Spark ML on person-period rows, AUC by
-    survival CDF on the held-out loans (20 boosting rounds here)."""
+    survival CDF on the held-out loans."""
     split = selection.stratified_split(labels(fx), "prepaid", "loan_id")
     steps = sequences.person_period(known_steps(fx), event())
-    return rnd(hazard.hazard_comparison(steps, split, MODEL_FEATURES, rounds=20))
+    return rnd(hazard.hazard_comparison(steps, split, MODEL_FEATURES))
 
 
 SNAP = ["fico", "original_ltv", "dti", "loan_age", "refi_incentive", "current_ltv", "original_upb"]
@@ -264,8 +264,8 @@ def _(fx):
 
 @query("F11b_snapshot_learners")
 def _(fx):
-    """Forest, boosting and net on the same rows (20 boosting rounds here)."""
-    return rnd(hazard.snapshot_models(snapshot_rows(fx), SETS, kinds=("random_forest", "boosted_trees", "perceptron"), rounds=20))
+    """Forest, boosting and net on the same rows."""
+    return rnd(hazard.snapshot_models(snapshot_rows(fx), SETS, kinds=("random_forest", "boosted_trees", "perceptron")))
 
 
 @query("F12_person_period", "f_loan", f"WITH {STEPS} SELECT loan_id, t, CAST(t = event_step AS BIGINT) AS y FROM k JOIN e USING (loan_id)")
