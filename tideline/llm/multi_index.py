@@ -28,7 +28,7 @@ from tideline.llm.frames import staged
 
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 2048
-SLACK = 1e-12
+SLACK = 1e-12  # times the norms of the query and of the largest row
 
 
 def usable(vector: Column) -> Column:
@@ -89,6 +89,8 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int)
 def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, visits: np.ndarray, cell: np.ndarray, top: int):
     """(query, row, score) of each query's best visited rows; ``visits`` marks the cells that a query takes, ``cell`` is each row's."""
     found = []
+    slack = max(SLACK, 8 * queries.shape[1] * np.finfo(float).eps)  # two sums of rounded products for each of two rows
+    margin = slack * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0) + np.finfo(float).tiny
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         score = np.where(visits[at : at + 256][:, cell] & (r_ids[None, :] != q_ids[at : at + 256, None]), part @ rows.T, -np.inf)
@@ -96,7 +98,7 @@ def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.nda
             last = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
         else:
             last = np.full(len(part), -np.inf)
-        q, r = np.nonzero((score >= (last - SLACK)[:, None]) & (score > -np.inf))
+        q, r = np.nonzero((score >= (last - margin[at : at + 256])[:, None]) & (score > -np.inf))
         found.append((q + at, r))
     q, r = (np.concatenate(x) for x in zip(*found))
     exact = np.zeros(len(q))
