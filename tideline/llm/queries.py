@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import mixing, multi_index, ngram_join, packing, quality_gam, quality_rules, simple8b, slots, token_counts, url_lists
+from tideline.llm import collocations, mixing, multi_index, ngram_join, packing, prefix_trie, quality_gam, quality_rules, repeated_phrases, simple8b, slots, token_counts, url_lists
 from tideline.llm.frames import table
 from tideline.session import run_dir
 
@@ -197,6 +197,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM i, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS x FROM g WHERE m > 1 AND f >= 30),
+b AS (SELECT *, unnest(range(1, m + 1)) AS lo FROM c),
+e AS (SELECT *, unnest(range(lo + 1, m + 1)) AS hi FROM b),
+longer AS (SELECT lang, array_to_string(x[lo:hi], ' ') AS phrase, max(a) AS longer FROM e WHERE hi - lo + 1 < m GROUP BY ALL),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (2000000::HUGEINT * k.a // (l.f + r.f))::BIGINT AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(x[:k], ' ')
+         JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(x[k + 1 :], ' ')
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k.k) = 1),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, score
+  FROM s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_stripe_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return collocations.collocations(table(sf_dir, spark, "documents"), least=30, top=2000)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT *, CASE WHEN i + 49 <= n THEN string_agg(word, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) END AS win FROM w),
+f AS (SELECT win, min(doc_id) AS first FROM s WHERE win IS NOT NULL GROUP BY win),
+h AS (SELECT s.row, s.i, s.word, coalesce(f.first < s.doc_id, false) AS hit FROM s LEFT JOIN f USING (win)),
+g AS (SELECT row, i, word, max(hit::INT) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h),
+t AS (SELECT row, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (row)
+"""
+
+
+@query("op12_phrase_automata", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that an earlier one holds."""
+    return repeated_phrases.without_repeats(table(sf_dir, spark, "documents"), window=50, with_text=False).drop("kept_text")
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))) % 9 AS h
+  FROM t),
+r AS (
+  SELECT ids.c, 0 AS own, t.i, t.k, t.text FROM ids JOIN t ON t.c = ids.c - ((ids.c % 5) + 5) % 5 AND t.i <= h
+  UNION ALL SELECT ids.c, 1, t.i, t.k, t.text FROM ids JOIN t ON t.c = ids.c AND t.i > h),
+p AS (
+  SELECT c, 0::BIGINT AS d, '' AS key, 0 AS bytes FROM ids
+  UNION ALL SELECT c, row_number() OVER o, string_agg(k, '') OVER o, strlen(text) FROM r WINDOW o AS (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING)),
+node AS (SELECT d, key, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM p GROUP BY d, key),
+kids AS (SELECT substr(key, 1, 32 * (d - 1)::INT) AS key, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM (SELECT c, d, key FROM p QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY key),
+each AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (key)),
+up AS (SELECT substr(key, 1, 32 * e) AS key, n, bytes, d, kids FROM (SELECT *, unnest(range(0, d + 1))::INT AS e FROM each)),
+subtree AS (SELECT key, sum((kids = 0)::INT)::BIGINT AS leaves, sum((n - 1) * bytes)::BIGINT AS saved FROM up GROUP BY key)
+SELECT e.conv_id, e.d AS depth, a.conv_id AS parent_conv_id, e.n AS n_convs, e.kids AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM each e JOIN subtree s USING (key) LEFT JOIN ends USING (key) LEFT JOIN node a ON e.d > 0 AND a.key = substr(e.key, 1, 32 * (e.d - 1)::INT) AND a.d = e.d - 1
+"""
+
+
+@query("op13_skeleton_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(sf_dir, spark, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to packed pieces."""
