@@ -42,7 +42,8 @@ GAP = BREAK | tb.flags(b" \t")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-STRIPE = "lang string, prefix string, seg int, nexts array<string>, counts array<long>"
+#: A stripe as it moves: its words and their counts, space-joined in one order; the slot without a word comes first, as an empty word.
+STRIPE = "lang string, prefix string, seg int, nexts string, counts string"
 
 
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ class Words:
         text = tb.owner(off, s)
         breaks = np.zeros(len(buf) + 1, np.int64)
         np.cumsum(BREAK[buf], out=breaks[1:])
-        self.piece = breaks[s] + text
+        self.piece = (breaks[s] + text).astype(np.int32)
         named = langs.dictionary_encode()
         self.langs, self.lang = named.dictionary, named.indices.to_numpy().astype(np.int64)[text]
         self.n = len(s)
@@ -148,7 +149,8 @@ def stripes_of(words: Words, size: int, bitmap: np.ndarray | None, bits: int, ho
     offsets = pa.array(np.append(head, len(owner)), pa.int32())
     names = pa.concat_arrays([pa.array([""], pa.large_string()), words.vocab]).take(pa.array(following)).cast(pa.string())
     lang = words.langs.take(pa.array(words.lang[place])).cast(pa.string())
-    arrays = [lang, text, pa.array(seg[head], pa.int32()), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))]
+    joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, v), " ") for v in (names, pa.array(count).cast(pa.string()))]
+    arrays = [lang, text, pa.array(seg[head], pa.int32()), *joined]
     return pa.RecordBatch.from_arrays(arrays, names=["lang", "prefix", "seg", "nexts", "counts"])
 
 
@@ -165,9 +167,10 @@ def _builder(size: int, bitmap, bits: int, hot):
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """Stripes summed element by element, ``lang, prefix, seg, next, a``; elements below ``least`` join the slot without a word."""
-    here = stripes.repartition("lang", "prefix", "seg").selectExpr("lang", "prefix", "seg", "inline(arrays_zip(nexts, counts))")
+    each_slot = F.inline(F.arrays_zip(F.split("nexts", " ").alias("next"), F.split("counts", " ").alias("many")))
+    here = stripes.repartition("lang", "prefix", "seg").select("lang", "prefix", "seg", each_slot)
     key = ["lang", "prefix", "seg"]
-    each = here.groupBy(*key, F.col("nexts").alias("next")).agg(F.sum("counts").alias("a"))
+    each = here.groupBy(*key, "next").agg(F.sum(F.col("many").cast("long")).alias("a"))
     return each.groupBy(*key, F.when(F.col("a") >= least, F.col("next")).otherwise("").alias("next")).agg(F.sum("a").alias("a"))
 
 

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,6 +39,7 @@ FILTER_BITS = 26
 CHUNK_BYTES = 8 << 20
 PART_PHRASES = 50_000
 HOT_SHARES = 4096
+HOT_ROWS = 1000
 SALTS = 64
 
 _NONE = np.uint64(2**64 - 1)
@@ -237,8 +237,8 @@ def _rows(packed: Iterator[tuple]) -> pa.RecordBatch:
 def _judge(window: int, level: int):
     """Compares the holders of one group; the first level sends the smallest on, under no salt."""
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        join = lambda name, kind: np.frombuffer(b"".join(group[name]), kind)
+    def work(group: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
         size = join("sizes", np.int32)
         seg = np.repeat(np.arange(len(size)), size)
         doc, key = join("ids", np.int64)[seg], join("keys", np.int64)[seg]
@@ -247,9 +247,9 @@ def _judge(window: int, level: int):
         later, first = _decide(low, high, doc)
         out = [_ranges(doc, key, at, seg, later, window)]
         if level == 1:
-            part = np.full(len(seg), group["part"].iloc[0], np.int32)
+            part = np.full(len(seg), group["part"][0].as_py(), np.int32)
             out.append(_rows(_packed(part, np.zeros_like(part), doc, key, at, low, high, first)))
-        return pa.Table.from_batches(out).to_pandas()
+        return pa.Table.from_batches(out)
 
     return work
 
@@ -261,14 +261,14 @@ def removed_ranges(docs: DataFrame, window: int, bits: int = FILTER_BITS) -> Dat
     repeated = staged(seen.filter("lo < hi").select("phrase", "rows"), "phrases")
     many, rows = repeated.agg(F.count("*"), F.sum("rows")).first()
     bitmap = spark.sparkContext.broadcast(cellfilter.collected_bits(repeated, F.col("phrase"), bits))
-    hot = np.array([r[0] for r in repeated.filter(F.col("rows") > max(1000, (rows or 0) // HOT_SHARES)).select("phrase").collect()], np.int64).view(np.uint64)
+    hot = np.array([r[0] for r in repeated.filter(F.col("rows") > max(HOT_ROWS, (rows or 0) // HOT_SHARES)).select("phrase").collect()], np.int64).view(np.uint64)
     found = staged(docs.mapInArrow(_locator(window, bitmap, bits, max(1, -(-(many or 0) // PART_PHRASES) * 8), hot), BOTH), "holders")
     packs = [c.split()[0] for c in PACK.split(", ")]
     ranges = [c.split()[0] for c in RANGES.split(", ")]
-    salted = found.filter("salt > 0").select(*packs).groupBy("part", "salt").applyInPandas(_judge(window, 1), BOTH)
+    salted = found.filter("salt > 0").select(*packs).groupBy("part", "salt").applyInArrow(_judge(window, 1), BOTH)
     salted = staged(salted, "salted")
     open_ = found.filter("salt = 0").select(*packs).unionByName(salted.filter("salt = 0").select(*packs))
-    last = open_.groupBy("part").applyInPandas(_judge(window, 2), BOTH)
+    last = open_.groupBy("part").applyInArrow(_judge(window, 2), BOTH)
     decided = found.filter("part = -1").select(*ranges).unionByName(salted.filter("part = -1").select(*ranges))
     return decided.unionByName(last.select(*ranges))
 
