@@ -137,28 +137,13 @@ def _(fx):
 # ------------------------------------------------------------------ 2.D joins
 
 
-@query("D1_rate_lookup", "f_loan f_market_rate", """
-SELECT loan_id, l.mmyyyy, CASE WHEN l.yyyymm % 2 = 0 THEN m.rate_30yr END AS rate_30yr FROM f_loan l LEFT JOIN f_market_rate m ON l.mmyyyy = m.mmyyyy""")
-def _(fx):
-    even = fx.market_rate.filter("yyyymm % 2 = 0")
-    return joins.rate_lookup(fx.loan, even, "mmyyyy").select("loan_id", "mmyyyy", "rate_30yr")
-
-
-@query("D2_hpi_double_lookup", "f_loan f_hpi", """
-SELECT l.loan_id, l.yyyymm, o.hpi AS hpi_orig, n.hpi AS hpi_now FROM f_loan l LEFT JOIN (SELECT * FROM f_hpi WHERE zip3 <> 3) o ON l.zip3=o.zip3 AND l.orig_ym=o.yyyymm
-LEFT JOIN (SELECT * FROM f_hpi WHERE zip3 <> 3) n ON l.zip3=n.zip3 AND l.yyyymm=n.yyyymm""")
-def _(fx):
-    hpi = fx.hpi.filter("zip3 <> 3")
-    return joins.hpi_double_lookup(fx.loan, hpi).select("loan_id", "yyyymm", "hpi_orig", "hpi_now")
-
-
-@query("D1b_rate_lookup_whole", "f_loan f_market_rate", "SELECT loan_id, l.mmyyyy, m.rate_30yr FROM f_loan l LEFT JOIN f_market_rate m ON l.mmyyyy = m.mmyyyy")
+@query("D1_rate_lookup", "f_loan f_market_rate", "SELECT loan_id, l.mmyyyy, m.rate_30yr FROM f_loan l LEFT JOIN f_market_rate m ON l.mmyyyy = m.mmyyyy")
 def _(fx):
     """Every month of the market table."""
     return joins.rate_lookup(fx.loan, fx.market_rate, "mmyyyy").select("loan_id", "mmyyyy", "rate_30yr")
 
 
-@query("D2b_hpi_double_lookup_whole", "f_loan f_hpi", """
+@query("D2_hpi_double_lookup", "f_loan f_hpi", """
 SELECT l.loan_id, l.yyyymm, o.hpi AS hpi_orig, n.hpi AS hpi_now FROM f_loan l LEFT JOIN f_hpi o ON l.zip3=o.zip3 AND l.orig_ym=o.yyyymm LEFT JOIN f_hpi n ON l.zip3=n.zip3 AND l.yyyymm=n.yyyymm""")
 def _(fx):
     """Every region of the home price table."""
@@ -187,16 +172,6 @@ def _(fx):
 
 
 @query("D6_nearest_month_lookup", "f_price f_market_rate", """
-WITH k AS (SELECT DISTINCT make_date(yyyymm//100, yyyymm%100, 1) AS m FROM f_price), r AS (SELECT make_date(yyyymm//100, yyyymm%100, 1) AS rm, rate_30yr FROM f_market_rate WHERE yyyymm % 3 = 0),
-c AS (SELECT m, rm, rate_30yr, row_number() OVER (PARTITION BY m ORDER BY abs(m - rm), rm) AS rn FROM k, r)
-SELECT m, rm AS matched_m, rate_30yr FROM c WHERE rn = 1""")
-def _(fx):
-    keys = fx.price.select(periods.yyyymm_to_date("yyyymm").alias("m")).distinct()
-    r = fx.market_rate.filter("yyyymm % 3 = 0").select(periods.yyyymm_to_date("yyyymm").alias("m"), "rate_30yr")
-    return joins.nearest_month_lookup(keys, r, "m", "rate_30yr").select("m", "matched_m", "rate_30yr")
-
-
-@query("D6b_nearest_month_lookup_whole", "f_price f_market_rate", """
 WITH k AS (SELECT DISTINCT make_date(yyyymm//100, yyyymm%100, 1) AS m FROM f_price), r AS (SELECT make_date(yyyymm//100, yyyymm%100, 1) AS rm, rate_30yr FROM f_market_rate),
 c AS (SELECT m, rm, rate_30yr, row_number() OVER (PARTITION BY m ORDER BY abs(m - rm), rm) AS rn FROM k, r)
 SELECT m, rm AS matched_m, rate_30yr FROM c WHERE rn = 1""")
