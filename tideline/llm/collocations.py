@@ -34,7 +34,7 @@ LONGEST = 4
 FILTER_BITS = 25
 ROOT_SEGMENTS = 1024
 HOT_SHARES = 4096
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 RANK_BUCKETS = 256
 
 BREAK = tb.flags(b".,;:!?\n\x0b\x0c\r")
