@@ -195,16 +195,16 @@ def mapping_cells(fx):
     return mapping.cells(forecast_realized(fx))
 
 
-def wls_asof_sql(name: str, y: str, xs: dict[str, str], bucket: str = "") -> str:
+def wls_asof_sql(name: str, y: str, xs: dict[str, str], bucket: str = "", rel: str = "mc", by: str = "") -> str:
     """Weighted fit on months before each month less one, by cofactors of the
-    centred cross-products; ``bucket`` adds a key."""
+    centred cross-products; ``bucket`` and ``by`` add keys."""
     from tideline.catalog.olssql import det, inverse
 
     ns = list(xs)
-    key = f", {bucket}" if bucket else ""
+    key = (f", {by}" if by else "") + (f", {bucket}" if bucket else "")
     raw = ["sum(w) AS sw", "count(*) AS cells", f"sum(w*({y})) AS sy"] + [f"sum(w*({e})) AS s_{n}" for n, e in xs.items()] + [f"sum(w*({e})*({y})) AS p_{n}" for n, e in xs.items()]
     raw += [f"sum(w*({xs[a]})*({xs[b]})) AS p_{a}_{b}" for i, a in enumerate(ns) for b in ns[i:]]
-    src = f"(SELECT mc.*, h.tm FROM (SELECT DISTINCT mi AS tm FROM mc) h JOIN mc ON mc.mi < h.tm - 1)"
+    src = f"(SELECT {rel}.*, h.tm FROM (SELECT DISTINCT {by + ', ' if by else ''}mi AS tm FROM {rel}) h JOIN {rel} ON {rel}.mi < h.tm - 1{f' AND {rel}.{by} = h.{by}' if by else ''})"
     mat = [[f"(p_{ns[min(i, j)]}_{ns[max(i, j)]} - s_{ns[i]}*s_{ns[j]}/sw)" for j in range(len(ns))] for i in range(len(ns))]
     inv = inverse(mat)
     bs = ", ".join("(" + " + ".join(f"{inv[i][j]}*(p_{n2} - s_{n2}*sy/sw)" for j, n2 in enumerate(ns)) + f") AS b_{n}" for i, n in enumerate(ns))
@@ -214,17 +214,32 @@ def wls_asof_sql(name: str, y: str, xs: dict[str, str], bucket: str = "") -> str
 
 XS = lambda t: {"t": t, "inc": "inc", "inc2": "inc*inc", "inc_t": f"inc*{t}"}
 G10T = {"log": ("gx", "gy", "exp({0})"), "logit": ("lx", "ly", "1/(1+exp(-({0})))")}
-G10F, G10R = [], ["SELECT 'identity' AS spec, mc.*, forecast_cpr AS raw FROM mc"]
-for _s, (_f, _n) in mapping.SMOOTH.items():
-    _x, _y, _b = G10T[_f]
-    G10F.append(wls_asof_sql("f_" + _s, _y, {k: v for k, v in XS(_x).items() if k in _n}))
-    G10R.append(f"SELECT '{_s}', mc.*, " + _b.format(" + ".join(["b0"] + [f"b_{k}*({XS('mc.' + _x)[k].replace('inc', 'mc.inc')})" for k in _n])) + f" FROM mc JOIN f_{_s} USING (mi)")
-for _s, _f in mapping.BUCKETED.items():
-    _x, _y, _b = G10T[_f]
-    G10F.append(wls_asof_sql("o_" + _s, _y, {"t": _x}, "bk"))
-    _p = "loglog" if _f == "log" else "logit"
-    G10R.append(f"SELECT '{_s}', mc.*, " + _b.format(f"CASE WHEN o.cells >= 20 AND o.b_t IS NOT NULL THEN o.b0 + o.b_t*mc.{_x} ELSE p.b0 + p.b_t*mc.{_x} END") + f" FROM mc JOIN f_{_p} p USING (mi) LEFT JOIN o_{_s} o ON o.mi = mc.mi AND o.bk = mc.bk")
-MCB = MAPCELL.replace("upb_atrisk/1e6 AS w FROM fr", "upb_atrisk/1e6 AS w, CASE WHEN inc <= -2.5 THEN 0 WHEN inc <= -1.5 THEN 1 WHEN inc <= -0.5 THEN 2 WHEN inc <= 0.5 THEN 3 WHEN inc <= 1.5 THEN 4 ELSE 5 END AS bk FROM fr")
+
+
+def maps_sql(rel: str, by: str = "", at: str | None = None) -> tuple[list[str], list[str]]:
+    """Fits of every specification on ``rel``, and its value on the rows of ``at`` (``rel`` itself by default, matched by month)."""
+    on, rows = f"{by + ', ' if by else ''}mi", at or rel
+    meet = lambda f: f"JOIN {f} USING ({on})" if at is None else f"CROSS JOIN {f}"
+    shown = "mc.*" if at is None else "p.mi, mc.*"
+    first = f"SELECT 'identity' AS spec, mc.*, forecast_cpr AS raw FROM {rows} mc" if at is None else f"SELECT 'identity' AS spec, p.mi, mc.*, forecast_cpr AS raw FROM {rows} mc CROSS JOIN f_loglog p"
+    fits, values = [], [first]
+    for spec, (family, names) in mapping.SMOOTH.items():
+        x, y, back = G10T[family]
+        fits.append(wls_asof_sql("f_" + spec, y, {k: v for k, v in XS(x).items() if k in names}, "", rel, by))
+        total = " + ".join(["p.b0"] + [f"p.b_{k}*({XS('mc.' + x)[k].replace('inc', 'mc.inc')})" for k in names])
+        values.append(f"SELECT '{spec}', {shown}, {back.format(total)} FROM {rows} mc {meet('f_' + spec + ' p')}")
+    for spec, family in mapping.BUCKETED.items():
+        x, y, back = G10T[family]
+        fits.append(wls_asof_sql("o_" + spec, y, {"t": x}, "bk", rel, by))
+        value = back.format(f"CASE WHEN o.cells >= 20 AND o.b_t IS NOT NULL THEN o.b0 + o.b_t*mc.{x} ELSE p.b0 + p.b_t*mc.{x} END")
+        same = f" AND o.{by} = mc.{by}" if by else ""
+        values.append(f"SELECT '{spec}', {shown}, {value} FROM {rows} mc {meet('f_' + ('loglog' if family == 'log' else 'logit') + ' p')} LEFT JOIN o_{spec} o ON o.mi = {'mc' if at is None else 'p'}.mi AND o.bk = mc.bk{same}")
+    return fits, values
+
+
+BK = "CASE WHEN inc <= -2.5 THEN 0 WHEN inc <= -1.5 THEN 1 WHEN inc <= -0.5 THEN 2 WHEN inc <= 0.5 THEN 3 WHEN inc <= 1.5 THEN 4 ELSE 5 END AS bk"
+G10F, G10R = maps_sql("mc")
+MCB = MAPCELL.replace("upb_atrisk/1e6 AS w FROM fr", f"upb_atrisk/1e6 AS w, {BK} FROM fr")
 
 
 ELEVEN = ["identity", *mapping.SMOOTH, *mapping.BUCKETED]
@@ -263,19 +278,53 @@ def _(fx):
     return rnd(t.join(c, "spec"), 5)
 
 
-@query("G10_mapping_spec_search", "f_loan f_forecast", f"""{SPECS}
-SELECT spec, count(*) AS n, {R("sqrt(sum(w*pow(ln(cpr_upb)-ln(mapped),2))/sum(w))", 5)} AS log_rmse, {R("sum(w*abs(ln(cpr_upb)-ln(mapped)))/sum(w)", 5)} AS log_mae, {R("sum(w*abs(mapped-cpr_upb))/sum(w)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1""")
+#: The safety screen point by point: speeds of every slice of incentive under every specification and cutoff.
+SCREEN = f"""sl AS (SELECT floor(inc/0.25) AS s, ln(min(forecast_cpr)) AS lo, ln(max(forecast_cpr)) AS hi FROM mc GROUP BY 1 HAVING count(*) >= 3 AND floor(inc/0.25) < (SELECT ceil(max(inc)/0.25) FROM mc)),
+pt AS MATERIALIZED (SELECT *, {BK}, ln(least(greatest(forecast_cpr,1e-6),1-1e-6)) AS gx, ln(least(greatest(forecast_cpr,1e-6),1-1e-6)/(1-least(greatest(forecast_cpr,1e-6),1-1e-6))) AS lx FROM (SELECT s, i, (s+0.5)*0.25 AS inc, exp(lo-0.35+(hi-lo+0.7)*i/39) AS forecast_cpr FROM sl, (SELECT unnest(range(40)) AS i))),
+sv AS (SELECT *, lag(raw) OVER (PARTITION BY spec, mi, s ORDER BY i) AS before FROM ({" UNION ALL ".join(maps_sql("mc", at="pt")[1])}) WHERE mi IN (SELECT mi FROM sm)),
+sc AS (SELECT spec, mi, bool_and(coalesce(raw > before, true)) AS up, bool_and(raw > 0 AND raw < 1) AS inside, arg_max(inc, CASE WHEN raw <= 0 OR raw >= 1 THEN raw END) AS winc, max(CASE WHEN raw <= 0 OR raw >= 1 THEN raw END) AS wraw FROM sv GROUP BY 1, 2),
+sf AS (SELECT spec, bool_and(up) AS monotone, bool_and(inside) AS in_range, count(*) FILTER (NOT up OR NOT inside) AS n_unsafe, arg_max(winc, wraw) AS worst_inc FROM sc GROUP BY 1)"""
+
+
+def mapping_search(fx):
+    """Out-of-sample rows and the safety screen, from one set of coefficients."""
+    cells = cut_lineage(mapping_cells(fx))
+    coefs = cut_lineage(mapping.coefficients(cells, min_months=24))
+    return mapping.search(cells, coefs=coefs), mapping.safety(cells, coefs)
+
+
+@query("G10_mapping_spec_search", "f_loan f_forecast", f"""{SPECS}, {SCREEN}, sx AS (
+SELECT spec, count(*) AS n, {R("sqrt(sum(w*pow(ln(cpr_upb)-ln(mapped),2))/sum(w))", 5)} AS log_rmse, {R("sum(w*abs(ln(cpr_upb)-ln(mapped)))/sum(w)", 5)} AS log_mae, {R("sum(w*abs(mapped-cpr_upb))/sum(w)", 5)} AS level_mae, {R("100*avg(CASE WHEN raw >= 1 OR raw <= 0 THEN 1.0 ELSE 0 END)", 5)} AS clamped_pct FROM oo GROUP BY 1)
+SELECT sx.*, monotone, in_range, n_unsafe, worst_inc FROM sx LEFT JOIN sf USING (spec)""")
 def _(fx):
-    """All eleven specifications out of sample, ranked by weighted log error."""
-    oos = mapping.search(mapping_cells(fx), min_months=24)
-    return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]).orderBy("log_rmse"), 5)
+    """All eleven specifications out of sample, ranked by weighted log error, with the safety screen at every cutoff."""
+    oos, screen = mapping_search(fx)
+    scores = scoring.weighted_scores(oos, "upb_atrisk", ["spec"])
+    return rnd(scores.join(F.broadcast(screen), "spec", "left").orderBy("log_rmse"), 5)
 
 
-@query("I4_best_spec", "f_loan f_forecast", f"""{SPECS} SELECT spec, {R("sqrt(sum(w*le*le)/sum(w))", 5)} AS log_rmse FROM oo GROUP BY 1 ORDER BY 2, 1 LIMIT 1""")
+@query("I4_best_spec", "f_loan f_forecast", f"""{SPECS}, {SCREEN}, sx AS (SELECT spec, {R("sqrt(sum(w*le*le)/sum(w))", 5)} AS log_rmse FROM oo GROUP BY 1)
+SELECT spec, log_rmse FROM sx JOIN sf USING (spec) WHERE spec = 'identity' OR (monotone AND in_range) ORDER BY spec = 'identity', log_rmse, spec LIMIT 1""")
 def _(fx):
-    """The mapping specification with the smallest weighted log error out of sample."""
-    oos = mapping.search(mapping_cells(fx), min_months=24)
-    return rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]).select("spec", "log_rmse"), 5).orderBy("log_rmse", "spec").limit(1)
+    """The safe specification with the smallest weighted log error out of sample."""
+    oos, screen = mapping_search(fx)
+    scores = rnd(scoring.weighted_scores(oos, "upb_atrisk", ["spec"]).select("spec", "log_rmse"), 5)
+    return mapping.best_safe(scores, screen)
+
+
+#: Least balances of a cell; fixed values, in the scale of the panel's cells.
+LEAST_UPB = [0.0, 1e6, 2.5e6, 5e6]
+G10WF, G10WR = maps_sql("mw", "min_upb")
+
+
+@query("G10b_min_weight_sweep", "f_loan f_forecast", f"""{MCB}, mw AS MATERIALIZED (SELECT min_upb, mc.* FROM mc, (SELECT unnest({LEAST_UPB})::DOUBLE AS min_upb) WHERE upb_atrisk >= min_upb), {", ".join(G10WF)},
+sm AS (SELECT h.min_upb, h.tm AS mi FROM (SELECT DISTINCT min_upb, mi AS tm FROM mw) h JOIN mw ON mw.min_upb = h.min_upb AND mw.mi < h.tm - 1 GROUP BY 1, 2 HAVING count(DISTINCT mw.mi) >= 24),
+sc AS (SELECT min_upb, spec, sqrt(sum(w*pow(ln(cpr_upb)-ln(least(greatest(raw, 1e-6), 1-1e-6)), 2))/sum(w)) AS e FROM ({" UNION ALL ".join(G10WR)}) JOIN sm USING (min_upb, mi) GROUP BY 1, 2),
+b AS (SELECT min_upb, max(e) FILTER (spec = 'identity') AS identity, (array_agg(e ORDER BY round(e, 9), spec) FILTER (spec <> 'identity'))[1] AS best, (array_agg(spec ORDER BY round(e, 9), spec) FILTER (spec <> 'identity'))[1] AS best_spec FROM sc GROUP BY 1)
+SELECT min_upb, cells, {R("identity", 5)} AS identity, {R("best", 5)} AS best, best_spec, {R("100*(identity-best)/identity", 3)} AS reduction_pct FROM b JOIN (SELECT min_upb, count(*) AS cells FROM mw GROUP BY 1) USING (min_upb)""")
+def _(fx):
+    """How far the choice depends on cells of small balance."""
+    return rnd(mapping.weight_sweep(mapping_cells(fx), LEAST_UPB, min_months=24), 5, reduction_pct=3)
 
 
 # rolling fit oracle: direct self-join per window

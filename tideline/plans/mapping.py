@@ -115,72 +115,146 @@ def refuse_negative_slope(fit: DataFrame) -> DataFrame:
     return fit.withColumn("b", ok)
 
 
-def mapped(family: str, fit_cols: list[str], xs: dict[str, Column]) -> Column:
-    v = F.col("b0")
-    for n in fit_cols:
-        v = v + F.col(f"b_{n}") * xs[n]
-    return backward(family, v)
+# fixed values of the safety screen: slice of incentive, widening in log speed, points and least cells of a slice
+SUPPORT_STEP, SUPPORT_MARGIN, SUPPORT_POINTS, SUPPORT_CELLS = 0.25, 0.35, 40, 3
+TERMS = ["t", "inc", "inc2", "inc_t"]
 
 
-def search(panel: DataFrame, specs: list[str] | None = None, min_months: int = MIN_MONTHS, lag: int = LAG_MONTHS) -> DataFrame:
-    """Out-of-sample mapped speed of every specification for every scored cell:
-    rows (spec, month, coupon) with mapped and realized speed, log error, weight.
-
-    The cells come from the whole loan panel and every specification reads them,
-    so they are checkpointed once.
-    """
-    panel = cut_lineage(panel)
+def coefficients(panel: DataFrame, specs: list[str] | None = None, min_months: int = MIN_MONTHS, lag: int = LAG_MONTHS, by: list[str] = []) -> DataFrame:
+    """Every specification's map as of every scored month: spec, family, mi, inc_bucket (NULL: all), b0 and one slope per
+    term. ``by`` keys panels of their own (a sweep's grid column)."""
     specs = specs or ["identity", *SMOOTH, *BUCKETED]
     w = F.col("upb_atrisk")
-    scored_months = weighted_history(panel, forward("log", F.col("cpr_upb")), {"t": forward("log", F.col("forecast_cpr"))}, w, [], lag, min_months).select("mi")
-    test = panel.join(F.broadcast(scored_months), "mi", "left_semi")
+    history = lambda family, names: weighted_history(
+        panel, forward(family, F.col("cpr_upb")), {n: c for n, c in _regressors(family).items() if n in names}, w, by, lag, min_months)
+    shape = lambda df, spec, family, bucket, b0, slopes: df.select(
+        *by, "mi", F.lit(spec).alias("spec"), F.lit(family).alias("family"), bucket.alias("inc_bucket"), b0.alias("b0"),
+        *[slopes.get(n, F.lit(0.0)).alias(f"b_{n}") for n in TERMS])
     parts = []
-    if "identity" in specs:
-        parts.append(test.withColumn("spec", F.lit("identity")).withColumn("raw_cpr", F.col("forecast_cpr")))
     for spec in specs:
-        if spec in SMOOTH:
+        if spec == "identity":
+            parts.append(shape(history("log", ["t"]), spec, "identity", F.lit(None).cast("string"), F.lit(0.0), {"t": F.lit(1.0)}))
+        elif spec in SMOOTH:
             family, names = SMOOTH[spec]
-            xs = {n: c for n, c in _regressors(family).items() if n in names}
-            fit = weighted_history(panel, forward(family, F.col("cpr_upb")), xs, w, [], lag, min_months)
-            joined = test.join(F.broadcast(fit.drop("n", "n_months")), "mi")
-            parts.append(joined.withColumn("spec", F.lit(spec)).withColumn("raw_cpr", mapped(family, names, xs)))
-        elif spec in BUCKETED:
-            parts.append(_bucketed(panel, test, spec, w, lag, min_months))
-    cols = ["spec", "yyyymm", "mi", "coupon", "inc", "inc_bucket", "forecast_cpr", "cpr_upb", "upb_atrisk", "raw_cpr"]
-    out = parts[0].select(*cols)
+            parts.append(shape(history(family, names), spec, family, F.lit(None).cast("string"), F.col("b0"), {n: F.col(f"b_{n}") for n in names}))
+        else:
+            family = BUCKETED[spec]
+            own = _bucket_history(panel, family, w, lag, by)
+            pooled = history(family, ["t"]).select(*by, "mi", F.col("b0").alias("p0"), F.col("b_t").alias("p1"))
+            each = pooled.withColumn("inc_bucket", F.explode(F.array(*[F.lit(x) for x in bins.MAPPING_LABELS])))
+            both = each.join(F.broadcast(own), [*by, "mi", "inc_bucket"], "left")
+            enough = (F.col("n_cells") >= MIN_BUCKET_N) & F.col("o1").isNotNull()
+            pick = lambda a, b: F.when(enough, F.col(a)).otherwise(F.col(b))
+            parts.append(shape(both, spec, family, F.col("inc_bucket"), pick("o0", "p0"), {"t": pick("o1", "p1")}))
+    out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
+        out = out.unionByName(p)
+    return out
+
+
+def applied(speed: Column, inc: Column) -> Column:
+    """Mapped speed by the coefficients of the row."""
+    value = lambda t: F.col("b0") + F.col("b_t") * t + F.col("b_inc") * inc + F.col("b_inc2") * (inc * inc) + F.col("b_inc_t") * (inc * t)
+    on = lambda family: backward(family, value(forward(family, speed)))
+    return F.when(F.col("family") == "identity", speed).when(F.col("family") == "log", on("log")).otherwise(on("logit"))
+
+
+def search(panel: DataFrame, specs: list[str] | None = None, min_months: int = MIN_MONTHS, lag: int = LAG_MONTHS,
+           by: list[str] = [], coefs: DataFrame | None = None) -> DataFrame:
+    """Out-of-sample mapped speed of every specification for every scored cell:
+    rows (spec, month, coupon) with mapped and realized speed, log error, weight.
+
+    The cells come from the whole loan panel and every specification reads them,
+    so they are checkpointed once.
+    """
+    panel = cut_lineage(panel) if coefs is None else panel
+    coefs = coefficients(panel, specs, min_months, lag, by) if coefs is None else coefs
+    named = coefs.withColumnRenamed("inc_bucket", "_bucket")
+    cells_ = panel.select(*by, "yyyymm", "mi", "coupon", "inc", "inc_bucket", "forecast_cpr", "cpr_upb", "upb_atrisk")
+    met = cells_.join(F.broadcast(named), [*by, "mi"]).filter(F.col("_bucket").isNull() | (F.col("_bucket") == F.col("inc_bucket")))
+    out = met.withColumn("raw_cpr", applied(F.col("forecast_cpr"), F.col("inc")))
     clipped = rates.clip("raw_cpr", LO, HI)
     return out.select(
-        "spec", "yyyymm", "mi", "coupon", "inc", "inc_bucket", F.col("forecast_cpr").alias("model_cpr"),
+        *by, "spec", "yyyymm", "mi", "coupon", "inc", "inc_bucket", F.col("forecast_cpr").alias("model_cpr"),
         F.col("cpr_upb").alias("real_cpr"), clipped.alias("mapped_cpr"),
         (F.log("cpr_upb") - F.log(clipped)).alias("log_err"), F.col("upb_atrisk"),
         ((F.col("raw_cpr") >= 1) | (F.col("raw_cpr") <= 0)).alias("clamped"))
 
 
-def _bucketed(panel, test, spec, w, lag, min_months):
-    """Own line per incentive bucket when its history has enough cells, pooled
-    line otherwise. Months without a bucket's own cells are filled in with a zero
+def support(panel: DataFrame) -> DataFrame:
+    """Where a map must be sound: per slice of incentive (inc, the middle; inc_bucket) an array of model speeds between the
+    least and the largest seen there, widened on both sides. Slices with few cells say nothing; the last border is open."""
+    at = F.floor(F.col("inc") / SUPPORT_STEP)
+    log = lambda c: F.log(c)
+    slices = panel.groupBy(at.alias("slice")).agg(
+        F.count(F.lit(1)).alias("n"), log(F.min("forecast_cpr")).alias("lo"), log(F.max("forecast_cpr")).alias("hi"))
+    top = panel.agg(F.ceil(F.max("inc") / SUPPORT_STEP)).scalar()
+    kept = slices.filter((F.col("n") >= SUPPORT_CELLS) & (F.col("slice") < top))
+    wide = F.col("hi") - F.col("lo") + 2 * SUPPORT_MARGIN
+    speeds = F.transform(F.sequence(F.lit(0), F.lit(SUPPORT_POINTS - 1)), lambda i: F.exp(F.col("lo") - SUPPORT_MARGIN + wide * i / (SUPPORT_POINTS - 1)))
+    named = kept.select(((F.col("slice") + 0.5) * SUPPORT_STEP).alias("inc"), speeds.alias("speeds"))
+    return named.withColumn("inc_bucket", bins.bin_label("inc", bins.MAPPING_EDGES, bins.MAPPING_LABELS, "right"))
+
+
+def safety(panel: DataFrame, coefs: DataFrame) -> DataFrame:
+    """Per specification: whether its map rises with the model speed and stays inside (0, 1) on the whole support at every
+    cutoff, the cutoffs where it does not, and the incentive of the largest value outside.
+
+    The support is one array row; each map of a cutoff reads it, and one fold over a slice's points finds both."""
+    slices = support(panel).agg(F.collect_list(F.struct("inc", "inc_bucket", "speeds")).alias("s")).select("s")
+    each = coefs.withColumnRenamed("inc_bucket", "_bucket").withColumn("_s", F.explode(slices.scalar()))
+    each = each.filter(F.col("_bucket").isNull() | (F.col("_bucket") == F.col("_s.inc_bucket"))).select("*", F.col("_s.inc").alias("inc"), F.col("_s.speeds").alias("speeds"))
+    state = lambda last, up, inside, top: F.struct(last.alias("last"), up.alias("up"), inside.alias("inside"), top.alias("top"))
+
+    def step(acc, speed):
+        v = applied(speed, F.col("inc"))
+        rises = acc["last"].isNull() | (v > acc["last"])
+        return state(v, acc["up"] & rises, acc["inside"] & (v > 0) & (v < 1), F.greatest(acc["top"], v))
+
+    none = F.lit(None).cast("double")
+    folded = each.withColumn("_f", F.aggregate("speeds", state(none, F.lit(True), F.lit(True), none), step)).filter(F.col("_f.last").isNotNull())
+    by_cutoff = folded.groupBy("spec", "mi").agg(
+        F.every("_f.up").alias("up"), F.every("_f.inside").alias("inside"),
+        F.max(F.when(~F.col("_f.inside"), F.struct(F.col("_f.top").alias("top"), F.col("inc").alias("inc")))).alias("worst"))
+    return by_cutoff.groupBy("spec").agg(
+        F.every("up").alias("monotone"), F.every("inside").alias("in_range"), F.count_if(~F.col("up") | ~F.col("inside")).alias("n_unsafe"),
+        F.max("worst")["inc"].alias("worst_inc"))
+
+
+def best_safe(scores: DataFrame, screen: DataFrame) -> DataFrame:
+    """The specification with the smallest log error among those that are safe at every cutoff; no map where none is."""
+    safe = scores.join(F.broadcast(screen), "spec").filter((F.col("spec") == "identity") | (F.col("monotone") & F.col("in_range")))
+    last = F.col("spec") == "identity"
+    return safe.agg(F.min(F.struct(last.alias("last"), "log_rmse", "spec")).alias("b")).filter("b IS NOT NULL").select("b.spec", "b.log_rmse")
+
+
+def weight_sweep(panel: DataFrame, least: list[float], min_months: int = MIN_MONTHS, lag: int = LAG_MONTHS) -> DataFrame:
+    """The best specification beside no map when only cells of a least balance count: the least balances are a grid column,
+    so one pass fits all of them."""
+    from tideline.operators import scoring
+
+    grid = panel.withColumn("min_upb", F.explode(F.array(*[F.lit(float(v)) for v in least]))).filter(F.col("upb_atrisk") >= F.col("min_upb"))
+    grid = cut_lineage(grid)
+    many = grid.groupBy("min_upb").agg(F.count(F.lit(1)).alias("cells"))
+    coefs = coefficients(grid, None, min_months, lag, ["min_upb"])
+    scores = scoring.weighted_scores(search(grid, by=["min_upb"], coefs=coefs), "upb_atrisk", ["min_upb", "spec"])
+    named = F.col("spec") == "identity"
+    best = scores.groupBy("min_upb").agg(F.max(F.when(named, F.col("log_rmse"))).alias("identity"), F.min(F.when(~named, F.struct(F.round("log_rmse", 9).alias("r"), "spec", "log_rmse"))).alias("b"))
+    out = best.join(F.broadcast(many), "min_upb").select("min_upb", "cells", "identity", F.col("b.log_rmse").alias("best"), F.col("b.spec").alias("best_spec"))
+    return out.withColumn("reduction_pct", 100 * (F.col("identity") - F.col("best")) / F.col("identity"))
+
+
+def _bucket_history(panel: DataFrame, family: str, w: Column, lag: int, by: list[str]) -> DataFrame:
+    """The line of each incentive bucket. Months without a bucket's own cells are filled in with a zero
     weight row so that every scored month sees the bucket's history."""
-    family = BUCKETED[spec]
     xs = {"t": forward(family, F.col("forecast_cpr"))}
     y = forward(family, F.col("cpr_upb"))
-    pooled = weighted_history(panel, y, xs, w, [], lag, min_months).select(
-        "mi", F.col("b0").alias("p0"), F.col("b_t").alias("p1"))
     labels = F.array(*[F.lit(x) for x in bins.MAPPING_LABELS])
-    months = panel.groupBy("mi").agg(F.max("forecast_cpr").alias("forecast_cpr"), F.max("cpr_upb").alias("cpr_upb"))
+    months = panel.groupBy(*by, "mi").agg(F.max("forecast_cpr").alias("forecast_cpr"), F.max("cpr_upb").alias("cpr_upb"))
     filler = months.withColumn("inc_bucket", F.explode(labels)).withColumn("_real", F.lit(0))
-    rows = panel.select("mi", "inc_bucket", "forecast_cpr", "cpr_upb", "upb_atrisk").withColumn("_real", F.lit(1))
+    rows = panel.select(*by, "mi", "inc_bucket", "forecast_cpr", "cpr_upb", "upb_atrisk").withColumn("_real", F.lit(1))
     full = rows.unionByName(filler.withColumn("upb_atrisk", F.lit(0.0)))
-    own = _bucket_history(full, y, xs, w, lag)
-    joined = test.join(F.broadcast(pooled), "mi").join(F.broadcast(own), ["mi", "inc_bucket"], "left")
-    enough = (F.col("n_cells") >= MIN_BUCKET_N) & F.col("o1").isNotNull()
-    v = F.when(enough, F.col("o0") + F.col("o1") * xs["t"]).otherwise(F.col("p0") + F.col("p1") * xs["t"])
-    return joined.withColumn("spec", F.lit(spec)).withColumn("raw_cpr", backward(family, v))
-
-
-def _bucket_history(full, y, xs, w, lag):
-    counts = regression.expanding_history(full, "mi", lag, {"n_cells": F.col("_real")}, ["inc_bucket"])
-    fit = weighted_history(full, y, xs, w, ["inc_bucket"], lag, 0)
-    return fit.select("mi", "inc_bucket", F.col("b0").alias("o0"), F.col("b_t").alias("o1")).join(
-        counts.select("mi", "inc_bucket", "n_cells"), ["mi", "inc_bucket"])
+    key = [*by, "inc_bucket"]
+    counts = regression.expanding_history(full, "mi", lag, {"n_cells": F.col("_real")}, key)
+    fit = weighted_history(full, y, xs, w, key, lag, 0)
+    return fit.select("mi", *key, F.col("b0").alias("o0"), F.col("b_t").alias("o1")).join(counts.select("mi", *key, "n_cells"), ["mi", *key])
