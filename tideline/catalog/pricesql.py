@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.catalog.memo import written
 from tideline.catalog.registry import rnd
-from tideline.catalog.scurvesql import BAND, in_band, scurve_sql
+from tideline.catalog.scurvesql import BAND, descent_sql, in_band
 from tideline.catalog.sequences import FIT, FITV, cell_path_sql, fitted
 from tideline.catalog.survival import FVR, forecast_realized
 from tideline.functions import curves
 from tideline.operators import series
 from tideline.plans import pricing, scurve
-from tideline.session import run_dir
 
 TEN = curves.TENORS
 YRS = ["1.0/12", "0.25", "0.5", "1", "2", "3", "5", "7", "10", "20", "30"]
@@ -23,18 +23,12 @@ def month_curves(fx):
     return series.month_end(fx.curve_daily, TEN).select("yyyymm", "mi", *TEN)
 
 
-_TERMINAL: dict[tuple[str, str], str] = {}
-
-
 def terminal_params(fx):
     """Terminal curve of each month, fitted on months strictly before it (to four
-    digits), written once to the shared folder of a session."""
-    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
-    if key not in _TERMINAL:
-        path = run_dir(fx.spark, "terminal-curve")
-        rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb").select("mi", "floor", "sat", "k", "x0"), 4).write.parquet(path)
-        _TERMINAL[key] = path
-    return fx.spark.read.parquet(_TERMINAL[key])
+    digits), off the grid, written once to the shared folder of a session."""
+    fit = lambda: scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", steps=scurve.STEPS)
+    path = written(fx, "terminal-curve", lambda to: rnd(fit().select("mi", "floor", "sat", "k", "x0"), 4).write.parquet(to))
+    return fx.spark.read.parquet(path)
 
 
 #: Columns of the terminal curve that a position carries.
@@ -105,7 +99,7 @@ def cpr360_sql(path: str, term: str) -> str:
 
 
 POS0 = "ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms FROM f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm)"
-POS = f"""{FIT}, zt AS MATERIALIZED (SELECT * FROM ({FVR}, {BAND}, bh AS (SELECT a.mi, b.cx, b.cy FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi), {scurve_sql("bh", "mi")})),
+POS = f"""{FIT}, zt AS MATERIALIZED (SELECT * FROM ({FVR}, {BAND}, bh AS (SELECT a.mi, b.cx, b.cy FROM (SELECT DISTINCT mi FROM bd) a JOIN bd b ON b.mi < a.mi), {descent_sql("bh", "mi")})),
 ps AS MATERIALIZED (SELECT p.yyyymm, p.mi, p.coupon, p.price, m.rate_30yr AS pmms, h0, h1, h2, coalesce(zt.floor, 0.0459) AS tf, coalesce(zt.sat, 0.2204) AS ts, coalesce(zt.k, 3.0) AS tk, coalesce(zt.x0, 0.4) AS tx
  FROM hx, f_price p JOIN f_market_rate m ON p.yyyymm = m.yyyymm LEFT JOIN zt ON zt.mi = m.mi)"""
 V = "f_curve_daily f_price f_market_rate f_forecast " + FITV
@@ -150,15 +144,9 @@ def sc_prices(fx, scens, **kw):
 
 KRD = ["krd2", "krd5", "krd10"]
 TENT = pricing.tent_scenarios()
-_KRDS: dict[tuple[str, str], str] = {}
 
 
 def key_rate_durations(fx):
     """Priced key-rate durations of every (month, coupon), written once to the
     shared folder for all queries of a session that read them."""
-    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
-    if key not in _KRDS:
-        path = run_dir(fx.spark, "key-rate-durations")
-        pricing.durations(sc_prices(fx, TENT), KRD).write.parquet(path)
-        _KRDS[key] = path
-    return fx.spark.read.parquet(_KRDS[key])
+    return fx.spark.read.parquet(written(fx, "key-rate-durations", lambda to: pricing.durations(sc_prices(fx, TENT), KRD).write.parquet(to)))

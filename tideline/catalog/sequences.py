@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tideline.catalog.logitsql import logit_ctes
+from tideline.catalog.memo import written
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.selection import LABELS, RET, excess, labels
 from tideline.catalog.survival import AGE, FVR, forecast_realized
@@ -173,21 +174,15 @@ def split_steps(fx, split: str):
     return known_steps(fx).join(ids, "loan_id")
 
 
-_FITTED: dict[tuple[str, str], str] = {}
-
-
 def fitted(fx):
     """The hazard index fitted on the train loans, saved to the shared folder and
     read from there by every later query of the session."""
-    from tideline.session import run_dir
 
-    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
-    if key not in _FITTED:
+    def fit(path):
         steps = split_steps(fx, "train")
-        path = run_dir(fx.spark, "hazard-index")
         hazard.fit_index(sequences.person_period(steps, event()), sequences.observed_steps(steps, event()), MODEL_FEATURES).save(fx.spark, path)
-        _FITTED[key] = path
-    return hazard.HazardIndex.load(fx.spark, _FITTED[key], MODEL_FEATURES)
+
+    return hazard.HazardIndex.load(fx.spark, written(fx, "hazard-index", fit), MODEL_FEATURES)
 
 
 def held_out_auc(fx, model):

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tideline.catalog.olssql import ols_sql
 from tideline.catalog.pricesql import KRD, ME, POS, TENT, V, dur_sql, key_rate_durations, priced_sql
 from tideline.catalog.registry import R, query, rnd
-from tideline.catalog.scurvesql import BAND, in_band, scurve_sql, zoom_sql
+from tideline.catalog.scurvesql import BAND, descent_sql, in_band, scurve_sql, zoom_sql
 from tideline.catalog.selection import RET, excess
 from tideline.catalog.survival import AGE, FVR, STATE, AGE_KEY, by_age, forecast_realized, speeds_sql
 from tideline.functions import rates
@@ -83,6 +83,14 @@ def factor_panel(fx):
 ALLV = "f_loan f_forecast f_curve_daily"
 FEX = FACT + f", {RET}"
 
+def t_sql(t: str, dof: str) -> str:
+    """Two-sided p-value by the finite sums in the angle, for whole degrees of freedom."""
+    fold = lambda up, low: f"list_reduce(range(1, z.h + 1), lambda a, j: struct_pack(c := a.c*z.q*(2*j - {up})/(2*j + {low}), s := a.s + a.c*z.q*(2*j - {up})/(2*j + {low})), struct_pack(c := 1.0::DOUBLE, s := 1.0::DOUBLE)).s"
+    value = f"CASE WHEN z.n = 1 THEN 1 - 2*z.th/pi() WHEN z.n % 2 = 1 THEN 1 - 2/pi()*(z.th + z.sn*sqrt(z.q)*{fold(0, 1)}) ELSE 1 - z.sn*{fold(1, 0)} END"
+    parts = f"struct_pack(n := ({dof})::BIGINT, q := ({dof})/(({dof}) + pow({t}, 2)), sn := abs({t})/sqrt(({dof}) + pow({t}, 2)), th := atan(abs({t})/sqrt({dof})), h := CASE WHEN ({dof}) % 2 = 1 THEN (({dof}) - 3)//2 ELSE (({dof}) - 2)//2 END)"
+    return f"CASE WHEN ({dof}) >= 1 THEN list_transform([{parts}], lambda z: {value})[1] END"
+
+
 # -------------------------------------------------------------------- G queries
 
 
@@ -149,11 +157,24 @@ def _(fx):
     return rnd(empirical(fx), 8, r2=6)
 
 
-@query("G6_ttest_1samp", ALLV, f"""{FM} SELECT mt AS market_type, count(lx) AS n, {R("avg(lx)", 8)} AS mean, {R("stddev_samp(lx)", 8)} AS std, {R("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", 5)} AS t FROM fm GROUP BY 1""")
+@query("G6_ttest_1samp", ALLV, f"""{FM} SELECT mt AS market_type, count(lx) AS n, {R("avg(lx)", 8)} AS mean, {R("stddev_samp(lx)", 8)} AS std, {R("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", 5)} AS t, {R(t_sql("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", "count(lx) - 1"), 8)} AS p FROM fm GROUP BY 1""")
 def _(fx):
     return rnd(regression.one_sample_t(analytic(fx), "lambda_x", ["market_type"]), 8, t=5)
 
 
+def _sums_sql(name: str, rel: str, value: str) -> str:
+    t = f"avg({value})/nullif(stddev_samp({value})/sqrt(count({value})), 0)"
+    return f"""SELECT '{name}' AS test, count({value}) AS n, {R(f"avg({value})", 8)} AS mean, {R(f"stddev_samp({value})", 8)} AS std, {R(t, 5)} AS t, {R(t_sql(t, f"count({value}) - 1"), 8)} AS p FROM {rel}"""
+
+
+@query("G6b_ttest_summaries", ALLV, f"""{FM}, {FME.replace(FEX + ", ", "")} {_sums_sql("analytic level", "fm", "lx")} UNION ALL {_sums_sql("analytic slope", "fm", "ly")}
+UNION ALL {_sums_sql("empirical level", "el", "lx")} UNION ALL {_sums_sql("empirical slope", "el", "ly")}""")
+def _(fx):
+    """Premia of G4 and G5 against zero, with p-values."""
+    long = lambda df, kind: df.select(F.explode(F.array(*[F.struct(F.lit(f"{kind} {n}").alias("test"), F.col(c).alias("v")) for n, c in (("level", "lambda_x"), ("slope", "lambda_y"))])).alias("r")).select("r.*")
+    return rnd(regression.one_sample_t(long(analytic(fx), "analytic").unionByName(long(empirical(fx), "empirical")), "v", ["test"]), 8, t=5)
+
+
 @query("G7_orthogonalize", ALLV, f"""{FM}, c AS (SELECT ab.yyyymm, regr_slope(by_, bx) AS c1, regr_intercept(by_, bx) AS c0 FROM ab GROUP BY 1),
 o AS (SELECT ab.yyyymm, sum(bx*bx) AS xx, sum(pow(by_-c0-c1*bx, 2)) AS oo, sum(bx*(by_-c0-c1*bx)) AS xo, sum(bx*excess_return) AS xr, sum((by_-c0-c1*bx)*excess_return) AS orr, stddev_pop(by_-c0-c1*bx) AS so FROM ab JOIN c USING (yyyymm) GROUP BY 1)
 SELECT fm.yyyymm, mt AS market_type, {R("lx")} AS lx_base, {R("ly", 5)} AS ly_base, {R("CASE WHEN mb >= 1e-12 AND so > 1e-12 THEN (o.xr*oo - orr*xo)/(o.xx*oo-xo*xo) ELSE lx END")} AS lx_orth, {R("CASE WHEN mb >= 1e-12 AND so > 1e-12 THEN (orr*o.xx - o.xr*xo)/(o.xx*oo-xo*xo) END", 5)} AS ly_orth FROM fm JOIN o USING (yyyymm)""")
@@ -169,7 +190,7 @@ iv AS (SELECT (s11*s22-s12*s12)/dt AS a00, (s02*s12-s01*s22)/dt AS a01, (s01*s12
    FROM (SELECT *, s00*(s11*s22-s12*s12) - s01*(s01*s22-s12*s02) + s02*(s01*s12-s11*s02) AS dt FROM x)),
 wz AS (SELECT 'one' AS term, yyyymm, u*(a00 + a01*rel + a02*inter) AS z FROM e, iv UNION ALL SELECT 'rel', yyyymm, u*(a01 + a11*rel + a12*inter) FROM e, iv UNION ALL SELECT 'inter', yyyymm, u*(a02 + a12*rel + a22*inter) FROM e, iv),
 p AS (SELECT term, sqrt(sum(z*z)) AS se FROM wz GROUP BY 1), q AS (SELECT term, sqrt(sum(g*g)) AS se, count(*) AS n_clusters FROM (SELECT term, yyyymm, sum(z) AS g FROM wz GROUP BY 1, 2) GROUP BY 1)
-SELECT term, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END", 8)} AS coef, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/p.se", 5)} AS t_plain, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/q.se", 5)} AS t_cluster, f.n, n_clusters, {R("r2")} AS r2 FROM p JOIN q USING (term), f""")
+SELECT term, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END", 8)} AS coef, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/p.se", 5)} AS t_plain, {R("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/q.se", 5)} AS t_cluster, {R(t_sql("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/p.se", "f.n - 3"), 8)} AS p_plain, {R(t_sql("CASE term WHEN 'one' THEN b0 WHEN 'rel' THEN b_rel ELSE b_inter END/q.se", "n_clusters - 1"), 8)} AS p_cluster, f.n, n_clusters, {R("r2")} AS r2 FROM p JOIN q USING (term), f""")
 def _(fx):
     share = F.avg(F.when(F.col("price") < 97.75, 1.0).otherwise(0.0)).over(W.partitionBy("yyyymm"))
     rel = F.col("rate_30yr") - F.col("coupon")
@@ -639,6 +660,31 @@ def _(fx):
     return rnd(scurve.fit_by_scope(df.withColumn("scope", tag), "inc", "cpr_upb", ["scope"], zoom=scurve.ZOOMS), 4)
 
 
+@query("G28h_scurve_descent", "f_loan f_forecast", f"{FVR}, {BAND}, {PAST}, {descent_sql('bh', 'mi')}")
+def _(fx):
+    """As G28, by Gauss-Newton from the grid's best point; no cutoff meets its past rows. The terminal curve of the prices."""
+    return rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", steps=scurve.STEPS), 4)
+
+
+@query("G28i_scurve_pinned_fixed_descent", "f_loan f_forecast", f"{FVR}, {BAND}, {PAST}, {descent_sql('bh', 'mi', '0.0459')}")
+def _(fx):
+    return rnd(scurve.fit_asof(in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="pinned-fixed", steps=scurve.STEPS), 4)
+
+
+@query("G28j_scurve_pinned_seasoned_descent", "f_loan f_forecast f_market_rate", f"{FVR}, {BAND}, {SEAS}, {descent_sql('bh', 'mi, fl, n_deep', 'fl', 'mi, n_deep')}")
+def _(fx):
+    out = scurve.fit_asof(
+        in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="pinned-seasoned", seasoned=seasoned_cells(fx), deep=-0.5, min_deep=3, steps=scurve.STEPS)
+    return rnd(out, 4)
+
+
+@query("G28k_scurve_seasoned_fit_descent", "f_loan f_forecast f_market_rate", f"{FVR}, {BAND}, {SEASONED_FIT}, {descent_sql('bh', 'mi')}")
+def _(fx):
+    out = scurve.fit_asof(
+        in_band(forecast_realized(fx)), "inc", "cpr_upb", mode="seasoned-fit", seasoned=in_band(seasoned_cells(fx)), steps=scurve.STEPS)
+    return rnd(out, 4)
+
+
 PL_A, PL_B = [0.2, 0.6, 1.0, 1.4], [-6.0, -5.0, -4.0, -3.0, -2.0]
 PZ = "list_transform(range(1, 34), lambda t: 0.9*inc + 0.02*t)"
 
@@ -662,7 +708,7 @@ def _(fx):
 LIQ = "coupon IN (3.0, 3.5, 4.0, 4.5, 5.0)"
 
 
-@query("G31_liquid_robustness", ALLV, f"""{FME.replace("FROM ex JOIN fa ON ex.yyyymm = fa.yyyymm)", f"FROM ex JOIN fa ON ex.yyyymm = fa.yyyymm WHERE ex.{LIQ})")} SELECT count(lx) AS n, {R("avg(lx)")} AS mean, {R("stddev_samp(lx)")} AS std, {R("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", 5)} AS t FROM el""")
+@query("G31_liquid_robustness", ALLV, f"""{FME.replace("FROM ex JOIN fa ON ex.yyyymm = fa.yyyymm)", f"FROM ex JOIN fa ON ex.yyyymm = fa.yyyymm WHERE ex.{LIQ})")} SELECT count(lx) AS n, {R("avg(lx)")} AS mean, {R("stddev_samp(lx)")} AS std, {R("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", 5)} AS t, {R(t_sql("avg(lx)/(stddev_samp(lx)/sqrt(count(lx)))", "count(lx) - 1"), 6)} AS p FROM el""")
 def _(fx):
     fac = factor_panel(fx)
     ex = excess(fx).filter(LIQ)

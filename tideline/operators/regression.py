@@ -4,17 +4,50 @@ Every fit is: centred second moments per group (Spark's one-pass, mergeable
 covariance, so a hot group is combined map-side), then one small symmetric
 matrix per group swept inside a column expression. Nothing is collected.
 
-A pivot that is zero to working precision gives NULL coefficients (the
-reference semantics for singular designs, minimum norm, is not imitated).
+A pivot that is zero to working precision means a singular design. Its
+coefficients are then the least-squares solution of minimum norm, intercept
+included, from the eigenvalues of the moment matrix (Jacobi rotations);
+standard errors are NULL there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tideline.functions import rates
+from tideline.functions import rates, tdist
 
 PIVOT_TOL = 1e-10
+#: Share of the largest eigenvalue below which a direction counts as dependent; rounds of rotations.
+EIGEN_TOL, SWEEPS = 1e-11, 8
+
+
+def jacobi(matrix: str, m: int) -> str:
+    """Eigenvalues (the diagonal of ``a``) and eigenvectors (columns of ``v``) of a symmetric row-major m x m array, as SQL
+    text: cyclic rotations in one fold, each of them a transform of both arrays."""
+    pairs = ", ".join(f"named_struct('p', {p}, 'q', {q})" for p in range(m) for q in range(p + 1, m))
+    unit = ", ".join("1D" if i % (m + 1) == 0 else "0D" for i in range(m * m))
+    start = f"named_struct('a', {matrix}, 'v', array({unit}))"
+    if m == 1:
+        return start
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    cols = lambda x: f"transform({x}, (e, i) -> CASE WHEN i % {m} = o.p THEN j.c*e - j.s*get({x}, i - o.p + o.q) WHEN i % {m} = o.q THEN j.s*get({x}, i - o.q + o.p) + j.c*e ELSE e END)"
+    row = f"CAST(i DIV {m} AS INT)"
+    rows = let("b", cols("acc.a"), f"transform(b, (e, i) -> CASE WHEN {row} = o.p THEN j.c*e - j.s*get(b, i + (o.q - o.p)*{m}) WHEN {row} = o.q THEN j.s*get(b, i - (o.q - o.p)*{m}) + j.c*e ELSE e END)")
+    at = lambda r, c: f"get(acc.a, o.{r}*{m} + o.{c})"
+    ratio = f"({at('q', 'q')} - {at('p', 'p')})/(2*{at('p', 'q')})"
+    tan = f"CASE WHEN {at('p', 'q')} = 0 THEN 0D ELSE " + let("h", ratio, "IF(h < 0, -1D, 1D)/(abs(h) + sqrt(h*h + 1))") + " END"
+    turn = let("t", tan, "named_struct('c', 1/sqrt(t*t + 1), 's', t/sqrt(t*t + 1))")
+    step = let("j", turn, f"named_struct('a', {rows}, 'v', {cols('acc.v')})")
+    return f"aggregate(flatten(array_repeat(array({pairs}), {SWEEPS})), {start}, (acc, o) -> {step})"
+
+
+def least_norm(eigen: str, rhs: str, m: int) -> str:
+    """Minimum-norm solution from the eigenvalues: array of m coefficients, as SQL text."""
+    value = lambda l: f"get({eigen}.a, {l}*{m + 1})"
+    top = f"array_max(transform(sequence(0, {m - 1}), l -> {value('l')}))"
+    dot = f"aggregate(sequence(0, {m - 1}), 0D, (u, r) -> u + get({eigen}.v, r*{m} + l)*get({rhs}, r))"
+    part = f"IF({value('l')} > {EIGEN_TOL!r}D*{top}, get({eigen}.v, i*{m} + l)*{dot}/{value('l')}, 0D)"
+    return f"transform(sequence(0, {m - 1}), i -> aggregate(sequence(0, {m - 1}), 0D, (s, l) -> s + {part}))"
 
 
 def _sweep(matrix: str, m: int, pivots: int) -> str:
@@ -41,21 +74,44 @@ def _sweep(matrix: str, m: int, pivots: int) -> str:
 
 def solve(df: DataFrame, names: list[str], min_n: int) -> DataFrame:
     """From columns n, yy, my, m_<x> (means), s_<x>_<z>, sy_<x> (centred sums) to
-    coefficients b_<x>, the inverse v_<x>_<z> and the residual sum sse."""
+    coefficients b_<x>, the inverse v_<x>_<z> and the residual sum sse. Without
+    means the sums are raw and the fit goes through the origin. Singular designs
+    get the coefficients of minimum norm and no inverse."""
     k = len(names)
     m = k + 1
     name = lambda i: names[i]
+    s_ = lambda i, j: f"CAST(`s_{name(min(i, j))}_{name(max(i, j))}` AS DOUBLE)"
+    sy = lambda i: f"CAST(`sy_{name(i)}` AS DOUBLE)"
     cells = []
     for i in range(m):
         for j in range(m):
             lo, hi = min(i, j), max(i, j)
-            cells.append("yy" if lo == k else f"`sy_{name(lo)}`" if hi == k else f"`s_{name(lo)}_{name(hi)}`")
-    matrix = ", ".join(f"CAST({c} AS DOUBLE)" for c in cells)
-    swept = df.withColumn("_m", F.expr(f"array({matrix})")).withColumn("_s", F.expr(_sweep("_m", m, k)))
+            cells.append("CAST(yy AS DOUBLE)" if lo == k else sy(lo) if hi == k else s_(lo, hi))
+    swept = df.withColumn("_m", F.expr(f"array({', '.join(cells)})")).withColumn("_s", F.expr(_sweep("_m", m, k)))
+
+    centred = "my" in df.columns
+    mean = lambda i: f"`m_{name(i)}`"
+    raw = lambda i, j: f"{s_(i, j)} + n*{mean(i)}*{mean(j)}" if centred else s_(i, j)
+    size, grid, rhs = k, [[raw(i, j) for j in range(k)] for i in range(k)], [f"{sy(i)} + n*{mean(i)}*my" if centred else sy(i) for i in range(k)]
+    if centred:
+        size, grid = m, [["n", *[f"n*{mean(i)}" for i in range(k)]], *[[f"n*{mean(i)}", *grid[i]] for i in range(k)]]
+        rhs = ["n*my", *rhs]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in sorted({x for r in [*grid, rhs] for x in r}))
+    as_array = lambda xs: f"array({', '.join(f'CAST({x} AS DOUBLE)' for x in xs)})"
+    singular = f"NOT _s.ok AND n >= {min_n} AND {known}"
+    full, right = as_array([x for r in grid for x in r]), as_array(rhs)
+    swept = swept.withColumn("_e", F.expr(f"IF({singular}, {jacobi(full, size)}, NULL)")).withColumn("_r", F.expr(f"IF(_e IS NOT NULL, {right}, NULL)"))
+    swept = swept.withColumn("_l", F.expr(f"IF(_e IS NOT NULL, {least_norm('_e', '_r', size)}, NULL)"))
+
     val = lambda i, j: F.expr(f"CASE WHEN _s.ok AND n >= {min_n} THEN element_at(_s.a, {i * m + j + 1}) END")
-    new = {f"b_{x}": val(i, k) for i, x in enumerate(names)} | {"sse": val(k, k)}
-    new |= {f"v_{x}_{z}": val(i, j) for i, x in enumerate(names) for j, z in enumerate(names) if j >= i}
-    return swept.withColumns(new)
+    flat = lambda i: F.expr(f"get(_l, {i + size - k})")
+    new = {f"b_{x}": F.coalesce(val(i, k), flat(i)) for i, x in enumerate(names)}
+    fitted = swept.withColumns(new)
+    quad = " + ".join(f"`b_{name(i)}`*(" + " + ".join(f"{s_(i, j)}*`b_{name(j)}`" for j in range(k)) + f" - 2*{sy(i)})" for i in range(k))
+    left = F.when(F.col("_l").isNotNull(), F.expr(f"greatest(CAST(yy AS DOUBLE) + {quad}, 0D)"))
+    more = {"sse": F.coalesce(val(k, k), left)}
+    more |= {f"v_{x}_{z}": val(i, j) for i, x in enumerate(names) for j, z in enumerate(names) if j >= i}
+    return fitted.withColumns(more)
 
 
 def _v(x: str, z: str, names: list[str]) -> str:
@@ -243,39 +299,56 @@ def leave_one_out(df: DataFrame, y: str, xs: list[str], keep: list[str], by: lis
 
 
 def one_sample_t(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:
-    """Mean, sample std, t and n. A p-value needs the t distribution, which Spark
-    SQL has no function for; t and n are what a table lookup needs."""
+    """Mean, sample std, n, t against zero and its two-sided p-value; t and p are NULL for one value or no spread."""
     v = F.col(value)
     out = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
-    return out.withColumn("t", F.try_divide(F.col("mean"), F.nullif(F.col("std") / F.sqrt("n"), F.lit(0.0))))
+    out = out.withColumn("t", F.try_divide(F.col("mean"), F.nullif(F.col("std") / F.sqrt("n"), F.lit(0.0))))
+    return tdist.with_p_value(out, "t", "n - 1")
 
 
-def logit_fit(df: DataFrame, y: str, xs: list[str], weight: str | None = None, steps: int = 12) -> list[float]:
+def logit_fit(df: DataFrame, y: str, xs: list[str], weight: str | None = None, steps: int = 40, tol: float = 1e-10) -> list[float]:
     """Intercept and slopes of a (weighted) logistic regression by Newton steps.
 
-    Each step is one aggregation of k(k+3)/2 sums over the rows and a k x k solve
-    on the driver. Pass rows that are cheap to read again, on comparable scales.
+    Each step is one aggregation of k(k+3)/2 sums and the loss over the rows, and a k x k solve on the driver. The betas are a
+    one-row table that the same plan reads at every step. A step that raises the loss is halved; steps end when none of them
+    moves a beta by more than ``tol`` of its size. Features that separate the events or depend on each other raise a
+    ValueError. Pass rows that are cheap to read again, on comparable scales.
     """
     import numpy as np
 
-    k = len(xs) + 1
-    w = F.col(weight) if weight else F.lit(1.0)
-    beta = np.zeros(k)
-    for _ in range(steps):
-        z = F.lit(float(beta[0]))
-        for b, x in zip(beta[1:], xs):
-            z = z + F.lit(float(b)) * F.col(x)
-        row = df.select(F.array(F.lit(1.0), *[F.col(x).cast("double") for x in xs]).alias("_x"), F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"), rates.sigmoid(z).alias("_p"))
-        at = lambda i: F.col("_x")[i]
-        curve = F.col("_w") * F.col("_p") * (1 - F.col("_p"))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = row.agg(
-            *[F.sum(F.col("_w") * (F.col("_y") - F.col("_p")) * at(i)) for i in range(k)],
-            *[F.sum(curve * at(i) * at(j)) for i, j in pairs]).first()
-        if sums[0] is None:
+    k, spark = len(xs) + 1, df.sparkSession
+    row = df.selectExpr(f"CAST(`{y}` AS DOUBLE) AS _y", f"CAST({f'`{weight}`' if weight else '1.0'} AS DOUBLE) AS _w", "1.0D AS _x0", *[f"CAST(`{x}` AS DOUBLE) AS _x{i}" for i, x in enumerate(xs, 1)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [f"sum(_w*(_y - _p)*_x{i}) AS g{i}" for i in range(k)] + [f"sum(_w*_p*(1 - _p)*_x{i}*_x{j}) AS h{i}_{j}" for i, j in pairs]
+    sums += ["sum(_w*(greatest(_z, 0D) + log1p(exp(-abs(_z))) - _y*_z)) AS loss", "sum(_w) AS total"]
+
+    def at(beta):
+        table = spark.createDataFrame([([float(b) for b in beta],)], "b array<double>")
+        z = " + ".join(f"_b[{i}]*_x{i}" for i in range(k))
+        scored = row.withColumn("_b", table.scalar()).selectExpr("*", f"{z} AS _z").selectExpr("*", "1/(1 + exp(-_z)) AS _p")
+        got = scored.agg(*[F.expr(s) for s in sums]).first()
+        if got["total"] is None:
             raise ValueError("no rows to fit")
         hess = np.zeros((k, k))
-        for (i, j), v in zip(pairs, sums[k:]):
-            hess[i, j] = hess[j, i] = v
-        beta = beta + np.linalg.solve(hess, np.array(sums[:k]))
-    return [float(b) for b in beta]
+        for i, j in pairs:
+            hess[i, j] = hess[j, i] = got[f"h{i}_{j}"]
+        return np.array([got[f"g{i}"] for i in range(k)]), hess, got["loss"], got["total"]
+
+    beta = np.zeros(k)
+    grad, hess, loss, total = at(beta)
+    for _ in range(steps):
+        if loss < 1e-6 * total:
+            raise ValueError("the features separate the events; the fit has no finite coefficients")
+        scale = np.sqrt(np.diag(hess))
+        if not scale.all() or np.linalg.cond(hess / np.outer(scale, scale)) > 1e13:
+            raise ValueError("the features depend on each other; the fit is not unique")
+        move = np.linalg.solve(hess, grad)
+        if np.all(np.abs(move) <= tol * (1 + np.abs(beta))):
+            return [float(b) for b in beta + move]
+        for _ in range(30):
+            trial = at(beta + move)
+            if trial[2] <= loss * (1 + 1e-12):
+                break
+            move = move / 2
+        beta, (grad, hess, loss, total) = beta + move, trial
+    raise ValueError("the features separate the events; the coefficients grow without end")

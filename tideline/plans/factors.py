@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tideline.functions import rates
+from tideline.functions import rates, tdist
 from tideline.operators import regression, series
 
 
@@ -124,7 +124,8 @@ def orthogonalized_lambdas(returns: DataFrame, beta_x: Column, beta_y: Column, m
 
 def clustered_errors(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
     """Pooled least squares with HC0 and cluster-robust t ratios, one row per
-    coefficient. Scores are summed per cluster before the outer products."""
+    coefficient, and their two-sided p-values on n - k and clusters - 1 degrees.
+    Scores are summed per cluster before the outer products."""
     names = ["one", *xs]
     rows = df.dropna(subset=[y, *xs]).withColumn("one", F.lit(1.0))
     solved = regression.solve(
@@ -161,8 +162,10 @@ def clustered_errors(df: DataFrame, y: str, xs: list[str], cluster: str) -> Data
         for n in names
     ]
     r2 = 1 - F.col("_f.sse") / F.col("_f.tss")
-    return out.select("n_clusters", F.col("_f.n").alias("n"), r2.alias("r2"), F.explode(F.array(*table)).alias("r")).select(
+    rows = out.select("n_clusters", F.col("_f.n").alias("n"), r2.alias("r2"), F.explode(F.array(*table)).alias("r")).select(
         "r.*", "n", "n_clusters", "r2")
+    rows = tdist.with_p_value(rows, "t_plain", f"n - {len(names)}", "p_plain")
+    return tdist.with_p_value(rows, "t_cluster", "n_clusters - 1", "p_cluster")
 
 
 def innovations(factors: DataFrame, columns=("f_level", "f_slope")) -> DataFrame:

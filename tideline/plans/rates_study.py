@@ -12,22 +12,11 @@ from tideline.session import cut_lineage
 LEGS = ["dy2", "dy5", "dy10"]
 
 
-def condition_number(s: dict[tuple[str, str], Column], xs: list[str]) -> Column:
-    """sqrt(largest / smallest eigenvalue) of a symmetric 3x3 cross-product
-    matrix, eigenvalues by the trigonometric closed form."""
-    a, b, c = xs
-    q = (s[a, a] + s[b, b] + s[c, c]) / 3
-    off = s[a, b] * s[a, b] + s[a, c] * s[a, c] + s[b, c] * s[b, c]
-    d = [s[x, x] - q for x in xs]
-    p = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2 * off) / 6)
-    det = (
-        d[0] * (d[1] * d[2] - s[b, c] * s[b, c]) - s[a, b] * (s[a, b] * d[2] - s[b, c] * s[a, c])
-        + s[a, c] * (s[a, b] * s[b, c] - d[1] * s[a, c]))
-    r = F.greatest(F.least(det / (2 * p * p * p), F.lit(1.0)), F.lit(-1.0))
-    phi = F.acos(r) / 3
-    high = q + 2 * p * F.cos(phi)
-    low = q + 2 * p * F.cos(phi + 2.0943951023931953)
-    return F.sqrt(high / F.when(low > 0, low))
+def condition_number(s: dict[tuple[str, str], str], xs: list[str]) -> Column:
+    """sqrt(largest / smallest eigenvalue) of the symmetric cross-product matrix whose cells are the named columns."""
+    m = len(xs)
+    eigen = regression.jacobi(f"array({', '.join(f'CAST(`{s[a, b]}` AS DOUBLE)' for a in xs for b in xs)})", m)
+    return F.expr(f"transform(array(transform(array({eigen}), e -> transform(sequence(0, {m - 1}), l -> get(e.a, l*{m + 1})))[0]), v -> sqrt(array_max(v)/IF(array_min(v) > 0, array_min(v), NULL)))[0]")
 
 
 def rolling_pass_through(df: DataFrame, length: int, every: int, y: str = "dpmms", xs: list[str] = LEGS) -> DataFrame:
@@ -40,7 +29,7 @@ def rolling_pass_through(df: DataFrame, length: int, every: int, y: str = "dpmms
     for i, a in enumerate(xs):
         for b in xs[i:]:
             rows = rows.withColumn(f"_x_{a}_{b}", F.sum(F.col(a) * F.col(b)).over(frame))
-            s[a, b] = s[b, a] = F.col(f"_x_{a}_{b}")
+            s[a, b] = s[b, a] = f"_x_{a}_{b}"
     rows = rows.withColumn("cond", condition_number(s, xs))
     fit = regression.ols_window(rows, y, xs, frame, ["yyyymm", "mi", "rn", "cond"])
     return fit.filter((F.col("rn") >= length) & ((F.col("rn") - length) % every == 0))

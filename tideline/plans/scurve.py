@@ -17,6 +17,9 @@ FIXED_FLOOR = 0.0459
 # fixed values: box of k and x0; first steps of a zoom and its passes, each with steps of a third (the last below 1e-3)
 K_BOX, X0_BOX = (0.2, 10.0), (-2.0, 3.0)
 ZOOM_STEPS, ZOOMS = (2 / 3, 0.5 / 3), 7
+# fixed values of the descent: points of its lattice per unit, longest step in k and x0, least relative gain, least
+# relative determinant of a two-way step, passes at most
+LATTICE, LONGEST, GAIN, SINGULAR, STEPS = 65536, (1.0, 0.5), 1e-9, 1e-6, 12
 
 
 def _on_grid(df: DataFrame, x: str, ks: list[float], x0s: list[float]) -> DataFrame:
@@ -90,6 +93,88 @@ def _zoom(rows: DataFrame, x: str, y: str, by: list[str], best: DataFrame, zoom:
     return best
 
 
+def _clip(c: str, box: tuple[float, float]) -> str:
+    return f"greatest({box[0]!r}D, least({c}, {box[1]!r}D))"
+
+
+def _descent_layers(pinned: bool) -> list[dict[str, str]]:
+    """One pass of the descent as layers of SQL columns over the sums of a trial point (k, x0) and the state of its cutoff:
+    floor and saturation in the box, acceptance, and the Gauss-Newton step in (k, x0) with floor and saturation eliminated
+    where they are free. A direction that leaves the box is held; a nearly singular pair of directions moves x0 alone."""
+    sse = lambda f, s: f"yy + {f}*{f}*aa + {s}*{s}*gg + 2*{f}*{s}*ag - 2*{f}*ay - 2*{s}*gy"
+    sat_at = lambda f: _clip(f"(gy - {f}*ag)/gg", SAT_BOX)
+    floor_at = lambda s: _clip(f"(ay - {s}*ag)/aa", FLOOR_BOX)
+    if pinned:
+        ends = [("floor", sat_at("floor"))]
+    else:
+        inside = f"det > 1e-12*aa*gg AND f0 BETWEEN {FLOOR_BOX[0]}D AND {FLOOR_BOX[1]}D AND s0 BETWEEN {SAT_BOX[0]}D AND {SAT_BOX[1]}D"
+        ends = [(f"IF({inside}, f0, NULL)", f"IF({inside}, s0, NULL)")]
+        ends += [(f"{v!r}D", sat_at(f"{v!r}D")) for v in FLOOR_BOX] + [(floor_at(f"{v!r}D"), f"{v!r}D") for v in SAT_BOX]
+    pairs = ", ".join(f"struct({f} AS f, {s} AS s)" for f, s in ends)
+    both = lambda p, q: f"(a{p}*(gg*a{q} - ag*g{q}) + g{p}*(aa*g{q} - ag*a{q}))/det"
+    left = lambda p, q: f"d*d*({p}{q} - CASE WHEN free_f AND free_s THEN {both(p, q)} WHEN free_f THEN a{p}*a{q}/aa WHEN free_s THEN g{p}*g{q}/gg ELSE 0D END)"
+    free = lambda c, box: f"{c} > {box[0]!r}D + 1e-9D AND {c} < {box[1]!r}D - 1e-9D"
+    out = lambda c, step, box: f"({c} <= {box[0]!r}D AND {step} < 0) OR ({c} >= {box[1]!r}D AND {step} > 0)"
+    limit = lambda c, most: f"greatest(-{most!r}D, least({c}, {most!r}D))"
+    snap = lambda c, box: _clip(f"round(({c})*{LATTICE})/{LATTICE}", box)
+    half = lambda t, c: f"{c} + CAST(({t} - {c})*{LATTICE}/2 AS BIGINT)/{LATTICE}"
+    new = lambda a, b: f"IF(ok, {a}, {b})"
+    return [
+        {"det": "aa*gg - ag*ag"},
+        {"f0": "(ay*gg - gy*ag)/nullif(det, 0D)", "s0": "(gy*aa - ay*ag)/nullif(det, 0D)"},
+        {"ends": f"filter(array({pairs}), e -> e.f IS NOT NULL AND e.s IS NOT NULL)"},
+        {"best": f"array_min(transform(ends, e -> struct({sse('e.f', 'e.s')} AS sse, e.f AS f, e.s AS s)))"},
+        {"f": "best.f", "s": "best.s", "d": "best.s - best.f", "ok": f"coalesce(sse IS NULL OR best.sse < sse*(1 - {GAIN!r}D), false)",
+         "free_f": "false" if pinned else free("best.f", FLOOR_BOX), "free_s": free("best.s", SAT_BOX)},
+        {"ru": "d*(uy - f*au - s*gu)", "rv": "d*(vy - f*av - s*gv)", "muu": left("u", "u"), "muv": left("u", "v"), "mvv": left("v", "v")},
+        {"dd": "muu*mvv - muv*muv", "only_k": "IF(muu > 0, ru/muu, 0D)", "only_x": "IF(mvv > 0, rv/mvv, 0D)"},
+        {"sound": f"dd > {SINGULAR!r}D*muu*mvv"},
+        {"dk": "IF(sound, (mvv*ru - muv*rv)/dd, 0D)", "dx": "IF(sound, (muu*rv - muv*ru)/dd, only_x)"},
+        {"hold_k": out("k", "dk", K_BOX), "hold_x": out("x0", "dx", X0_BOX)},
+        {"sk": limit("CASE WHEN hold_k THEN 0D WHEN hold_x THEN only_k ELSE dk END", LONGEST[0]), "sx": limit("CASE WHEN hold_x THEN 0D WHEN hold_k THEN only_x ELSE dx END", LONGEST[1])},
+        {"tk": new(snap("k + sk", K_BOX), half("tk", "ck")), "tx": new(snap("x0 + sx", X0_BOX), half("tx", "cx")), "ck": new("k", "ck"), "cx": new("x0", "cx"),
+         "sse": new("best.sse", "sse"), "cf": new("f", "cf"), "cs": new("s", "cs"),
+         "r2": new("IF(yy - sy*sy/m > 1e-12D, 1 - best.sse/(yy - sy*sy/m), NULL)", "r2"), "n": new("CAST(m AS BIGINT)", "n")},
+    ]
+
+
+def _descend(rows: DataFrame, x: str, y: str, order: str, best: DataFrame, steps: int, pinned: bool, extra: list[str]) -> DataFrame:
+    """Gauss-Newton from the best grid point of each cutoff, all cutoffs in one pass per step.
+
+    Trial points lie on a lattice that all cutoffs share, so a pass evaluates the distinct points once per row, sums them by
+    month and lets a running window give every cutoff its own history: no cutoff meets its past rows. A trial that does not
+    lower the residual sum is halved towards the point it left; a point that is its own trial has converged. The box holds.
+    One exchange by point serves the month sums and the window.
+    """
+    rows = cut_lineage(rows.select(F.col(order).alias("_at"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    keep = [*extra, *(["floor"] if pinned else [])]
+    snap = lambda c, box: _clip(f"round({c}*{LATTICE})/{LATTICE}", box)
+    state = best.selectExpr(
+        f"`{order}` AS _at", *keep, f"{snap('k', K_BOX)} AS tk", f"{snap('x0', X0_BOX)} AS tx",
+        *[f"CAST(NULL AS DOUBLE) AS {c}" for c in ("ck", "cx", "sse", "cf", "cs", "r2")], "CAST(NULL AS BIGINT) AS n")
+    parts = {"a": "(1 - g)", "g": "g", "u": "u", "v": "v", "y": "_y"}
+    products = {p + q: f"sum({parts[p]}*{parts[q]})" for p, q in map(tuple, ("aa", "gg", "ag", "ay", "gy", "yy", "au", "gu", "av", "gv", "uu", "uv", "vv", "uy", "vy"))}
+    sums = {"m": "CAST(count(_y) AS DOUBLE)", "sy": "sum(_y)", **products}
+    layers = _descent_layers(pinned)
+    for _ in range(steps):
+        state = cut_lineage(state.coalesce(1))  # one row per cutoff: a calendar table
+        if state.filter("ck IS NULL OR tk <> ck OR tx <> cx").isEmpty():
+            break
+        points = state.selectExpr("collect_set(struct(tk AS k, tx AS x0)) AS p")
+        tried = rows.withColumn("_p", F.explode(points.scalar())).selectExpr("_at", "_x", "_y", "_p.k", "_p.x0")
+        asked = state.selectExpr("_at", "CAST(NULL AS DOUBLE) AS _x", "CAST(NULL AS DOUBLE) AS _y", "tk AS k", "tx AS x0")  # so that a cutoff has a row
+        here = tried.unionByName(asked).repartition("k", "x0").selectExpr("*", "1/(1 + exp(-k*(_x - x0))) AS g")
+        here = here.selectExpr("*", "(_x - x0)*g*(1 - g) AS u", "-k*g*(1 - g) AS v")
+        months = here.groupBy("k", "x0", "_at").agg(*[F.expr(e).alias(n) for n, e in sums.items()])
+        past = "OVER (PARTITION BY k, x0 ORDER BY _at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        hist = months.selectExpr("k", "x0", "_at", *[f"sum({n}) {past} AS {n}" for n in sums])
+        step = hist.join(F.broadcast(state.selectExpr("*", "tk AS k", "tx AS x0")), ["k", "x0", "_at"])
+        for layer in layers[:-1]:
+            step = step.selectExpr("*", *[f"{e} AS {c}" for c, e in layer.items()])
+        state = step.selectExpr("_at", *keep, *[f"{e} AS {c}" for c, e in layers[-1].items()])
+    return state.selectExpr(f"_at AS `{order}`", "cf AS floor", "cs AS sat", "ck AS k", "cx AS x0", "n", *extra, "r2")
+
+
 def fit_by_scope(df: DataFrame, x: str, y: str, by: list[str], floor: float | None = None,
                  ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, min_n: int = 40, zoom: int = 0) -> DataFrame:
     """One fit per scope key over the grid, refined by ``zoom`` passes (``ZOOMS``
@@ -103,7 +188,7 @@ def fit_by_scope(df: DataFrame, x: str, y: str, by: list[str], floor: float | No
 
 def fit_asof(df: DataFrame, x: str, y: str, order: str = "mi", mode: str = "fitted",
              seasoned: DataFrame | None = None, deep: float = -2.5, min_n: int = 40, min_deep: int = 10,
-             ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, zoom: int = 0) -> DataFrame:
+             ks: list[float] = K_GRID, x0s: list[float] = X0_GRID, zoom: int = 0, steps: int = 0) -> DataFrame:
     """Fit on rows strictly before each month. Month totals per grid point feed a
     running window, so the work is rows x grid, not rows x grid x cutoffs.
 
@@ -113,7 +198,8 @@ def fit_asof(df: DataFrame, x: str, y: str, order: str = "mi", mode: str = "fitt
 
     ``zoom`` passes refine the grid of each month (``ZOOMS`` for a step below 1e-3).
     Months have grids of their own there, so rows meet every later month; they must
-    be cells of the calendar, not loans.
+    be cells of the calendar, not loans. ``steps`` (``STEPS``) descends from the
+    grid's best point instead, to a lattice of 1/65536, and pairs no cutoff with rows.
     """
     if mode not in ("fitted", "pinned-fixed", "pinned-seasoned", "seasoned-fit"):
         raise ValueError(mode)
@@ -142,6 +228,8 @@ def fit_asof(df: DataFrame, x: str, y: str, order: str = "mi", mode: str = "fitt
         hist = hist.join(F.broadcast(floors.filter(F.col("n_deep") >= min_deep)), order)
         floor, extra = F.col("floor_pin"), ["n_deep"]
     best = _pick(_box_solve(hist, floor), [order], extra)
+    if steps:
+        return _descend(rows, x, y, order, best, steps, floor is not None, extra)
     if not zoom:
         return best
     first = cut_lineage(best)
