@@ -37,6 +37,13 @@ def _(fx):
     return rnd(z.select("yyyymm", (F.col("i") + 1).cast("bigint").alias("month"), "zero"), 8)
 
 
+@query("K1c_daily_grid", "f_curve_daily", f"""WITH g AS ({zeros_sql("f_curve_daily", "d")}) SELECT d, CAST(unnest(range(1, 361)) AS BIGINT) AS month, {R("unnest(zs)", 8)} AS zero FROM g""")
+def _(fx):
+    """The whole 360-month grid of every daily curve."""
+    z = curves.bootstrap_zeros(fx.curve_daily).select("d", F.posexplode(curves.monthly_zeros()).alias("i", "zero"))
+    return rnd(z.select("d", (F.col("i") + 1).cast("bigint").alias("month"), "zero"), 8)
+
+
 def exact_sql(rel: str, keys: str, bill: str = "ln(1 + {r}*{t})") -> str:
     q = f"SELECT {keys}, {', '.join(TEN)}, " + ", ".join(f"{bill.format(r=f'({t}/100)', t=repr(float(y)))} AS x_{t}" for t, y in zip(TEN[:3], curves.YEARS)) + f" FROM {rel}"
     for i in range(3, len(TEN)):

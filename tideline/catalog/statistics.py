@@ -525,6 +525,13 @@ def _(fx):
     return rnd(pair_vol(hedge_rows(fx)), 6, mean=8)
 
 
+@query("G23b_coupon_vol", V, f"""{HPB} SELECT coupon, count(hedged) AS n, {R("avg(hedged)", 8)} AS mean, {R("stddev_samp(hedged)*sqrt(12)")} AS ann_vol FROM hp GROUP BY 1""")
+def _(fx):
+    from tideline.plans.hedging import coupon_vol
+
+    return rnd(coupon_vol(hedge_rows(fx)), 6, mean=8)
+
+
 @query("G24_duration_capture", V, f"""{HPB}, u AS (SELECT *, total_return - income AS unh FROM hp), r AS (SELECT coupon, -100*b_d_level AS resid_d FROM {ols_sql("u", "hedged", ["d_level", "d_slope"], "coupon")}), e AS (SELECT coupon, -100*b_d_level AS emp_d FROM {ols_sql("u", "unh", ["d_level", "d_slope"], "coupon")}),
 m AS (SELECT coupon, avg(dur_level) AS mod_d FROM hp GROUP BY 1), j AS (SELECT *, emp_d - (resid_d + mod_d) AS gap FROM r JOIN e USING (coupon) JOIN m USING (coupon))
 SELECT {R("max(mod_d)-min(mod_d)")} AS model_spread, {R("max(emp_d)-min(emp_d)", 4)} AS implied_spread, {R("100*(max(mod_d)-min(mod_d))/(max(emp_d)-min(emp_d))", 4)} AS capture_pct, {R("max(abs(gap))", 4)} AS worst_gap, arg_max(coupon, abs(gap)) AS worst_coupon FROM j""")
@@ -705,6 +712,41 @@ def _(fx):
     return rnd(scurve.platt_recalibrate(cells, "z", "cpr_upb", PL_A, PL_B), 4, sse=6)
 
 
+def platt_descent_sql(passes: int = 30) -> str:
+    """(a, b) of the trough cells by Gauss-Newton with halved steps, pass by pass; CTE ``pf``."""
+    p = "(1/(1+exp(-(a*z+b))))"
+    mean = lambda e: f"list_avg(list_transform(pz, lambda z: {e}))"
+    ctes = [f"tc AS MATERIALIZED (SELECT cpr_upb, {PZ} AS pz FROM fr WHERE yyyymm BETWEEN 199801 AND 199912)", "pn0 AS (SELECT 1.0::DOUBLE AS a, -3.0::DOUBLE AS b, NULL::DOUBLE AS ca, NULL::DOUBLE AS cb, NULL::DOUBLE AS e)"]
+    for i in range(1, passes + 1):
+        ctes.append(f"""pm{i} AS (SELECT a, b, ca, cb, e, cpr_upb, {mean(p)} AS m, {mean(f'{p}*(1-{p})*z')} AS u, {mean(f'{p}*(1-{p})')} AS v FROM tc, pn{i - 1}),
+pk{i} AS (SELECT *, 1-pow(1-m,12)-cpr_upb AS r, 12*pow(1-m,11)*u AS fa, 12*pow(1-m,11)*v AS fb FROM pm{i}),
+ps{i} AS (SELECT a, b, ca, cb, e, count(*) AS n, sum(r*r) AS sse, sum(fa*fa) AS aa, sum(fa*fb) AS ab, sum(fb*fb) AS bb, sum(fa*r) AS ae, sum(fb*r) AS be FROM pk{i} GROUP BY ALL),
+pn{i} AS MATERIALIZED (SELECT CASE WHEN ok THEN a + (ab*be-bb*ae)/(aa*bb-ab*ab) ELSE (ca+a)/2 END AS a, CASE WHEN ok THEN b + (ab*ae-aa*be)/(aa*bb-ab*ab) ELSE (cb+b)/2 END AS b, CASE WHEN ok THEN a ELSE ca END AS ca, CASE WHEN ok THEN b ELSE cb END AS cb, CASE WHEN ok THEN sse ELSE e END AS e, n FROM (SELECT *, e IS NULL OR sse < e AS ok FROM ps{i}))""")
+    return ", ".join(ctes) + f", pf AS (SELECT ca AS a, cb AS b, e, n FROM pn{passes})"
+
+
+def platt_cells(fx):
+    z = F.transform(F.sequence(F.lit(1), F.lit(33)), lambda t: 0.9 * F.col("inc") + 0.02 * t)
+    return forecast_realized(fx).withColumn("z", z)
+
+
+@query("G30b_platt_descent", "f_loan f_forecast", f"{FVR}, {platt_descent_sql()} SELECT {R('a', 4)} AS a, {R('b', 4)} AS b, {R('e', 6)} AS sse, n AS n_cells FROM pf")
+def _(fx):
+    """Recalibration on the trough window to the optimum."""
+    a, b, sse, n = scurve.platt_descent(platt_cells(fx).filter("yyyymm BETWEEN 199801 AND 199912"), "z", "cpr_upb")
+    return rnd(fx.spark.createDataFrame([(a, b, sse, n)], "a double, b double, sse double, n_cells long"), 4, sse=6)
+
+
+@query("G30c_platt_validation", "f_loan f_forecast", f"""{FVR}, {platt_descent_sql()}, pv AS (SELECT CASE WHEN yyyymm BETWEEN 199801 AND 199912 THEN 'trough' ELSE 'boom' END AS span, coupon, cpr_upb, 1-pow(1-list_avg(list_transform({PZ}, lambda z: 1/(1+exp(-(a*z+b))))), 12) AS f FROM fr, pf WHERE yyyymm BETWEEN 199801 AND 200112)
+SELECT span, coupon, count(*) AS n, {R('avg(f)', 4)} AS forecast, {R('avg(cpr_upb)', 4)} AS realized, {R('avg(f)/nullif(avg(cpr_upb), 0)', 4)} AS ratio FROM pv GROUP BY 1, 2""")
+def _(fx):
+    """The trough fit held against its own window and against the boom that it has not seen, by coupon."""
+    span = F.when(F.col("yyyymm").between(199801, 199912), "trough").otherwise("boom")
+    cells = cut_lineage(platt_cells(fx).filter("yyyymm BETWEEN 199801 AND 200112").withColumn("span", span).select("span", "coupon", "z", "cpr_upb"))
+    a, b, _, _ = scurve.platt_descent(cells.filter("span = 'trough'"), "z", "cpr_upb")
+    return rnd(scurve.platt_report(cells, "z", "cpr_upb", a, b, ["span", "coupon"]), 4)
+
+
 LIQ = "coupon IN (3.0, 3.5, 4.0, 4.5, 5.0)"
 
 

@@ -121,6 +121,12 @@ def pair_vol(panel: DataFrame, months: int = 12) -> DataFrame:
         (F.avg(d) / F.nullif(F.stddev_samp(d), F.lit(0.0)) * F.sqrt(F.lit(float(months)))).alias("sharpe"))
 
 
+def coupon_vol(panel: DataFrame, months: int = 12) -> DataFrame:
+    """Annualised volatility of each coupon's own hedged return."""
+    h = F.col("hedged")
+    return panel.groupBy("coupon").agg(F.count(h).alias("n"), F.avg(h).alias("mean"), (F.stddev_samp(h) * F.sqrt(F.lit(float(months)))).alias("ann_vol"))
+
+
 def duration_capture(panel: DataFrame) -> DataFrame:
     """Model against empirical duration spread, and the largest gap between the
     empirical duration and model plus residual duration."""

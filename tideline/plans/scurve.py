@@ -260,3 +260,46 @@ def platt_recalibrate(train: DataFrame, path: str, real: str, a_grid: list[float
         best = best_of(platt_grid(near, path, real, around("a", sa), around("b", sb)))
         sa, sb = sa / 5, sb / 5
     return best.select("m.a", "m.b", "m.sse", "m.n_cells")
+
+
+def _platt_rows(cells: DataFrame, path: str, real: str, a: Column, b: Column, keep: list[str] = []) -> DataFrame:
+    """Forecast f of every cell (the annualised mean calibrated probability over its index path) and its slopes in a and b."""
+    p = "(1/(1 + exp(-(_a*z + _b))))"
+    mean = lambda e: f"aggregate(_z, 0D, (s, z) -> s + {e})/size(_z)"
+    rows = cells.select(*keep, F.col(path).alias("_z"), F.col(real).cast("double").alias("_r"), a.alias("_a"), b.alias("_b"))
+    rows = rows.selectExpr("*", f"{mean(p)} AS _m", f"{mean(f'{p}*(1 - {p})*z')} AS _u", f"{mean(f'{p}*(1 - {p})')} AS _v")
+    return rows.selectExpr(*keep, "_r", "1 - pow(1 - _m, 12) AS f", "12*pow(1 - _m, 11)*_u AS fa", "12*pow(1 - _m, 11)*_v AS fb")
+
+
+def platt_descent(train: DataFrame, path: str, real: str, start: tuple[float, float] = (1.0, -3.0), steps: int = 60, tol: float = 1e-10) -> tuple[float, float, float, int]:
+    """(a, b, squared error, cells) by Gauss-Newton: one aggregate of the normal equations per step, the step halved while it
+    does not lower the error. The two parameters are a one-row table that the same plan reads at every step."""
+    train = cut_lineage(train.select(path, real).filter(F.col(real).isNotNull()))
+    sums = ["sum((f - _r)*(f - _r)) AS sse", "sum(fa*fa) AS aa", "sum(fa*fb) AS ab", "sum(fb*fb) AS bb", "sum(fa*(f - _r)) AS ae", "sum(fb*(f - _r)) AS be", "count(*) AS n"]
+
+    def at(a, b):
+        pair = train.sparkSession.createDataFrame([((float(a), float(b)),)], "p struct<a: double, b: double>")
+        rows = _platt_rows(train.withColumn("_p", pair.scalar()), path, real, F.col("_p.a"), F.col("_p.b"))
+        return rows.agg(*[F.expr(e) for e in sums]).first()
+
+    (a, b), now = start, at(*start)
+    if not now.n:
+        raise ValueError("no cells to fit")
+    for _ in range(steps):
+        det = now.aa * now.bb - now.ab * now.ab
+        if det <= 1e-14 * now.aa * now.bb:
+            raise ValueError("the cells do not tell slope and intercept apart")
+        da, db = (now.ab * now.be - now.bb * now.ae) / det, (now.ab * now.ae - now.aa * now.be) / det
+        while max(abs(da), abs(db)) > tol and not (trial := at(a + da, b + db)).sse < now.sse:
+            da, db = da / 2, db / 2
+        if max(abs(da), abs(db)) <= tol:
+            break
+        a, b, now = a + da, b + db, trial
+    return a, b, now.sse, now.n
+
+
+def platt_report(cells: DataFrame, path: str, real: str, a: float, b: float, by: list[str]) -> DataFrame:
+    """Mean forecast, mean realized speed and their ratio per key under (a, b), also on cells that the fit has not seen."""
+    rows = _platt_rows(cells.filter(F.col(real).isNotNull()), path, real, F.lit(float(a)), F.lit(float(b)), by)
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("f").alias("forecast"), F.avg("_r").alias("realized"))
+    return out.withColumn("ratio", F.try_divide(F.col("forecast"), F.nullif("realized", F.lit(0.0))))
