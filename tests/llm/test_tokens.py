@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.conftest import BYTE_BPE, WORD_BPE, collected, frame
-from tideline.llm import packing, simple8b, token_counts
+from tideline.llm import packing, simple8b, slots, token_counts
 from tideline.llm import textbatch as tb
 from tideline.llm.segments import Encoder
 from tideline.session import run_dir
@@ -132,3 +134,19 @@ def test_differencing_balances(sizes):
 def test_differencing_known_case():
     # 8,7,6,5,4 over two bins: the method leaves 16 and 14
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in b) for b in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]
+
+
+@pytest.mark.parametrize("text", ["".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "a" * 9000, "ab" * 7000 + "b" * 5001, "thethe" * 3000, "é日本" * 4000])
+def test_long_unbroken_text_counts_as_the_library_does(text):
+    """Merged on its own, in time that follows the merges made."""
+    raw, began = text.encode(), time.time()
+    got = token_counts.Counter(BYTE_BPE).count(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert time.time() - began < 60
+    assert got.tolist() == [len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)]
+
+
+def test_slots_spread_null_and_shared_ids(spark):
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id"))
+    docs = spark.range(30_000).select(ids.cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = slots.slot_bytes(slots.records_of(docs, 256)).agg(F.max("slot_rows"), F.count("*")).first()
+    assert got[0] < 3 * 30_000 / 256 and got[1] == 256

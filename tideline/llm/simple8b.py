@@ -270,7 +270,7 @@ def document_starts(digests: DataFrame) -> DataFrame:
     """Adds ``start``: the ids of all documents before this one, over all files. The running sum goes over one row per file."""
     files = digests.groupBy("part", "piece").agg(F.sum("n_tokens").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return digests.join(F.broadcast(files.select("part", "piece", before.alias("_base"))), ["part", "piece"]).withColumn("start", F.col("_base") + F.col("before")).drop("_base")
+    return digests.join(files.select("part", "piece", before.alias("_base")), ["part", "piece"]).withColumn("start", F.col("_base") + F.col("before")).drop("_base")
 
 
 def token_file_digests(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

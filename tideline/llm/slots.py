@@ -5,7 +5,9 @@ says which shard owns which slot. Rebalancing or adding shards edits that table:
 and gives up the rest, and the slots given up go, largest first, to the shard with the fewest bytes. Records are then placed by
 the newest version. Every table here but the records has one row per slot.
 
-Null and empty texts have 8 bytes (the id). Equal rows lie in one slot. Native: DataFrame functions only.
+Null and empty texts have 8 bytes (the id). A record's slot follows its id and its text's checksum and size, so null ids and ids that
+many rows share spread; only rows equal in id and text lie in one slot. Texts may have any length: only their checksum and size
+move. An empty table gives an empty result and a map. Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ SLOTS = 4096
 ROW_BYTES = 8
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots))
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots))
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -76,7 +78,8 @@ def rebalanced(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
 def records_of(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``size``, ``text_crc32`` and ``vslot`` of every document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col(f"`{id_col}`"), slots).alias("vslot"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return rows.withColumn("vslot", slot_of(F.col("_id"), F.col("text_crc32"), F.col("size"), slots=slots))
 
 
 def sharded(docs: DataFrame, path: str, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ Null and empty texts have 0 tokens. The string of an added token counts as one t
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -23,6 +24,8 @@ from tideline.llm.frames import texts
 from tideline.llm.segments import Memory, cuts, gather
 
 NO_RANK = np.int64(1 << 40)
+#: Symbols from which a sequence is merged on its own: the rounds of many short ones share their arrays, a long one has far more.
+LONG = 4096
 
 
 class Merges:
@@ -57,11 +60,63 @@ class Merges:
         return np.where(self.key[at] == wanted, self.rank[at], NO_RANK), at
 
 
+def surviving_of_one(symbols: np.ndarray, merges: Merges) -> int:
+    """Symbols left of one long sequence. Each round still merges all pairs of the lowest rank at once, but only looks at the
+    places that earlier rounds have named for it, and names new ones beside its merges; the work follows the merges made."""
+    n = len(symbols)
+    symbol, nxt, prv, here = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    places: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def name(at: np.ndarray) -> None:
+        rank, _ = merges.look(symbol[at], symbol[nxt[at]])
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cut = np.flatnonzero(np.diff(rank, prepend=-1))
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(rank)]):
+            r = int(rank[a])
+            if r == NO_RANK:
+                break
+            if r not in places:
+                places[r] = []
+                heapq.heappush(waiting, r)
+            places[r].append(at[a:z])
+
+    name(np.arange(n - 1))
+    while waiting:
+        lowest = heapq.heappop(waiting)
+        at = np.unique(np.concatenate(places.pop(lowest)))
+        at = at[here[at]]
+        at = at[nxt[at] < n]
+        rank, row = merges.look(symbol[at], symbol[nxt[at]])
+        at, row = at[rank == lowest], row[rank == lowest]
+        if not len(at):
+            continue
+        # where a pair's right symbol begins the next pair, every second pair of the run is taken, from the left
+        first = np.append(True, nxt[at[:-1]] != at[1:])
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        taken = (np.arange(len(at)) - begin) % 2 == 0
+        at, row = at[taken], row[taken]
+        right = nxt[at]
+        after = nxt[right]
+        symbol[at], here[right], nxt[at] = merges.made[row], False, after
+        inside = after < n
+        prv[after[inside]] = at[inside]
+        before = prv[at]
+        beside = np.unique(np.concatenate([before[before >= 0], at[inside]]))
+        name(beside)
+    return int(here.sum())
+
+
 def surviving(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.ndarray:
     """Symbols left of each sequence when no merge applies any more. Every length is at least 1."""
     left = lengths.copy()
-    alive = np.flatnonzero(lengths > 1)
-    keep = np.repeat(lengths > 1, lengths)
+    ends = np.cumsum(lengths)
+    for i in np.flatnonzero(lengths >= LONG):
+        left[i] = surviving_of_one(symbols[ends[i] - lengths[i] : ends[i]], merges)
+    together = (lengths > 1) & (lengths < LONG)
+    alive = np.flatnonzero(together)
+    keep = np.repeat(together, lengths)
     symbols, size = symbols[keep], lengths[alive]
     while len(alive):
         ends = np.cumsum(size)
