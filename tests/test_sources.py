@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tideline.operators import survival
+from tideline.operators import joins, survival
 from tideline.session import run_dir
 from tideline.sources import series, shards, vintages
 from tideline.streaming import cube
@@ -135,3 +135,48 @@ def test_gate_refuses_without_a_common_key(spark):
     old, new = spark.createDataFrame([(1, 1.0)], kind), spark.createDataFrame([(2, 1.0)], kind)
     accept = lambda a, b: shards.consistency_gate(a, b, ["k"], "v", 0.5).first()["accept"]
     assert not accept(old, new) and accept(old.limit(0), new) and accept(old, old)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_month_table_is_joined_and_windowed_without_an_exchange(spark):
+    """A loan with a third of all raw rows is one row per month before it is laid out."""
+    raw = spark.range(6000).selectExpr("IF(id % 3 = 0, 1L, id % 97) AS loan_id", "201901 + id % 11 AS yyyymm", "CAST(IF(id % 11 = 10, 0, 100 - id % 7) AS DOUBLE) AS upb", "3.0D AS note_rate")
+    months = vintages.to_month_table(survival.loan_months(raw), "month_layout", run_dir(spark, "tables"), 8)
+    assert months.groupBy("loan_id").count().agg(F.max("count")).first()[0] == 11
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = survival.last_appearance(months, upb="month_upb", rate="month_rate").select("loan_id", "last_rate", "payoff_ym")
+        met = joins.loan_state_join(months, state)
+        windowed = survival.with_loan_state(months)
+        for df in (met, windowed):
+            assert "Exchange" not in plan_of(df) and "SelectedBucketsCount: 8" in plan_of(df)
+        loose = survival.loan_months(raw)
+        assert "Exchange" in plan_of(survival.with_loan_state(loose))
+        assert rows(windowed) == rows(survival.with_loan_state(loose), *windowed.columns)
+        plain = joins.loan_state_join(loose, survival.last_appearance(raw).select("loan_id", "last_rate", "payoff_ym"))
+        assert rows(met) == rows(plain, *met.columns)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE month_layout")
+
+
+def test_a_small_table_picks_the_files_of_its_vintages(spark):
+    df = spark.range(400).selectExpr("id AS loan_id", "201901 + id % 9 AS yyyymm", "concat(2010 + id % 8, 'Q1') AS vintage")
+    vintages.to_panel_table(df, "panel_pruned", run_dir(spark, "tables"))
+    wanted = spark.createDataFrame([(f"{y}Q1", y) for y in range(2005, 2020)], "vintage string, year int").filter("year IN (2011, 2016)")
+    got = vintages.of_vintages(spark.table("panel_pruned"), wanted)
+    assert "dynamicpruning" in plan_of(got)
+    assert got.groupBy("vintage").count().orderBy("vintage").collect() == [("2011Q1", 50), ("2016Q1", 50)]
+    spark.sql("DROP TABLE panel_pruned")
+
+
+def test_shards_of_many_runs_are_one_scan(spark):
+    folder = run_dir(spark, "shards")
+    df = spark.range(60).selectExpr("id", "concat('v', id % 6) AS vintage")
+    for many in (2, 4, 6):
+        shards.write_missing(df, folder, df.filter(f"CAST(substr(vintage, 2) AS INT) < {many}").select("vintage").distinct())
+    got = shards.read_shards(spark, folder, "id bigint, vintage string")
+    assert rows(got) == rows(df) and plan_of(got).count("FileScan") == 1

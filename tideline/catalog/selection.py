@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from tideline.catalog.registry import R, query, rnd
 from tideline.catalog.survival import CPR_CELLS, FVR, aged, forecast_realized
 from tideline.functions import periods, rates
 from tideline.operators import joins, selection, series, survival
+from tideline.session import run_dir
+from tideline.sources import vintages
 
 CUTOFF = 199812
 
@@ -30,6 +34,16 @@ def _(fx):
     return selection.vintage_prune(fx.loan, 1997).select("loan_id", "yyyymm", "vintage")
 
 
+@query("C3b_dynamic_vintage_prune", "f_loan", "SELECT loan_id, yyyymm, vintage FROM f_loan WHERE CAST(substr(vintage,1,4) AS INT) <= 1997")
+def _(fx):
+    """The vintages that a small table names, from the partitioned panel table."""
+    table = f"panel_{uuid.uuid4().hex[:12]}"
+    vintages.to_panel_table(fx.loan.select("loan_id", "yyyymm", "vintage"), table, run_dir(fx.spark, "tables"))
+    panel = fx.spark.table(table)
+    listed = fx.loan.select("vintage").distinct().filter(F.substring("vintage", 1, 4).cast("int") <= 1997)
+    return vintages.of_vintages(panel, listed).select("loan_id", "yyyymm", "vintage")
+
+
 @query("C4_dropna_subset", "f_loan", "SELECT loan_id, yyyymm FROM f_loan WHERE fico IS NOT NULL AND file_age IS NOT NULL AND ltv IS NOT NULL")
 def _(fx):
     return fx.loan.na.drop(subset=["fico", "file_age", "ltv"]).select("loan_id", "yyyymm")
@@ -158,6 +172,17 @@ def _(fx):
     return joins.loan_state_join(fx.loan.select("loan_id", "yyyymm", "upb"), state)
 
 
+@query("D3b_bucketed_state_join", "f_loan", """
+WITH mo AS (SELECT loan_id, yyyymm, count(*) AS n_rows, max(upb) FILTER (note_rate IS NOT NULL) AS month_upb, max(note_rate) AS month_rate FROM f_loan GROUP BY 1, 2),
+st AS (SELECT loan_id, max(yyyymm) AS last_ym, arg_max(month_upb, yyyymm) AS last_upb, arg_max(month_rate, yyyymm) AS last_rate FROM mo WHERE month_rate IS NOT NULL GROUP BY 1)
+SELECT mo.loan_id, mo.yyyymm, n_rows, month_upb, last_rate, CASE WHEN last_upb = 0 THEN last_ym END AS payoff_ym FROM mo JOIN st USING (loan_id)""")
+def _(fx):
+    """Loan state on (loan, month) rows that are laid out by loan once: neither the state nor the join moves them again."""
+    months = vintages.to_month_table(survival.loan_months(fx.loan), f"loan_months_{uuid.uuid4().hex[:12]}", run_dir(fx.spark, "tables"), 32)
+    state = survival.last_appearance(months, upb="month_upb", rate="month_rate").select("loan_id", "last_rate", "payoff_ym")
+    return joins.loan_state_join(months.select("loan_id", "yyyymm", "n_rows", "month_upb"), state)
+
+
 @query("D4_forecast_realized_join", "f_loan f_forecast", f"{FVR} SELECT coupon, yyyymm, {R('forecast_cpr')} AS forecast_cpr, {R('cpr_upb')} AS cpr_upb FROM fr")
 def _(fx):
     return rnd(forecast_realized(fx).select("coupon", "yyyymm", "forecast_cpr", "cpr_upb"))

@@ -35,10 +35,10 @@ def write_missing(df: DataFrame, folder: str, expected: DataFrame, key: str = "v
     """
     spark = df.sparkSession
     todo = cut_lineage(expected.select(key).distinct().join(manifest(spark, folder, key).select(key), key, "left_anti"))
-    run = f"run-{uuid.uuid4().hex[:12]}"
-    df.join(todo, key, "left_semi").write.partitionBy(key).parquet(f"{folder}/data/{run}")
+    run = uuid.uuid4().hex[:12]
+    df.join(todo, key, "left_semi").write.partitionBy(key).parquet(f"{folder}/data/run={run}")
     kind = T.StructType([f for f in df.schema.fields if f.name != key] + [df.schema[key]])
-    counts = spark.read.schema(kind).parquet(f"{folder}/data/{run}").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = spark.read.schema(kind).parquet(f"{folder}/data/run={run}").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     listed = todo.join(counts, key, "left").select(
         key, F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.col("n_rows").isNull().alias("is_empty"), F.lit(run).alias("run"))
     listed.write.mode("append").parquet(f"{folder}/manifest")
@@ -46,15 +46,12 @@ def write_missing(df: DataFrame, folder: str, expected: DataFrame, key: str = "v
 
 
 def read_shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All rows of the runs that the manifest lists."""
+    """All rows of the runs that the manifest lists, in one scan."""
     runs = [r["run"] for r in manifest(spark, folder).filter("NOT is_empty").select("run").distinct().collect()]
     if not runs:
         return spark.createDataFrame([], schema)
-    parts = [spark.read.schema(schema).parquet(f"{folder}/data/{run}") for run in sorted(runs)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    paths = [f"{folder}/data/run={run}" for run in sorted(runs)]
+    return spark.read.schema(f"{schema}, run string").option("basePath", f"{folder}/data").parquet(*paths).drop("run")
 
 
 def merge_partials(spark: SparkSession, folder: str, schema: str, keys: list[str], sums: list[str]) -> DataFrame:

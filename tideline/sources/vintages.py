@@ -80,12 +80,31 @@ def raw_fields(panel: DataFrame) -> DataFrame:
     return panel.select(*out, *[c for c in ("vintage", "part") if c in panel.columns])
 
 
-def to_panel_table(df: DataFrame, table: str) -> None:
+def to_panel_table(df: DataFrame, table: str, folder: str | None = None) -> None:
     """Write the typed panel once: partitioned by vintage for pruning, rows
-    range-clustered by loan and month inside it.
+    range-clustered by loan and month inside it; below ``folder`` if given.
 
     One layout for every input. Ranges are cut by row count, so a loan with very
     many rows is spread over files instead of filling one.
     """
     ready = df.repartitionByRange("vintage", "loan_id", "yyyymm").sortWithinPartitions("vintage", "loan_id", "yyyymm")
-    ready.write.mode("overwrite").partitionBy("vintage").format("parquet").saveAsTable(table)
+    writer = ready.write.mode("overwrite").partitionBy("vintage").format("parquet")
+    (writer.option("path", f"{folder}/{table}") if folder else writer).saveAsTable(table)
+
+
+def of_vintages(panel: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a panel table whose vintage a small table names: its files are picked when the small table is known (dynamic
+    pruning), so no other vintage is read."""
+    return panel.join(wanted.select("vintage"), "vintage", "left_semi")
+
+
+def to_month_table(months: DataFrame, table: str, folder: str, buckets: int = 200) -> DataFrame:
+    """Write (loan, month) rows once, bucketed and sorted by loan, and return the table: what groups, joins or windows by loan
+    afterwards meets without an exchange.
+
+    Only combined rows may be laid out so: a loan has at most one row per calendar month and key there, so no bucket can be hot.
+    The files lie below ``folder``, which all executors share.
+    """
+    writer = months.repartition(buckets, "loan_id").write.mode("overwrite").option("path", f"{folder}/{table}").format("parquet")
+    writer.bucketBy(buckets, "loan_id").sortBy("loan_id", "yyyymm").saveAsTable(table)
+    return months.sparkSession.table(table)
