@@ -36,6 +36,7 @@ from tideline.llm.frames import staged, texts
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
+SKETCH_SHARES = 1024
 GROUPS = 256
 LEAF = 16
 BLOCK = 2048
@@ -233,18 +234,21 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
-    """Counts of all shingles by hash bucket: an array of fixed size, summed part by part."""
+    """Counts of all shingles by hash bucket: an array of fixed size, summed part by part in two levels, so that a group has
+    the cells of a share of the tasks and then one cell of each share. Counts stop at a limit, which sums of limited sums keep."""
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(width, np.uint64)
         for cell in frame["counts"]:
             out += np.frombuffer(zlib.decompress(cell), np.uint32)
-        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(out, (1 << 20) - 1).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(out, (1 << 20) - 1).astype(np.uint32).tobytes(), 1)]})
 
+    cells = scan.filter(F.col("part").isNotNull()).select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(SKETCH_SHARES)).alias("share"))
+    some = cells.groupBy("part", "share").applyInPandas(total, "part int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for row in scan.filter(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInPandas(total, "part int, counts binary").collect():
-        sketch[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
+    for row in some.groupBy("part").applyInPandas(total, "part int, counts binary").collect():
+        sketch[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return sketch
 
 

@@ -121,7 +121,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     pieces = token_pieces(docs, vocabulary, end_id, capacity, grain, id_col, text_col).drop("ids")
     numeric = not isinstance(pieces.schema["_id"].dataType, T.StringType)  # pandas has no null in a column of integers
     pieces = pieces.select(F.col("_id").isNull().alias("_null"), (F.coalesce("_id", F.lit(0)) if numeric else F.col("_id")).cast(pieces.schema["_id"].dataType).alias("_id"), *pieces.columns[1:])
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(groups)))
+    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "start", "ids_crc32"), F.lit(groups)))
     schema = T.StructType([f for f in pieces.schema.fields if f.name != "_group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
