@@ -43,9 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = ngram_join.jaccard_components(docs)
     stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
-    rows = packed.join(stays, F.col("_doc").eqNullSafe(F.col("_stays")))
-    same = F.lag("_hash").over(W.partitionBy("_doc").orderBy("_hash")) == F.col("_hash")
-    once = rows.withColumn("_again", F.col("_doc").isNotNull() & F.col("_row.text").isNotNull() & F.coalesce(same, F.lit(False))).filter(~F.col("_again"))
+    nameless = packed.filter(F.col("_doc").isNull())  # all stay, so none of them is moved
+    named = packed.filter(F.col("_doc").isNotNull()).join(stays.filter(F.col("_stays").isNotNull()), F.col("_doc") == F.col("_stays")).drop("_stays")
+    nth = F.row_number().over(W.partitionBy("_doc", "_hash").orderBy("_hash"))
+    once = named.withColumn("_nth", nth).filter((F.col("_nth") == 1) | F.col("_row.text").isNull()).drop("_nth").unionByName(nameless)
     return once.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
