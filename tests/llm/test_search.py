@@ -61,6 +61,32 @@ def test_all_cells_give_the_exact_answer_with_ties(spark):
         assert r["vec_id"] == i and r["score"] == pytest.approx(score, abs=1e-12)
 
 
+def test_recall_of_the_registered_query(spark, sf):
+    """Production parameters on the given vectors; larger tables are in the README."""
+    rows = [(r["vec_id"], r["embedding"], 0) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = exact(rows, 20, 20)
+    got = {}
+    for r in collected(multi_index.nearest_rows(vectors(spark, rows), every=20, top=20)):
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got.keys() == want.keys()
+    hits = sum(len(got[q] & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(len(v) for v in want.values())
+
+
+def test_every_block_meets_all_its_queries(spark, monkeypatch):
+    # many more queries than rows of a block, and batches that end inside blocks and between rows and queries
+    rows = clustered(500, 3)
+    monkeypatch.setattr(multi_index, "ROWS_PER_BLOCK", 20)
+    monkeypatch.setattr(multi_index, "MOST_PER_BLOCK", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = collected(multi_index.nearest_rows(vectors(spark, rows), 1, 3, words=6, probe=1.0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = exact(rows, 1, 3)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {(q, k + 1): i for q, best in want.items() for k, (i, _) in enumerate(best)}
+
+
 def test_few_rows_and_none(spark):
     few = [(20 * i, [1.0, float(i)], 0) for i in range(4)] + [(7, [1.0, 2.0, 3.0], 0)]
     got = collected(multi_index.nearest_rows(vectors(spark, few), 20, 20))

@@ -5,10 +5,11 @@ vector lies in the cell of its two codewords. For a query, the inner products of
 heap walks the pairs of codewords by falling sum, cell by cell, until the cells taken hold ``probe`` of all rows. The rows of the
 cells are scored exactly on the original vectors in double precision, and the best are kept.
 
-All rows are indexed. Rows lie in blocks of bounded size by their first codeword, queries in blocks as well; a block of rows
-meets a block of queries in one task step, and what leaves it are the best few of each query. Ties go to the
-smaller id: rows within a rounding error of the last place are all kept until their scores are recomputed in one fixed order of
-addition, so equal vectors score equal.
+All rows are indexed. Rows lie in blocks of bounded size by their first codeword and move there once. A query goes to the blocks
+that hold one of its cells, as its vector and the sum of its last cell; a task sorts a block's rows before the queries that ask
+it, keeps those rows in memory and streams the queries past them, however many they are. What leaves it are the best few of each
+query. Ties go to the smaller id: rows within a rounding error of the last place are all kept until their scores are recomputed
+in one fixed order of addition, so equal vectors score equal.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components take no part, as
 query or as candidate. Null ids take no part. Of rows that repeat an id, the one with the largest vector (in array order) counts.
@@ -19,16 +20,19 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from tideline.llm.frames import staged
 
-ROWS_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 2048
+ROWS_PER_BLOCK = 4096  # at least; a block grows to MOST_PER_BLOCK rows before the number of blocks passes BLOCKS
+MOST_PER_BLOCK = 65536
+BLOCKS = 256
+QUERIES_PER_BLOCK = 2048  # scored against a block at a time
+SCORES = 1 << 22  # scores held at a time
 SLACK = 1e-12  # times the norms of the query and of the largest row
+CELL_SLACK = 1e-12  # the same for the sum of a cell: sums made in another batch may differ by rounding
 
 
 def usable(vector: Column) -> Column:
@@ -91,14 +95,15 @@ def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.nda
     found = []
     slack = max(SLACK, 8 * queries.shape[1] * np.finfo(float).eps)  # two sums of rounded products for each of two rows
     margin = slack * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0) + np.finfo(float).tiny
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        score = np.where(visits[at : at + 256][:, cell] & (r_ids[None, :] != q_ids[at : at + 256, None]), part @ rows.T, -np.inf)
+    step = max(1, min(256, SCORES // max(1, len(rows))))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        score = np.where(visits[at : at + step][:, cell] & (r_ids[None, :] != q_ids[at : at + step, None]), part @ rows.T, -np.inf)
         if score.shape[1] > top:
             last = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
         else:
             last = np.full(len(part), -np.inf)
-        q, r = np.nonzero((score >= (last - margin[at : at + 256])[:, None]) & (score > -np.inf))
+        q, r = np.nonzero((score >= (last - margin[at : at + step])[:, None]) & (score > -np.inf))
         found.append((q + at, r))
     q, r = (np.concatenate(x) for x in zip(*found))
     exact = np.zeros(len(q))
@@ -141,47 +146,64 @@ def nearest_rows(rows: DataFrame, every: int, top: int, words: int = 64, probe:
     for row in index.groupBy("i", "j").count().collect():
         sizes[row["i"], row["j"]] = row["count"]
     # consecutive first codewords share a block of rows; a codeword with more rows than a block is dealt over several
+    block_rows = min(MOST_PER_BLOCK, max(ROWS_PER_BLOCK, -(-total // BLOCKS)))
     ends = np.cumsum(sizes.sum(1))
-    first_block = (ends - sizes.sum(1)) // ROWS_PER_BLOCK
-    many_blocks = np.maximum(ends - 1, 0) // ROWS_PER_BLOCK - first_block + 1
-    queries = index.filter(F.col("id") % every == 0)
-    query_blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    first_block = (ends - sizes.sum(1)) // block_rows
+    many_blocks = np.maximum(ends - 1, 0) // block_rows - first_block + 1
     enough = max(int(np.ceil(probe * total)), top + 1)
     wide = len(books[1])
 
-    def to_visits(batches):
-        """One row per query and block of rows, with the cells to visit there."""
+    def to_asked(batches):
+        """One row per query and block of rows that it visits, with the sum of the last cell of its walk."""
         for batch in batches:
             vec = _matrix(batch.column(1), dim)
-            at, block, cells = [], [], []
+            at, block, floor = [], [], []
             for n, (a, b) in enumerate(zip(vec[:, :half] @ books[0].T, vec[:, half:] @ books[1].T)):
-                by_block: dict[int, list[int]] = {}
-                for i, j in walk(a, b, sizes, enough):
-                    for k in range(int(first_block[i]), int(first_block[i] + many_blocks[i])):
-                        by_block.setdefault(k, []).append(i * wide + j)
-                for k, codes in by_block.items():
-                    at.append(n), block.append(k), cells.append(codes)
+                cells = walk(a, b, sizes, enough)
+                asked = {k for i in {i for i, _ in cells} for k in range(int(first_block[i]), int(first_block[i] + many_blocks[i]))}
+                at += [n] * len(asked)
+                block += sorted(asked)
+                floor += [a[cells[-1][0]] + b[cells[-1][1]]] * len(asked)
             pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(block, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=["id", "vec", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(block, pa.int64()), pa.array(floor, pa.float64())], names=["id", "vec", "block", "floor"])
 
-    asked = queries.select("id", "vec").mapInArrow(to_visits, "id long, vec array<double>, block long, cells array<int>")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_blocks)))
+    asked = index.filter(F.col("id") % every == 0).select("id", "vec").mapInArrow(to_asked, "id long, vec array<double>, block long, floor double")
     of_word = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("i").cast("int"))
-    held = index.select("id", "vec", (F.col("i") * wide + F.col("j")).alias("code"), (of_word(first_block) + F.pmod(F.xxhash64("id"), of_word(many_blocks))).cast("long").alias("block"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        visits = np.zeros((len(left), sizes.size), bool)
-        for n, codes in enumerate(left["cells"]):
-            visits[n, codes] = True
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        q, r, score = best(np.stack(left["vec"]), ids, np.stack(right["vec"]), others, visits, right["code"].to_numpy(), top)
-        return pd.DataFrame({"query_id": ids[q], "vec_id": others[r], "score": score})
-
-    key = ["block", "part"]
-    near = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    block = (of_word(first_block) + F.pmod(F.xxhash64("id"), of_word(many_blocks))).cast("long")
+    held = index.select("id", "vec", block.alias("block"), F.lit(None).cast("double").alias("floor"), (F.col("i") * wide + F.col("j")).alias("code"))
+    both = held.unionByName(asked.withColumn("code", F.lit(None).cast("long")))
+    # a block's rows come first (no floor), then the queries that ask it
+    met = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("floor"), "id")
+
+    def meet(batches):
+        now, parts, rows = None, [], None
+        for batch in batches:
+            blocks, codes = batch.column(2).to_numpy(), batch.column(4)
+            is_row = ~np.asarray(codes.is_null())
+            edges = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (is_row[1:] != is_row[:-1]), True])
+            for lo, hi in zip(edges, edges[1:]):
+                if blocks[lo] != now:
+                    now, parts, rows = blocks[lo], [], None
+                ids, vec = batch.column(0)[lo:hi].to_numpy(), _matrix(batch.column(1)[lo:hi], dim)
+                if is_row[lo]:
+                    parts.append((ids, vec, codes[lo:hi].to_numpy()))
+                    continue
+                if rows is None and parts:
+                    rows, parts = [np.concatenate(x) for x in zip(*parts)], []
+                    cells, of_row = np.unique(rows[2], return_inverse=True)
+                if rows is None:
+                    continue
+                floor = batch.column(3)[lo:hi].to_numpy()
+                for at in range(0, hi - lo, QUERIES_PER_BLOCK):
+                    q = vec[at : at + QUERIES_PER_BLOCK]
+                    reach = (q[:, :half] @ books[0].T)[:, cells // wide] + (q[:, half:] @ books[1].T)[:, cells % wide]
+                    visits = reach >= (floor[at : at + len(q)] - CELL_SLACK * np.linalg.norm(q, axis=1) * longest)[:, None]
+                    mine = ids[at : at + len(q)]
+                    n, r, score = best(q, mine, rows[1], rows[0], visits, of_row, top)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[n]), pa.array(rows[0][r]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    longest = sum(np.linalg.norm(book, axis=1).max(initial=0) for book in books)
+    near = met.mapInArrow(meet, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
