@@ -27,7 +27,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from tideline.llm import textbatch as tb
@@ -41,6 +41,7 @@ GROUPS = 256
 LEAF = 16
 BLOCK = 2048
 BRIDGES = 64
+DEALT = 64  # tasks for the nodes of a family above a block
 #: Counts are kept in 16 bits; larger sets pass every bound and go straight to verification.
 MOST_COUNTED = (1 << 16) - 1
 #: J = part / whole; two sets link when WHOLE * overlap >= PART * union.
@@ -312,10 +313,22 @@ def _points(cells) -> np.ndarray:
     return np.frombuffer(b"".join(cells), "<u2").reshape(-1, GROUPS).astype(np.int32)
 
 
+def _with_totals(rows: DataFrame, key: str, keep: Column, *totals: Column) -> DataFrame:
+    """The rows (a written table) with the totals of their key and its row count ``_many``; only keys where ``keep`` holds stay.
+    Totals are partly summed before they move. Keys of more than a thousandth of the rows, so fewer than 1,000, are broadcast to
+    their rows, which do not move; the rows of the others meet by key."""
+    sums = rows.groupBy(key).agg(*totals, F.count(F.lit(1)).alias("_many"))
+    often = F.col("_many") > rows.count() // 1000 + BLOCK
+    hot = sums.filter(often)
+    many = rows.join(F.broadcast(hot.filter(keep)), key)
+    return many.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.filter(~often & keep), key))
+
+
 def _first_links(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Links ``a, b`` inside blocks of nodes that share a minimal hash; each node lies in one block."""
-    by_key = nodes.select("node", F.explode("minima").alias("key"))
-    shared = by_key.withColumn("_least", F.min("node").over(W.partitionBy("key"))).filter(F.col("_least") < F.col("node")).select(F.col("_least").alias("a"), F.col("node").alias("b"))
+    by_key = staged(nodes.select("node", F.explode("minima").alias("key")), "minimal-hashes")
+    told = _with_totals(by_key, "key", F.col("_many") > 1, F.min("node").alias("_least"))
+    shared = told.filter(F.col("_least") < F.col("node")).select(F.col("_least").alias("a"), F.col("node").alias("b"))
     family = components(shared)
     sized = family.join(nodes.select("node", "n"), "node")
     blocks = staged(_cuts(sized).join(nodes.select("node", "point", "n"), "node"), "families")
@@ -345,16 +358,20 @@ def _cuts(rows: DataFrame) -> DataFrame:
     """Blocks ``label, _step, _cut`` of every node. A family above a block is cut by set size (in twentieths of its logarithm) and,
     where one size is still too frequent, by a hash. A few nodes of each step come to all cuts of it and of the next, so that the
     parts of a large group of near copies meet. Other pairs across a cut are left to the second round."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_many"))
-    step = F.when(F.col("_many") > BLOCK, F.floor(F.log("n") * 20)).otherwise(F.lit(0)).cast("long")
-    rows = rows.join(counts, "label").select("node", "label", step.alias("_step"))
-    steps = rows.groupBy("label", "_step").agg(F.count(F.lit(1)).alias("_here")).withColumn("_cuts", F.ceil(F.col("_here") / BLOCK))
-    placed = rows.join(steps, ["label", "_step"])
-    own = placed.select("node", "label", "_step", F.pmod(F.xxhash64("node"), F.col("_cuts")).alias("_cut"))
+    rows = rows.select("node", "label", F.floor(F.log("n") * 20).cast("long").alias("_size"))
+    by_size = rows.groupBy("label", F.col("_size").alias("_step")).agg(F.count(F.lit(1)).alias("_here"))
+    # families above a block, each with its count by step (a set of 10^9 shingles is step 414) and a row for every part its nodes are dealt to
+    large = by_size.groupBy("label").agg(F.sum("_here").alias("_many"), F.map_from_entries(F.collect_list(F.struct("_step", "_here"))).alias("_steps")).filter(F.col("_many") > BLOCK)
+    large = large.select("label", "_steps", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("_part"))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(DEALT).cast("long")))
+    placed = dealt.join(large, ["label", "_part"], "left").withColumn("_step", F.when(F.col("_steps").isNotNull(), F.col("_size")).otherwise(0))
+    here = F.try_element_at("_steps", "_step")
+    cuts = F.coalesce(F.ceil(here / BLOCK), F.lit(1).cast("long"))
+    own = placed.select("node", "label", "_step", F.pmod(F.xxhash64("node"), cuts).alias("_cut"))
     # about BRIDGES nodes of a step, drawn by a hash of their own
-    drawn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(BRIDGES) / F.col("_here") * (1 << 30)
-    few = placed.filter(drawn).select("node", "label", F.explode(F.array("_step", F.col("_step") + 1)).alias("_step"))
-    bridges = few.join(steps, ["label", "_step"]).select("node", "label", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_cut"))
+    drawn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.lit(BRIDGES) / here * (1 << 30)
+    few = placed.filter(drawn).select("node", "label", "_steps", F.explode(F.array("_step", F.col("_step") + 1)).alias("_step"))
+    bridges = few.filter(here.isNotNull()).select("node", "label", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(here / BLOCK) - 1)).alias("_cut"))
     return own.unionByName(bridges).distinct()
 
 
@@ -379,10 +396,9 @@ def _partnered(nodes: DataFrame) -> DataFrame:
 
 def _open_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of nodes in different components that share a prefix shingle and pass the bound."""
-    by_key = W.partitionBy("key")
-    shared = staged(_partnered(nodes).select("key", "node"), "shared-shingles")
-    told = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = told.withColumn("_lo", F.min("label").over(by_key)).withColumn("_hi", F.max("label").over(by_key)).withColumn("_many", F.count(F.lit(1)).over(by_key)).filter("_lo < _hi")
+    shared = _partnered(nodes).select("key", "node")
+    told = staged(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "shared-shingles")
+    split = _with_totals(told, "key", F.col("_lo") < F.col("_hi"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     blocks = F.ceil(F.col("_many") / BLOCK)
     rows = split.withColumn("_own", F.pmod(F.xxhash64("node"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("key", F.least("_own", "_other").alias("_left"), F.greatest("_own", "_other").alias("_right"), (F.col("_own") <= F.col("_other")).alias("_first"), "node", "label")
@@ -454,8 +470,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     late = staged(_verified(pairs, nodes, source, size), "late-links")
     labels = components(links.unionByName(late)) if late.limit(1).count() else first
     grouped = nodes.select("node", "_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = grouped.groupBy("label").agg(F.min("_id").alias("_least"))
-    named = grouped.join(least, "label").select("node", "_least")
+    named = _with_totals(staged(grouped, "labelled-nodes"), "label", F.lit(True), F.min("_id").alias("_least")).select("node", "_least")
     rows = scan.filter(F.col("part").isNull()).select("_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     out = rows.join(named, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
