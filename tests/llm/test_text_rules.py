@@ -131,6 +131,20 @@ def test_odd_rows_through_the_rules(spark, odd):
             assert r["base_failed"] and not r["kept"]
 
 
+def test_fit_is_bounded_by_lines(spark):
+    good, bad = "A quiet line of plain prose, with words.\n" * 3, "| # * | menu\n" * 3
+    rows = [(i, good if i % 2 else bad) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, quality int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality_rules.fit_rules(plain, labels, longest=50)
+    # a very long text is passed over, rows that repeat an id count once, and so do smaller texts of that id
+    more = spark.createDataFrame([*rows, (40, bad * 500), (41, good * 500), *rows[:5], (1, "A")], "doc_id long, text string")
+    again = quality_rules.fit_rules(more, labels, longest=50)
+    assert np.allclose(field.weights, again.weights) and np.allclose(field.moves, again.moves)
+    none = quality_rules.fit_rules(plain, labels, lines=3)  # a document has four
+    assert (none.weights[0, :, quality_rules.CONTENT] == 1).all() and not none.moves.any()
+
+
 def test_without_labels_nothing_clean_is_lost(spark):
     docs, labels = labelled(spark, 20)
     none = labels.filter("false")

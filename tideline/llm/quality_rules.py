@@ -5,11 +5,13 @@ content and for boilerplate, and a 2 x 2 table weighs what follows what. Viterbi
 step, and a document is kept if lines labelled content hold at least ``share`` of its word characters.
 
 The weights are learned here, by gradient ascent on the conditional likelihood (forward-backward) over at most ``sample``
-labelled documents: a line's target is its document's quality, so the field learns which lines, in which company, belong to good
-documents. Before the field come plain rules (too few words, too many repeated windows).
+labelled documents with ``lines`` lines in all, none with more than ``longest``: a line's target is its document's quality, so
+the field learns which lines, in which company, belong to good documents. Before the field come plain rules (too few words, too
+many repeated windows).
 
-Null and empty texts have no words and fail the base rules. Repeated rows get equal verdicts. Without labels, or with one class
-only, every line is content.
+Null and empty texts have no words and fail the base rules. Very long texts are judged whole; they only take no part in the fit.
+Repeated rows get equal verdicts; in the fit the largest text of an id counts. Without labels, or with one class only, every line
+is content. An empty table gives an empty result. Columns named like a measure are replaced.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 from tideline.llm import textbatch as tb
-from tideline.llm.frames import texts, without
+from tideline.llm.frames import staged, texts, without
 from tideline.llm.textstats import Stats, share
 
 CONTENT, BOILERPLATE = 0, 1
 SAMPLE = 2_000
+LINES, LONGEST = 200_000, 2_000  # of the documents that the field is fitted on: in all, and of one
 CODES, WIDTH = 10, 6
 #: A line ends in a sign of prose (0), in a symbol (1) or in another character (2).
 END_CODE = np.zeros(256, np.int64)
@@ -139,13 +143,18 @@ def fit_field(codes: np.ndarray, first: np.ndarray, target: np.ndarray, rounds:
     return field
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on the lines of at most ``sample`` labelled documents, those with the smallest id hash, so that the classes keep their
-    shares and a line without any sign counts as content where most documents are good."""
+    shares and a line without any sign counts as content where most documents are good. Documents of more than ``longest`` lines
+    are passed over, the others taken in hash order while they have ``lines`` lines in all, so what the driver fits is bounded."""
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("label").alias("label"))
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = texts(docs, id_col, text_col).join(F.broadcast(few), "_id")
+    found = texts(docs, id_col, text_col).join(F.broadcast(few), "_id").groupBy("_id").agg(F.max("label").alias("label"), F.max("_text").alias("_text"))
+    counted = staged(found.withColumn("_lines", F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1), "rule-sample")
+    in_order = W.orderBy(F.xxhash64("_id"), "_id")  # at most ``sample`` narrow rows
+    fitting = counted.filter(F.col("_lines") <= longest).select("_id", F.sum("_lines").over(in_order).alias("_so_far")).filter(F.col("_so_far") <= lines)
+    chosen = counted.join(F.broadcast(fitting.select("_id")), "_id")
     kind = "doc long, line long, label int, codes array<long>"
 
     def work(batches):
