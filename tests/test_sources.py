@@ -106,6 +106,65 @@ def test_a_replayed_batch_changes_nothing(spark):
     assert rows(cube.cube(spark, state)) == once
 
 
+PANEL = "loan_id bigint, yyyymm bigint, upb double, note_rate double"
+CELL = ["coupon_bucket", "yyyymm", "n_atrisk", "n_prepay", "upb_atrisk", "upb_prepay"]
+
+
+def files_read(spark, state, loans, **size):
+    """Files and buckets that a batch of these loans would read."""
+    known = cube.heads(spark, state)
+    where = spark.createDataFrame([(x,) for x in loans], "loan_id bigint").select(F.pmod(F.xxhash64("loan_id"), F.lit(size["buckets"]))).distinct()
+    found = cube.bucket_rows(spark, state, known[max(known)], [r[0] for r in where.collect()]).inputFiles()
+    return len(found), {f.split("bucket=")[1].split("/")[0] for f in found}
+
+
+def test_a_batch_reads_its_own_buckets_and_never_more_than_the_fold(spark):
+    state, size = run_dir(spark, "cube"), {"buckets": 4, "fold": 3}
+    merge = cube.merge_batch(state, **size)
+    every = [(loan, 200001, 100.0 + loan, 3.0) for loan in range(1, 41)]
+    merge(spark.createDataFrame(every, PANEL), 0)
+    for i in range(1, 21):  # one loan, month by month; a paid-off loan comes back in the middle
+        row = (7, 200001 + i % 12 + 100 * (i // 12), 0.0 if i in (5, 20) else 100.0 - i, 3.0)
+        every.append(row)
+        merge(spark.createDataFrame([row], PANEL), i)
+        known = cube.heads(spark, state)
+        assert len(known) <= 2 and all(len(v) <= 3 for v in known[i].values())
+        if i % 6 == 0:
+            n, where = files_read(spark, state, [7], **size)
+            assert n <= 3 and len(where) == 1
+    assert files_read(spark, state, range(1, 41), **size)[1] == {"0", "1", "2", "3"}
+    assert rows(cube.cube(spark, state), *CELL) == rows(survival.realized_cpr_balance(spark.createDataFrame(every, PANEL)), *CELL)
+
+
+def test_a_fold_can_be_replayed_and_unread_versions_go(spark):
+    state, size = run_dir(spark, "cube"), {"buckets": 1, "fold": 2}
+    merge = cube.merge_batch(state, **size)
+    parts = [[(i % 3, 201901 + i, 50.0 + i, 3.0), (9, 201901 + i, 0.0 if i == 5 else 70.0, 4.0)] for i in range(6)]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part, PANEL)
+        merge(df, i)
+        if i > 1:
+            merge(df, i)  # its own version is there already, whole
+    want = survival.realized_cpr_balance(spark.createDataFrame(sum(parts, []), PANEL))
+    assert rows(cube.cube(spark, state), *CELL) == rows(want, *CELL)
+    kept = {r[0] for r in spark.read.parquet(f"{state}/months").select("version").distinct().collect()}
+    known = cube.heads(spark, state)
+    assert set(known) == {4, 5} and kept == {v for h in known.values() for vs in h.values() for v in vs}
+
+
+def test_an_empty_batch_and_another_bucket_count(spark):
+    state = run_dir(spark, "cube")
+    none = spark.createDataFrame([], PANEL)
+    cube.merge_batch(state, 4)(none, 0)
+    assert cube.cube(spark, state).count() == 0
+    cube.merge_batch(state, 4)(spark.createDataFrame([(1, 201901, 10.0, 3.0), (None, 201901, 1.0, 3.0)], PANEL), 1)
+    once = rows(cube.cube(spark, state))
+    cube.merge_batch(state, 4)(none, 2)
+    assert rows(cube.cube(spark, state)) == once and len(once) == 1
+    with pytest.raises(ValueError, match="4 buckets"):
+        cube.merge_batch(state, 8)(none, 3)
+
+
 @pytest.mark.parametrize("loan", ["id % 20", "CASE WHEN id < 850 THEN 1L ELSE id END"])
 def test_one_layout_for_even_and_hot_loans(spark, loan):
     df = spark.range(900).selectExpr(f"{loan} AS loan_id", "201901 + id AS yyyymm", "1.0D AS upb", "3.0D AS note_rate", "'2018Q' || (1 + id % 2) AS vintage")

@@ -176,5 +176,5 @@ def _(fx):
         part = raw_panel(fx).filter((F.col("yyyymm") > lo) & (F.col("yyyymm") <= hi)).drop("vintage")
         vintages.raw_fields(part).write.mode("append").option("sep", "|").csv(inbox)
     stream = vintages.stream_vintages(fx.spark, inbox, 4, ["loan_id", "mmyyyy", "note_rate", "upb"])
-    cube.run_available(stream, state)
+    cube.run_available(stream, state, buckets=16)
     return tidy(cube.cube(fx.spark, state))

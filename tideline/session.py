@@ -65,3 +65,9 @@ def cut_lineage(df):
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one for the files of a single run."""
     return f"{shared_dir(spark)}/runs/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written folder of this library that nothing reads any more; one that is not there is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
