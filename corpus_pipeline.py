@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from tideline.llm import mixing, ngram_join, packing, quality_gam, quality_rules
-from tideline.llm.frames import fresh, staged, table
+from tideline.llm.frames import fresh, table
+from tideline.session import remove, run_dir
 
 #: No SQL: the fitted models and the tokenizer cannot be expressed. Tested against a brute-force version.
 ORACLE_SQL = None
@@ -70,8 +71,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage but the last is written to the shared folder."""
-    docs = table(sf_dir, spark, "documents")
+    """All stages over ``documents``; every stage but the last is written to the shared folder, where a stage's rows go as soon as
+    the next one's are written. The rows that the last stage reads stay: a lost task reads them again."""
+    docs, before = table(sf_dir, spark, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        found, path = stage(spark, docs, sf_dir), run_dir(spark, name)
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
