@@ -10,7 +10,7 @@ from tideline.catalog.survival import SPEED_COLS, STATE, WEIGHT, speeds_sql, tid
 from tideline.functions import periods, rates
 from tideline.functions.curves import TENORS
 from tideline.operators import survival
-from tideline.session import run_dir
+from tideline.session import cut_lineage, run_dir
 from tideline.sources import series, shards, vintages
 from tideline.streaming import cube
 
@@ -166,15 +166,22 @@ def _(fx):
     return rnd(gate)
 
 
+BUCKETS, FILES = 16, 8  # of the streamed state, and files of one delivery
+
+
 @query("L1_stream_vintages", "f_loan", f"WITH {STATE}, {WEIGHT} " + speeds_sql(""))
 def _(fx):
     """Four deliveries in time order stream in, a few files per batch (a loan's
-    later months come in later files); the merged cube equals the batch result."""
+    later months come in later files); the merged cube equals the batch result.
+
+    The panel is derived once. A delivery has eight files of whole hash buckets of the state, however large it is, so
+    the number of batches is fixed and each reads the state of its own buckets only."""
     inbox, state = run_dir(fx.spark, "inbox"), run_dir(fx.spark, "cube")
+    panel = cut_lineage(raw_panel(fx).drop("vintage"))
     bounds = [0, 199612, 199806, 200001, 999912]
     for lo, hi in zip(bounds, bounds[1:]):
-        part = raw_panel(fx).filter((F.col("yyyymm") > lo) & (F.col("yyyymm") <= hi)).drop("vintage")
+        part = panel.filter((F.col("yyyymm") > lo) & (F.col("yyyymm") <= hi)).repartitionByRange(FILES, F.pmod(F.xxhash64("loan_id"), F.lit(BUCKETS)))
         vintages.raw_fields(part).write.mode("append").option("sep", "|").csv(inbox)
     stream = vintages.stream_vintages(fx.spark, inbox, 4, ["loan_id", "mmyyyy", "note_rate", "upb"])
-    cube.run_available(stream, state, buckets=16)
+    cube.run_available(stream, state, buckets=BUCKETS)
     return tidy(cube.cube(fx.spark, state))
