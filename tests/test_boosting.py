@@ -1,5 +1,7 @@
 """Boosting by histogram jobs: Spark ML's trees, one job a level."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -55,3 +57,17 @@ def test_hazards_boost_with_it(spark, planted, monkeypatch):
     steps = planted.withColumn("loan_id", F.monotonically_increasing_id()).withColumn("event_loan", F.col("y")).withColumn("n_steps", F.lit(1))
     hazard.fit_hazard(steps, ["a", "b"], "boosted", 300)
     assert seen == [(["a", "b"], "y", "weight", 300)]
+
+
+def test_snapshot_learners_are_fitted_side_by_side(spark, planted, monkeypatch):
+    """Neither fit can end before the other has begun."""
+    meet, fit = threading.Barrier(2), boosting.fit
+
+    def waits(*args):
+        meet.wait(60)
+        return fit(*args)
+
+    monkeypatch.setattr(boosting, "fit", waits)
+    df = planted.withColumn("prepaid", F.col("y")).withColumn("split", F.when(F.col("a") % 3 == 0, "test").otherwise("train"))
+    out = hazard.snapshot_models(df, {"one": ["a"], "two": ["a", "b"]}, kinds=("boosted_trees",), rounds=2, depth=2).collect()
+    assert {r.features for r in out} == {"one", "two"} and all(r.auc > 0.6 for r in out)
